@@ -22,12 +22,36 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from barloom.llm.suffix_dedup import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from barloom.llm.language_id import identify_by_folds
+
+    return identify_by_folds(table(spark, sf_dir, "documents"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from barloom.llm.exact_dedup import exact_dedup
 
     return exact_dedup(table(spark, sf_dir, "documents"), keep="max")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from barloom.llm.toxicity import score_by_folds
+
+    return score_by_folds(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from barloom.llm.minhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from barloom.llm.mixing import draws
 
@@ -36,7 +60,7 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op5_exact_dedup, op7_mix_sources)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_suffix_array_dedup, op3_language_id, op5_exact_dedup, op6_toxicity, op7_mix_sources, op10_minhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
