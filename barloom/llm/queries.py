@@ -34,6 +34,12 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_by_folds(table(spark, sf_dir, "documents"))
 
 
+def op4_additive_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from barloom.llm.ann import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from barloom.llm.exact_dedup import exact_dedup
 
@@ -46,6 +52,12 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_by_folds(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from barloom.llm.html_extract import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from barloom.llm.minhash import near_duplicates
 
@@ -60,7 +72,7 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_suffix_array_dedup, op3_language_id, op5_exact_dedup, op6_toxicity, op7_mix_sources, op10_minhash_near_dedup)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_suffix_array_dedup, op3_language_id, op4_additive_quantisation, op5_exact_dedup, op6_toxicity, op7_mix_sources, op9_html_extraction, op10_minhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
