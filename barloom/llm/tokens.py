@@ -11,8 +11,12 @@ import os
 
 import numpy as np
 
-CACHE_WORDS = 400_000
+#: Words in each of the two generations of the cache, and bytes of text split at once.
+CACHE_WORDS = 300_000
+SPLIT_BYTES = 1 << 21
 JOINED = 2_000
+#: ASCII punctuation but the apostrophe, which may begin a contraction.
+_TAIL = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and c != 39)
 
 _open: dict[str, "WordIds"] = {}
 
@@ -23,48 +27,83 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache: dict[bytes, bytes] = {}
-        mark = self.tokenizer.encode("\x00", add_special_tokens=False).ids
-        self.mark = mark[0] if len(mark) == 1 else None
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends_word[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
     def _alone(self, word: str) -> bytes:
         return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _learn(self, words: list[bytes]) -> None:
-        cache, plain = self.cache, []
-        for w in words:
-            if self.mark is None or b"\x00" in w or b"<|" in w:
-                cache[w] = self._alone(w.decode("utf-8"))
-            else:
-                plain.append(w)
-        chunks = [plain[i : i + JOINED] for i in range(0, len(plain), JOINED)]
-        joined = [b" \x00 ".join(c).decode("utf-8") for c in chunks]
-        for chunk, got in zip(chunks, self.tokenizer.encode_batch_fast(joined, add_special_tokens=False), strict=True):
+    def _letters(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of words of letters only: each ends with the one token that ends a word."""
+        found: dict[str, bytes] = {}
+        chunks = [words[i : i + JOINED] for i in range(0, len(words), JOINED)]
+        for chunk, got in zip(chunks, self.tokenizer.encode_batch_fast([" ".join(c) for c in chunks], add_special_tokens=False), strict=True):
             ids = np.array(got.ids, dtype="<u4")
-            ends = np.flatnonzero(ids == self.mark)
-            if len(ends) != len(chunk) - 1:
-                for w in chunk:
-                    cache[w] = self._alone(w.decode("utf-8"))
+            ends = np.flatnonzero(self.ends_word[ids]) + 1
+            if len(ends) != len(chunk) or (len(ids) and ends[-1] != len(ids)):
+                found.update((w, self._alone(w)) for w in chunk)
                 continue
             raw, start = ids.tobytes(), 0
-            for w, end in zip(chunk, [*ends.tolist(), len(ids)], strict=True):
-                cache[w] = raw[4 * start : 4 * end]
-                start = end + 1
+            for w, end in zip(chunk, (4 * ends).tolist(), strict=True):
+                found[w] = raw[start:end]
+                start = end
+        return found
+
+    def _learn(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """A word of letters and then punctuation is two runs to the tokenizer, else it goes alone."""
+        known, found, parts, cores, tails = self._known, {}, [], set(), {}
+        for w in words:
+            s = w.decode("utf-8")
+            core = s.rstrip(_TAIL)
+            if core.isalpha() and (len(core) == len(s) or "<|" not in s):
+                parts.append((w, core, s[len(core) :]))
+                cores.add(core)
+            elif not core and "<|" not in s:
+                parts.append((w, "", s))
+            else:
+                found[w] = self._alone(s)
+        have = {core: ids for core in cores if (ids := known(core.encode())) is not None}
+        have.update(self._letters([c for c in cores if c not in have]))
+        have[""] = b""
+        for w, core, tail in parts:
+            if tail not in tails:
+                tails[tail] = self._alone(tail) if tail else b""
+            found[w] = have[core] + tails[tail]
+        return found
+
+    def _known(self, word: bytes) -> bytes | None:
+        ids = self.young.get(word)
+        return self.old.get(word) if ids is None else ids
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
         """The ids of each text, as little-endian unsigned 32-bit bytes; null is empty."""
-        split = [(t or b"").split() for t in texts]
+        out: list[bytes] = []
+        part, size = [], 0
+        for t in texts:
+            part.append(t or b"")
+            size += len(part[-1])
+            if size > SPLIT_BYTES:
+                out += self._encode(part)
+                part, size = [], 0
+        return out + self._encode(part)
+
+    def _encode(self, texts: list[bytes]) -> list[bytes]:
+        split = [t.split() for t in texts]
         seen: set[bytes] = set()
         for words in split:
             seen.update(words)
-        cache = self.cache
-        new = [w for w in seen if w not in cache]
-        if new:
-            if len(cache) + len(new) > CACHE_WORDS:
-                cache.clear()
-                new = list(seen)
-            self._learn(new)
-        get = cache.__getitem__
+        fresh = seen.difference(self.young)
+        if len(self.young) + len(fresh) > CACHE_WORDS:
+            self.old, self.young = self.young, {}
+            fresh = seen
+        old = self.old
+        again = {w: old[w] for w in fresh if w in old}
+        self.young.update(again)
+        self.young.update(self._learn([w for w in fresh if w not in again]))
+        get = self.young.__getitem__
         return [b"".join(map(get, words)) for words in split]
 
 
