@@ -319,3 +319,61 @@ def _patterns() -> dict[str, str]:
 
 def indicator_sql() -> dict[str, str]:
     return {**_averages(), **_volatility(), **_momentum(), **_oscillators(), **_volume(), **_statistics(), **_hybrid(), **_patterns()}
+
+
+def _rolled(minutes: int, tf: str) -> str:
+    start = f'("time" - ("time" % 86400) % {60 * minutes})'
+    return f"""SELECT symbol, '{tf}' AS tf, {start} AS "time", arg_min(o, n) AS open, max(h) AS high, min(l) AS low, arg_max(c, n) AS close, sum(v) AS volume,
+  CASE WHEN arg_min(o, n) > arg_max(c, n) THEN 0 ELSE 1 END AS side FROM b GROUP BY symbol, {start} HAVING count(*) = {minutes}"""
+
+
+def _from(sql: str) -> str:
+    return f"WITH {BARS}{sql}" if sql.startswith(",") else f"WITH {BARS} {sql}"
+
+
+def _rounded(columns: dict[str, str], rest: str, digits: int = 6) -> str:
+    return ", ".join([rest, *(f"round({v} + {SHIFT}, {digits}) AS {k}" for k, v in columns.items())])
+
+
+def relational_sql() -> dict[str, str]:
+    ohlcv = {x: x for x in ("open", "high", "low", "close", "volume")}
+    raw = {"open": "o", "high": "h", "low": "l", "close": "c", "volume": "v"}
+    side = "CASE WHEN open > close THEN 0 ELSE 1 END AS side"
+    out = {}
+    out["overview"] = recursive(
+        34, {"sma": "sm", "ema": "e", "rsi": "CASE WHEN up = 0 AND down = 0 THEN NULL WHEN down = 0 THEN 100e0 ELSE 100e0 - 100e0 / (1e0 + up / down) END", "macd": "f - s", "signal": "g", "histogram": "f - s - g"},
+        [ema("e", "r.c", 20), *rsi_states(14, 13), ema("f", "r.c", 12), ema("s", "r.c", 26), ema("g", "n_f - n_s", 9, 26)], {"pc": lag("c"), "sm": over("avg(c)", 20)},
+    )
+    out["bars_valid"] = _from(f"SELECT {_rounded(raw, 'symbol, \"time\", CASE WHEN o > c THEN 0 ELSE 1 END AS side')} FROM b WHERE h >= greatest(o, c) AND l <= least(o, c) AND v >= 0")
+    out["bars_hourly"] = f"""WITH g AS (SELECT event_type AS symbol, epoch(date_trunc('hour', ts))::BIGINT AS "time", arg_min("value", (ts, event_id)) AS open, max("value") AS high, min("value") AS low, arg_max("value", (ts, event_id)) AS close, count(*)::DOUBLE AS volume FROM events GROUP BY ALL)
+SELECT *, {side} FROM g"""
+    out["bars_daily"] = f"""WITH g AS (SELECT o_orderpriority AS symbol, epoch(date_trunc('day', o_orderdate))::BIGINT AS "time", arg_min(o_totalprice, o_orderkey) AS open, max(o_totalprice) AS high, min(o_totalprice) AS low, arg_max(o_totalprice, o_orderkey) AS close, count(*)::DOUBLE AS volume FROM orders GROUP BY ALL)
+SELECT *, {side} FROM g"""
+    out["extractors"] = _from(f"SELECT {_rounded({'x_open': 'o', 'x_high': 'h', 'x_low': 'l', 'x_close': 'c', 'x_volume': 'v', 'x_hl2': HL2, 'x_hlc3': HLC3, 'x_hlcc4': '((h + l + c + c) / 4e0)'}, 'symbol, \"time\"')} FROM b")
+    head = "symbol, tf, \"time\", side"
+    for name, minutes, tf in (("rollup_5m", 5, "5m"), ("rollup_4h", 240, "4h"), ("rollup_exact_7m", 7, "7m")):
+        out[name] = _from(f", r AS ({_rolled(minutes, tf)}) SELECT {_rounded(ohlcv, head)} FROM r")
+    one = "SELECT symbol, tf, \"time\", o AS open, h AS high, l AS low, c AS close, v AS volume, CASE WHEN o > c THEN 0 ELSE 1 END AS side FROM b"
+    out["rollup_fan_out"] = _from(f", r AS ({one} UNION ALL {_rolled(15, '15m')} UNION ALL {_rolled(60, '1h')}) SELECT {_rounded(ohlcv, head)} FROM r")
+    out["multi_timeframe_sma"] = _from(f""", r AS ({_rolled(5, '5m')} UNION ALL {_rolled(15, '15m')}), s AS (SELECT symbol, tf, "time", avg(close) OVER w AS m, row_number() OVER (PARTITION BY symbol, tf ORDER BY "time") AS i FROM r WINDOW w AS (PARTITION BY symbol, tf ORDER BY "time" ROWS 4 PRECEDING)) SELECT {_rounded({'sma': 'm'}, 'symbol, tf, "time"')} FROM s WHERE i >= 5""")
+    out["skip_and_recent"] = _from(""", r AS (SELECT symbol, "time", c AS close, row_number() OVER (PARTITION BY symbol ORDER BY n) AS i, row_number() OVER (PARTITION BY symbol ORDER BY n DESC) AS d FROM b WHERE "time" >= 1704067200 + 3600) SELECT symbol, "time", close FROM r WHERE i > 10 AND d <= 20""")
+    out["duplicates_last_write"] = """SELECT event_type AS symbol, epoch(date_trunc('hour', ts))::BIGINT AS "time", arg_max("value", (ts, event_id)) AS "value" FROM events GROUP BY ALL"""
+    stored = f""", m AS (SELECT *, CASE WHEN n >= 20 THEN {over('avg(c)', 20)} END AS sma, CASE WHEN n >= 11 AND "time" % 120 = 0 THEN c - ({lag('c', 10)}) END AS mom FROM b)"""
+    out["store_merge"] = _from(stored + f""", nw AS (SELECT symbol, "time" + CASE WHEN "time" % 540 = 0 THEN 315360000 ELSE 0 END AS "time", 2 * c AS close, c AS sma FROM m WHERE "time" % 180 = 0),
+j AS (SELECT coalesce(m.symbol, nw.symbol) AS symbol, coalesce(m."time", nw."time") AS "time", coalesce(nw.close, m.c) AS close, coalesce(nw.sma, m.sma) AS sma, sign(m.mom)::DOUBLE AS mom_sign, CASE WHEN nw.symbol IS NOT NULL THEN 1e0 END AS added,
+  ((coalesce(nw.sma, m.sma) IS NOT NULL)::INT + (m.mom IS NOT NULL)::INT + (nw.symbol IS NOT NULL)::INT) AS n_keys FROM m FULL JOIN nw ON m.symbol = nw.symbol AND m."time" = nw."time")
+SELECT {_rounded({'close': 'close', 'sma': 'sma', 'mom_sign': 'mom_sign', 'added': 'added'}, 'symbol, "time", n_keys')} FROM j""")
+    out["store_stats"] = _from(stored + f""" SELECT count(mom) AS n, {_rounded({'least': 'min(mom)', 'largest': 'max(mom)', 'mean': 'avg(mom)', 'last_value': 'arg_max(mom, "time") FILTER (mom IS NOT NULL)'}, 'max("time") FILTER (mom IS NOT NULL) AS last_time')} FROM m WHERE symbol = 'click'""")
+    out["store_complete"] = _from(stored + """, z AS (SELECT * FROM m WHERE symbol = 'view' ORDER BY "time" DESC LIMIT 50) SELECT 'SMA_20' AS key, bool_and(sma IS NOT NULL) AS complete, count(*) AS n_rows FROM z UNION ALL SELECT 'MOM_10', bool_and(mom IS NOT NULL), count(*) FROM z""")
+    out["store_keys"] = "SELECT * FROM (VALUES ('MOM_10'), ('SMA_20')) t(key)"
+    out["store_series"] = _from(stored + f""" SELECT {_rounded({'value': 'mom', 'sign': 'sign(mom)::DOUBLE'}, '"time"')} FROM m WHERE symbol = 'error' AND mom IS NOT NULL""")
+    out["store_candles_with"] = _from(stored + f""", z AS (SELECT * FROM m WHERE symbol = 'signup' ORDER BY "time" DESC LIMIT 100) SELECT {_rounded({'close': 'c', 'sma': 'sma', 'mom': 'mom'}, '"time"')} FROM z""")
+    out["store_latest"] = _from(f"SELECT {_rounded(raw, 'symbol, \"time\"')} FROM b QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY n DESC) = 1")
+    out["store_history_page"] = _from("""SELECT "time", c AS close FROM b WHERE symbol = 'purchase' AND "time" < 1704067200 + 9000 ORDER BY "time" DESC LIMIT 40""")
+    out["store_retention"] = _from("""SELECT symbol, count(*) AS n_rows, min("time") AS first_time FROM b WHERE "time" >= 1704067200 + 6000 GROUP BY symbol""")
+    out["store_bulk_points"] = _from("""SELECT symbol, 'O' AS key, count(*) AS n_rows, round(sum(o), 2) AS total FROM b GROUP BY symbol UNION ALL SELECT symbol, 'C', count(*), round(sum(c), 2) FROM b GROUP BY symbol""")
+    bands = f""", m AS (SELECT *, {over('avg(c)', 20)} AS mid, {over('stddev_pop(c)', 20)} AS d FROM b), p AS (""" + " UNION ALL ".join(f"""SELECT symbol, tf, 'BBANDS_20.{k}' AS series_key, "time", {v} AS "value" FROM m WHERE n >= 20""" for k, v in (("upper", "mid + 2 * d"), ("middle", "mid"), ("lower", "mid - 2 * d"))) + ")"
+    out["payload_points"] = _from(f"""{bands} SELECT {_rounded({'"value"': '"value"'}, 'symbol, tf, series_key, "time"')} FROM p""")
+    out["payload_bars"] = _from(f"SELECT {_rounded(raw, 'symbol, \"time\"')} FROM b")
+    out["as_of_higher_timeframe"] = _from(f""", r AS (SELECT symbol, "time" + 840 AS t, close FROM ({_rolled(15, '15m')})) SELECT b.symbol, b."time", b.c AS close, r.close AS close_15m FROM b ASOF LEFT JOIN r ON b.symbol = r.symbol AND b."time" >= r.t""")
+    return out

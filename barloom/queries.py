@@ -31,12 +31,222 @@ def _indicator(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(out, DIGITS.get(name, 6))
 
 
+def overview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from barloom.operators.bundle import overview
+
+    return shown(overview(minute_bars(spark, sf_dir)))
+
+
+# ---- roll-ups, bars and the relational surface
+
+
+def bars_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from barloom.functions.extract import valid_bar
+
+    return shown(minute_bars(spark, sf_dir).filter(valid_bar()).select("symbol", "time", "open", "high", "low", "close", "volume", "side"))
+
+
+def bars_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from barloom.bars import hourly_bars
+
+    return hourly_bars(spark, sf_dir).select("symbol", "time", "open", "high", "low", "close", "volume", "side")
+
+
+def bars_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from barloom.bars import daily_bars
+
+    return daily_bars(spark, sf_dir).select("symbol", "time", "open", "high", "low", "close", "volume", "side")
+
+
+def extractors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from barloom.functions.extract import extract
+
+    names = ("open", "high", "low", "close", "volume", "hl2", "hlc3", "hlcc4")
+    return shown(minute_bars(spark, sf_dir).select("symbol", "time", *[extract(x).alias(f"x_{x}") for x in names]))
+
+
+def _rolled(df: DataFrame) -> DataFrame:
+    return shown(df.select("symbol", "tf", "time", "open", "high", "low", "close", "volume", "side"))
+
+
+def rollup_5m(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from barloom.timeframe import roll_up
+
+    return _rolled(roll_up(minute_bars(spark, sf_dir), "5m"))
+
+
+def rollup_4h(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from barloom.timeframe import roll_up
+
+    return _rolled(roll_up(minute_bars(spark, sf_dir), "4h"))
+
+
+def rollup_exact_7m(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seven minutes do not divide a day, so bars re-align at midnight."""
+    from barloom.timeframe import roll_up_exact
+
+    return _rolled(roll_up_exact(minute_bars(spark, sf_dir), "7m"))
+
+
+def rollup_fan_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from barloom.timeframe import fan_out
+
+    return _rolled(fan_out(minute_bars(spark, sf_dir), ["1m", "15m", "1h"]))
+
+
+def multi_timeframe_sma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import barloom.operators  # noqa: F401
+    from barloom.registry import get
+    from barloom.timeframe import fan_out
+
+    return shown(get("sma")(fan_out(minute_bars(spark, sf_dir), ["5m", "15m"]), period=5))
+
+
+def skip_and_recent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars from a time on, less the first 10 of each series, and of those the last 20."""
+    from barloom.bars import EPOCH, skip_before, skip_first
+    from barloom.sources.store import recent
+
+    return recent(skip_first(skip_before(minute_bars(spark, sf_dir), EPOCH + 3600), 10), 20).select("symbol", "time", "close")
+
+
+def duplicates_last_write(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hours with several events: the last event of an hour wins."""
+    from barloom.bars import latest
+
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    rows = e.select(F.col("event_type").alias("symbol"), F.lit("1h").alias("tf"), F.unix_timestamp(F.date_trunc("hour", F.col("ts").cast("timestamp"))).alias("time"), F.struct("ts", "event_id").alias("version"), "value")
+    return latest(rows).select("symbol", "time", "value")
+
+
+def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of a store: minute bars with the documents of SMA(20), and of momentum(10) on even minutes."""
+    import barloom.operators  # noqa: F401
+    from barloom.registry import get
+    from barloom.sources.store import as_document, merged
+
+    bars = minute_bars(spark, sf_dir)
+    sma = get("sma")(bars).select("symbol", "time", as_document({"SMA_20": F.col("sma")}).alias("d1"))
+    mom = get("momentum")(bars).filter("time % 120 = 0").select("symbol", "time", as_document({"MOM_10": {"value": F.col("momentum"), "sign": F.signum("momentum")}}).alias("d2"))
+    rows = bars.join(sma, ["symbol", "time"], "left").join(mom, ["symbol", "time"], "left")
+    return rows.select(F.lit("ex").alias("exchange"), "symbol", "tf", "time", "open", "high", "low", "close", "volume", merged(F.col("d1"), F.col("d2")).alias("indicators"), F.lit(None).cast("timestamp").alias("updated_at"))
+
+
+def store_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars upserted and documents merged: new closes and a new document for every third minute."""
+    from barloom.sources.store import BAR, as_document, merge_rows
+
+    old = _stored(spark, sf_dir)
+    new = old.filter("time % 180 = 0").select("exchange", "symbol", "tf", (F.col("time") + 60 * 60 * 24 * 3650 * (F.col("time") % 540 == 0).cast("int")).alias("time"), *[(F.col(c) * 2).alias(c) for c in BAR], as_document({"SMA_20": F.col("close"), "NEW": F.lit(1.0)}).alias("indicators"))
+    out = merge_rows(old, new)
+    ind = F.col("indicators")
+    return shown(out.select("symbol", "time", "close", ind["SMA_20"]["value"].alias("sma"), ind["MOM_10"]["sign"].alias("mom_sign"), ind["NEW"]["value"].alias("added"), F.size(F.map_keys(ind)).alias("n_keys")))
+
+
+def store_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from barloom.sources.store import indicator_stats
+
+    return shown(indicator_stats(_stored(spark, sf_dir).filter("symbol = 'click'"), "MOM_10"))
+
+
+def store_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from barloom.sources.store import completeness
+
+    rows = _stored(spark, sf_dir).filter("symbol = 'view'")
+    return completeness(rows, "SMA_20", 50).withColumn("key", F.lit("SMA_20")).unionByName(completeness(rows, "MOM_10", 50).withColumn("key", F.lit("MOM_10")))
+
+
+def store_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from barloom.sources.store import indicator_keys
+
+    return indicator_keys(_stored(spark, sf_dir))
+
+
+def store_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from barloom.sources.store import indicator_series
+
+    return shown(indicator_series(_stored(spark, sf_dir).filter("symbol = 'error'"), "MOM_10").select("time", F.col("fields")["value"].alias("value"), F.col("fields")["sign"].alias("sign")))
+
+
+def store_candles_with(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from barloom.sources.store import candles_with
+
+    got = candles_with(_stored(spark, sf_dir).filter("symbol = 'signup'"), ["SMA_20", "MOM_10"], 100)
+    sma = F.when(F.size("SMA_20") == 1, F.col("SMA_20")["value"])
+    return shown(got.select("time", "close", sma.alias("sma"), F.col("MOM_10")["value"].alias("mom")))
+
+
+def store_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from barloom.sources.store import recent
+
+    return shown(recent(_stored(spark, sf_dir), 1).select("symbol", "time", "open", "high", "low", "close", "volume"))
+
+
+def store_history_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from barloom.bars import EPOCH
+    from barloom.sources.store import history_page
+
+    return history_page(_stored(spark, sf_dir).filter("symbol = 'purchase'"), EPOCH + 60 * 150, 40).select("time", "close")
+
+
+def store_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from barloom.bars import EPOCH
+    from barloom.sources.store import retained
+
+    return retained(_stored(spark, sf_dir), EPOCH + 86_400 + 6_000, 1).groupBy("symbol").agg(F.count(F.lit(1)).alias("n_rows"), F.min("time").alias("first_time"))
+
+
+def store_bulk_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Long points to documents and back: count and sum by key."""
+    from barloom.sources.store import to_documents
+
+    bars = minute_bars(spark, sf_dir)
+    points = bars.select("symbol", "tf", "time", F.explode(F.array(F.struct(F.lit("O").alias("key"), F.col("open").alias("value")), F.struct(F.lit("C").alias("key"), F.col("close").alias("value")))).alias("p")).select("symbol", "tf", "time", "p.*")
+    back = to_documents(points).select("symbol", F.explode("indicators").alias("key", "fields"))
+    return back.groupBy("symbol", "key").agg(F.count(F.lit(1)).alias("n_rows"), F.round(F.sum(F.col("fields")["value"]), 2).alias("total"))
+
+
+def payload_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import barloom.operators  # noqa: F401
+    from barloom.registry import get
+    from barloom.streaming.payloads import points
+
+    return shown(points(get("bbands")(minute_bars(spark, sf_dir)), "BBANDS_20", ["upper", "middle", "lower"]).drop("color"))
+
+
+def payload_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bar frames to JSON, decoded again."""
+    from barloom.bars import decode_wire
+    from barloom.streaming.payloads import frames
+
+    return shown(decode_wire(frames(minute_bars(spark, sf_dir)), "payload").select("symbol", "time", "open", "high", "low", "close", "volume"))
+
+
+def as_of_higher_timeframe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each minute bar with the last complete 15-minute close before its end."""
+    from pyspark.sql import Window
+
+    from barloom.timeframe import roll_up
+
+    bars = minute_bars(spark, sf_dir)
+    high = roll_up(bars, "15m").select("symbol", (F.col("time") + 14 * 60).alias("time"), F.col("close").alias("close_15m"))
+    w = Window.partitionBy("symbol").orderBy("time", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    both = bars.select("symbol", "time", "close", F.lit(None).cast("double").alias("close_15m"), F.lit(1).alias("kind")).unionByName(high.select("symbol", "time", F.lit(None).cast("double").alias("close"), "close_15m", F.lit(0).alias("kind")))
+    return both.withColumn("close_15m", F.last("close_15m", True).over(w)).filter("kind = 1").select("symbol", "time", "close", "close_15m")
+
+
+RELATIONAL = (
+    overview, bars_valid, bars_hourly, bars_daily, extractors, rollup_5m, rollup_4h, rollup_exact_7m, rollup_fan_out, multi_timeframe_sma, skip_and_recent, duplicates_last_write,
+    store_merge, store_stats, store_complete, store_keys, store_series, store_candles_with, store_latest, store_history_page, store_retention, store_bulk_points, payload_points, payload_bars, as_of_higher_timeframe,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import barloom.operators  # noqa: F401
     from barloom.registry import OPERATORS
 
-    return {name: functools.partial(_indicator, name) for name in OPERATORS}
+    return {name: functools.partial(_indicator, name) for name in OPERATORS} | {f.__name__: f for f in RELATIONAL}
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracles.indicator_sql()
+    return oracles.indicator_sql() | oracles.relational_sql()
