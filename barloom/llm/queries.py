@@ -52,6 +52,12 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_by_folds(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from barloom.llm.lm_scores import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     from barloom.llm.html_extract import extract
 
@@ -72,7 +78,7 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_suffix_array_dedup, op3_language_id, op4_additive_quantisation, op5_exact_dedup, op6_toxicity, op7_mix_sources, op9_html_extraction, op10_minhash_near_dedup)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_suffix_array_dedup, op3_language_id, op4_additive_quantisation, op5_exact_dedup, op6_toxicity, op7_mix_sources, op8_lm_scores, op9_html_extraction, op10_minhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
