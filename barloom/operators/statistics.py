@@ -36,8 +36,9 @@ def linreg_slope(bars: DataFrame, period: int = 14, value="close") -> DataFrame:
 @statistics
 def correl(bars: DataFrame, period: int = 20, value="close") -> DataFrame:
     """Correlation of value and time over n bars; 0 for a flat window."""
-    s = Series(bars).let(v=extract(value)).let(d=deviation("v", period), c=F.corr("v", F.col("n").cast("double")).over(last(period)))
-    return s.out(period, correl=F.when(F.col("d") > 0, F.col("c")).otherwise(0.0))
+    x = np.arange(period) - (period - 1) / 2
+    s = Series(bars).let(v=extract(value)).let(d=deviation("v", period), cov=weighted("v", x / period))
+    return s.out(period, correl=F.when(F.col("d") > 0, F.col("cov") / (F.col("d") * float(x.std()))).otherwise(0.0))
 
 
 @statistics
