@@ -36,6 +36,7 @@ from barloom.llm.common import text_or_empty, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE_BITS = 31
+OUTPUTS = ("mix_size", "mix_source_size", "mix_target", "mix_taken", "mix_draws")
 
 
 def targets(sizes: list[float], weights: tuple[float, ...], share: float, max_repeat: float) -> list[float]:
@@ -103,12 +104,16 @@ def draws(
     cut: bool = True,
     max_sources: int = 100_000,
 ) -> DataFrame:
-    """docs with mix_size, mix_source_size, mix_target, mix_taken and mix_draws.
+    """docs with mix_size, mix_source_size, mix_target, mix_taken and mix_draws, in place of columns so named.
 
     mix_draws is an array of (copy, shard, place, words): which shards take this document, where in
     the shard's order, and how many of its words.
     """
     spark = docs.sparkSession
+    names_in = [c for c in docs.columns if c not in OUTPUTS]
+    own_names = [f"__own{i}" for i in range(len(names_in))]
+    docs = docs.select(*names_in).toDF(*own_names)
+    id_col, text_col, source_col = (own_names[names_in.index(c)] for c in (id_col, text_col, source_col))
     u = F.xxhash64(F.lit(seed), F.col(id_col)).bitwiseAND(F.lit((1 << SPACE_BITS) - 1))
     h = F.xxhash64(F.lit(seed + 1), F.col(id_col))
     size = F.regexp_count(text_or_empty(text_col), F.lit(WORD)).cast("long")
@@ -159,7 +164,7 @@ def draws(
     rows = [(names[i], sizes[i], float(goal[i]), n_blocks[i], rounds[i], last[i], cut_u[i], cut_h[i], cut_words[i], [int(x) for x in ends[:, i]]) for i in range(len(names))]
     sources = spark.createDataFrame(rows, SOURCE_ROW)
 
-    own = [F.col(c) for c in docs.columns]
+    own = own_names
     row = docs.select(*own, size.alias("mix_size"), u.alias("__u"), h.alias("__h")).join(F.broadcast(sources), F.col(source_col).cast("string").eqNullSafe(F.col("s_source")))
     block = block_of(F.col("__u"))
     after = (F.col("__u") > F.col("s_cut_u")) | ((F.col("__u") == F.col("s_cut_u")) & (F.col("__h") > F.col("s_cut_h")))
@@ -178,7 +183,7 @@ def draws(
     whole = F.when(F.col("s_rounds") > 0, F.transform(F.sequence(F.lit(0), F.greatest(F.col("s_rounds") - 1, F.lit(0))), lambda r: draw(r, F.col("mix_size")))).otherwise(F.array().cast("array<struct<copy:int,shard:int,place:bigint,words:bigint>>"))
     extra = F.when(in_last > 0, F.array(draw(F.col("s_rounds"), in_last))).otherwise(F.array().cast("array<struct<copy:int,shard:int,place:bigint,words:bigint>>"))
     return row.select(
-        *own,
+        *[F.col(c).alias(n) for c, n in zip(own_names, names_in, strict=True)],
         "mix_size",
         F.col("s_size").alias("mix_source_size"),
         F.col("s_target").alias("mix_target"),
@@ -187,11 +192,14 @@ def draws(
     )
 
 
-def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
-    """The mix itself: one row per drawn copy, with the columns of docs, shard and place in the shard.
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", placed: bool = False, **how) -> DataFrame:
+    """The mix itself: one row per drawn copy, with the columns of docs.
 
-    Whole documents only (``cut`` off unless asked for).
+    Whole documents only (``cut`` off unless asked for). placed adds mix_copy, mix_shard and mix_place, the
+    order in the shard.
     """
     how.setdefault("cut", False)
-    drawn = draws(docs, id_col, text_col, source_col, **how).select(*docs.columns, F.explode("mix_draws").alias("__draw"))
-    return drawn.select(*docs.columns, F.col("__draw.copy").alias("mix_copy"), F.col("__draw.shard").alias("mix_shard"), F.col("__draw.place").alias("mix_place"))
+    own = [f"c{i}" for i in range(len(docs.columns))]
+    drawn = draws(docs.toDF(*own), *(own[docs.columns.index(c)] for c in (id_col, text_col, source_col)), **how).select(*own, F.explode("mix_draws").alias("d"))
+    extra = [F.col(f"d.{x}").alias(f"mix_{x}") for x in ("copy", "shard", "place")] if placed else []
+    return drawn.select(*[F.col(c).alias(n) for c, n in zip(own, docs.columns, strict=True)], *extra)
