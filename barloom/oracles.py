@@ -351,8 +351,11 @@ SELECT *, {side} FROM g"""
 SELECT *, {side} FROM g"""
     out["extractors"] = _from(f"SELECT {_rounded({'x_open': 'o', 'x_high': 'h', 'x_low': 'l', 'x_close': 'c', 'x_volume': 'v', 'x_hl2': HL2, 'x_hlc3': HLC3, 'x_hlcc4': '((h + l + c + c) / 4e0)'}, 'symbol, \"time\"')} FROM b")
     head = "symbol, tf, \"time\", side"
-    for name, minutes, tf in (("rollup_5m", 5, "5m"), ("rollup_4h", 240, "4h"), ("rollup_exact_7m", 7, "7m")):
+    for name, minutes, tf in (("rollup_5m", 5, "5m"), ("rollup_4h", 240, "4h")):
         out[name] = _from(f", r AS ({_rolled(minutes, tf)}) SELECT {_rounded(ohlcv, head)} FROM r")
+    # the bar that opens 5 minutes before midnight takes 2 ticks of the next day, whose first opening is missed
+    out["rollup_exact_7m"] = _from(f""", q AS (SELECT symbol, '7m' AS tf, n, "time", o AS open, max(h) OVER f AS high, min(l) OVER f AS low, lead(c, 6) OVER w AS close, sum(v) OVER f AS volume FROM b WINDOW w AS (PARTITION BY symbol ORDER BY n), f AS (PARTITION BY symbol ORDER BY n ROWS BETWEEN CURRENT ROW AND 6 FOLLOWING)),
+r AS (SELECT *, {side} FROM q WHERE close IS NOT NULL AND ("time" % 86400) % 420 = 0 AND NOT ("time" % 86400 = 0 AND n > 1)) SELECT {_rounded(ohlcv, head)} FROM r""")
     one = "SELECT symbol, tf, \"time\", o AS open, h AS high, l AS low, c AS close, v AS volume, CASE WHEN o > c THEN 0 ELSE 1 END AS side FROM b"
     out["rollup_fan_out"] = _from(f", r AS ({one} UNION ALL {_rolled(15, '15m')} UNION ALL {_rolled(60, '1h')}) SELECT {_rounded(ohlcv, head)} FROM r")
     out["multi_timeframe_sma"] = _from(f""", r AS ({_rolled(5, '5m')} UNION ALL {_rolled(15, '15m')}), s AS (SELECT symbol, tf, "time", avg(close) OVER w AS m, row_number() OVER (PARTITION BY symbol, tf ORDER BY "time") AS i FROM r WINDOW w AS (PARTITION BY symbol, tf ORDER BY "time" ROWS 4 PRECEDING)) SELECT {_rounded({'sma': 'm'}, 'symbol, tf, "time"')} FROM s WHERE i >= 5""")

@@ -1,9 +1,10 @@
 """The recursion kernel: a fold over each series in time order, in batch and in streams.
 
 A fold is a class whose instances hold the state of one series; ``feed(*arrays)`` takes the next values of
-each input and returns one array per output, NaN while there is none. In batch the bars are dealt by
-series and sorted in each partition, and Arrow batches run through with the state carried over, so no
-series is ever held whole, however long. In a stream the same instance is the pickled state.
+each input and returns one array per output, NaN while there is none. In batch a row number over the series
+deals and sorts the bars, without a shuffle or sort where a window before has done so already, and Arrow
+batches run through with the state carried over, so no series is ever held whole, however long. In a stream
+the same instance is the pickled state.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from barloom.functions.series import series
+
 KINDS = {"double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(), "long": pa.int64()}
 
 
@@ -48,6 +51,7 @@ def fold(bars: DataFrame, inputs: dict[str, Column], outputs: tuple[str, ...], m
     schema = T.StructType([*rows.schema.fields[:3], *[T.StructField(o, T._parse_datatype_string(k)) for o, k in zip(outputs, kind, strict=True)]])
     if bars.isStreaming:
         return _streaming(rows, schema, kind, make, params)
+    rows = bars.select(*rows.columns[:3], *[c.alias(f"__{k}") for k, c in inputs.items()], F.row_number().over(series()).alias("__row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state, of = None, None
@@ -56,7 +60,7 @@ def fold(bars: DataFrame, inputs: dict[str, Column], outputs: tuple[str, ...], m
                 continue
             keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
             edges = [0, *[i for i in range(1, len(keys)) if keys[i] != keys[i - 1]], len(keys)]
-            arrays = [c.to_numpy(zero_copy_only=False) for c in batch.columns[3:]]
+            arrays = [c.to_numpy(zero_copy_only=False) for c in batch.columns[3:-1]]
             for b, e in zip(edges, edges[1:], strict=False):
                 if keys[b] != of or state is None:
                     state, of = make(*params), keys[b]
@@ -66,7 +70,8 @@ def fold(bars: DataFrame, inputs: dict[str, Column], outputs: tuple[str, ...], m
                     keep = pa.array(ok)
                     yield pa.RecordBatch.from_arrays([*(c.slice(b, e - b).filter(keep) for c in batch.columns[:3]), *(_typed(o, k, ok) for o, k in zip(out, kind, strict=True))], names=schema.names)
 
-    return rows.repartition("symbol", "tf").sortWithinPartitions("symbol", "tf", "time").mapInArrow(run, schema)
+    # the row number is handed over, so that the window stays in the plan
+    return rows.mapInArrow(run, schema)
 
 
 def _streaming(rows: DataFrame, schema: T.StructType, kind: list[str], make, params) -> DataFrame:
