@@ -5,13 +5,15 @@
   together by least squares, in turns with encoding.
 * Encoding: beam search. Every vector keeps its ``beam`` best partial codes book by book, so that a
   vector is a sum of M codewords, with its norm stored beside it.
-* Search: a query's products with all codewords form a lookup table; a vector's score is M look-ups. The
-  shortlist of each block is merged, and the shortlisted vectors are scored exactly in double
-  precision; ties go to the smaller id.
+* Search: a query's products with all codewords form a lookup table; a vector's rough score is M look-ups.
+  Of each block of CODE_BLOCK vectors the ``shortlist`` best are scored exactly, in double precision, and the
+  best of all blocks stay; ties go to the smaller id. A shortlist per block is a fixed share of all
+  vectors, so recall holds as the table grows.
 
 Equal vectors share one code: each distinct vector is encoded once and carries its k + 1 smallest ids,
-which is exact, as ties go to smaller ids. Queries and codes meet block by block (``QUERY_BLOCK`` x
-``CODE_BLOCK``), the stated query set against all rows.
+which is exact, as ties go to smaller ids. Queries and vectors meet block by block (``QUERY_BLOCK`` x
+``CODE_BLOCK``), the stated query set against all rows, and a task that has seen several blocks keeps only
+the best for each query.
 
 Defined results: vectors that are null, zero, of another length than most or hold null or non-finite
 components take no part; a query with fewer candidates than k returns them all; rows repeated with the
@@ -30,8 +32,8 @@ from pyspark.sql import functions as F
 
 from barloom.llm.common import written
 
-BOOKS, WORDS, BEAM = 8, 64, 8
-QUERY_BLOCK, CODE_BLOCK = 512, 16_384
+BOOKS, WORDS, BEAM = 32, 64, 4
+QUERY_BLOCK, CODE_BLOCK, PARTS, AT_ONCE = 4096, 16_384, 4, 256
 
 
 @dataclass
@@ -104,7 +106,30 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
-def nearest(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, shortlist: int = 400, sample: int = 20_000, books: int = BOOKS, words: int = WORDS, exact: bool = False) -> DataFrame:
+def _of_block(q: np.ndarray, firsts: np.ndarray, codes: np.ndarray | None, vectors: np.ndarray, quantiser: Quantiser | None, shortlist: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(firsts, scores) [query, up to k] of a block: look-ups, then exact products of the shortlist."""
+    if quantiser is None:
+        exact, place = q @ vectors.T, np.broadcast_to(np.arange(len(firsts)), (len(q), len(firsts)))
+    else:
+        table = np.einsum("qd,mwd->mqw", q, quantiser.books, optimize=True).astype(np.float32)
+        rough = np.zeros((len(q), len(firsts)), dtype=np.float32)
+        for m in range(codes.shape[1]):
+            rough += table[m].take(codes[:, m], axis=1)
+        keep = min(shortlist, len(firsts))
+        place = np.argpartition(-rough, keep - 1, axis=1)[:, :keep]
+        exact = np.stack([vectors[p] @ x for p, x in zip(place, q, strict=True)])
+    order = np.lexsort((firsts[place], -exact), axis=1)[:, :k]
+    return np.take_along_axis(firsts[place], order, 1), np.take_along_axis(exact, order, 1)
+
+
+def _merge(firsts: np.ndarray, scores: np.ndarray, more: np.ndarray, their: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The best of both, as many as before; ties to the smaller id."""
+    f, s = np.concatenate([firsts, more], axis=1), np.concatenate([scores, their], axis=1)
+    order = np.lexsort((f, -s), axis=1)[:, : firsts.shape[1]]
+    return np.take_along_axis(f, order, 1), np.take_along_axis(s, order, 1)
+
+
+def nearest(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, shortlist: int = 512, sample: int = 10_000, books: int = BOOKS, words: int = WORDS, exact: bool = False) -> DataFrame:
     """(query_id, rank, id, score) of the k nearest rows to each row that queries selects.
 
     exact: score every vector exactly instead (the brute force that recall is measured against).
@@ -128,43 +153,56 @@ def nearest(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector_
     grouped = asked.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("query_block")).agg(F.collect_list("query_id").alias("query_ids"), F.collect_list("qv").alias("query_vectors"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, code, norm, size = [], [], [], 0
-        for batch in [*batches, None]:
-            if batch is not None and batch.num_rows:
-                x = _matrix(batch.column(1))
-                first.append(batch.column(0).to_numpy()), code.append(x if fitted is None else fitted.encode(x)), norm.append(np.linalg.norm(x, axis=1))
-                size += len(x)
-            if first and (batch is None or size >= CODE_BLOCK):
-                yield pa.RecordBatch.from_arrays([pa.array([np.concatenate(x).tobytes()], pa.binary()) for x in (first, code, norm)], names=["firsts", "codes", "norms"])
-                first, code, norm, size = [], [], [], 0
-
-    code_blocks = distinct.select("first", "v").mapInArrow(encode, "firsts binary, codes binary, norms binary")
-    code_blocks = written(code_blocks, "codes").withColumn("query_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-
-    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, x = np.zeros(0, np.int64), np.zeros((0, dimension))
+
+        def row(n: int) -> pa.RecordBatch:
+            part = x[:n]
+            parts = (first[:n], part if fitted is None else fitted.encode(part), np.linalg.norm(part, axis=1), part)
+            return pa.RecordBatch.from_arrays([pa.array([y.tobytes()], pa.binary()) for y in parts], names=["firsts", "codes", "norms", "vectors"])
+
+        for batch in batches:
+            if batch.num_rows:
+                first, x = np.concatenate([first, batch.column(0).to_numpy()]), np.concatenate([x, _matrix(batch.column(1))])
+            while len(first) >= CODE_BLOCK:
+                yield row(CODE_BLOCK)
+                first, x = first[CODE_BLOCK:], x[CODE_BLOCK:]
+        if len(first):
+            yield row(len(first))
+
+    code_blocks = written(distinct.select("first", "v").mapInArrow(encode, "firsts binary, codes binary, norms binary, vectors binary"), "codes")
+    part = F.pmod(F.xxhash64("firsts"), F.lit(PARTS)).cast("int").alias("part")
+    meetings = code_blocks.select("*", part, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("query_block")).join(grouped, "query_block")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, ids, firsts, scores = None, None, None, None
+
+        def best() -> pa.RecordBatch:
+            ok = np.isfinite(scores)
+            return pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, scores.shape[1])[ok.ravel()]), pa.array(firsts[ok]), pa.array(scores[ok])], names=["query_id", "first", "score"])
+
         for batch in batches:
             for i in range(batch.num_rows):
-                firsts = np.frombuffer(batch.column(0)[i].as_py(), dtype=np.int64)
-                ids, q = np.array(batch.column(2)[i].as_py()), np.array(batch.column(3)[i].as_py())
-                raw = batch.column(1)[i].as_py()
-                if fitted is None:
-                    score = q @ np.frombuffer(raw, dtype=np.float64).reshape(len(firsts), -1).T
-                else:
-                    codes = np.frombuffer(raw, dtype=np.uint8).reshape(len(firsts), -1)
-                    table = np.einsum("qd,mwd->mqw", q, fitted.books).astype(np.float32)
-                    score = np.zeros((len(q), len(firsts)), dtype=np.float32)
-                    for m in range(codes.shape[1]):
-                        score += table[m].take(codes[:, m], axis=1)
-                keep = min(shortlist, len(firsts))
-                best = np.argpartition(-score, keep - 1, axis=1)[:, :keep]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, keep)), pa.array(firsts[best].ravel()), pa.array(np.take_along_axis(score, best, 1).ravel().astype(np.float64))], names=["query_id", "first", "rough"])
-
-    rough = code_blocks.join(grouped, "query_block").select("firsts", "codes", "query_ids", "query_vectors").mapInArrow(look_up, "query_id long, first long, rough double")
+                key = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
+                if key != at:
+                    if at is not None:
+                        yield best()
+                    at, ids = key, np.array(batch.column(5)[i].as_py(), dtype=np.int64)
+                    q = np.array(batch.column(6)[i].as_py(), dtype=np.float64)
+                    firsts, scores = np.zeros((len(ids), k + 1), dtype=np.int64), np.full((len(ids), k + 1), -np.inf)
+                mine = np.frombuffer(batch.column(2)[i].as_py(), dtype=np.int64)
+                codes = None if fitted is None else np.frombuffer(batch.column(3)[i].as_py(), dtype=np.uint8).reshape(len(mine), -1)
+                vectors = np.frombuffer(batch.column(4)[i].as_py(), dtype=np.float64).reshape(len(mine), -1)
+                for b in range(0, len(ids), AT_ONCE):
+                    part = slice(b, b + AT_ONCE)
+                    firsts[part], scores[part] = _merge(firsts[part], scores[part], *_of_block(q[part], mine, codes, vectors, fitted, shortlist, k + 1))
+        if at is not None:
+            yield best()
+
+    near = meetings.select("query_block", "part", "firsts", "codes", "vectors", "query_ids", "query_vectors").repartition("query_block", "part").sortWithinPartitions("query_block", "part").mapInArrow(search, "query_id long, first long, score double")
     from pyspark.sql import Window
 
-    near = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("rough"), "first"))
-    short = rough.withColumn("r", near).filter(F.col("r") <= shortlist).select("query_id", "first")
-    product = F.aggregate(F.zip_with("qv", "v", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    scored = short.join(distinct.select("first", "ids", "v"), "first").join(asked, "query_id").select("query_id", product.alias("score"), F.explode("ids").alias("id")).filter("id != query_id")
+    first_k = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "first"))
+    few = near.withColumn("r", first_k).filter(F.col("r") <= k + 1)
+    found = few.join(distinct.select("first", "ids"), "first").select("query_id", "score", F.explode("ids").alias("id")).filter("id != query_id")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    return scored.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias(id_col), "score")
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias(id_col), "score")
