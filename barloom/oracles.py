@@ -190,7 +190,7 @@ def _oscillators() -> dict[str, str]:
     span = "(max(q) OVER z - min(q) OVER z)"
     out["stochrsi"] = (
         f"{head}, g AS (SELECT * FROM f WHERE n >= 15), y AS (SELECT *, CASE WHEN n >= 28 THEN CASE WHEN {span} = 0 THEN 50e0 ELSE (q - min(q) OVER z) / {span} * 100e0 END END AS st FROM g WINDOW z AS (PARTITION BY symbol ORDER BY n ROWS 13 PRECEDING)), "
-        f'k AS (SELECT *, {over("avg(st)", 3)} AS stochrsi FROM y WHERE n >= 28) SELECT symbol, tf, "time", round(stochrsi, 6) AS stochrsi FROM k WHERE n >= 32'
+        f'k AS (SELECT *, {over("avg(st)", 3)} AS stochrsi FROM y WHERE n >= 28) SELECT symbol, tf, "time", round(stochrsi + {SHIFT}, 2) AS stochrsi FROM k WHERE n >= 32'
     )
     bp = {"pc": lag("c")}
     parts = {"bp": "CASE WHEN n > 1 THEN c - least(l, pc) END", "tw": "CASE WHEN n > 1 THEN greatest(h, pc) - least(l, pc) END"}

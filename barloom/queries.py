@@ -12,7 +12,7 @@ from barloom import oracles
 from barloom.bars import minute_bars
 
 #: Decimals in results where values are large; 6 for all others.
-DIGITS = {"natr": 4, "hv": 3, "trix": 4, "kst": 2, "coppock": 2, "roc": 3, "force_index": 3, "ad": 3, "adosc": 3, "eom": 1, "pvt": 2, "variance": 4}
+DIGITS = {"natr": 4, "hv": 3, "trix": 4, "stochrsi": 2, "kst": 2, "coppock": 2, "roc": 3, "force_index": 3, "ad": 3, "adosc": 3, "eom": 1, "pvt": 2, "variance": 4}
 
 
 def shown(df: DataFrame, digits: int = 6) -> DataFrame:
