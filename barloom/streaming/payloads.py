@@ -45,3 +45,21 @@ def indicators_frame(long_points: DataFrame) -> DataFrame:
     """One frame per series and time with the values of all its indicators."""
     grouped = long_points.groupBy("symbol", "tf", "time").agg(F.map_from_entries(F.collect_list(F.struct("series_key", "value"))).alias("values"))
     return grouped.select("symbol", "tf", "time", F.to_json(F.struct(F.lit("indicators").alias("type"), "symbol", "tf", "time", "values")).alias("payload"))
+
+
+def zigzag_points(results: DataFrame) -> DataFrame:
+    """Pivots of a zigzag as points at the pivot bar; the label goes along as JSON in color."""
+    label = F.to_json(F.struct(F.col("label").alias("label"), F.col("break_close").alias("break")))
+    return results.select("symbol", "tf", F.lit("zigzag").alias("series_key"), F.col("pivot_time").alias("time"), F.col("price").alias("value"), label.alias("color"))
+
+
+def definitions_frame(defs: DataFrame) -> DataFrame:
+    """One frame with the display definitions of all series."""
+    row = F.struct("key", "pane", "kind", "color", "levels")
+    return defs.agg(F.to_json(F.struct(F.lit("definitions").alias("type"), F.array_sort(F.collect_list(row)).alias("series"))).alias("payload"))
+
+
+def symbols_frame(rows: DataFrame) -> DataFrame:
+    """One frame with the symbols that have rows, each with its timeframes."""
+    by = rows.groupBy("symbol").agg(F.array_sort(F.collect_set("tf")).alias("tfs"))
+    return by.agg(F.to_json(F.struct(F.lit("symbols_list").alias("type"), F.array_sort(F.collect_list(F.struct("symbol", "tfs"))).alias("symbols"))).alias("payload"))

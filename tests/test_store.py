@@ -7,7 +7,7 @@ from barloom.bars import EPOCH, from_matrix
 from barloom.functions.series_defs import series_defs
 from barloom.sources.readers import CandleSource, jdbc_options, legacy_bars
 from barloom.sources.store import BarStore, NotFoundError, ValidationError, as_document, check_component, check_schema_name, split_row, table_name
-from barloom.streaming.payloads import frames, indicators_frame, points, snapshot
+from barloom.streaming.payloads import definitions_frame, frames, indicators_frame, points, snapshot, symbols_frame, zigzag_points
 
 
 @pytest.fixture()
@@ -93,3 +93,7 @@ def test_payloads(spark):
     assert long.count() == 10 and {r.series_key for r in long.collect()} == {"X.close", "X.open"}
     assert json.loads(indicators_frame(long).orderBy("time").first().payload)["values"] == {"X.close": 1.5, "X.open": 1.0}
     assert series_defs(spark).count() == 115
+    assert len(json.loads(definitions_frame(series_defs(spark)).first().payload)["series"]) == 115
+    assert json.loads(symbols_frame(df).first().payload)["symbols"] == [{"symbol": "BTC", "tfs": ["1m"]}]
+    pivots = spark.createDataFrame([("A", "1m", 9, "HH", 5.0, 3, 4.5, 4.0)], "symbol string, tf string, time long, label string, price double, pivot_time long, pivot_close double, break_close double")
+    assert (p := zigzag_points(pivots).first()).time == 3 and json.loads(p.color) == {"label": "HH", "break": 4.0}
