@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import written
+from barloom.llm.common import first_by_hash, written
 
 BOOKS, WORDS, BEAM = 32, 64, 4
 QUERY_BLOCK, CODE_BLOCK, PARTS, AT_ONCE = 4096, 16_384, 4, 256
@@ -146,7 +146,7 @@ def nearest(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector_
     n_queries = asked.count()
     fitted = None
     if not exact and n_queries:
-        taken = distinct.orderBy("h", "first").limit(sample).select("v").toPandas()
+        taken = first_by_hash(distinct, F.col("h"), sample).select("h", "first", "v").toPandas().sort_values(["h", "first"])
         x = np.stack(taken["v"].to_numpy())
         fitted = fit_arrays(x, books, min(words, len(x)))
     blocks = max(1, -(-n_queries // QUERY_BLOCK))

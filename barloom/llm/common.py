@@ -38,3 +38,16 @@ def text_or_empty(name: str) -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def slices(batches, rows: int = 500):
+    """Arrow batches cut to few rows each, so that a task's copies of texts stay small beside the batch."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+def first_by_hash(df: DataFrame, h: Column, n: int) -> DataFrame:
+    """About n rows of df: those of the n smallest hashes, 2 n at most. Only hashes are sorted."""
+    bound = df.select(h.alias("__h")).orderBy("__h").limit(n).agg(F.max("__h")).first()[0]
+    return df.limit(0) if bound is None else df.filter(h <= bound).limit(2 * n)

@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from barloom.llm import chargrams
+from barloom.llm.common import first_by_hash, slices
 
 BITS = 15
 BUCKETS = 2 << BITS
@@ -99,7 +100,7 @@ def _counts(rows: DataFrame) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for batch in slices(batches):
             langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for lang in dict.fromkeys(langs):
                 mine = total.setdefault(lang, np.zeros(BUCKETS, dtype=np.int64))
@@ -131,7 +132,7 @@ def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col
         weights[:, b] = np.log((up + floor) / (down + floor))
     model = Model(languages, code, weights, np.ones(code.shape[1]), np.full(code.shape, 1 / max(code.shape[1], 1)), ambiguity)
     if code.shape[1]:
-        sample = rows.orderBy(F.xxhash64("id"), "id").select("lang", "text").limit(calibration_rows).toPandas()
+        sample = first_by_hash(rows, F.xxhash64("id"), calibration_rows).select("lang", "text").toPandas()
         margins = model.margins(sample["text"].tolist())
         of = np.array([languages.index(x) for x in sample["lang"]])
         signs = code[of]
@@ -146,11 +147,13 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[
     schema = T.StructType([docs.schema[c] for c in keep] + T._parse_datatype_string("lang_pred string, score double, ambiguous boolean").fields)
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lang, score, close = model.decide(batch.column(len(keep)).to_pylist())
+        for batch in slices(batches):
+            lang, score, close = model.decide(batch.column(place).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(close, pa.bool_())], names=schema.names)
 
-    return docs.select(*keep, F.col(text_col).alias("__text")).mapInArrow(decide, schema)
+    # a text column that is kept goes over once
+    rows, place = (docs.select(*keep), keep.index(text_col)) if text_col in keep else (docs.select(*keep, F.col(text_col).alias("__text")), len(keep))
+    return rows.mapInArrow(decide, schema)
 
 
 def fold(id_col: str, folds: int) -> Column:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barloom.llm.common import written
+from barloom.llm.common import slices, written
 from barloom.llm.shingles import distinct, mix, words
 
 ORDER, ALPHA = 3, 0.4
@@ -98,7 +98,7 @@ def text_blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(values[0], pa.int64()), pa.array([pa.array(ids, id_type).to_pylist()], pa.list_(id_type)), *(pa.array(v, k) for v, k in zip(values[2:], (pa.binary(), pa.binary(), pa.int64()), strict=True))], names=schema.names)
 
         id_type = None
-        for batch in batches:
+        for batch in slices(batches):
             id_type = batch.column(0).type
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
                 ids.append(i), texts.append(t or b"")

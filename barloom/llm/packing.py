@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barloom.llm.common import written
+from barloom.llm.common import slices, written
 
 LIMIT = 2048
 CHUNK = 256
@@ -50,7 +50,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
         from barloom.llm.tokens import word_ids
 
         ids_of = word_ids(tokenizer_path)
-        for batch in batches:
+        for batch in slices(batches):
             names, out = batch.column(0), {k: [] for k in ("row", "piece", "start", "length", "crc", "ids")}
             for row, ids in enumerate(ids_of.encode(batch.column(1).cast(pa.binary()).to_pylist())):
                 raw = memoryview(ids + end)

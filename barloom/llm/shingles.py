@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from barloom.llm.common import slices, written
+
 WIDTH = 5
 RARE = 1e-3
 FLOOR = 0.25
@@ -167,7 +169,7 @@ def fit_idf(docs: DataFrame, text_col: str = "text") -> Idf:
             known, place = np.unique(value, return_inverse=True)
             return known, np.bincount(place, times, len(known)).astype(np.int64)
 
-        for batch in batches:
+        for batch in slices(batches):
             for w in words(batch.column(0).to_pylist()):
                 at, _ = distinct(w.text, w.hash)
                 n += int((np.diff(w.bounds()) > 0).sum())
@@ -188,8 +190,6 @@ def fit_idf(docs: DataFrame, text_col: str = "text") -> Idf:
         return pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(n.astype(np.int64))], names=["word", "n"])
 
     counts = docs.select(F.col(text_col).cast("string")).mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    from barloom.llm.common import written
-
     counts = written(counts, "df")
     total = counts.filter("word = 0").collect()
     n = int(total[0]["n"]) if total else 0

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import text_or_empty, written
+from barloom.llm.common import slices, text_or_empty, written
 from barloom.llm.shingles import mix
 
 LENGTH = 200
@@ -114,7 +114,7 @@ def find_spans(rows: DataFrame) -> DataFrame:
     """(gram, span, key, at, size) of (key, bytes): minimiser hash, span hash, first window's place and windows."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             keys = batch.column(0).to_numpy()
             for first, data, starts, ends in blocks(batch.column(1).to_pylist()):
                 hashes = Hashes(data)
@@ -238,7 +238,7 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     wanted = ones.unionByName(twos).groupBy("key").agg(F.collect_list(F.struct("gram", "kinds", "at", "size", "twice")).alias("spans"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for key, content, wants in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 out += [(x["gram"], x["kinds"], key, x["at"], x["size"], x["twice"], content[x["at"] : x["at"] + x["size"] + LENGTH - 1]) for x in wants]
@@ -272,7 +272,7 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     partial = sorted_edges.mapInArrow(sort_suffixes, "key long, begin long, end long")
 
     def by_window(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             key, at, size, twice, content = (c.to_pylist() for c in batch.columns)
             for first, data, starts, _ends in blocks(content):
                 count = np.array(size[first : first + len(starts)])
@@ -298,7 +298,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     kind = docs.schema[id_col].dataType.simpleString()
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             out = {k: [] for k in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_bytes")}
             cuts = batch.column(2)
             for i, content in enumerate(batch.column(1).to_pylist()):

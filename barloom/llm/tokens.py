@@ -12,7 +12,7 @@ import os
 import numpy as np
 
 #: Words in each of the two generations of the cache, and bytes of text split at once.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 250_000
 SPLIT_BYTES = 1 << 21
 JOINED = 2_000
 #: ASCII punctuation but the apostrophe, which may begin a contraction.

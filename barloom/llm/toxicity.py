@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from barloom.llm import chargrams
+from barloom.llm.common import slices
 from barloom.llm.language_id import fold
 
 ORDERS = (4, 5, 6, 7)
@@ -153,7 +154,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[str
     schema = T.StructType([docs.schema[c] for c in keep] + T._parse_datatype_string("score double, predicted int").fields)
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             s = model.score(batch.column(len(keep)).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32), pa.int32())], names=schema.names)
 
