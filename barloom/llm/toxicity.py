@@ -27,7 +27,7 @@ from barloom.llm import chargrams
 from barloom.llm.common import slices
 from barloom.llm.language_id import fold
 
-ORDERS = (4, 5, 6, 7)
+ORDERS = (3, 5, 6, 7, 8)
 BITS = 22
 LEAST_TEXTS = 3
 
@@ -95,7 +95,7 @@ def logistic(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, y: np.nd
     return w, b
 
 
-def fit_texts(texts: list[str | None], toxic: list[int], features: int = 12_000, penalty: float = 1e-3, smoothing: float = 1.0) -> Model:
+def fit_texts(texts: list[str | None], toxic: list[int], features: int = 6_000, penalty: float = 1e-3, smoothing: float = 1.0) -> Model:
     """Fit on texts at the driver; the caller bounds how many."""
     y = np.array(toxic, dtype=float)
     n_pos, n_neg = int(y.sum()), int(len(y) - y.sum())
