@@ -5,12 +5,11 @@
    only one of each goes on.
 3. Improved consistent weighted sampling draws SAMPLES elements (shingle, level) per text, such that two
    texts share each with the probability of their weighted Jaccard similarity; BANDS bands of ROWS.
-4. Texts that share a band's bucket are candidates. Buckets of at most SMALL give all their pairs. In a
-   larger one every member is paired with the lead, and all members go to sub-buckets by the other bands,
-   treated alike: similar texts meet there again, texts that share one passage do not. No count of
-   pairs grows with the square of a bucket.
-5. Pairs whose samples agree far less than similar ones do are left out, the others are verified by
-   weighted Jaccard similarity of the whole texts, at least ``similarity``.
+4. Texts that share a band's bucket and agree in at least LEAST_AGREED samples are candidates, all pairs of
+   them, however large the bucket. Buckets of at most SMALL are joined with themselves; of larger ones the
+   signatures meet block against block in tasks of their own, which give only the pairs that agree.
+   The comparisons of signatures grow with the square of a bucket, those of texts only where texts agree.
+5. The candidates are verified by weighted Jaccard similarity of the whole texts, at least ``similarity``.
 6. Verified links give classes by min-label propagation with pointer jumping on written tables.
 
 Defined results: texts without a word, null texts and null ids are a class of their own (null ids
@@ -34,6 +33,7 @@ from barloom.llm.shingles import Idf, fit_idf, mix, shingles
 BANDS, ROWS = 12, 2
 SAMPLES = BANDS * ROWS
 SMALL = 16
+BLOCK = 4096
 #: Pairs of similarity 0.8 agree in fewer samples than this with probability under 0.0002.
 LEAST_AGREED = 11
 SIMILARITY = 0.8
@@ -105,27 +105,61 @@ def signatures(docs: DataFrame, idf: Idf, id_col: str, text_col: str) -> DataFra
     return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(sign, f"id {kind}, s1 long, s2 long, sig array<int>")
 
 
-def _bucket_pairs(rows: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    """Candidate pairs (a, b), a < b, of rows (key, id); and the rows of large buckets."""
-    buckets = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("lead")).filter("n > 1")
-    members = written(rows.join(buckets, key), "buckets")
-    small = members.filter(F.col("n") <= SMALL).select(key, "id")
-    every = small.alias("x").join(small.alias("y"), key).filter(F.col("x.id") < F.col("y.id")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-    large = members.filter(F.col("n") > SMALL)
-    return every.union(large.filter("id > lead").select(F.col("lead").alias("a"), F.col("id").alias("b"))).distinct(), large
+def _agreed(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places (of x, of y) of the signatures that agree in LEAST_AGREED samples."""
+    left, right, columns = [], [], np.ascontiguousarray(y.T)
+    for first in range(0, len(x), 256):
+        part = x[first : first + 256]
+        agreed = np.zeros((len(part), len(y)), dtype=np.uint8)
+        for k in range(SAMPLES):
+            agreed += part[:, k, None] == columns[k]
+        i, j = np.nonzero(agreed >= LEAST_AGREED)
+        left.append(i + first), right.append(j)
+    return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, np.int64),) * 2
 
 
-def candidates(signed: DataFrame) -> DataFrame:
-    """Candidate pairs (a, b), a < b, of (id, sig)."""
+def _large_bucket_pairs(members: DataFrame, block: int) -> DataFrame:
+    """(x, y) of all pairs of a bucket that agree in LEAST_AGREED samples; rows (key, band, n, id, sig).
+
+    A bucket's members are dealt into blocks, and every two blocks meet in a task of their own. A pair that
+    shares several bands comes from the first of them.
+    """
+    kind = members.schema["id"].dataType.simpleString()
+    blocks = F.ceil(F.col("n") / block).cast("int")
+    dealt = members.withColumn("own", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "band", "id", "sig")
+
+    def meet(rows: pa.Table) -> pa.Table:
+        i, j, own = rows["i"][0].as_py(), rows["j"][0].as_py(), rows["own"].to_numpy()
+        sig = rows["sig"].combine_chunks().flatten().to_numpy().reshape(-1, SAMPLES)
+        at_x, at_y = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        x, y = _agreed(sig[at_x], sig[at_y])
+        x, y = at_x[x], at_y[y]
+        if i == j:
+            x, y = x[x < y], y[x < y]
+        band = rows["band"].to_numpy()[x]
+        both = np.ones(len(x), dtype=bool)
+        for b in range(BANDS):
+            shared = (sig[x, b * ROWS : (b + 1) * ROWS] == sig[y, b * ROWS : (b + 1) * ROWS]).all(axis=1)
+            both &= ~shared | (band <= b)
+        return pa.table({"x": rows["id"].take(pa.array(x[both])), "y": rows["id"].take(pa.array(y[both]))})
+
+    return dealt.groupBy("key", "i", "j").applyInArrow(meet, f"x {kind}, y {kind}")
+
+
+def candidates(signed: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Candidate pairs (a, b), a < b, of (id, sig): all that share a band and agree in LEAST_AGREED samples."""
     bands = F.array(*[F.xxhash64(F.lit(b), *[F.col("sig")[b * ROWS + r] for r in range(ROWS)]) for b in range(BANDS)])
-    pairs, large = _bucket_pairs(signed.select("id", F.explode(bands).alias("key")), "key")
-    again = large.select("key", "id").join(signed.select("id", bands.alias("bands")), "id")
-    sub = again.select("id", F.explode(F.transform(F.array_remove("bands", F.col("key")), lambda other: F.xxhash64("key", other))).alias("key2"))
-    more, _ = _bucket_pairs(sub, "key2")
-    pairs = pairs.union(more).distinct()
+    rows = signed.select("id", F.posexplode(bands).alias("band", "key"))
+    buckets = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    members = written(rows.join(buckets, "key"), "buckets")
+    small = members.filter(F.col("n") <= SMALL).select("key", "id")
+    every = small.alias("x").join(small.alias("y"), "key").filter(F.col("x.id") < F.col("y.id")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
     sig_a, sig_b = signed.select(F.col("id").alias("a"), F.col("sig").alias("sig_a")), signed.select(F.col("id").alias("b"), F.col("sig").alias("sig_b"))
     agreed = F.aggregate(F.zip_with("sig_a", "sig_b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-    return pairs.join(sig_a, "a").join(sig_b, "b").filter(agreed >= LEAST_AGREED).select("a", "b")
+    pairs = every.join(sig_a, "a").join(sig_b, "b").filter(agreed >= LEAST_AGREED).select("a", "b")
+    more = _large_bucket_pairs(members.filter(F.col("n") > SMALL).join(signed, "id"), block)
+    return pairs.union(more.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))).distinct()
 
 
 def similarities(texts_a: list[str | None], texts_b: list[str | None], idf: Idf) -> np.ndarray:

@@ -108,6 +108,34 @@ def test_near_duplicates_find_all_planted_and_join_no_others(spark):
     assert label[400] == label[5] and label[405] == label[404] and all(label[i] == i for i in (401, 402, 403, 406))
 
 
+def test_near_copies_of_an_original_with_a_middle_id(spark):
+    rng = random.Random(12)
+    base = words(rng, 400)
+    texts = {i: base if i == 150 else edited(rng, base, 7) for i in range(300)}
+    texts |= {1000 + i: " ".join(f"o{rng.randrange(5000)}" for _ in range(10)) for i in range(3000)}
+    df = docs(spark, texts)
+    copies = [i for i in range(300) if i != 150]
+    close = similarities([texts[i] for i in copies], [base] * len(copies), fit_idf(df)) >= 0.8
+    label = {r.doc_id: r.class_id for r in near_duplicates(df).collect()}
+    lost = [i for i, c in zip(copies, close, strict=True) if c and label[i] != label[150]]
+    assert close.sum() > 200 and not lost
+
+
+@pytest.mark.parametrize("block", [4096, 7])
+def test_candidates_of_large_buckets_equal_brute_force(spark, block):
+    rng = np.random.default_rng(13)
+    base = rng.integers(0, 1 << 30, minhash.SAMPLES)
+    sigs = np.where(rng.random((120, minhash.SAMPLES)) < 0.6, base, rng.integers(0, 1 << 30, (120, minhash.SAMPLES)))
+    want = set()
+    for a, b in itertools.combinations(range(120), 2):
+        same = sigs[a] == sigs[b]
+        if same.sum() >= minhash.LEAST_AGREED and same.reshape(minhash.BANDS, minhash.ROWS).all(axis=1).any():
+            want.add((a, b))
+    signed = spark.createDataFrame([(i, s.tolist()) for i, s in enumerate(sigs)], "id long, sig array<int>")
+    got = minhash.candidates(signed, block).collect()
+    assert len(got) == len(want) > 1000 and {(r.a, r.b) for r in got} == want
+
+
 def test_near_nulls_repeats_and_empty(spark):
     df = spark.createDataFrame([(None, "a b c d e f"), (None, "a b c d e f"), (1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f")], "doc_id long, text string")
     got = sorted(((r.doc_id, r.class_id, r.kept) for r in near_duplicates(df).collect()), key=str)
