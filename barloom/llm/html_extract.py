@@ -9,9 +9,11 @@ template; on a page their tokens must nest (a text token lies in a path of the c
 one), those that do not are left in the slots. What stands between template tokens are the slots.
 
 From the slots, those in menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and
-reader comments go, by element and by words in class, id and role. A page with an article or main
-element keeps what is inside it, template or not; any other page keeps its slots outside the
-template whose text is not mostly links.
+reader comments go, by element and by words in class, id and role, and so do those whose text is mostly
+links. An article or main element chooses among the slots: what is inside it stays, and the others only where
+they hold more text, the element then being a teaser. Where most of an element's text is in the
+template, it is a repeated text and stays whole. On a host without a template there is nothing to deduce,
+and an article or main element alone decides.
 
 Defined results: null or empty html gives an empty text; character references are decoded, white space in a
 block becomes one space, blocks are joined by two line feeds in page order; a null url is a host of its
@@ -172,12 +174,27 @@ def tokens(page: str | None) -> dict[int, int]:
     return out
 
 
+def _chars(found: list[Block]) -> int:
+    return sum(len(b.text) for b in found)
+
+
 def main_text(page: str | None, template: set[int]) -> str:
-    found, _ = blocks(page)
-    kept = [b for b in found if b.inside and not b.outside]
-    if not kept:
-        # a template text token counts only where it nests in a template path
-        kept = [b for b in found if not b.outside and not (_code(b.path, b.text) in template and _code(b.path) in template) and b.links < LINK_SHARE * len(b.text)]
+    found = [b for b in blocks(page)[0] if not b.outside]
+    inside = [b for b in found if b.inside]
+    # a template text token counts only where it nests in a template path
+    slots = [b for b in found if not (_code(b.path, b.text) in template and _code(b.path) in template)]
+    chosen = [b for b in slots if b.inside]
+    if 2 * _chars(chosen) < _chars(inside):
+        # most of the element repeats: copies of one text, not a template around it
+        slots, chosen = [b for b in found if b.inside or b in slots], inside
+    others = [b for b in slots if not b.inside and b.links < LINK_SHARE * len(b.text)]
+    if not inside:
+        kept = others
+    elif template and _chars(others) > _chars(chosen):
+        # the element is a teaser beside the main text
+        kept = [b for b in slots if b.inside or b in others]
+    else:
+        kept = chosen
     return "\n\n".join(b.text for b in kept)
 
 

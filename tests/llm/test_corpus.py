@@ -197,6 +197,20 @@ def test_template_of_a_host_without_article(spark):
     assert extract(df.filter("false")).count() == 0
 
 
+def test_template_decides_on_pages_with_an_article(spark):
+    rng = random.Random(5)
+    story = lambda i: f"Story {i} " + " ".join(str(rng.random()) for _ in range(9))
+    boiler = lambda i: f"<body><article><p>{story(i)}</p><div class='z'>Read more on our site</div></article></body>"
+    teaser = lambda i: f"<body><div class='top'>Great site</div><article><h3>Teaser {i}</h3></article><div class='c'><p>{story(i)}</p></div></body>"
+    copied = lambda i: f"<body><div class='top'>Great site</div><article><p>{'the same long text ' * 9}</p><p>{i}</p></article></body>"
+    rows = [(100 * h + i, f"http://{h}.example/{i}", page(i)) for h, page in enumerate((boiler, teaser, copied)) for i in range(8)]
+    got = {r.page_id: r.text for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(8):
+        assert got[i].startswith(f"Story {i} ") and "Read more" not in got[i]
+        assert f"Story {i} " in got[100 + i] and "Great" not in got[100 + i]
+        assert got[200 + i] == " ".join(["the same long text"] * 9) + f"\n\n{i}"
+
+
 # ---- pipeline
 
 
