@@ -7,8 +7,8 @@
   vector is a sum of M codewords, with its norm stored beside it.
 * Search: a query's products with all codewords form a lookup table; a vector's rough score is M look-ups.
   Of each block of CODE_BLOCK vectors the ``shortlist`` best are scored exactly, in double precision, and the
-  best of all blocks stay; ties go to the smaller id. A shortlist per block is a fixed share of all
-  vectors, so recall holds as the table grows.
+  best of all blocks stay; ties go to the smaller id. A full block scores 512 of 16,384 vectors exactly, 3.1 %,
+  which is the least share and the one of large tables; a partition's last block, and so a small table, scores more.
 
 Equal vectors share one code: each distinct vector is encoded once and carries its k + 1 smallest ids,
 which is exact, as ties go to smaller ids. Queries and vectors meet block by block (``QUERY_BLOCK`` x

@@ -1,5 +1,6 @@
 """Language ID, toxicity, language-model scores and search: held-out accuracy, brute force, edge cases."""
 
+import inspect
 import math
 import random
 import re
@@ -10,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from barloom.llm import lm_scores, toxicity
+from barloom.llm import ann, lm_scores, toxicity
 from barloom.llm.ann import fit_arrays, nearest
 from barloom.llm.language_id import codewords, fit, identify, identify_by_folds
 from barloom.llm.lm_scores import pack_sorted, score_documents, unpack_sorted
@@ -182,6 +183,15 @@ def test_nearest_recall_ties_and_edge_cases(spark):
     assert [exact[1000, k] for k in range(1, 21)] == [7, *range(1001, 1020)]
 
 
+def test_recall_of_a_full_block():
+    x, ids = np.random.default_rng(6).normal(size=(ann.CODE_BLOCK, 24)), np.arange(ann.CODE_BLOCK)
+    q = fit_arrays(x[:2000])
+    shortlist = inspect.signature(nearest).parameters["shortlist"].default
+    got, _ = ann._of_block(x[:100], ids, q.encode(x), x, q, shortlist, 20)
+    want, _ = ann._of_block(x[:100], ids, None, x, None, shortlist, 20)
+    assert np.mean([len({*a} & {*b}) / 20 for a, b in zip(got.tolist(), want.tolist(), strict=True)]) >= 0.99
+
+
 def test_few_candidates_and_no_rows(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.0]), (2, [2.0, 1.0])], "vec_id long, embedding array<double>")
     assert [(r.vec_id, r.score) for r in nearest(df, F.col("vec_id") == 0).orderBy("rank").collect()] == [(2, 2.0), (1, 0.5)]
