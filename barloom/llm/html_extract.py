@@ -5,8 +5,9 @@ blocks (path and text). Over a host's pages each token has an occurrence vector.
 vectors form an equivalence class; vectors are compared by page count and by a 64-bit weighted sum over
 pages, an ordinary aggregate, so a host with a third of all pages is folded in every task first. Classes
 of at least ``LEAST_TOKENS`` tokens on at least ``LEAST_PAGES`` pages and ``LEAST_SHARE`` of the host's pages are the
-template; on a page their tokens must nest (a text token lies in a path of the class or of an enclosing
-one), those that do not are left in the slots. What stands between template tokens are the slots.
+template, one set for each host; a text token counts on a page where its own path is in the set, else it is left
+in the slots. Order and nesting between classes are not tested, and a layout on less than that share of the
+host's pages has no template of its own. What stands between template tokens are the slots.
 
 From the slots, those in menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and
 reader comments go, by element and by words in class, id and role, and so do those whose text is mostly
