@@ -1,16 +1,20 @@
-"""Channel-break zigzag: a state machine over bars that marks a pivot at each accepted break of a channel.
-
-A channel is led by a bar; ``body`` is the open of the nearest earlier bar of its colour that lies beyond its
-own open. Closing beyond the channel's open, or beyond the body, puts the machine in break mode; there a bar
-of the other colour that closes beyond the body is the break, one that closes back inside or past the
-channel is a return, anything else waits. Labels of the first pivot are L or H, then LL or LH, HH or HL by
-the open of the pivot before the last (the last while there is one only).
+"""Zigzag of channel breaks: a transition table over the place of each close in a channel.
+
+Prices are looked at through the channel's direction: times +1 while it rises and times -1 while it falls, so
+one set of rules serves both. A channel has a lead bar with its foot (open) and head (close), and a floor,
+the open of the nearest earlier bar of the channel's colour under the lead's foot. A close is OVER the head,
+WITHIN foot and head, or UNDER the foot. In the calm state a close of the channel's colour over the head is
+the new lead, one within marks the channel as nested, and one under foot or floor alarms. In the alarmed
+state the other colour under the floor turns the channel round, which is a pivot; the channel's own
+colour back over the foot (or head, if lower) ends the alarm; all else waits.
+
+The first pivot is L or H, later ones LL or LH and HH or HL by the open of the pivot before the last (the last
+while there is one only). Bars whose body is not larger than ``min_accept_size`` decide nothing.
 """
 
 from __future__ import annotations
 
 from collections import deque
-from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -20,168 +24,149 @@ from barloom.functions.extract import extract
 from barloom.plans.fold import fold
 from barloom.registry import operator
 
+O, H, L, C, T = range(5)
+OVER, WITHIN, UNDER = "over", "within", "under"
+LEAD, NEST, TURN, RETURN, WAIT = "lead", "nest", "turn", "return", "wait"
 
-@dataclass(frozen=True)
-class Bar:
-    o: float
-    h: float
-    l: float
-    c: float
-    t: float
-
-    @property
-    def bull(self) -> bool:
-        return self.o <= self.c
-
-
-@dataclass
-class Channel:
-    up: bool
-    lead: Bar | None = None
-    body: float = 0.0
+#: (alarmed, bar of the channel's colour, place of its close) -> what happens; all others wait
+TRANSITIONS = {
+    (False, True, OVER): LEAD,
+    (False, True, WITHIN): NEST,
+    (False, False, WITHIN): NEST,
+    (True, False, UNDER): TURN,
+    (True, True, OVER): RETURN,
+}
 
+Row = tuple[float, float, float, float, float]
 
-@dataclass
-class Pivot:
-    label: str
-    bar: Bar | None
-    shadow: Bar | None
 
-
-@dataclass
-class Break:
-    bars: list[Bar] = field(default_factory=list)
-    first: Bar | None = None
-    on: bool = False
+def _colour(row: Row) -> int:
+    return 1 if row[C] >= row[O] else -1
 
 
 class ZigZagFold:
-    RING = 200
+    RECENT = 200
 
     def __init__(self, min_accept_size: float):
         self.least = min_accept_size
-        self.ring: deque[Bar] = deque(maxlen=self.RING)
-        self.before: Bar | None = None
-        self.lasting = {True: Channel(True), False: Channel(False)}
-        self.channel: Channel | None = None
-        self.base: list[Channel | None] = [None, None]
-        self.state, self.pivots, self.running = Break(), [], False
-
-    def _body(self, bar: Bar, up: bool) -> float:
-        for x in reversed(self.state.bars):
-            if x.bull == up and (x.o < bar.o if up else x.o > bar.o):
-                base = self.base[0] or self.base[1]
-                if base and base.lead.t != bar.t and base.lead.o < x.o < base.lead.c:
-                    return base.lead.o
-                return x.o
-        return bar.o
-
-    def _lead(self, bar: Bar, up: bool) -> None:
-        channel = self.lasting[up]
-        channel.lead, channel.body = bar, self._body(bar, up)
-        self.channel = channel
-
-    def _advance(self, bar: Bar) -> None:
-        ch = self.channel
-        beyond = bar.c > ch.lead.c if ch.up else bar.c < ch.lead.c
-        inside = ch.lead.o <= bar.c <= ch.lead.c if ch.up else ch.lead.o >= bar.c >= ch.lead.c
-        if beyond and bar.bull == ch.up:
-            self._lead(bar, ch.up)
-        elif inside and (self.base[0] is None or self.base[0].lead.t != ch.lead.t):
-            self.base = [ch, self.base[0]]
-
-    def _test(self, bar: Bar) -> None:
-        ch, state = self.channel, self.state
-        if bar.c < ch.lead.o if ch.up else bar.c > ch.lead.o:
-            state.on = True
-        if state.first is None and (bar.c < ch.body if ch.up else bar.c > ch.body):
-            state.first, state.on = bar, True
-
-    def _verdict(self, bar: Bar) -> str:
-        ch = self.channel
-        if bar.bull != ch.up:
-            return "break" if (bar.c < ch.body if ch.up else bar.c > ch.body) else "wait"
-        if (ch.body < bar.c < ch.lead.o) if ch.up else (ch.body > bar.c > ch.lead.o):
-            return "wait"
-        past = (bar.c > min(ch.lead.o, ch.lead.c)) if ch.up else (bar.c < max(ch.lead.o, ch.lead.c))
-        return "return" if past else "wait"
-
-    def _turn(self, bar: Bar) -> None:
-        """The opposite channel, led by the extreme close since the break began."""
-        up = not self.channel.up
-        self.base = [None, None]
-        ch = Channel(up, self.state.bars[0])
-        for x in self.state.bars:
-            if x.c > ch.lead.c if up else x.c < ch.lead.c:
-                ch.lead = x
-            elif (ch.lead.o < x.c < ch.lead.c) if up else (ch.lead.o > x.c > ch.lead.c):
-                self.base = [ch, self.base[0]]
-        ch.body = self._body(bar, up)
-        self.channel = ch
-
-    def _pivot(self) -> Pivot:
-        """Of the leg that has ended: a low if the channel now goes up."""
-        low, best, shadow = self.channel.up, None, None
-        if not self.pivots:
-            # the first pivot is named by the new channel: L if that goes down
-            down = not self.channel.up
-            for x in reversed(self.ring):
-                if (x.bull != down or x.c == x.o) and (best is None or (x.c < best.c if down else x.c > best.c)):
-                    best = x
-            return Pivot("L" if down else "H", best, None)
-        last = self.pivots[-2] if len(self.pivots) > 1 else self.pivots[-1]
-        for x in reversed(self.state.bars):
-            if last.bar and last.bar.t == x.t:
-                break
-            if shadow is None or (x.l < shadow.l if low else x.h > shadow.h):
-                shadow = x
-            if (x.bull != low or x.c == x.o) and (best is None or (x.c < best.c if low else x.c > best.c)):
-                best = x
-        above = bool(last.bar and best and last.bar.o > best.c)
-        return Pivot(("LL" if above else "LH") if low else ("HH" if above else "HL"), best, shadow)
-
-    def _move(self, bar: Bar) -> Pivot | None:
-        if not self.state.on:
-            self._advance(bar)
-            self._test(bar)
+        self.recent: deque[Row] = deque(maxlen=self.RECENT)
+        self.way, self.lead, self.floor = 0, None, 0.0
+        self.nested: Row | None = None  # lead of the channel that holds nested closes
+        self.nest_follows = self.turned = False  # nested is always the present lead; the lead is from a turn
+        self.leg: list[Row] = []
+        self.alarmed = self.legs_grow = False
+        self.marks: list[Row | None] = []
+
+    def _limits(self, close: float) -> tuple[float, float, float, float]:
+        """Floor, foot, head and a close, as the channel looks at them."""
+        return tuple(self.way * x for x in (self.floor, self.lead[O], self.lead[C], close))
+
+    def _place(self, close: float) -> str:
+        _, foot, head, y = self._limits(close)
+        return OVER if y > head else WITHIN if y >= foot else UNDER
+
+    def _place_in_alarm(self, close: float, own: bool) -> str:
+        floor, foot, head, y = self._limits(close)
+        if own:
+            return WITHIN if floor < y < foot else OVER if y > min(foot, head) else UNDER
+        return UNDER if y < floor else WITHIN
+
+    def _floor_under(self, row: Row) -> float:
+        way, limit = self.way, self.way * row[O]
+        opens = (x[O] for x in reversed(self.leg) if _colour(x) == way and way * x[O] < limit)
+        found = next(opens, row[O])
+        nest = self.lead if self.nest_follows else self.nested
+        if found != row[O] and nest is not None and nest[T] != row[T] and nest[O] < found < nest[C]:
+            return nest[O]
+        return found
+
+    def _take_lead(self, row: Row) -> None:
+        floor = self._floor_under(row)
+        self.lead, self.floor, self.turned = row, floor, False
+
+    def _calm(self, row: Row) -> None:
+        done = TRANSITIONS.get((False, _colour(row) == self.way, self._place(row[C])), WAIT)
+        if done == LEAD:
+            self._take_lead(row)
+        elif done == NEST and not self.nest_follows and (self.nested is None or self.nested[T] != self.lead[T]):
+            self.nested, self.nest_follows = self.lead, not self.turned
+
+    def _turn(self, row: Row) -> None:
+        """Point the other way, led by the extreme close of the leg."""
+        self.way, self.nested, self.nest_follows = -self.way, None, False
+        way, lead, nests = self.way, self.leg[0], False
+        for x in self.leg:
+            if way * x[C] > way * lead[C]:
+                lead = x
+            else:
+                nests = nests or way * lead[O] < way * x[C] < way * lead[C]
+        self.lead, self.turned = lead, True
+        self.nested = lead if nests else None
+        self.floor = self._floor_under(row)
+
+    def _mark(self) -> tuple[str, Row | None, float | None]:
+        """(label, bar, plotted price) of the leg that has ended."""
+        way, first = self.way, not self.marks
+        since = list(self.recent) if first else self.leg
+        if not first and self.marks[0] is not None:
+            ends = [k for k, x in enumerate(since) if x[T] == self.marks[0][T]]
+            since = since[ends[-1] + 1 :] if ends else since
+        side = way if first else -way  # the first pivot is named after the new channel, later ones end the old
+        bodies = [x for x in since if _colour(x) == side or x[C] == x[O]]
+        best = max(reversed(bodies), key=lambda x: side * x[C], default=None)
+        if first:
+            return "H" if way > 0 else "L", best, None
+        extreme = min(reversed(since), key=lambda x: x[L] if way > 0 else -x[H], default=None)
+        lower = bool(self.marks[0] and best and self.marks[0][O] > best[C])
+        label = ("LL" if lower else "LH") if way > 0 else ("HH" if lower else "HL")
+        return label, best, extreme and extreme[H]
+
+    def _move(self, before: Row, row: Row):
+        if not self.alarmed:
+            self._calm(row)
+            floor, foot, _, y = self._limits(row[C])
+            self.alarmed = y < max(floor, foot)
             return None
-        verdict = self._verdict(bar)
-        if verdict == "wait":
+        own = _colour(row) == self.way
+        done = TRANSITIONS.get((True, own, self._place_in_alarm(row[C], own)), WAIT)
+        mark = None
+        if done == TURN:
+            self._turn(row)
+            mark = self._mark()
+            self.marks = [*self.marks[-1:], mark[1]]
+        elif done == RETURN:
+            self.alarmed = False
+            self._calm(row)
+        if done != WAIT:
+            self.leg, self.alarmed = [before, row], False
+        return mark
+
+    def step(self, row: Row):
+        """(label, bar, plotted price) if the bar marks a pivot."""
+        before, mark = self.recent[-1] if self.recent else None, None
+        self.recent.append(row)
+        if self.legs_grow:
+            self.leg.append(row)
+        if before is None or abs(row[O] - row[C]) <= self.least:
             return None
-        pivot = None
-        if verdict == "break":
-            self._turn(bar)
-            pivot = self._pivot()
-            self.pivots = [*self.pivots[-1:], pivot]
-        else:
-            self._advance(bar)
-        self.state = Break([self.before, bar])
-        return pivot
-
-    def step(self, bar: Bar) -> Pivot | None:
-        self.ring.append(bar)
-        valid, before, pivot = abs(bar.o - bar.c) > self.least, self.before, None
-        if self.running:
-            self.state.bars.append(bar)
-        if valid and (self.running or before is not None):
-            if self.channel is None:
-                if before.bull == bar.bull and (bar.c > before.c if bar.bull else bar.c < before.c):
-                    self.state.bars = [before, bar]
-                    self._lead(bar, bar.bull)
-            else:
-                pivot = self._move(bar)
-                self.running = self.running or len(self.pivots) >= 2
-        self.before = bar
-        return pivot
+        if self.way:
+            mark = self._move(before, row)
+            self.legs_grow = self.legs_grow or len(self.marks) == 2
+        elif _colour(before) == _colour(row) and _colour(row) * (row[C] - before[C]) > 0:
+            self.way, self.leg = _colour(row), [before, row]
+            self._take_lead(row)
+        return mark
 
     def feed(self, o, h, l, c, t):
-        out = [[], [], [], [], []]
+        labels, price, time, close, last = [], [], [], [], []
         for row in zip(o.tolist(), h.tolist(), l.tolist(), c.tolist(), t.tolist(), strict=True):
-            p = self.step(Bar(*row))
-            price = p and (p.shadow.h if p.shadow else row[3])
-            for column, x in zip(out, (p and p.label, price, p and p.bar and int(p.bar.t), p and p.bar and p.bar.c, p and row[3]), strict=True):
-                column.append(x)
-        return out[0], np.array([np.nan if x is None else x for x in out[1]], dtype=float), [-1 if label and x is None else x for label, x in zip(out[0], out[2], strict=True)], np.array([0.0 if x is None else x for x in out[3]]), np.array([0.0 if x is None else x for x in out[4]])
+            label, bar, plotted = self.step(row) or (None, None, None)
+            labels.append(label)
+            price.append(np.nan if label is None else row[C] if plotted is None else plotted)
+            time.append(None if label is None else -1 if bar is None else int(bar[T]))
+            close.append(0.0 if bar is None else bar[C])
+            last.append(0.0 if label is None else row[C])
+        return labels, np.array(price, dtype=float), time, np.array(close), np.array(last)
 
 
 @operator("zigzag")

@@ -197,3 +197,24 @@ def test_registry(spark):
 
 def test_epoch_is_a_monday():
     assert EPOCH % 86400 == 0 and (EPOCH // 86400 + 3) % 7 == 0 and math.isfinite(EPOCH)
+
+
+def test_zigzag_worked_by_hand(spark):
+    """Up over two bars, alarmed at 3, turned at 4; down, alarmed at 6, turned at 7; up, turned at 10."""
+    closes = [10, 12, 14, 16, 13, 11, 9, 12, 14, 15, 11, 10]
+    rows = [("S", "1m", i, float(o), float(max(o, c) + 1), float(min(o, c) - 1), float(c), 1.0) for i, (o, c) in enumerate(zip(closes, closes[1:], strict=False))]
+    df = spark.createDataFrame(rows, "symbol string, tf string, time long, open double, high double, low double, close double, volume double")
+    got = [(r.time, r.label, r.price, r.pivot_time, r.pivot_close, r.break_close) for r in get("zigzag_base")(df).orderBy("time").collect()]
+    assert got == [(4, "L", 11.0, 4, 11.0, 11.0), (7, "LH", 14.0, -1, 0.0, 14.0), (10, "HL", 16.0, 8, 15.0, 10.0)]
+
+
+def test_zigzag_transitions():
+    from barloom.operators.zigzag import ZigZagFold
+
+    fold = ZigZagFold(0.0)
+    bars = [(10.0, 12.0), (12.0, 14.0), (14.0, 16.0), (16.0, 15.0), (15.0, 13.0), (13.0, 15.0), (15.0, 17.0)]
+    states = []
+    for t, (o, c) in enumerate(bars):
+        fold.step((o, max(o, c), min(o, c), c, float(t)))
+        states.append((fold.way, fold.lead and fold.lead[4], fold.alarmed, fold.nest_follows))
+    assert states == [(0, None, False, False), (1, 1.0, False, False), (1, 2.0, False, False), (1, 2.0, False, True), (1, 2.0, True, True), (1, 2.0, False, True), (1, 6.0, False, True)]
