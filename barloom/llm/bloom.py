@@ -49,20 +49,20 @@ class Bloom:
 
 
 def packed_texts(rows: DataFrame, bloom: Bloom) -> DataFrame:
-    """(id, text) of the rows that the filter lets through, text as compressed bytes; null stays null."""
+    """(id, text_hash, text) of the rows that the filter lets through, text as compressed bytes; null stays null."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         press = zstandard.ZstdCompressor()
         for batch in slices(batches):
-            hashes = batch.column(1).flatten().to_numpy().reshape(-1, HASHES)
+            hashes = batch.column(2).flatten().to_numpy().reshape(-1, HASHES)
             keep = pa.array(bloom.has(hashes))
-            texts = batch.column(2).filter(keep).cast(pa.binary()).to_pylist()
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), pa.array([None if t is None else press.compress(t) for t in texts], pa.binary())], names=["id", "text"])
+            texts = batch.column(3).filter(keep).cast(pa.binary()).to_pylist()
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep), pa.array([None if t is None else press.compress(t) for t in texts], pa.binary())], names=["id", "text_hash", "text"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.filter("id is not null").select("id", _places(F.col("id")), "text").mapInArrow(pack, f"id {kind}, text binary")
+    return rows.filter("id is not null").select("id", "text_hash", _places(F.col("id")), "text").mapInArrow(pack, f"id {kind}, text_hash long, text binary")
 
 
 def unpacked(texts: pa.Array) -> list[str | None]:

@@ -1,20 +1,29 @@
 """Near-duplicate detection: improved consistent weighted sampling of TF-IDF shingles, in bands.
 
-1. Document frequencies of words over all rows give the shingles' TF-IDF weights (``shingles``).
+1. Document frequencies of words over all rows give the shingles' TF-IDF weights (``shingles``). A
+   shingle's IDF comes from its words and not from its own count, because copies raise the count of
+   what they share: by its own count a group would weigh less and seem less alike the larger it is.
 2. Texts of equal word sequence form a class at once (128-bit hash, partial aggregation first), and
    only one of each goes on.
 3. Improved consistent weighted sampling draws SAMPLES elements (shingle, level) per text, such that two
    texts share each with the probability of their weighted Jaccard similarity; BANDS bands of ROWS.
-4. Texts that share a band's bucket and agree in at least LEAST_AGREED samples are candidates, all pairs of
-   them, however large the bucket. Buckets of at most SMALL are joined with themselves; of larger ones the
-   signatures meet block against block in tasks of their own, which give only the pairs that agree.
-   The comparisons of signatures grow with the square of a bucket, those of texts only where texts agree.
-5. The candidates are verified by weighted Jaccard similarity of the whole texts, at least ``similarity``.
-6. Verified links give classes by min-label propagation with pointer jumping on written tables.
+4. A band's bucket of at most SMALL texts gives all its pairs that agree in ``least_agreed`` samples (0: all);
+   each is verified by the weighted Jaccard similarity of the whole texts, at least ``similarity``.
+5. A larger bucket is dealt into chunks of about CHUNK texts. A task takes one chunk with its texts, works
+   out the weighted Jaccard similarity of every two of them as sums of matrix products, and gives out
+   a spanning forest of the links, which connects what all of them connect: at most one row for each text.
+6. Links give classes by min-label propagation with pointer jumping on written tables. Where a bucket of
+   several chunks still holds several classes, every two of its chunks meet in a task of their own.
+
+So every two texts that share a bucket are compared or already in one class, however large the bucket.
+A group of similar texts costs its size times CHUNK comparisons; only texts that share a bucket
+and stay apart cost the square of their number, without any row for a pair.
 
 Defined results: texts without a word, null texts and null ids are a class of their own (null ids
 have a null class); the class id is its smallest id, which is the document that stays; rows repeated
-with the same id and text are one document; an empty table gives no rows; other columns are ignored.
+with the same id and text are one document; of one id's different texts that no smaller id has, the one of
+the smallest hash stands for all of them; ties of similarity count as links; very long texts are compared
+whole; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,12 +41,12 @@ from barloom.llm.shingles import Idf, fit_idf, mix, shingles
 
 BANDS, ROWS = 12, 2
 SAMPLES = BANDS * ROWS
-SMALL = 16
-BLOCK = 4096
+SMALL, CHUNK = 16, 512
 #: Pairs of similarity 0.8 agree in fewer samples than this with probability under 0.0002.
 LEAST_AGREED = 11
 SIMILARITY = 0.8
 _STEPS = 1 << 16
+_LEVEL = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _gamma_tables() -> tuple[np.ndarray, np.ndarray]:
@@ -80,12 +89,12 @@ def samples(text: np.ndarray, value: np.ndarray, weight: np.ndarray, first: int,
 
 
 def signatures(docs: DataFrame, idf: Idf, id_col: str, text_col: str) -> DataFrame:
-    """(id, s1, s2, sig): word-sequence hash and samples; s1 and sig are null without a word."""
+    """(id, text_hash, s1, s2, sig): hash of the text, of the word sequence, and samples; s1 and sig are null without a word."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             sequence, sig = [], []
-            for x in shingles(batch.column(1).to_pylist(), idf):
+            for x in shingles(batch.column(2).to_pylist(), idf):
                 sequence.append(x.sequence), sig.append(samples(x.text, x.hash, x.weight, x.first, x.end))
             if not sequence:
                 continue
@@ -94,72 +103,114 @@ def signatures(docs: DataFrame, idf: Idf, id_col: str, text_col: str) -> DataFra
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
+                    batch.column(1),
                     pa.array(sequence[:, 0].view(np.int64), mask=none),
                     pa.array(sequence[:, 1].view(np.int64), mask=none),
                     pa.ListArray.from_arrays(np.arange(0, sig.size + 1, SAMPLES, dtype=np.int32), pa.array(sig.ravel()), mask=pa.array(none)),
                 ],
-                names=["id", "s1", "s2", "sig"],
+                names=["id", "text_hash", "s1", "s2", "sig"],
             )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(sign, f"id {kind}, s1 long, s2 long, sig array<int>")
+    return docs.select(F.col(id_col), F.xxhash64(F.col(text_col).cast("string")), F.col(text_col).cast("string")).mapInArrow(sign, f"id {kind}, text_hash long, s1 long, s2 long, sig array<int>")
 
 
-def _agreed(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places (of x, of y) of the signatures that agree in LEAST_AGREED samples."""
-    left, right, columns = [], [], np.ascontiguousarray(y.T)
-    for first in range(0, len(x), 256):
-        part = x[first : first + 256]
-        agreed = np.zeros((len(part), len(y)), dtype=np.uint8)
-        for k in range(SAMPLES):
-            agreed += part[:, k, None] == columns[k]
-        i, j = np.nonzero(agreed >= LEAST_AGREED)
-        left.append(i + first), right.append(j)
-    return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, np.int64),) * 2
+def buckets(signed: DataFrame) -> DataFrame:
+    """(key, n, id): the members of all buckets of two or more; rows (id, sig)."""
+    bands = F.array(*[F.xxhash64(F.lit(b), *[F.col("sig")[b * ROWS + r] for r in range(ROWS)]) for b in range(BANDS)])
+    rows = signed.select("id", F.explode(bands).alias("key"))
+    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return written(rows.join(sizes, "key").select("key", "n", "id"), "buckets")
+
+
+def candidates(members: DataFrame, signed: DataFrame, least_agreed: int = LEAST_AGREED) -> DataFrame:
+    """Candidate pairs (a, b), a < b, of buckets of at most SMALL: those that agree in least_agreed samples."""
+    small = members.filter(F.col("n") <= SMALL).select("key", "id")
+    every = small.alias("x").join(small.alias("y"), "key").filter(F.col("x.id") < F.col("y.id")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    sig_a, sig_b = signed.select(F.col("id").alias("a"), F.col("sig").alias("sig_a")), signed.select(F.col("id").alias("b"), F.col("sig").alias("sig_b"))
+    agreed = F.aggregate(F.zip_with("sig_a", "sig_b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
+    return every.join(sig_a, "a").join(sig_b, "b").filter(agreed >= least_agreed).select("a", "b")
 
 
-def _large_bucket_pairs(members: DataFrame, block: int) -> DataFrame:
-    """(x, y) of all pairs of a bucket that agree in LEAST_AGREED samples; rows (key, band, n, id, sig).
+def all_similarities(texts: list[str | None], idf: Idf) -> np.ndarray:
+    """[text, text] weighted Jaccard similarities.
 
-    A bucket's members are dealt into blocks, and every two blocks meet in a task of their own. A pair that
-    shares several bands comes from the first of them.
+    A shingle that occurs c times is c elements of its IDF each, so that the smaller of two weights is
+    the weight of the common elements. Elements of few texts are counted pair by pair, all others by
+    matrix products over blocks of elements.
+    """
+    n = len(texts)
+    parts = list(shingles(texts, idf))
+    text, value, times = (np.concatenate([getattr(x, k) for x in parts]) for k in ("text", "hash", "times")) if parts else (np.zeros(0, np.int64),) * 3
+    unit = np.concatenate([x.weight for x in parts]).astype(float) / np.maximum(times, 1) if parts else np.zeros(0)
+    total, common = np.bincount(text, unit * times, n), np.zeros((n, n))
+    level = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
+    key = mix(np.repeat(value, times) + level.astype(np.uint64) * _LEVEL)
+    order = np.argsort(key, kind="stable")
+    text, unit, key = np.repeat(text, times)[order], np.repeat(unit, times)[order], key[order]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    size = np.diff(np.append(first, len(key)))
+    element, many = np.repeat(np.arange(len(first)), size), np.repeat(size, size)
+    few = np.flatnonzero((many > 1) & (many <= 16))
+    t, e, w = text[few], element[few], unit[few]
+    for d in range(1, min(16, len(few))):
+        same = np.flatnonzero(e[d:] == e[:-d])
+        common += np.bincount(t[same] * n + t[same + d], w[same], n * n).reshape(n, n)
+    common += common.T
+    often = np.flatnonzero(many > 16)
+    place = np.unique(element[often], return_inverse=True)[1]
+    for begin in range(0, int(place.max(initial=-1)) + 1, 2048):
+        here = often[(place >= begin) & (place < begin + 2048)]
+        has, weight = np.zeros((n, 2048)), np.zeros(2048)
+        column = place[(place >= begin) & (place < begin + 2048)] - begin
+        has[text[here], column], weight[column] = 1, unit[here]
+        common += (has * weight) @ has.T
+    np.fill_diagonal(common, total)
+    whole = total[:, None] + total[None, :] - common
+    return np.divide(common, whole, out=np.zeros((n, n)), where=whole > 0)
+
+
+def spanning_forest(linked: np.ndarray, label: np.ndarray) -> list[tuple[int, int]]:
+    """Links (x, y) between labels that connect what all links connect; equal labels are connected already."""
+    n, found = len(label), []
+    near = linked | (label[:, None] == label[None, :])
+    new = np.ones(n, dtype=bool)
+    for start in range(n):
+        front = np.array([start]) if new[start] else np.zeros(0, np.int64)
+        new[start] = False
+        while len(front):
+            reached = np.flatnonzero(near[front].any(axis=0) & new)
+            parent = front[near[np.ix_(front, reached)].argmax(axis=0)]
+            found += [(x, y) for x, y in zip(parent.tolist(), reached.tolist(), strict=True) if label[x] != label[y]]
+            new[reached] = False
+            front = reached
+    return found
+
+
+def chunk_links(members: DataFrame, texts: DataFrame, idf: Idf, similarity: float, pairs: bool, chunk: int) -> DataFrame:
+    """Links (a, b) that connect the similar texts of each chunk, or of each two chunks of a bucket.
+
+    members: (key, n, id), for pairs with their label; texts: (id, text), compressed.
     """
     kind = members.schema["id"].dataType.simpleString()
-    blocks = F.ceil(F.col("n") / block).cast("int")
-    dealt = members.withColumn("own", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "band", "id", "sig")
+    chunks = F.ceil(F.col("n") / chunk).cast("int")
+    dealt = members.withColumn("own", F.pmod(F.xxhash64("key", "id"), chunks).cast("int"))
+    if pairs:
+        dealt = dealt.withColumn("other", F.explode(F.filter(F.sequence(F.lit(0), chunks - 1), lambda c: c != F.col("own"))))
+        dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "label")
+    else:
+        dealt = dealt.select("key", F.col("own").alias("i"), F.col("own").alias("j"), "id", F.col("id").alias("label"))
 
     def meet(rows: pa.Table) -> pa.Table:
-        i, j, own = rows["i"][0].as_py(), rows["j"][0].as_py(), rows["own"].to_numpy()
-        sig = rows["sig"].combine_chunks().flatten().to_numpy().reshape(-1, SAMPLES)
-        at_x, at_y = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        x, y = _agreed(sig[at_x], sig[at_y])
-        x, y = at_x[x], at_y[y]
-        if i == j:
-            x, y = x[x < y], y[x < y]
-        band = rows["band"].to_numpy()[x]
-        both = np.ones(len(x), dtype=bool)
-        for b in range(BANDS):
-            shared = (sig[x, b * ROWS : (b + 1) * ROWS] == sig[y, b * ROWS : (b + 1) * ROWS]).all(axis=1)
-            both &= ~shared | (band <= b)
-        return pa.table({"x": rows["id"].take(pa.array(x[both])), "y": rows["id"].take(pa.array(y[both]))})
-
-    return dealt.groupBy("key", "i", "j").applyInArrow(meet, f"x {kind}, y {kind}")
-
-
-def candidates(signed: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Candidate pairs (a, b), a < b, of (id, sig): all that share a band and agree in LEAST_AGREED samples."""
-    bands = F.array(*[F.xxhash64(F.lit(b), *[F.col("sig")[b * ROWS + r] for r in range(ROWS)]) for b in range(BANDS)])
-    rows = signed.select("id", F.posexplode(bands).alias("band", "key"))
-    buckets = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    members = written(rows.join(buckets, "key"), "buckets")
-    small = members.filter(F.col("n") <= SMALL).select("key", "id")
-    every = small.alias("x").join(small.alias("y"), "key").filter(F.col("x.id") < F.col("y.id")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    sig_a, sig_b = signed.select(F.col("id").alias("a"), F.col("sig").alias("sig_a")), signed.select(F.col("id").alias("b"), F.col("sig").alias("sig_b"))
-    agreed = F.aggregate(F.zip_with("sig_a", "sig_b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-    pairs = every.join(sig_a, "a").join(sig_b, "b").filter(agreed >= LEAST_AGREED).select("a", "b")
-    more = _large_bucket_pairs(members.filter(F.col("n") > SMALL).join(signed, "id"), block)
-    return pairs.union(more.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))).distinct()
+        label = rows["label"].combine_chunks().dictionary_encode().indices.to_numpy()
+        links: list[tuple[int, int]] = []
+        if label.max() > 0:
+            links = spanning_forest(all_similarities(unpacked(rows["text"]), idf) >= similarity - 1e-6, label)
+        a, b = (pa.array([x[k] for x in links], pa.int64()) for k in (0, 1))
+        ids = rows["id"].combine_chunks()
+        return pa.table({"a": ids.take(a), "b": ids.take(b)})
+
+    return dealt.join(texts, "id").select("key", "i", "j", "id", "label", "text").groupBy("key", "i", "j").applyInArrow(meet, f"a {kind}, b {kind}")
 
 
 def similarities(texts_a: list[str | None], texts_b: list[str | None], idf: Idf) -> np.ndarray:
@@ -190,21 +241,25 @@ def similarities(texts_a: list[str | None], texts_b: list[str | None], idf: Idf)
     return np.divide(common, total - common, out=np.zeros(n), where=total > 0)
 
 
-def verified(pairs: DataFrame, docs: DataFrame, idf: Idf, id_col: str, text_col: str, similarity: float) -> DataFrame:
-    """Links (a, b, similarity) among the candidate pairs."""
-    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "candidate-ids")
-    texts = packed_texts(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")), Bloom.of(ids))
-    texts = written(texts.join(ids, "id", "left_semi").dropDuplicates(["id"]), "candidate-texts")
+def candidate_texts(ids: DataFrame, signed: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, text): the compressed texts of the ids, by the text hashes in signed."""
+    ids = written(ids.distinct().join(signed.select("id", "text_hash"), "id"), "candidate-ids")
+    text = F.col(text_col).cast("string")
+    texts = packed_texts(docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("text_hash"), text.alias("text")), Bloom.of(ids.select("id")))
+    return written(texts.join(ids, ["id", "text_hash"], "left_semi").dropDuplicates(["id"]).select("id", "text"), "candidate-texts")
+
+
+def verified(pairs: DataFrame, texts: DataFrame, idf: Idf, similarity: float) -> DataFrame:
+    """Links (a, b) among the candidate pairs."""
     rows = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
     kind = pairs.schema["a"].dataType.simpleString()
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             s = similarities(unpacked(batch.column(2)), unpacked(batch.column(3)), idf)
-            ok = pa.array(s >= similarity - 1e-6)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s)], names=["a", "b", "similarity"]).filter(ok)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(s >= similarity - 1e-6))
 
-    return rows.select("a", "b", "text_a", "text_b").mapInArrow(check, f"a {kind}, b {kind}, similarity double")
+    return rows.select("a", "b", "text_a", "text_b").mapInArrow(check, f"a {kind}, b {kind}")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -221,28 +276,45 @@ def components(links: DataFrame) -> DataFrame:
         labels = moved.select("id", "label")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """One row per input row: id, class_id, class_size (distinct word sequences), n_links, kept.
+def links_of(signed: DataFrame, docs: DataFrame, idf: Idf, id_col: str, text_col: str, similarity: float, least_agreed: int, chunk: int) -> DataFrame:
+    """(id, label) of all that share a class with others; signed: (id, text_hash, sig), one row for each id."""
+    members = buckets(signed)
+    pairs = written(candidates(members, signed, least_agreed), "pairs")
+    large = members.filter(F.col("n") > SMALL)
+    texts = candidate_texts(pairs.select(F.explode(F.array("a", "b")).alias("id")).union(large.select("id")), signed, docs, id_col, text_col)
+    links = verified(pairs, texts, idf, similarity).union(chunk_links(large, texts, idf, similarity, False, chunk))
+    links = written(links, "links")
+    labels = components(links)
+    named = large.filter(F.col("n") > chunk).join(labels, "id", "left").select("key", "n", "id", F.coalesce("label", "id").alias("label"))
+    apart = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high").select("key")
+    left = written(named.join(apart, "key", "left_semi"), "apart")
+    if left.isEmpty():
+        return labels
+    more = written(chunk_links(left, texts, idf, similarity, True, chunk), "links")
+    return labels if more.isEmpty() else components(links.union(more))
+
 
-    n_links counts the verified links of the document's word sequence to others.
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, least_agreed: int = LEAST_AGREED, chunk: int = CHUNK, with_text_hash: bool = False) -> DataFrame:
+    """One row per input row: id, class_id, class_size (distinct word sequences), kept.
+
+    with_text_hash adds text_hash, xxhash64 of the text, which tells rows of the same id apart.
     """
     idf = fit_idf(docs, text_col)
     rows = written(signatures(docs, idf, id_col, text_col), "signatures")
     known = rows.filter("id is not null and s1 is not null")
-    sequences = written(known.groupBy("s1", "s2").agg(F.min("id").alias("rep"), F.first("sig").alias("sig")), "sequences")
-    pairs = written(candidates(sequences.select(F.col("rep").alias("id"), "sig")), "pairs")
-    links = written(verified(pairs, docs, idf, id_col, text_col, similarity), "links")
-    labels = components(links)
-    degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
-    placed = sequences.select("s1", "s2", "rep").join(labels.join(degree, "id"), F.col("rep") == F.col("id"), "left").select("s1", "s2", F.coalesce("label", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    sequences = known.groupBy("s1", "s2").agg(F.min("id").alias("rep"), F.min_by("text_hash", F.struct("id", "text_hash")).alias("text_hash"), F.first("sig").alias("sig"))
+    sequences = written(sequences, "sequences")
+    signed = written(sequences.groupBy(F.col("rep").alias("id")).agg(F.min("text_hash").alias("text_hash"), F.min_by("sig", "text_hash").alias("sig")), "signed")
+    labels = links_of(signed, docs, idf, id_col, text_col, similarity, least_agreed, chunk)
+    placed = sequences.select("s1", "s2", "rep").join(labels, F.col("rep") == F.col("id"), "left").select("s1", "s2", F.coalesce("label", "rep").alias("class_id"))
     sizes = placed.groupBy("class_id").agg(F.count(F.lit(1)).alias("class_size"))
     placed = placed.join(sizes, "class_id")
-    out = rows.select("id", "s1", "s2").join(placed, ["s1", "s2"], "left")
+    out = rows.select("id", "s1", "s2", "text_hash").join(placed, ["s1", "s2"], "left")
     alone = F.col("id").isNull() | F.col("s1").isNull()
     return out.select(
         F.col("id").alias(id_col),
         F.when(alone, F.col("id")).otherwise(F.col("class_id")).alias("class_id"),
         F.when(alone, F.lit(1)).otherwise(F.col("class_size")).alias("class_size"),
-        F.when(alone, F.lit(0)).otherwise(F.col("n_links")).alias("n_links"),
         (alone | (F.col("id") == F.col("class_id"))).alias("kept"),
+        *(["text_hash"] if with_text_hash else []),
     )

@@ -121,6 +121,7 @@ class Shingles:
     text: np.ndarray
     hash: np.ndarray
     weight: np.ndarray
+    times: np.ndarray  # how often each occurs in its text
     sequence: np.ndarray  # [text, 2], 128-bit hash of the whole word sequence
 
 
@@ -155,7 +156,7 @@ def shingles(texts: list[str | None], idf: Idf, block_bytes: int = BLOCK_BYTES)
             up, down = _power_tables(int(lengths.max()))
             sequence[busy, 0] = np.add.reduceat(w.hash * up[place], bounds[:-1][busy])
             sequence[busy, 1] = np.add.reduceat(mix(w.hash + _M2) * down[place], bounds[:-1][busy])
-        yield Shingles(w.first, w.end, text[at], value[at], mean[at] * count.astype(np.float32), sequence)
+        yield Shingles(w.first, w.end, text[at], value[at], mean[at] * count.astype(np.float32), count, sequence)
 
 
 def fit_idf(docs: DataFrame, text_col: str = "text") -> Idf:

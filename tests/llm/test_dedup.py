@@ -121,19 +121,63 @@ def test_near_copies_of_an_original_with_a_middle_id(spark):
     assert close.sum() > 200 and not lost
 
 
-@pytest.mark.parametrize("block", [4096, 7])
-def test_candidates_of_large_buckets_equal_brute_force(spark, block):
-    rng = np.random.default_rng(13)
-    base = rng.integers(0, 1 << 30, minhash.SAMPLES)
-    sigs = np.where(rng.random((120, minhash.SAMPLES)) < 0.6, base, rng.integers(0, 1 << 30, (120, minhash.SAMPLES)))
-    want = set()
-    for a, b in itertools.combinations(range(120), 2):
-        same = sigs[a] == sigs[b]
-        if same.sum() >= minhash.LEAST_AGREED and same.reshape(minhash.BANDS, minhash.ROWS).all(axis=1).any():
-            want.add((a, b))
-    signed = spark.createDataFrame([(i, s.tolist()) for i, s in enumerate(sigs)], "id long, sig array<int>")
-    got = minhash.candidates(signed, block).collect()
-    assert len(got) == len(want) > 1000 and {(r.a, r.b) for r in got} == want
+def weighted_brute(texts, idf, limit=0.8):
+    ids = sorted(texts)
+    for at, a in enumerate(ids):
+        rest = ids[at + 1 :]
+        for b, x in zip(rest, similarities([texts[a]] * len(rest), [texts[b] for b in rest], idf), strict=True):
+            if x >= limit - 1e-6:
+                yield a, b
+
+
+def test_all_similarities_equal_those_of_pairs():
+    rng = random.Random(14)
+    base = words(rng, 200)
+    texts = [edited(rng, base, rng.randrange(12)) for _ in range(40)] + ["a a a a a a a a", "a a a a a a", "", None, "one two", words(rng, 30) * 3]
+    idf = Idf(np.sort(list(shingles(["w1 w2 w3 w4 w5 a"], Idf(np.zeros(0, np.uint64), np.zeros(0, np.float32))))[0].hash), np.full(2, 0.5, np.float32))
+    got = minhash.all_similarities(texts, idf)
+    for i, t in enumerate(texts):
+        want = similarities([t] * len(texts), texts, idf)
+        assert got[i] == pytest.approx(want, abs=1e-6)
+
+
+def test_spanning_forest_connects_what_the_links_connect():
+    linked = np.zeros((7, 7), dtype=bool)
+    for a, b in ((0, 1), (1, 2), (0, 2), (3, 4), (5, 6), (2, 5)):
+        linked[a, b] = linked[b, a] = True
+    assert len(minhash.spanning_forest(linked, np.arange(7))) == 5
+    assert len(minhash.spanning_forest(linked, np.array([0, 0, 0, 1, 2, 3, 3]))) == 2
+
+
+@pytest.mark.parametrize("chunk", [512, 40])
+def test_no_similar_pair_of_a_large_bucket_is_lost(spark, chunk):
+    """Documents that share a long passage, some with a copy, in chunks: classes equal brute force."""
+    rng = random.Random(15)
+    passage = words(rng, 300)
+    texts = {i: passage + " " + words(rng, 12, 10**6) for i in range(240)}
+    for i in range(60):
+        texts[1000 + i] = edited(rng, texts[4 * i], 1)
+    df = docs(spark, texts)
+    want = list(weighted_brute(texts, fit_idf(df)))
+    label = {r.doc_id: r.class_id for r in near_duplicates(df, chunk=chunk).collect()}
+    top = {i: i for i in texts}
+
+    def root(i):
+        while top[i] != i:
+            i = top[i]
+        return i
+
+    for a, b in want:
+        top[max(root(a), root(b))] = min(root(a), root(b))
+    assert label == {i: root(i) for i in texts} and len(want) >= 50
+
+
+def test_near_links_of_one_id_with_different_texts(spark):
+    rng = random.Random(16)
+    a, b = words(rng, 80), words(rng, 80)
+    df = spark.createDataFrame([(7, a), (7, b), (8, a), (9, b), (10, words(rng, 80))], "doc_id long, text string")
+    got = sorted((r.doc_id, r.class_id, r.kept) for r in near_duplicates(df).collect())
+    assert got == [(7, 7, True), (7, 7, True), (8, 7, False), (9, 7, False), (10, 10, True)]
 
 
 def test_near_nulls_repeats_and_empty(spark):
