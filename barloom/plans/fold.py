@@ -15,6 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,8 +44,9 @@ def _ready(out: tuple, kinds: list[str]) -> np.ndarray:
 def fold(bars: DataFrame, inputs: dict[str, Column], outputs: tuple[str, ...], make, *params, kinds: dict[str, str] | None = None) -> DataFrame:
     """symbol, tf, time and outputs of make(*params) over the inputs, where all outputs are there.
 
-    bars may be a stream: then the state is kept by Structured Streaming and bars not later than the last one
-    of their series are left out.
+    Of bars of one series and time one is fed, in batch and in streams; ``bars.latest`` chooses which where it
+    matters. bars may be a stream: then the state is kept by Structured Streaming and bars not later than the
+    last one of their series are left out.
     """
     kind = [(kinds or {}).get(o, "double") for o in outputs]
     rows = bars.select("symbol", "tf", "time", *[c.alias(f"__{k}") for k, c in inputs.items()])
@@ -54,21 +56,26 @@ def fold(bars: DataFrame, inputs: dict[str, Column], outputs: tuple[str, ...], m
     rows = bars.select(*rows.columns[:3], *[c.alias(f"__{k}") for k, c in inputs.items()], F.row_number().over(series()).alias("__row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state, of = None, None
+        state, of, last = None, None, None
         for batch in batches:
             if not batch.num_rows:
                 continue
             keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
             edges = [0, *[i for i in range(1, len(keys)) if keys[i] != keys[i - 1]], len(keys)]
-            arrays = [c.to_numpy(zero_copy_only=False) for c in batch.columns[3:-1]]
             for b, e in zip(edges, edges[1:], strict=False):
                 if keys[b] != of or state is None:
-                    state, of = make(*params), keys[b]
-                out = state.feed(*[a[b:e] for a in arrays])
+                    state, of, last = make(*params), keys[b], None
+                part = batch.slice(b, e - b)
+                new = np.ones(e - b, dtype=bool)
+                new[1:] = pc.not_equal(part.column(2).slice(1), part.column(2).slice(0, e - b - 1)).to_numpy(zero_copy_only=False)
+                new[0] = part.column(2)[0].as_py() != last
+                last = part.column(2)[e - b - 1].as_py()
+                part = part if new.all() else part.filter(pa.array(new))
+                out = state.feed(*[c.to_numpy(zero_copy_only=False) for c in part.columns[3:-1]])
                 ok = _ready(out, kind)
-                if ok.any():
+                if len(ok) and ok.any():
                     keep = pa.array(ok)
-                    yield pa.RecordBatch.from_arrays([*(c.slice(b, e - b).filter(keep) for c in batch.columns[:3]), *(_typed(o, k, ok) for o, k in zip(out, kind, strict=True))], names=schema.names)
+                    yield pa.RecordBatch.from_arrays([*(c.filter(keep) for c in part.columns[:3]), *(_typed(o, k, ok) for o, k in zip(out, kind, strict=True))], names=schema.names)
 
     # the row number is handed over, so that the window stays in the plan
     return rows.mapInArrow(run, schema)

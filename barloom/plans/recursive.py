@@ -2,18 +2,36 @@
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 
 _BLOCK = 64
 _tables: dict[float, tuple[np.ndarray, np.ndarray]] = {}
 
 
+def _finite(feed):
+    """feed of the finite values only: others give NaN and leave the state as it is, whatever the batches."""
+
+    @functools.wraps(feed)
+    def run(self, x: np.ndarray) -> np.ndarray:
+        ok = np.isfinite(x)
+        if ok.all():
+            return feed(self, x)
+        out = np.full(len(x), np.nan)
+        out[ok] = feed(self, x[ok])
+        return out
+
+    return run
+
+
 class Linear:
     """y = a y + x, a block of _BLOCK values at a time by one matrix product; powers of a never grow."""
 
     def __init__(self, a: float, y: float = 0.0):
         self.a, self.y = a, y
 
+    @_finite
     def feed(self, x: np.ndarray) -> np.ndarray:
         if not len(x):
             return x
@@ -48,6 +66,7 @@ class Ema:
         self.divisor = divisor or self.need
         self.filter: Linear | None = None
 
+    @_finite
     def feed(self, x: np.ndarray) -> np.ndarray:
         """As long as x; NaN until the seed."""
         out = np.full(len(x), np.nan)

@@ -10,6 +10,10 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 
 
+def _text(value) -> str:
+    return str(value).removeprefix("Column<'").removesuffix("'>") if isinstance(value, Column) else str(value)
+
+
 @dataclass(frozen=True)
 class Operator:
     name: str
@@ -24,8 +28,8 @@ class Operator:
         return self.function(bars, **params)
 
     def key(self, symbol: str, tf: str, **params) -> str:
-        """NAME_SYMBOL_tf_params, with the parameters in order, defaults filled in."""
-        values = [str(v) for k, v in (self.defaults | params).items() if not isinstance(v, Column)]
+        """NAME_SYMBOL_tf_params, with the parameters in order, defaults filled in, columns by their expression."""
+        values = [_text(v) for v in (self.defaults | params).values()]
         return "_".join([self.name.upper(), symbol.upper(), tf, *values])
 
 

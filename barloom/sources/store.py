@@ -1,16 +1,18 @@
-"""A Parquet store of bars and their indicator documents, partitioned by exchange, symbol and timeframe.
+"""A Parquet store of bars and their indicator documents, partitioned by exchange, symbol, timeframe and span.
 
 A row has the bar and ``indicators``: map<string, map<string, double>>, one entry per indicator with its fields,
-scalars under "value". Writes read the touched partitions, merge, stage the result beside the store, and
-overwrite those partitions only; a path is never overwritten while it is read.
+scalars under "value". A span is SPAN_SECONDS of time, so that a write rewrites the spans it touches and not
+the history of the series, and a time range prunes folders. Writes read the touched partitions, merge, and
+overwrite those only; Spark stages the new files and swaps folders when the job commits, after all reading.
+Names are checked on every write, symbols are upper-cased, and all partition columns but span are strings.
 """
 
 from __future__ import annotations
 
 import re
-import uuid
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
@@ -18,8 +20,11 @@ from pyspark.sql.utils import AnalysisException
 BAR = ("open", "high", "low", "close", "volume")
 PARTITION = ("exchange", "symbol", "tf")
 KEY = (*PARTITION, "time")
+SPAN_SECONDS = 32 * 86_400
 DOCUMENT = "map<string,map<string,double>>"
-RESERVED = frozenset(("time", *BAR, *PARTITION, "indicators", "updated_at", "side", "timeframe"))
+ROWS = f"time long, open double, high double, low double, close double, volume double, indicators {DOCUMENT}, updated_at timestamp, exchange string, symbol string, tf string, span int"
+MOST_NAMES = 1000
+RESERVED = frozenset(("time", *BAR, *PARTITION, "span", "indicators", "updated_at", "side", "timeframe"))
 
 
 class StoreError(Exception):
@@ -98,16 +103,22 @@ class BarStore:
 
     # ---- reading
 
-    def rows(self, exchange: str | None = None, symbol: str | None = None, tf: str | None = None, start=None, end=None) -> DataFrame:
-        """Rows with time in start..end, both included; partitions are pruned and time is pushed down."""
+    def _all(self) -> DataFrame:
         try:
-            df = self.spark.read.parquet(f"{self.path}/bars")
+            return self.spark.read.schema(ROWS).parquet(f"{self.path}/bars")
         except AnalysisException:
-            df = self.spark.createDataFrame([], f"time long, open double, high double, low double, close double, volume double, indicators {DOCUMENT}, updated_at timestamp, exchange string, symbol string, tf string")
-        for name, value in zip(PARTITION, (exchange, symbol, tf), strict=True):
+            return self.spark.createDataFrame([], ROWS)
+
+    def rows(self, exchange: str | None = None, symbol: str | None = None, tf: str | None = None, start=None, end=None) -> DataFrame:
+        """Rows with time in start..end, both included; partitions are pruned and time is pushed down."""
+        df = self._all()
+        for name, value in zip(PARTITION, (exchange, None if symbol is None else check_component(symbol), tf), strict=True):
             df = df if value is None else df.filter(F.col(name) == value)
-        df = df if start is None else df.filter(F.col("time") >= start)
-        return df if end is None else df.filter(F.col("time") <= end)
+        if start is not None:
+            df = df.filter((F.col("time") >= start) & (F.col("span") >= start // SPAN_SECONDS))
+        if end is not None:
+            df = df.filter((F.col("time") <= end) & (F.col("span") <= end // SPAN_SECONDS))
+        return df.drop("span")
 
     def fetch_bars(self, exchange: str, symbol: str, tf: str, start=None, end=None) -> DataFrame:
         """Valid bars in time order."""
@@ -139,23 +150,37 @@ class BarStore:
     def indicator_keys(self, exchange: str, symbol: str, tf: str, most: int = 1000) -> DataFrame:
         return indicator_keys(self.rows(exchange, symbol, tf)).limit(most)
 
+    def _folders(self) -> list[tuple[str, str, str, int]]:
+        """(exchange, symbol, tf, span) of every folder: names only, no file is read."""
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        pattern = jvm.org.apache.hadoop.fs.Path(f"{self.path}/bars/exchange=*/symbol=*/tf=*/span=*")
+        found = pattern.getFileSystem(conf).globStatus(pattern) or []
+        named = [dict(x.split("=", 1) for x in str(f.getPath()).rstrip("/").split("/")[-4:]) for f in found]
+        return sorted((x["exchange"], x["symbol"], x["tf"], int(x["span"])) for x in named)
+
     def catalog(self) -> DataFrame:
-        """The series that there are."""
-        return self.rows().select(*PARTITION).distinct().orderBy(*PARTITION)
+        """The series that there are, by the store's folders."""
+        series = sorted({x[:3] for x in self._folders()})
+        return self.spark.createDataFrame(series, "exchange string, symbol string, tf string").orderBy(*PARTITION)
 
     def exists(self, exchange: str, symbol: str, tf: str) -> bool:
-        return not self.rows(exchange, symbol, tf).isEmpty()
+        return (exchange, check_component(symbol), tf) in {x[:3] for x in self._folders()}
 
-    def refresh(self) -> None:
-        self.spark.catalog.refreshByPath(self.path)
+    def refresh(self, exchange: str | None = None) -> None:
+        """Forget cached listings of the store, or of one exchange."""
+        self.spark.catalog.refreshByPath(self.path if exchange is None else f"{self.path}/bars/exchange={check_schema_name(exchange)}")
 
     # ---- writing
 
-    def upsert(self, bars: DataFrame, exchange: str, indicators: Column | None = None) -> None:
-        """Insert or overwrite the bars; with indicators, their documents are merged into the old ones."""
+    def upsert(self, bars: DataFrame, exchange: str, indicators: Column | None = None, version: str | None = None) -> None:
+        """Insert or overwrite the bars; with indicators, their documents are merged into the old ones.
+
+        Of bars with the same key the one with the largest version stays, or the largest bar without one.
+        """
         check_schema_name(exchange)
         doc = F.lit(None).cast(DOCUMENT) if indicators is None else indicators
-        self._merge(bars.select(F.lit(exchange).alias("exchange"), "symbol", "tf", F.col("time").cast("long").alias("time"), *[F.col(c).cast("double").alias(c) for c in BAR], doc.alias("indicators")), with_bars=True)
+        order = F.lit(None).cast("long") if version is None else F.col(version)
+        self._merge(bars.select(F.lit(exchange).alias("exchange"), "symbol", "tf", F.col("time").cast("long").alias("time"), *[F.col(c).cast("double").alias(c) for c in BAR], doc.alias("indicators"), order.alias("version")), with_bars=True)
 
     def merge_indicators(self, points: DataFrame, exchange: str) -> None:
         """points: symbol, tf, time, indicators. A row that is not there is made, without a bar."""
@@ -167,66 +192,94 @@ class BarStore:
         self.merge_indicators(to_documents(points), exchange)
 
     def _merge(self, new: DataFrame, with_bars: bool) -> None:
-        touched = [tuple(r) for r in new.select(*PARTITION).distinct().collect()]  # one per series written
-        if not touched:
+        new = new.withColumn("symbol", F.upper(F.trim("symbol")))
+        wrong = ~(F.col("symbol").rlike("^[A-Z0-9]{1,63}$") & F.col("tf").rlike("^[A-Za-z0-9]{1,63}$") & F.col("time").isNotNull())
+        span = F.floor(F.col("time") / SPAN_SECONDS).cast("int")
+        seen = new.agg(F.count_if(F.coalesce(wrong, F.lit(True))).alias("wrong"), F.min(span).alias("low"), F.max(span).alias("high"), F.approx_count_distinct("symbol").alias("symbols")).first()
+        if seen["wrong"]:
+            raise ValidationError(f"{seen['wrong']} rows without a proper symbol, timeframe or time")
+        if seen["low"] is None:
             return
-        old = self.rows()
-        mine = F.lit(False)
-        for values in touched:
-            mine = mine | ((F.col("exchange") == values[0]) & (F.col("symbol") == values[1]) & (F.col("tf") == values[2]))
-        self._replace(merge_rows(old.filter(mine), new, with_bars))
+        touched = new.select(*PARTITION, span.alias("span")).distinct()
+        old = self._all().filter(F.col("span").between(seen["low"], seen["high"]))
+        for name in PARTITION if seen["symbols"] <= MOST_NAMES else PARTITION[:1]:
+            old = old.filter(F.col(name).isin([r[0] for r in new.select(name).distinct().collect()]))
+        old = old.join(touched, [*PARTITION, "span"], "left_semi").drop("span")
+        self._replace(merge_rows(old, new, with_bars))
 
     def _replace(self, rows: DataFrame) -> None:
-        stage = f"{self.path}/_stage-{uuid.uuid4().hex}"
+        rows = rows.withColumn("span", F.floor(F.col("time") / SPAN_SECONDS).cast("int"))
         try:
-            rows.repartition(*PARTITION).sortWithinPartitions(*KEY).write.parquet(stage)
-            staged = self.spark.read.schema(rows.schema).parquet(stage)
-            staged.repartition(*PARTITION).sortWithinPartitions(*KEY).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*PARTITION).parquet(f"{self.path}/bars")
-        finally:
-            jvm = self.spark.sparkContext._jvm
-            at = jvm.org.apache.hadoop.fs.Path(stage)
-            at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+            rows.repartition(*PARTITION, "span").sortWithinPartitions(*KEY).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*PARTITION, "span").parquet(f"{self.path}/bars")
+        except Py4JJavaError as e:
+            raise StorageError(f"writing to {self.path} failed") from e
 
     def delete_older(self, now: int, days: int, exchange: str | None = None, symbol: str | None = None, tf: str | None = None) -> None:
-        """Drop rows before now - days; a series left empty keeps its newest row's partition, without rows."""
-        scope = F.lit(True)
-        for name, value in zip(PARTITION, (exchange, symbol, tf), strict=True):
-            scope = scope if value is None else scope & (F.col(name) == value)
-        kept = retained(self.rows().filter(scope), now, days)
-        gone = self.rows().filter(scope).select(*PARTITION).distinct().join(kept.select(*PARTITION).distinct(), list(PARTITION), "left_anti").collect()
-        self._replace(kept)
+        """Drop rows before now - days: the folders of whole spans go, and only spans at the edge are rewritten."""
+        cut = now - days * 86_400
+        edge = cut // SPAN_SECONDS
+        scope = (exchange, None if symbol is None else check_component(symbol), tf)
+        mine = [f for f in self._folders() if all(v is None or v == x for v, x in zip(scope, f, strict=False))]
+        gone = [f for f in mine if f[3] < edge]
+        at_edge = self.rows(*scope).filter(F.floor(F.col("time") / SPAN_SECONDS) == edge)
+        kept = retained(at_edge, now, days)
+        left = {tuple(r) for r in kept.select(*PARTITION).distinct().collect()}  # one row for each series at the edge
+        gone += [f for f in mine if f[3] == edge and f[:3] not in left]
+        if left:
+            self._replace(kept)
         jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
-        for e, s, t in gone:
-            at = jvm.org.apache.hadoop.fs.Path(f"{self.path}/bars/exchange={e}/symbol={s}/tf={t}")
+        for e, s, t, k in gone:
+            at = jvm.org.apache.hadoop.fs.Path(f"{self.path}/bars/exchange={e}/symbol={s}/tf={t}/span={k}")
             at.getFileSystem(conf).delete(at, True)
 
+    def take_over(self, bars: DataFrame, exchange: str, points: DataFrame | None = None) -> None:
+        """Move what is held in memory into the store: the bars, and points in long form (symbol, tf, time, key, value)."""
+        self.upsert(bars, exchange)
+        if points is not None:
+            self.merge_points(points, exchange)
+
     # ---- state of folds
 
+    def _states(self) -> list[str]:
+        """The complete state folders, oldest first."""
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        pattern = jvm.org.apache.hadoop.fs.Path(f"{self.path}/state/v*/_SUCCESS")
+        return sorted(str(f.getPath().getParent()) for f in pattern.getFileSystem(conf).globStatus(pattern) or [])
+
     def save_state(self, states: DataFrame) -> None:
-        """states: indicator_key, last_bar_time, state. The latest by key stays."""
-        now = states.withColumn("updated_at", F.current_timestamp())
-        try:
-            now = self.spark.read.parquet(f"{self.path}/state").unionByName(now)
-        except AnalysisException:
-            pass
+        """states: indicator_key, last_bar_time, state. The latest by key stays.
+
+        Every save is a folder of its own, read once it is complete, so a crash leaves the states before it.
+        """
+        now, before = states.withColumn("updated_at", F.current_timestamp()), self._states()
+        if before:
+            now = self.spark.read.parquet(before[-1]).unionByName(now)
         w = Window.partitionBy("indicator_key").orderBy(F.desc("last_bar_time"), F.desc("updated_at"))
-        stage = f"{self.path}/_stage-{uuid.uuid4().hex}"
-        now.withColumn("__r", F.row_number().over(w)).filter("__r = 1").drop("__r").write.parquet(stage)
-        self.spark.read.parquet(stage).write.mode("overwrite").parquet(f"{self.path}/state")
+        number = int(re.search(r"v(\d+)$", before[-1])[1]) + 1 if before else 0
+        now.withColumn("__r", F.row_number().over(w)).filter("__r = 1").drop("__r").write.parquet(f"{self.path}/state/v{number:012d}")
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        for path in before[:-1]:
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
 
     def load_state(self, keys: list[str]) -> DataFrame:
-        try:
-            return self.spark.read.parquet(f"{self.path}/state").filter(F.col("indicator_key").isin(keys))
-        except AnalysisException:
-            raise NotFoundError("no state is saved") from None
+        if not (there := self._states()):
+            raise NotFoundError("no state is saved")
+        return self.spark.read.parquet(there[-1]).filter(F.col("indicator_key").isin(keys))
 
 
 # ---- the relational operators by themselves
 
 
 def merge_rows(old: DataFrame, new: DataFrame, with_bars: bool = True) -> DataFrame:
-    """old and new rows by key: the last new row wins the bar, documents are merged, the new one winning."""
-    o, n = old.alias("o"), new.dropDuplicates(list(KEY)).alias("n")
+    """old and new rows by key: the new row wins the bar, documents are merged, the new one winning.
+
+    Of new rows with the same key the one with the largest version wins, if new has that column, then the
+    one with the largest bar and document; the others leave nothing.
+    """
+    order = [F.desc_nulls_last(c) for c in ("version", *BAR) if c in new.columns]
+    w = Window.partitionBy(*KEY).orderBy(*order, F.desc_nulls_last(F.to_json("indicators")))
+    o, n = old.alias("o"), new.withColumn("__r", F.row_number().over(w)).filter("__r = 1").alias("n")
     on = [F.col(f"o.{k}") == F.col(f"n.{k}") for k in KEY]
     both = o.join(n, on, "full_outer")
     pick = (lambda c: F.when(F.col("n.time").isNotNull(), F.col(f"n.{c}")).otherwise(F.col(f"o.{c}"))) if with_bars else (lambda c: F.col(f"o.{c}"))
@@ -238,7 +291,9 @@ def to_documents(points: DataFrame) -> DataFrame:
     """(symbol, tf, time, key, value) to (symbol, tf, time, indicators)."""
     entry = F.struct("key", F.create_map(F.lit("value"), F.col("value")).alias("value"))
     good = points.withColumn("value", clean(F.col("value").cast("double"))).filter("value is not null")
-    return good.groupBy("symbol", "tf", "time").agg(F.map_from_entries(F.collect_list(entry)).alias("indicators"))
+    # of values with the same key the largest stays
+    one = good.groupBy("symbol", "tf", "time", "key").agg(F.max("value").alias("value"))
+    return one.groupBy("symbol", "tf", "time").agg(F.map_from_entries(F.collect_list(entry)).alias("indicators"))
 
 
 def indicator_series(rows: DataFrame, key: str) -> DataFrame:

@@ -47,9 +47,9 @@ def into_store(store: BarStore, exchange: str, name: str, outputs: list[str]) ->
 
 
 def incremental(store: BarStore, exchange: str, results: DataFrame, name: str, output: str) -> None:
-    """Merge only the points later than the last one stored of their series."""
-    done = store.rows(exchange).filter(F.map_contains_key("indicators", name)).groupBy("symbol", "tf").agg(F.max("time").alias("done"))
-    new = results.join(done, ["symbol", "tf"], "left").filter(F.col("done").isNull() | (F.col("time") > F.col("done")))
+    """Merge the points that the store does not have yet, late ones among them."""
+    done = store.rows(exchange).filter(F.map_contains_key("indicators", name)).select("symbol", "tf", "time")
+    new = results.join(done, ["symbol", "tf", "time"], "left_anti")
     from barloom.sources.store import as_document
 
     store.merge_indicators(new.select("symbol", "tf", "time", as_document({name: F.col(output)}).alias("indicators")), exchange)

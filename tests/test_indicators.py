@@ -3,7 +3,9 @@
 import math
 import random
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import barloom.operators  # noqa: F401
 from barloom.bars import EPOCH, from_columns, from_matrix, latest, skip_first
@@ -125,6 +127,36 @@ def test_fold_over_small_arrow_batches_equals_one_batch(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+@pytest.mark.parametrize("cut", [1, 3, 8, 9, 100])
+def test_missing_values_in_a_filter_do_not_depend_on_batches(cut):
+    from barloom.plans.recursive import Ema, Linear
+
+    x = np.arange(1.0, 150.0)
+    x[[8, 70, 71]] = np.nan, np.inf, -np.inf
+    for make in (lambda: Ema(3), lambda: Linear(0.5), lambda: Ema(20, seed="first")):
+        whole, cuts = make().feed(x), make()
+        parts = np.concatenate([cuts.feed(x[i : i + cut]) for i in range(0, len(x), cut)])
+        assert np.allclose(whole, parts, equal_nan=True)
+        plain = make().feed(x[np.isfinite(x)])
+        assert np.allclose(whole[np.isfinite(x)], plain, equal_nan=True) and np.isnan(whole[[8, 70, 71]]).all()
+
+
+def test_a_fold_takes_one_bar_of_a_time(spark):
+    df = floats(spark, [100.0 + i for i in range(40)])
+    want = run(df, "ema")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        assert run(df.unionByName(df), "ema") == pytest.approx(want)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_columns_are_part_of_a_key(spark):
+    uses = Registrations()
+    a, b = uses.add("sma", "btc", "1m", value=F.col("close") * 2), uses.add("sma", "btc", "1m", value=F.col("close") * 3)
+    assert a != b and uses.add("sma", "btc", "1m", value=F.col("close") * 2) == a and len(uses.keys()) == 2
+
+
 def plain_psar(bars, step=0.02, most=0.2):
     """A second version of the rule, bar by bar, with the lows and highs kept per trend."""
     out, s = [], None

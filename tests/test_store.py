@@ -48,12 +48,62 @@ def test_same_write_twice_changes_nothing(spark, store):
     assert store.count("x", "BTC", "1m") == 3
 
 
+@pytest.mark.parametrize("tf", ["1d", "1D", "1.0", "30s"])
+@pytest.mark.parametrize("symbol", ["BTC", "007", "1e5"])
+def test_names_stay_text_in_the_store(spark, store, tf, symbol):
+    named = bars(spark, 3, symbol).withColumn("tf", F.lit(tf))
+    if not tf.isalnum():
+        with pytest.raises(ValidationError):
+            store.upsert(named, "x")
+        return
+    for _ in range(2):
+        store.upsert(named, "x")
+    assert store.count("x", symbol, tf) == store.rows().count() == 3
+    assert [tuple(r) for r in store.catalog().collect()] == [("x", symbol.upper(), tf)]
+
+
+def test_only_touched_spans_are_rewritten(spark, store):
+    from barloom.sources.store import SPAN_SECONDS
+
+    store.upsert(bars(spark, 3), "x")
+    stamp = {r.time: r.updated_at for r in store.rows().collect()}
+    later = bars(spark, 2, start=2 * SPAN_SECONDS // 60)
+    store.upsert(later, "x")
+    assert {r.time: r.updated_at for r in store.rows(end=EPOCH + 600).collect()} == stamp
+    assert store.count("x", "BTC", "1m") == 5 and store.rows("x", "btc", "1m", start=EPOCH + SPAN_SECONDS).count() == 2
+    store.delete_older(EPOCH + 2 * SPAN_SECONDS + 86_400 + 60, 1, "x")
+    assert [r.time for r in store.rows().orderBy("time").collect()] == [EPOCH + 2 * SPAN_SECONDS + 60]
+
+
+def test_the_largest_version_wins(spark, store):
+    df = bars(spark, 1).unionByName(bars(spark, 1, scale=9.0)).withColumn("version", F.when(F.col("open") == 1, 2).otherwise(1))
+    store.upsert(df, "x", version="version")
+    assert store.latest_bar("x", "BTC", "1m").first().open == 1.0
+    store.upsert(df, "x")
+    assert store.latest_bar("x", "BTC", "1m").first().open == 9.0
+    points = [("BTC", "1m", EPOCH, "A", 1.0), ("BTC", "1m", EPOCH, "A", 3.0)]
+    store.take_over(bars(spark, 1), "x", spark.createDataFrame(points, "symbol string, tf string, time long, key string, value double"))
+    assert [r.fields["value"] for r in store.indicator("x", "BTC", "1m", "A").collect()] == [3.0]
+
+
+def test_incremental_fills_late_points(spark, store):
+    from barloom.streaming.live import incremental
+
+    results = bars(spark, 5).select("symbol", "tf", "time", F.col("close").alias("a"))
+    store.upsert(bars(spark, 5), "x")
+    incremental(store, "x", results.filter(F.col("time") != EPOCH + 60), "A", "a")
+    incremental(store, "x", results, "A", "a")
+    assert store.indicator("x", "BTC", "1m", "A").count() == 5
+
+
 def test_state(spark, store):
     with pytest.raises(NotFoundError):
         store.load_state(["a"])
     for t in (1, 2):
         store.save_state(spark.createDataFrame([("a", t, "{}")], "indicator_key string, last_bar_time long, state string"))
     assert [r.last_bar_time for r in store.load_state(["a", "b"]).collect()] == [2]
+    store.save_state(spark.createDataFrame([("b", 1, "{}")], "indicator_key string, last_bar_time long, state string"))
+    assert store.load_state(["a", "b"]).count() == 2 and len(store._states()) <= 2
 
 
 def test_names(spark):
