@@ -1,26 +1,29 @@
 """Mixing of sources to target weights by a multivariate-hypergeometric splitting tree.
 
-Plan of a mix, all of it exact and repeatable:
-
 * A document's size is its number of words. Sources, in code-point order with null last, take the
   weights in turn and share ``share`` times all words; a target stops at ``max_repeat`` times its
   source's words and the excess is shared again by weight until no target is above.
-* A hash of the id puts a source's documents in a random order, cut into blocks of about
-  ``block_words`` words (equal ranges of the hash). A source gives whole rounds of all its blocks and
-  then a last, partial round: leading blocks of the permuted order, of the boundary block the leading
-  documents, of the boundary document its leading words (``cut``) or all or nothing of it.
-* The block counts of the sources are split among the output shards by a binary tree: at each node
-  the left half's share of every source is one draw of the multivariate hypergeometric distribution,
-  so every leaf has exact quotas. A source's permuted blocks are dealt to the shards by these quotas,
-  disjointly; inside a shard a hash of document and copy gives the order.
-
-Only one row per source reaches the driver (at most ``max_sources``, else ValueError), and one row per
-source is broadcast; documents are only ever tested against their source's row, so a hot source needs
-no shuffle at all. Block sums are pre-aggregated by task.
+* A hash of id and text puts a source's documents in a random order, cut into blocks of about
+  ``block_words`` words (equal ranges of the hash): the permuted blocks.
+* A binary tree splits the blocks of all sources among the output shards: at each node the left half's
+  share of every source is one draw of the multivariate hypergeometric distribution, so every shard gets
+  exact quotas of blocks, and takes that many of each source's permuted blocks; no two shares a block.
+* A shard draws from its own blocks only: as many whole rounds of them as the source's target holds, and of
+  the rest of the target its part by words (integers that add up exactly). For that part it takes its
+  blocks in order, of the last block the leading documents, of the last document its leading words (``cut``)
+  or all or nothing of it. Which documents a source gives, and how often, so follows from the tree.
+* Inside a shard a hash of document and copy gives the order; ``mixed`` brings the rows into it.
+
+Only one row per source reaches the driver (at most ``max_sources``, else ValueError). Block sums are
+pre-aggregated by task, running sums go over the blocks of one source in one shard, and documents are
+numbered only in the one block of source and shard where the drawing stops. No join is told to
+broadcast: the tables of sources (one row each) and of stops (one for each source and shard) are written,
+and Spark goes by their size; a hot source meets them by (source, shard).
 
 Defined results: null or empty text has size 0 and is never drawn in words; a null source is a source
-of its own; rows repeated with the same id share a place in the order; an empty table gives no rows;
-other columns pass through ``draws``.
+of its own; null and repeated ids are told apart by their texts, and rows alike in both are drawn one by
+one, any of them as well as the other; very long texts are cut or taken like others; an empty table gives
+no rows; other columns pass through ``draws``.
 """
 
 from __future__ import annotations
@@ -30,13 +33,13 @@ import math
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from barloom.llm.common import text_or_empty, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE_BITS = 31
 OUTPUTS = ("mix_size", "mix_source_size", "mix_target", "mix_taken", "mix_draws")
+_DRAWS = "array<struct<copy:int,shard:int,place:bigint,words:bigint>>"
 
 
 def targets(sizes: list[float], weights: tuple[float, ...], share: float, max_repeat: float) -> list[float]:
@@ -74,22 +77,6 @@ def splitting_tree(blocks: list[int], shards: int, seed: int) -> np.ndarray:
     return np.array(split(np.asarray(blocks, dtype=np.int64), shards), dtype=np.int64).reshape(shards, len(blocks))
 
 
-SOURCE_ROW = T.StructType(
-    [
-        T.StructField("s_source", T.StringType()),
-        T.StructField("s_size", T.LongType()),
-        T.StructField("s_target", T.DoubleType()),
-        T.StructField("s_blocks", T.LongType()),
-        T.StructField("s_rounds", T.IntegerType()),
-        T.StructField("s_last", T.LongType()),
-        T.StructField("s_cut_u", T.LongType()),
-        T.StructField("s_cut_h", T.LongType()),
-        T.StructField("s_cut_words", T.LongType()),
-        T.StructField("s_ends", T.ArrayType(T.LongType())),
-    ]
-)
-
-
 def draws(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -103,97 +90,84 @@ def draws(
     block_words: int = 1 << 16,
     cut: bool = True,
     max_sources: int = 100_000,
+    keep: tuple[str, ...] | None = None,
 ) -> DataFrame:
     """docs with mix_size, mix_source_size, mix_target, mix_taken and mix_draws, in place of columns so named.
 
-    mix_draws is an array of (copy, shard, place, words): which shards take this document, where in
-    the shard's order, and how many of its words.
+    mix_draws is an array of (copy, shard, place, words): which shard takes this document, where in the
+    shard's order, and how many of its words. keep: the columns to hand on, all by default; the rows are
+    written with their sizes once, so leave the text out where only the plan is asked for.
     """
     spark = docs.sparkSession
-    names_in = [c for c in docs.columns if c not in OUTPUTS]
+    names_in = [c for c in (docs.columns if keep is None else keep) if c not in OUTPUTS]
     own_names = [f"__own{i}" for i in range(len(names_in))]
-    docs = docs.select(*names_in).toDF(*own_names)
-    id_col, text_col, source_col = (own_names[names_in.index(c)] for c in (id_col, text_col, source_col))
-    u = F.xxhash64(F.lit(seed), F.col(id_col)).bitwiseAND(F.lit((1 << SPACE_BITS) - 1))
-    h = F.xxhash64(F.lit(seed + 1), F.col(id_col))
-    size = F.regexp_count(text_or_empty(text_col), F.lit(WORD)).cast("long")
-    thin = written(docs.select(F.col(source_col).cast("string").alias("s_source"), u.alias("u"), h.alias("h"), size.alias("size")), "sizes")
-
-    sums = thin.groupBy("s_source").agg(F.sum("size").alias("n")).limit(max_sources + 1).collect()
+    text = text_or_empty(text_col)
+    text_hash = F.xxhash64(text)
+    rows = written(
+        docs.select(
+            *[F.col(c).alias(n) for c, n in zip(names_in, own_names, strict=True)],
+            F.col(source_col).cast("string").alias("source"),
+            F.xxhash64(F.lit(seed), F.col(id_col), text_hash).bitwiseAND(F.lit((1 << SPACE_BITS) - 1)).alias("u"),
+            F.xxhash64(F.lit(seed + 1), F.col(id_col), text_hash).alias("h"),
+            F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"),
+        ),
+        "sizes",
+    )
+    sums = rows.groupBy("source").agg(F.sum("size").alias("n")).limit(max_sources + 1).collect()
     if len(sums) > max_sources:
         raise ValueError(f"more than {max_sources} sources")
-    sums.sort(key=lambda r: (r["s_source"] is None, r["s_source"] or ""))
-    names, sizes = [r["s_source"] for r in sums], [int(r["n"]) for r in sums]
+    sums.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
+    sizes = [int(r["n"]) for r in sums]
     goal = targets([float(x) for x in sizes], weights, share, max_repeat)
     block_words = max(block_words, sum(sizes) >> 28)
     n_blocks = [max(1, math.ceil(x / block_words)) for x in sizes]
     rounds = [min(max_repeat, int(g // x)) if x else 0 for g, x in zip(goal, sizes, strict=True)]
     rest = [max(0, round(g) - r * x) for g, r, x in zip(goal, rounds, sizes, strict=True)]
-    plan = spark.createDataFrame([(names[i], n_blocks[i], rest[i]) for i in range(len(names))], "p_source string, s_blocks long, rest long")
-
-    def block_of(u: Column) -> Column:
-        return F.shiftright(u * F.col("s_blocks"), SPACE_BITS)
-
-    # broadcast: one row per source, at most max_sources of them
-    at = thin.join(F.broadcast(plan), F.col("s_source").eqNullSafe(F.col("p_source"))).select("s_source", "u", "h", "size", "rest", block_of(F.col("u")).alias("block"))
-    sums_by_block = at.groupBy("s_source", "block", "rest").agg(F.sum("size").alias("n"))
-    before = F.sum("n").over(Window.partitionBy("s_source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
-    edge = written(
-        sums_by_block.withColumn("before", F.coalesce(before, F.lit(0))).filter("n > 0 and before < rest and rest <= before + n").select(F.col("s_source").alias("e_source"), F.col("block").alias("e_block"), "before"),
-        "edges",
-    )
-    inside = at.join(F.broadcast(edge), F.col("s_source").eqNullSafe(F.col("e_source")) & (F.col("block") == F.col("e_block"))).filter("size > 0")
-    order = Window.partitionBy("s_source").orderBy("u", "h").rowsBetween(Window.unboundedPreceding, -1)
-    edge_docs = (
-        inside.withColumn("start", F.col("before") + F.coalesce(F.sum("size").over(order), F.lit(0)))
-        .filter("start < rest and rest <= start + size")
-        .select("s_source", "block", "u", "h", "size", (F.col("rest") - F.col("start")).alias("words"))
-        .collect()
-    )
-    edge_of = {r["s_source"]: r for r in edge_docs}
-    last, cut_u, cut_h, cut_words = [], [], [], []
-    for i, s in enumerate(names):
-        e = edge_of.get(s)
-        if e is None or rest[i] == 0:
-            last.append(0), cut_u.append(-1), cut_h.append(0), cut_words.append(0)
-        else:
-            last.append(int(e["block"]) + 1), cut_u.append(int(e["u"])), cut_h.append(int(e["h"]))
-            cut_words.append(int(e["words"]) if cut else (int(e["size"]) if 2 * e["words"] >= e["size"] else 0))
-    quotas = splitting_tree([r * b + x for r, b, x in zip(rounds, n_blocks, last, strict=True)], shards, seed) if names else np.zeros((shards, 0), dtype=np.int64)
+    quotas = splitting_tree(n_blocks, shards, seed) if sums else np.zeros((shards, 0), dtype=np.int64)
     ends = np.cumsum(quotas, axis=0)
-    rows = [(names[i], sizes[i], float(goal[i]), n_blocks[i], rounds[i], last[i], cut_u[i], cut_h[i], cut_words[i], [int(x) for x in ends[:, i]]) for i in range(len(names))]
-    sources = spark.createDataFrame(rows, SOURCE_ROW)
-
-    own = own_names
-    row = docs.select(*own, size.alias("mix_size"), u.alias("__u"), h.alias("__h")).join(F.broadcast(sources), F.col(source_col).cast("string").eqNullSafe(F.col("s_source")))
-    block = block_of(F.col("__u"))
-    after = (F.col("__u") > F.col("s_cut_u")) | ((F.col("__u") == F.col("s_cut_u")) & (F.col("__h") > F.col("s_cut_h")))
-    at_edge = (F.col("__u") == F.col("s_cut_u")) & (F.col("__h") == F.col("s_cut_h"))
-    in_last = F.when(after, F.lit(0)).when(at_edge, F.least(F.col("s_cut_words"), F.col("mix_size"))).otherwise(F.col("mix_size"))
+    plan = [(i, sums[i]["source"], sizes[i], float(goal[i]), n_blocks[i], rounds[i], rest[i], ends[:, i].tolist()) for i in range(len(sums))]
+    sources = written(spark.createDataFrame(plan, "s int, s_source string, s_size long, s_target double, s_blocks long, s_rounds int, s_rest long, s_ends array<long>"), "sources")
+
+    dealt = rows.join(sources, F.col("source").eqNullSafe(F.col("s_source")))
+    dealt = dealt.withColumn("block", F.shiftright(F.col("u") * F.col("s_blocks"), SPACE_BITS)).withColumn("shard", F.size(F.filter("s_ends", lambda e: e <= F.col("block"))))
+
+    by_block = written(dealt.groupBy("s", "s_size", "s_rest", "shard", "block").agg(F.sum("size").alias("n")), "blocks")
+    held = by_block.groupBy("s", "s_size", "s_rest", "shard").agg(F.sum("n").alias("held"))
+    upto = F.sum("held").over(Window.partitionBy("s").orderBy("shard")).cast("decimal(38,0)")
+    parts = held.withColumn("upto", upto).filter("s_size > 0").select("s", "shard", F.expr("(s_rest * upto) div s_size - (s_rest * (upto - held)) div s_size").alias("part"))
+    order = Window.partitionBy("s", "shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    stops = by_block.withColumn("before", F.coalesce(F.sum("n").over(order), F.lit(0))).join(parts, ["s", "shard"]).filter("before < part and part <= before + n")
+    stops = stops.groupBy("s", "shard").agg(F.min(F.struct("block", (F.col("part") - F.col("before")).alias("words"))).alias("stop"))
+    # a shard without a stop draws nothing of the rest
+    stops = written(stops.select(F.col("s").alias("e_s"), F.col("shard").alias("e_shard"), F.col("stop.block").alias("e_block"), F.col("stop.words").alias("e_words")), "stops")
+
+    placed = dealt.join(stops, (F.col("s") == F.col("e_s")) & (F.col("shard") == F.col("e_shard")), "left")
+    at_stop = F.coalesce(F.col("block") == F.col("e_block"), F.lit(False))
+    before_stop = F.coalesce(F.col("block") < F.col("e_block"), F.lit(False))
+    whole = placed.filter(~at_stop).withColumn("last", F.when(before_stop, F.col("size")).otherwise(F.lit(0)))
+    start = F.coalesce(F.sum("size").over(Window.partitionBy("s", "shard").orderBy("u", "h").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    left = F.greatest(F.lit(0), F.least(F.col("size"), F.col("e_words") - F.col("start")))
+    left = left if cut else F.when(2 * left >= F.col("size"), F.col("size")).otherwise(F.lit(0))
+    edge = placed.filter(at_stop).withColumn("start", start).withColumn("last", left).drop("start")
+    taken = whole.unionByName(edge)
 
     def draw(copy: Column, words: Column) -> Column:
-        j = copy * F.col("s_blocks") + block
-        return F.struct(
-            copy.cast("int").alias("copy"),
-            F.size(F.filter("s_ends", lambda e: e <= j)).alias("shard"),
-            F.xxhash64(F.lit(seed + 2), F.col(id_col), copy.cast("long")).alias("place"),
-            words.cast("long").alias("words"),
-        )
-
-    whole = F.when(F.col("s_rounds") > 0, F.transform(F.sequence(F.lit(0), F.greatest(F.col("s_rounds") - 1, F.lit(0))), lambda r: draw(r, F.col("mix_size")))).otherwise(F.array().cast("array<struct<copy:int,shard:int,place:bigint,words:bigint>>"))
-    extra = F.when(in_last > 0, F.array(draw(F.col("s_rounds"), in_last))).otherwise(F.array().cast("array<struct<copy:int,shard:int,place:bigint,words:bigint>>"))
-    return row.select(
+        return F.struct(copy.cast("int").alias("copy"), F.col("shard").cast("int").alias("shard"), F.xxhash64(F.lit(seed + 2), F.col("h"), copy.cast("long")).alias("place"), words.cast("long").alias("words"))
+
+    rounds_of = F.when((F.col("s_rounds") > 0) & (F.col("size") > 0), F.transform(F.sequence(F.lit(0), F.greatest(F.col("s_rounds") - 1, F.lit(0))), lambda r: draw(r, F.col("size")))).otherwise(F.array().cast(_DRAWS))
+    extra = F.when(F.col("last") > 0, F.array(draw(F.col("s_rounds"), F.col("last")))).otherwise(F.array().cast(_DRAWS))
+    return taken.select(
         *[F.col(c).alias(n) for c, n in zip(own_names, names_in, strict=True)],
-        "mix_size",
+        F.col("size").alias("mix_size"),
         F.col("s_size").alias("mix_source_size"),
         F.col("s_target").alias("mix_target"),
-        (F.col("s_rounds") * F.col("mix_size") + in_last).cast("long").alias("mix_taken"),
-        F.concat(whole, extra).alias("mix_draws"),
+        (F.col("s_rounds") * F.col("size") + F.col("last")).cast("long").alias("mix_taken"),
+        F.concat(rounds_of, extra).alias("mix_draws"),
     )
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", placed: bool = False, **how) -> DataFrame:
-    """The mix itself: one row per drawn copy, with the columns of docs.
+    """The mix itself: one row per drawn copy, with the columns of docs, each shard's rows in its shuffled order.
 
     Whole documents only (``cut`` off unless asked for). placed adds mix_copy, mix_shard and mix_place, the
     order in the shard.
@@ -201,5 +175,7 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     how.setdefault("cut", False)
     own = [f"c{i}" for i in range(len(docs.columns))]
     drawn = draws(docs.toDF(*own), *(own[docs.columns.index(c)] for c in (id_col, text_col, source_col)), **how).select(*own, F.explode("mix_draws").alias("d"))
-    extra = [F.col(f"d.{x}").alias(f"mix_{x}") for x in ("copy", "shard", "place")] if placed else []
+    drawn = drawn.select(*own, *[F.col(f"d.{x}").alias(f"mix_{x}") for x in ("copy", "shard", "place")])
+    drawn = drawn.repartition("mix_shard").sortWithinPartitions("mix_shard", "mix_place")
+    extra = ("mix_copy", "mix_shard", "mix_place") if placed else ()
     return drawn.select(*[F.col(c).alias(n) for c, n in zip(own, docs.columns, strict=True)], *extra)

@@ -73,7 +73,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from barloom.llm.mixing import draws
 
-    mix = draws(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    mix = draws(table(spark, sf_dir, "documents"), keep=("doc_id",))
     return mix.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), F.aggregate("mix_draws", F.lit(0).cast("long"), lambda n, d: n + d["words"]).alias("taken"))
 
 

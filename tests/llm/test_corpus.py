@@ -161,6 +161,69 @@ def test_whole_documents_and_empty(spark):
         draws(df, max_sources=2)
 
 
+def plain_draws(spark, df, seed=11, shards=64, block_words=500):
+    """Taken words of each row by the tree's quotas, one source, shard and block after the other."""
+    from barloom.llm.mixing import WORD
+
+    rows = df.select("doc_id", F.coalesce("text", F.lit("")).alias("t"), "source").select(
+        "doc_id", "t", "source", F.xxhash64(F.lit(seed), "doc_id", F.xxhash64("t")).bitwiseAND(F.lit(2**31 - 1)).alias("u"), F.xxhash64(F.lit(seed + 1), "doc_id", F.xxhash64("t")).alias("h"))
+    by = defaultdict(list)
+    for r in rows.collect():
+        by[r.source].append((r.u, r.h, len(re.findall(WORD, r.t)), r.doc_id))
+    names = sorted(set(by) - {None}) + [None] * (None in by)
+    sizes = [sum(x[2] for x in by[n]) for n in names]
+    goal = plain_targets(sizes)
+    n_blocks = [max(1, -(-x // block_words)) for x in sizes]
+    quotas = splitting_tree(n_blocks, shards, seed)
+    out = Counter()
+    for i, name in enumerate(names):
+        full = min(2, int(goal[i] // sizes[i])) if sizes[i] else 0
+        rest, first, words = max(0, round(goal[i]) - full * sizes[i]), 0, 0
+        for x in by[name]:
+            out[str(x[3]), x[2], full * x[2]] += 1
+        for k in range(shards):
+            mine = sorted(x for x in by[name] if first <= x[0] * n_blocks[i] >> 31 < first + quotas[k, i])
+            first, held = first + quotas[k, i], sum(x[2] for x in mine)
+            part = rest * (words + held) // max(sizes[i], 1) - rest * words // max(sizes[i], 1)
+            words += held
+            for x in mine:
+                more = min(x[2], part)
+                part -= more
+                out[str(x[3]), x[2], full * x[2]] -= 1
+                out[str(x[3]), x[2], full * x[2] + more] += 1
+    return +out
+
+
+def test_draws_equal_a_plain_version_and_depend_on_the_tree(spark):
+    df, _ = mix_docs(spark)
+    df = df.unionByName(spark.createDataFrame([(None, " ".join(["w"] * (3 + i % 5)), "b") for i in range(400)] + [(5, "same words here", "a")] * 200, df.schema))
+    for shards in (1, 64):
+        got = draws(df, block_words=500, shards=shards, keep=("doc_id",))
+        assert got.columns[0] == "doc_id" and len(got.columns) == 6
+        assert Counter((str(r.doc_id), r.mix_size, r.mix_taken) for r in got.collect()) == plain_draws(spark, df, shards=shards)
+    assert plain_draws(spark, df, shards=1) != plain_draws(spark, df, shards=64)
+
+
+def test_shards_are_disjoint_and_shuffled(spark):
+    df, _ = mix_docs(spark)
+    got = mixed(df, block_words=500, shards=8, placed=True).filter("doc_id is not null").collect()
+    of = defaultdict(set)
+    for r in got:
+        of[r.doc_id].add(r.mix_shard)
+    assert all(len(x) == 1 for x in of.values()) and len({x for y in of.values() for x in y}) == 8
+    for k in range(8):
+        places = [r.mix_place for r in got if r.mix_shard == k]
+        assert places == sorted(places)
+
+
+def test_ties_and_null_ids_meet_their_targets(spark):
+    rows = [(None, " ".join(["w"] * 50), "b")] * 400 + [(7, " ".join(["v"] * 41), "a")] * 200 + [(1, "x", "c")]
+    got = draws(spark.createDataFrame(rows, "doc_id long, text string, source string"), keep=("source",)).collect()
+    for name in "abc":
+        mine = [r for r in got if r.source == name]
+        assert abs(sum(r.mix_taken for r in mine) - mine[0].mix_target) <= 1 and all(r.mix_taken <= 2 * r.mix_size for r in mine)
+
+
 # ---- extraction
 
 
