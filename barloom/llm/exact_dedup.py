@@ -61,8 +61,24 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return out.select(F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
-def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, with all their columns; repeated rows stay once."""
-    kept = exact_dedup(docs, id_col, text_col).filter("kept").select(F.col(id_col).alias("__kept_id")).distinct()
-    stays = docs.join(kept, docs[id_col].eqNullSafe(kept["__kept_id"]), "left_semi")
-    return stays.dropDuplicates([id_col, text_col])
+def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", content_hash: Callable[[Column], Column] = md5_128) -> DataFrame:
+    """The rows of docs that stay, with all their columns: one of each class of equal texts.
+
+    It is the row of the class's largest id; of several such rows, one with the smallest text before
+    lower-casing. Rows are matched to their class and not to an id alone, so null and repeated ids are
+    judged by their texts.
+    """
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    id_, text = (names[docs.columns.index(c)] for c in (id_col, text_col))
+    norm = ascii_lower(text_or_empty(text))
+    rows = docs.toDF(*names).withColumn("h", content_hash(norm))
+    classes = rows.select("h", F.col(id_).alias("id"), norm.alias("norm")).groupBy("h", "norm").agg(F.max("id").alias("keep_id"))
+    winners = written(classes.select("h", "keep_id"), "winners")
+    mine = (rows["h"] == winners["h"]) & rows[id_].eqNullSafe(winners["keep_id"])
+    often = written(rows.select("h", F.col(id_).alias("id")).join(winners, "h").filter(F.col("id").eqNullSafe(F.col("keep_id"))).groupBy("h", "id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "often")
+    stays = rows.join(winners, mine, "left_semi")
+    if not often.isEmpty():
+        several = (stays["h"] == often["h"]) & stays[id_].eqNullSafe(often["id"])
+        first = stays.join(often, several, "left_semi").withColumn("norm", norm).groupBy("h", "norm", id_).agg(F.min_by(F.struct(*names), text_or_empty(text)).alias("row"))
+        stays = stays.join(often, several, "left_anti").select(*names).unionByName(first.select("row.*"))
+    return stays.select(*names).toDF(*docs.columns)

@@ -59,6 +59,13 @@ def test_exact_rows_stay_whole_and_once(spark):
     assert got.columns == df.columns and sorted(r.doc_id for r in got.collect()) == [1, 2, 3]
 
 
+def test_exact_rows_are_kept_by_class(spark):
+    rows = [(None, "x"), (5, "x"), (None, "y"), (7, "Abc"), (7, "abc"), (3, "aBC"), (7, "other"), (None, None), (None, "y")]
+    got = drop_exact_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, [(5, "x"), (None, "y"), (7, "Abc"), (7, "other"), (None, None)]))
+    assert drop_exact_copies(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
 # ---- near
 
 
