@@ -1,21 +1,26 @@
 """Stupid-backoff language-model scores, by joining n-gram count tables that are partitioned by hash.
 
-The counts come from all documents, and a document's own occurrences are taken off before it is scored.
-
 * Documents are packed into blocks of about BLOCK_BYTES of text, one table row each.
 * A block is exploded into its n-grams of every order: sorted distinct hashes with counts, cut into hash
   partitions by their leading bits. Rows (partition, block) hold the packed hashes, so the n-grams of the
-  whole corpus are shuffled once, at about four bytes each.
+  whole corpus are shuffled once, at about five bytes each. A block has rows only for partitions that it has
+  n-grams of, so rows never outnumber n-grams.
 * Every partition's rows together make the count table of that partition; it is joined to the same
   rows and the totals go back by block. A frequent n-gram counts once per block, so no partition is hot.
 * A block's totals are joined to its texts, and the logarithms are summed per document.
 
-Hashes have BITS_OVER more bits than the token count needs, so that at every size about one lookup in a
-million meets another n-gram's count. The score of a word is c(abc) / c(ab), else ALPHA c(bc) / c(b),
-else ALPHA^2 c(c) / N, with half a count for an unseen word; at the text's start the orders that there are.
+An n-gram is known by a hash of LEAST_BITS bits, or BITS_OVER more than the token count needs if that is
+more (64 at most): at a billion tokens one lookup in ten million meets another n-gram's count. Rows of one
+n-gram each, grouped and joined as DataFrames, would be exact but write 24 bytes for every n-gram of a block,
+over twice the disk that there is (README).
+
+The score of a word is c(abc) / c(ab), else ALPHA c(bc) / c(b), else ALPHA^2 c(c) / N, with half a count for
+an unseen word; at the text's start the orders that there are. Counts come from all documents (or from
+``corpus``); the others_log_score of a document leaves its own occurrences out.
 
-Defined results: null, empty and wordless texts have no tokens, log_score 0 and null mean and perplexity;
-rows repeated with the same id are documents of their own; an empty table gives no rows; other columns
+Defined results: null, empty and wordless texts have no tokens, scores 0 and null mean and perplexity;
+rows repeated with the same id are documents of their own, each of the other's corpus; very long texts are
+one block each and scored whole; equal texts have equal scores; an empty table gives no rows; other columns
 are ignored.
 """
 
@@ -25,7 +30,6 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,7 +41,7 @@ from barloom.llm.shingles import distinct, mix, words
 ORDER, ALPHA = 3, 0.4
 BLOCK_BYTES = 1 << 23
 PARTITION_GRAMS = 1 << 20
-BITS_OVER = 20
+LEAST_BITS, BITS_OVER = 56, 20
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -69,18 +73,22 @@ def unpress(b: bytes, dtype) -> np.ndarray:
 
 
 def pack_sorted(x: np.ndarray) -> bytes:
-    """Ascending numbers as gaps, of four bytes where they fit."""
-    gaps = np.diff(x, prepend=np.uint64(0)) if len(x) else x
-    narrow = not len(x) or int(gaps[1:].max(initial=0)) < 1 << 32
-    head = x[:1].astype(np.uint64).tobytes()
-    return (b"\4" if narrow else b"\x08") + head + gaps[1:].astype(np.uint32 if narrow else np.uint64).tobytes()
+    """Ascending numbers as gaps, each of as many bytes as the largest gap needs."""
+    if not len(x):
+        return b""
+    gaps = np.diff(x)
+    width = max(1, (int(gaps.max(initial=0)).bit_length() + 7) // 8)
+    return bytes([width]) + x[:1].tobytes() + gaps.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
 
 
 def unpack_sorted(b: bytes) -> np.ndarray:
-    if len(b) == 1:
+    if not b:
         return np.zeros(0, dtype=np.uint64)
-    gaps = np.frombuffer(b, dtype=np.uint32 if b[0] == 4 else np.uint64, offset=9).astype(np.uint64)
-    return np.cumsum(np.concatenate([np.frombuffer(b, dtype=np.uint64, count=1, offset=1), gaps]), dtype=np.uint64)
+    packed = np.frombuffer(b, dtype=np.uint8, offset=9).reshape(-1, b[0])
+    out = np.zeros((len(packed) + 1, 8), dtype=np.uint8)
+    out[1:, : b[0]] = packed
+    out[0] = np.frombuffer(b, dtype=np.uint8, count=8, offset=1)
+    return np.cumsum(out.view(np.uint64).ravel(), dtype=np.uint64)
 
 
 def text_blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -117,44 +125,59 @@ def _texts(texts: bytes, lengths: bytes) -> list[str]:
     return [raw[b:e].decode("utf-8", "replace") for b, e in zip([0, *ends[:-1]], ends, strict=True)]
 
 
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, alpha: float = ALPHA) -> DataFrame:
-    """One row per document: id, n_tokens, log_score (sum of natural logarithms), mean_log, perplexity."""
-    blocks = written(text_blocks(docs, id_col, text_col), "blocks")
-    total = blocks.agg(F.sum("n_tokens")).first()[0] or 0
-    bits = min(63, max(2, total).bit_length() + BITS_OVER)
-    split = max(0, min(20, (order * total // PARTITION_GRAMS).bit_length()))
+def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, alpha: float = ALPHA, corpus: DataFrame | None = None) -> DataFrame:
+    """One row per document: id, n_tokens, log_score (sum of natural logarithms), mean_log, perplexity, others_log_score.
+
+    corpus: what to count instead of docs themselves, with the same columns; nothing is left out then.
+    """
+    blocks = text_blocks(docs, id_col, text_col).withColumn("scored", F.lit(True))
+    if corpus is not None:
+        blocks = blocks.unionByName(text_blocks(corpus, id_col, text_col).withColumn("scored", F.lit(False)))
+    blocks = written(blocks, "blocks")
+    counted = blocks if corpus is None else blocks.filter("not scored")
+    total, n_blocks = counted.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.count(F.lit(1))).first()
+    bits = min(64, max(LEAST_BITS, total.bit_length() + BITS_OVER))
+    split = (order * total // PARTITION_GRAMS).bit_length()
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block, texts, lengths in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            for block, texts, lengths, scored in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
                 _, hashes, there = grams(_texts(texts, lengths), order, bits)
-                parts: dict[int, list[bytes]] = {}
-                for n in range(order):
-                    known, counts = np.unique(hashes[n][there[n]], return_counts=True)
-                    cuts = np.searchsorted(known, np.arange((1 << split) + 1, dtype=np.uint64) << np.uint64(bits - split)).tolist()
-                    for p in range(1 << split):
-                        row = parts.setdefault(p, [])
-                        row += [pack_sorted(known[cuts[p] : cuts[p + 1]]), press(counts[cuts[p] : cuts[p + 1]].astype(np.uint32))]
-                yield pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int32()), pa.array([block] * len(parts), pa.int64()), pa.array(list(parts.values()), pa.list_(pa.binary()))], names=["part", "block", "grams"])
-
-    asked = blocks.select("block", "texts", "lengths").mapInArrow(explode, "part int, block long, grams array<binary>")
-
-    def join_counts(rows: pd.DataFrame) -> pd.DataFrame:
-        totals: list[list[bytes]] = [[] for _ in range(len(rows))]
-        packed = rows["grams"].tolist()
+                sets = [np.unique(h[ok], return_counts=True) for h, ok in zip(hashes, there, strict=True)]
+                leads = [known >> np.uint64(bits - split) if split else np.zeros(len(known), np.uint64) for known, _ in sets]
+                parts = np.unique(np.concatenate(leads))
+                ends = [np.searchsorted(lead, parts, side="right") for lead in leads]
+                rows = [
+                    [x for (known, counts), end in zip(sets, ends, strict=True) for cut in (slice(end[i - 1] if i else 0, end[i]),) for x in (pack_sorted(known[cut]), press(counts[cut].astype(np.uint32)))]
+                    for i in range(len(parts))
+                ]
+                yield pa.RecordBatch.from_arrays([pa.array(parts.astype(np.int64)), pa.array([block] * len(parts), pa.int64()), pa.array([scored] * len(parts)), pa.array(rows, pa.list_(pa.binary()))], names=["part", "block", "scored", "grams"])
+
+    asked = blocks.select("block", "texts", "lengths", "scored").mapInArrow(explode, "part long, block long, scored boolean, grams array<binary>")
+    apart = corpus is not None
+
+    def join_counts(rows: pa.Table) -> pa.Table:
+        scored = np.flatnonzero(rows["scored"].to_numpy())
+        totals: list[list[bytes]] = [[] for _ in scored]
+        packed = rows["grams"].to_pylist()
         for n in range(order):
             sets = [unpack_sorted(g[2 * n]) for g in packed]
-            counts = np.concatenate([unpress(g[2 * n + 1], np.uint32) for g in packed]).astype(np.int64)
             table, place = np.unique(np.concatenate(sets), return_inverse=True)
-            sums = np.bincount(place, counts, len(table)).astype(np.uint64)[place]
-            ends = np.cumsum([len(x) for x in sets])
-            for out, b, e in zip(totals, [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
-                out.append(press(sums[b:e]))
-        return pd.DataFrame({"block": rows["block"], "part": rows["part"], "totals": totals})
-
-    replies = written(asked.groupBy("part").applyInPandas(join_counts, "block long, part int, totals array<binary>"), "totals")
-    together = replies.groupBy("block").agg(F.collect_list(F.struct("part", "totals")).alias("replies"))  # 2 ** split rows to a block
-    schema = T.StructType([docs.schema[id_col], *T._parse_datatype_string("n_tokens long, log_score double, mean_log double, perplexity double").fields])
+            counts = np.concatenate([unpress(g[2 * n + 1], np.uint32) for g in packed]).astype(np.int64)
+            ends = np.cumsum([len(x) for x in sets]).tolist()
+            if apart:
+                for k in scored.tolist():
+                    counts[ends[k] - len(sets[k]) : ends[k]] = 0
+            sums = np.bincount(place, counts, len(table)).astype(np.uint64)
+            for out, k in zip(totals, scored.tolist(), strict=True):
+                out.append(press(sums[place[ends[k] - len(sets[k]) : ends[k]]]))
+        at = pa.array(scored)
+        return pa.table({"block": rows["block"].take(at), "part": rows["part"].take(at), "totals": pa.array(totals, pa.list_(pa.binary()))})
+
+    replies = written(asked.groupBy("part").applyInArrow(join_counts, "block long, part long, totals array<binary>"), "totals")
+    tasks = max(1, min(n_blocks, 1 << 16))  # a block is scored by itself, so more blocks to a task take more time and not more memory
+    together = replies.repartition(tasks, "block").groupBy("block").agg(F.collect_list(F.struct("part", "totals")).alias("replies"))  # a row for each partition the block has n-grams of
+    schema = T.StructType([docs.schema[id_col], *T._parse_datatype_string("n_tokens long, log_score double, mean_log double, perplexity double, others_log_score double").fields])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -163,22 +186,22 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 answers = [x["totals"] for x in sorted(batch.column(3)[i].as_py() or (), key=lambda x: x["part"])]
                 text, hashes, there = grams(texts, order, bits)
                 lengths = np.bincount(text, minlength=len(texts))
-                others = []
+                every, others = [], []
                 for n in range(order):
-                    c = np.zeros(len(text))
-                    ok = there[n]
+                    ok, c, own = there[n], np.zeros(len(text)), np.zeros(len(text))
                     place = np.unique(hashes[n][ok], return_inverse=True)[1]
                     if len(place):
-                        at, times = distinct(text[ok], hashes[n][ok])
-                        own = _spread(text[ok], hashes[n][ok], at, times)
-                        c[ok] = np.concatenate([unpress(a[n], np.uint64) for a in answers])[place].astype(float) - own
-                    others.append(c)
-                logs = backoff(others, total - lengths[text], alpha)
-                sums = np.bincount(text, logs, len(texts))
+                        c[ok] = np.concatenate([unpress(a[n], np.uint64) for a in answers])[place].astype(float)
+                        if not apart:
+                            own[ok] = _spread(text[ok], hashes[n][ok], *distinct(text[ok], hashes[n][ok]))
+                    every.append(c), others.append(c - own)
+                    hashes[n] = None
+                sums = np.bincount(text, backoff(every, np.full(len(text), total), alpha), len(texts))
+                rest = np.bincount(text, backoff(others, total - (0 if apart else lengths[text]), alpha), len(texts))
                 mean = [s / k if k else None for s, k in zip(sums.tolist(), lengths.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0)[i].values, pa.array(lengths, pa.int64()), pa.array(sums, pa.float64()), pa.array(mean, pa.float64()), pa.array([None if m is None else float(np.exp(-m)) for m in mean], pa.float64())], names=schema.names)
+                yield pa.RecordBatch.from_arrays([batch.column(0)[i].values, pa.array(lengths, pa.int64()), pa.array(sums, pa.float64()), pa.array(mean, pa.float64()), pa.array([None if m is None else float(np.exp(-m)) for m in mean], pa.float64()), pa.array(rest, pa.float64())], names=schema.names)
 
-    return blocks.select("block", "ids", "texts", "lengths").join(together, "block", "left").select("ids", "texts", "lengths", "replies").mapInArrow(score, schema)
+    return blocks.filter("scored").select("block", "ids", "texts", "lengths").repartition(tasks, "block").join(together, "block", "left").select("ids", "texts", "lengths", "replies").mapInArrow(score, schema)
 
 
 def _spread(text: np.ndarray, value: np.ndarray, at: np.ndarray, times: np.ndarray) -> np.ndarray:
@@ -191,6 +214,7 @@ def _spread(text: np.ndarray, value: np.ndarray, at: np.ndarray, times: np.ndarr
 
 def backoff(counts: list[np.ndarray], tokens: np.ndarray, alpha: float) -> np.ndarray:
     """Logarithm of every word's score from the counts, by order, of the n-grams that end at it."""
+    tokens = np.broadcast_to(tokens, counts[0].shape)
     logs = np.log(np.where(counts[0] > 0, counts[0], 0.5) / np.maximum(tokens, 1)) + (len(counts) - 1) * np.log(alpha)
     for n in range(1, len(counts)):
         context = np.concatenate([[0.0], counts[n - 1][:-1]]) if len(tokens) else counts[n - 1]

@@ -55,7 +55,8 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     from barloom.llm.lm_scores import score_documents
 
-    return score_documents(table(spark, sf_dir, "documents"))
+    scored = score_documents(table(spark, sf_dir, "documents"))
+    return scored.select("doc_id", "n_tokens", *[F.round(c, 4).alias(c) for c in ("log_score", "mean_log", "perplexity", "others_log_score")])
 
 
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,4 +88,21 @@ def oracle_sql() -> dict[str, str]:
 WITH n AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm FROM documents)
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(norm) AS text_sha256
 FROM n WINDOW w AS (PARTITION BY norm)""",
+        "op8_lm_scores": r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9\x{80}-\x{10FFFF}]+') AS words FROM documents),
+w AS (SELECT r, unnest(words) AS c, generate_subscripts(words, 1) AS i, len(words) AS n FROM d),
+g AS (SELECT r, i, n, c, lag(c) OVER t AS b, lag(c, 2) OVER t AS a FROM w WINDOW t AS (PARTITION BY r ORDER BY i)),
+k AS (SELECT r, i, n, (SELECT sum(len(words)) FROM d) AS total,
+             count(*) OVER (PARTITION BY c) AS c1, count(*) OVER (PARTITION BY b, c) AS c2, count(*) OVER (PARTITION BY a, b, c) AS c3,
+             count(*) OVER (PARTITION BY r, c) AS o1, count(*) OVER (PARTITION BY r, b, c) AS o2, count(*) OVER (PARTITION BY r, a, b, c) AS o3
+      FROM g),
+p AS (SELECT *, lag(c1) OVER t AS x1, lag(c2) OVER t AS x2, lag(c1 - o1) OVER t AS y1, lag(c2 - o2) OVER t AS y2 FROM k WINDOW t AS (PARTITION BY r ORDER BY i)),
+l AS (SELECT r, CASE WHEN i > 2 THEN ln(c3 / x2) WHEN i = 2 THEN ln(c2 / x1) + ln(0.4e0) ELSE ln(c1 / total) + 2 * ln(0.4e0) END AS every,
+             CASE WHEN i > 2 AND c3 > o3 AND y2 > 0 THEN ln((c3 - o3) / y2)
+                  WHEN i > 1 AND c2 > o2 AND y1 > 0 THEN ln((c2 - o2) / y1) + ln(0.4e0)
+                  ELSE ln(CASE WHEN c1 > o1 THEN c1 - o1 ELSE 0.5e0 END / greatest(total - n, 1)) + 2 * ln(0.4e0) END AS others FROM p),
+s AS (SELECT r, sum(every) AS every, sum(others) AS others FROM l GROUP BY r)
+SELECT doc_id, len(words)::BIGINT AS n_tokens, round(coalesce(every, 0), 4) AS log_score, round(every / len(words), 4) AS mean_log,
+       round(exp(-every / len(words)), 4) AS perplexity, round(coalesce(others, 0), 4) AS others_log_score
+FROM d LEFT JOIN s USING (r)""",
     }

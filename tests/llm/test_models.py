@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from barloom.llm import ann, lm_scores, toxicity
+from barloom.llm import ann, chargrams, lm_scores, toxicity
 from barloom.llm.ann import fit_arrays, nearest
 from barloom.llm.language_id import codewords, fit, identify, identify_by_folds
 from barloom.llm.lm_scores import pack_sorted, score_documents, unpack_sorted
@@ -97,6 +97,47 @@ def test_toxicity_with_one_label_or_none(spark):
     assert toxicity.score_by_folds(df.filter("false"), clean).count() == 0
 
 
+def test_toxicity_with_few_rows_and_labels_of_other_ids(spark):
+    df = spark.createDataFrame([(1, "you bad fool"), (2, "nice calm day"), (2, "nice calm day")], "doc_id long, text string")
+    lab = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
+    model = toxicity.fit(df, lab)
+    assert len(model.codes) == 0 and toxicity.score(df, model).first().score == pytest.approx(1 / 3, abs=1e-6)
+    others = lab.unionByName(spark.range(10, 5000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("toxic")))
+    assert toxicity.fit(df, others, rows_per_label=2).bias == pytest.approx(model.bias)
+
+
+def test_toxicity_n_grams_are_of_characters():
+    texts = ["Ünï ÇÖDÉ 日本語", "", None, "ab", "🙂x日"]
+    got = [x for *_, points, starts in chargrams.layout_characters(texts) for x in ["".join(map(chr, points)), *starts.tolist()]]
+    assert got[0].replace(" ", "") == "ünïçödé日本語ab🙂x日" and got[1:] == [0, 20, 28, 36, 46]
+    plain = {g for t in texts for k in range(len(t or "") + 8) for g in [(" " * 8 + (t or "").lower() + " " * 8)[k : k + 3]]}
+    codes = [c for *_, points, _ in chargrams.layout_characters(texts) for c in list(chargrams.character_codes(points, (3, 4)))[0].tolist()]
+    assert len(set(codes)) == len(plain | {"   "})
+
+
+def test_toxicity_equals_a_plain_version_of_its_features(spark):
+    """Counts, ratios and choice of n-grams against a loop over the texts."""
+    rng = random.Random(4)
+    texts = [prose(rng, "aa", 12) + (" scum" if i % 3 == 0 else "") for i in range(60)]
+    sample = spark.createDataFrame([(int(i % 3 == 0), t) for i, t in enumerate(texts)], "toxic int, text string")
+    model, n_pos, n_neg = toxicity.fit_sample(sample, features=60)
+    seen = [Counter(), Counter()]
+    for i, t in enumerate(texts):
+        padded = " " * 8 + "".join(c if c.isalpha() else " " for c in t.lower()) + " " * 8
+        seen[int(i % 3 == 0)].update({padded[k : k + n] for n in toxicity.ORDERS for k in range(len(padded) - n + 1)})
+    r = {g: np.log((seen[1][g] + 1) / (n_pos + 1)) - np.log((seen[0][g] + 1) / (n_neg + 1)) for g in seen[0] | seen[1]}
+    good = {g: abs(x) * np.sqrt(seen[0][g] + seen[1][g]) for g, x in r.items() if seen[0][g] + seen[1][g] >= 3}
+    assert (n_pos, n_neg) == (20, 40) and len(model.codes) == 60
+    of = {}
+    for g in good:
+        points = np.frombuffer(g.encode("utf-32-le"), dtype="<u4")
+        of[int(list(chargrams.character_codes(points, (len(g),)))[0][0])] = g
+    chosen = [of[int(c)] for c in model.codes]
+    for n in toxicity.ORDERS:
+        best = sorted((x for g, x in good.items() if len(g) == n), reverse=True)[:10]
+        assert sorted((good[g] for g in chosen if len(g) == n), reverse=True) == pytest.approx(best)
+
+
 def test_logistic_finds_the_optimum():
     rng = np.random.default_rng(0)
     x, w = rng.random((200, 3)), np.array([2.0, -3.0, 1.0])
@@ -116,15 +157,18 @@ def lm_brute(texts):
     every = [sum((o[n] for o in own), Counter()) for n in range(3)]
     total, out = sum(map(len, tokens)), []
     for w, o in zip(tokens, own, strict=True):
-        count = lambda g: every[len(g) - 1][g] - o[len(g) - 1][g]  # noqa: B023, E731
-        s = 0.0
-        for k in range(len(w)):
-            g = tuple(w[max(0, k - 2) : k + 1])
-            a = 0.4 ** (3 - len(g))
-            while len(g) > 1 and not (count(g) and count(g[:-1])):
-                g, a = g[1:], a * 0.4
-            s += math.log(a * (count(g) / count(g[:-1]) if len(g) > 1 else (count(g) or 0.5) / max(total - len(w), 1)))
-        out.append((len(w), s))
+        sums = []
+        for own in (0, 1):
+            count = lambda g: every[len(g) - 1][g] - own * o[len(g) - 1][g]  # noqa: B023, E731
+            s = 0.0
+            for k in range(len(w)):
+                g = tuple(w[max(0, k - 2) : k + 1])
+                a = 0.4 ** (3 - len(g))
+                while len(g) > 1 and not (count(g) and count(g[:-1])):
+                    g, a = g[1:], a * 0.4
+                s += math.log(a * (count(g) / count(g[:-1]) if len(g) > 1 else (count(g) or 0.5) / max(total - own * len(w), 1)))
+            sums.append(s)
+        out.append((len(w), *sums))
     return out
 
 
@@ -136,11 +180,29 @@ def test_lm_scores_equal_brute_force(spark, monkeypatch, block, part):
     texts = [prose(rng, rng.choice(["aa", "bb"]), rng.randint(1, 80)) for _ in range(120)] + [None, "", "?", "one", "ein ein", "the " * 3000]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumns({"block": F.lit(1), "log_score": F.lit("x")})
     rows = score_documents(df).orderBy("doc_id").collect()
-    for r, (n, s) in zip(rows, lm_brute(texts), strict=True):
-        assert r.n_tokens == n and r.log_score == pytest.approx(s)
+    for r, (n, s, rest) in zip(rows, lm_brute(texts), strict=True):
+        assert r.n_tokens == n and r.log_score == pytest.approx(s) and r.others_log_score == pytest.approx(rest)
         assert (r.perplexity is None) == (n == 0)
 
 
+def test_lm_scores_by_another_corpus(spark):
+    rng = random.Random(5)
+    texts = [prose(rng, "aa", 30) for _ in range(40)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    corpus, asked = df.filter("doc_id < 30"), df.filter("doc_id >= 30")
+    tokens = [t.split() for t in texts]
+    every = [Counter(g for w in tokens[:30] for g in zip(*[w[k:] for k in range(n)])) for n in (1, 2, 3)]
+    for r in score_documents(asked, corpus=corpus).collect():
+        w, s = tokens[r.doc_id], 0.0
+        for k in range(len(w)):
+            g, a = tuple(w[max(0, k - 2) : k + 1]), 1.0
+            a = 0.4 ** (3 - len(g))
+            while len(g) > 1 and not (every[len(g) - 1][g] and every[len(g) - 2][g[:-1]]):
+                g, a = g[1:], a * 0.4
+            s += math.log(a * (every[len(g) - 1][g] / every[len(g) - 2][g[:-1]] if len(g) > 1 else (every[0][g] or 0.5) / sum(every[0].values())))
+        assert r.log_score == pytest.approx(s) == r.others_log_score
+
+
 def test_lm_nulls_repeats_and_empty(spark):
     df = spark.createDataFrame([(None, "a b"), (1, "a b"), (1, "a b")], "doc_id long, text string")
     got = score_documents(df).collect()
@@ -149,7 +211,7 @@ def test_lm_nulls_repeats_and_empty(spark):
 
 
 def test_packed_hashes_round_trip():
-    for x in ([], [0], [5, 6, 7], [1, 1 << 40, (1 << 62) + 3]):
+    for x in ([], [0], [5, 6, 7], [1, 1 << 40, (1 << 62) + 3], [0, (1 << 64) - 1]):
         a = np.array(x, dtype=np.uint64)
         assert unpack_sorted(pack_sorted(a)).tolist() == x
 
