@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from barloom.llm.exact_dedup import UPPER, LOWER
-from barloom.llm.html_extract import blocks, extract, main_text, tokens
+from barloom.llm.html_extract import extract, main_text, markup, nesting, read_page
 from barloom.llm.mixing import draws, mixed, splitting_tree, targets
 from barloom.llm.packing import pack, pack_documents, plan, token_pieces
 from barloom.llm.queries import tokenizer_path
@@ -234,16 +234,43 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>v
 
 
 def test_main_text_of_an_article():
-    assert main_text(PAGE, set()) == "Head & line\n\nOne two three four\n\nNext — para\n\na\n\nb"
+    assert main_text(PAGE) == "Head & line\n\nOne two three four\n\nNext — para\n\na\n\nb"
 
 
 def test_broken_markup_and_empty():
-    assert main_text(None, set()) == main_text("", set()) == main_text("<nav>x", set()) == ""
-    assert main_text("plain &lt;text&gt;", set()) == "plain <text>"
-    assert main_text("<p>a<script>if (1<2) {", set()) == "a"
-    assert main_text("<nav>menu<article><p>a</article>", set()) == "a"
-    assert main_text('<p title="a>b">c</p></div></p>d', set()) == "c\n\nd"
-    assert tokens("<p>a</p><p>a</p>") and blocks("<p>" * 3000 + "x")[0][0].text == "x"
+    assert main_text(None) == main_text("") == main_text("<nav>x") == ""
+    assert main_text("plain &lt;text&gt;") == "plain <text>"
+    assert main_text("<p>a<script>if (1<2) {") == "a"
+    assert main_text("<nav>menu<article><p>a</article>") == "a"
+    assert main_text('<p title="a>b">c</p></div></p>d') == "c\n\nd"
+    assert main_text("a < b <3 <p title='x>y") == "a < b <3\n\ny"
+    assert read_page("<p>a</p><p>a</p>").sequence and read_page("<p>" * 3000 + "x").blocks[0].text == "x"
+
+
+def test_names_inside_an_article_need_only_such_words():
+    kept = '<header class="entry-header"><h1>Title</h1></header><p class="share-text">a</p><ul class="search-list"><li>b</ul>'
+    gone = '<div class="comments-area"><p>c</p></div><div id="share-buttons">d</div><ul class="comment-list"><li>e</ul><div class="related posts">f</div>'
+    assert main_text(f"<article>{kept}{gone}</article>") == "Title\n\na\n\nb"
+    assert main_text('<div><p>text</p><p><a href="x">a whole link</a></p></div>') == "text\n\na whole link"
+
+
+@pytest.mark.parametrize("piece", ['<a "', "<script ", "<div>", "<div><b>", "</p>", "<p><span>", "<x y='", '<a ">', "<!--", "<svg>", "&", "<p class='a", "<li>"])
+def test_hostile_pages_take_linear_time(piece):
+    import time
+
+    start = time.time()
+    for page in (piece * (500_000 // len(piece)), "<p><div>" + "<span>" * 40_000 + "<h1></h1>" * 40_000 + piece):
+        main_text(page)
+    assert time.time() - start < 8
+
+
+def test_nesting_of_classes():
+    place = {1: 7, 2: 7, 3: 7, 4: 8, 5: 8, 9: 6, 10: 6}
+    good = nesting([1, 4, 5, 4, 5, 2, 9, 10, 3], place)
+    assert {c: x[1:] for c, x in good.items()} == {7: (False, 0, 0), 8: (False, 7, 1), 6: (False, 7, 2)}
+    assert good[7][0] == nesting([1, 2, 3], place)[7][0] != nesting([1, 3, 2], place)[7][0]
+    assert nesting([1, 4, 2, 5, 3], place)[8][1] and nesting([4, 5, 5, 4], place)[8][0] == 0
+    assert nesting([1, 4, 5, 2, 4, 5, 3], place)[8][1]
 
 
 def test_template_of_a_host_without_article(spark):
@@ -260,6 +287,17 @@ def test_template_of_a_host_without_article(spark):
     assert extract(df.filter("false")).count() == 0
 
 
+def test_layouts_of_a_host_have_templates_of_their_own(spark):
+    rng = random.Random(8)
+    story = lambda i: f"Story {i} " + " ".join(str(rng.random()) for _ in range(9))
+    kinds = [lambda i, k=k: f"<body><div class='t{k}'>Great site {k}</div><div class='links'><a href='x'>{rng.random()}</a></div><div class='c{k}'><p>{story(i)}</p><p><a>all a link {i}</a></p></div><div class='z'>Rights {k}</div></body>" for k in range(3)]
+    rows = [(10 * k + i, "http://h.example/x", kind(i)) for k, kind in enumerate(kinds) for i in range(5)]
+    got = {r.page_id: r.text for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for k in range(3):
+        for i in range(5):
+            assert got[10 * k + i].startswith(f"Story {i} ") and got[10 * k + i].endswith(f"\n\nall a link {i}") and "Great" not in got[10 * k + i]
+
+
 def test_template_decides_on_pages_with_an_article(spark):
     rng = random.Random(5)
     story = lambda i: f"Story {i} " + " ".join(str(rng.random()) for _ in range(9))
