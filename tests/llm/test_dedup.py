@@ -248,15 +248,76 @@ def repeat_texts():
     return texts
 
 
-@pytest.mark.parametrize("most_spans", [32_768, 3])
-def test_repeats_equal_brute_force(spark, monkeypatch, most_spans):
+@pytest.mark.parametrize("most_spans,block", [(1024, 1 << 20), (3, 1 << 20), (1, 700)])
+def test_repeats_equal_brute_force(spark, monkeypatch, most_spans, block):
     monkeypatch.setattr(suffix_dedup, "MOST_SPANS", most_spans)
+    monkeypatch.setattr(suffix_dedup, "BLOCK_BYTES", block)
     texts = repeat_texts()
     df = docs(spark, texts).withColumns({"key": F.lit(1), "span": F.lit(2)})
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in remove_repeats(df).collect()}
     assert got == repeats_brute(texts, 200)
 
 
+@pytest.mark.parametrize("most_spans", [1024, 8])
+def test_repeats_of_a_hot_minimiser(spark, monkeypatch, most_spans):
+    """One passage in many texts, cut at every place and followed by different bytes, so that its minimisers have many spans."""
+    monkeypatch.setattr(suffix_dedup, "MOST_SPANS", most_spans)
+    rng = random.Random(17)
+    passage = words(rng, 80)
+    texts = {i: words(rng, 12) + passage[rng.randrange(150) : 160 + rng.randrange(len(passage) - 160)] + rng.choice("abc") * rng.randrange(3) + words(rng, 12) for i in range(150)}
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in remove_repeats(docs(spark, texts)).collect()}
+    assert got == repeats_brute(texts, 200)
+
+
+def test_large_groups_are_halved_until_small(spark):
+    rng = random.Random(18)
+    gram = words(rng, 20).encode()[: suffix_dedup.GRAM]
+    rows = []
+    for i in range(40):
+        ahead, behind = (words(rng, 60, 10**6).encode()[:150] for _ in range(2))
+        if i % 4 == 0:
+            ahead = b"same " * 30
+        text = ahead + gram + behind
+        rows.append((1, i, i, 0, 0, 151, 150, 0, 150, False, text, 40))
+    edges = spark.createDataFrame(rows, suffix_dedup.PIECES + ", kinds long")
+    small, found = suffix_dedup.split_large(edges, 4)
+    rows = small.collect()
+    sizes = Counter(r.group for r in rows)
+    assert max(sizes.values()) <= 4 and len({(r.group, r.span) for r in rows}) == len(rows)
+    # the windows at the largest offset are all the same ahead of the gram and at once done as equal
+    assert {r.key for r in found.collect()} == set(range(0, 40, 4))
+
+
+def test_repeat_groups_have_all_occurrences(spark):
+    rng = random.Random(19)
+    p = words(rng, 90)
+    texts = {0: "A" + p[:300] + "!", 1: "B" + p[:260] + "?", 2: words(rng, 40), 3: p[:300] + "x" + words(rng, 50), 4: "C" + p[20:240], 5: words(rng, 60)}
+    texts[6] = texts[5]
+    rows = suffix_dedup.repeat_groups(docs(spark, texts)).collect()
+    inner = defaultdict(set)
+    for r in rows:
+        inner[r.within].add(r.repeat)
+
+    def below(group):
+        return {group}.union(*(below(x) for x in inner[group]))
+
+    covered = defaultdict(set)
+    for group in {r.repeat for r in rows}:
+        tree = below(group)
+        length = {r.length for r in rows if r.repeat == group}
+        at = {(r.doc_id, r.begin) for r in rows if r.repeat in tree}
+        assert len(length) == 1 and len(at) > 1
+        (length,) = length
+        strings = {texts[i][b : b + length] for i, b in at}
+        assert len(strings) == 1 and length >= 200
+        (string,) = strings
+        assert at == {(i, m.start()) for i, t in texts.items() for m in re.finditer("(?=" + re.escape(string) + ")", t)}
+        for i, b in at:
+            covered[i].update(range(b, b + length))
+    removed = {r.doc_id: r.n_removed for r in remove_repeats(docs(spark, texts)).collect()}
+    assert {i: len(covered[i]) for i in texts} == removed
+
+
 def test_repeats_nulls_repeated_rows_and_empty(spark):
     rng = random.Random(10)
     a, b = words(rng, 60), words(rng, 60)
@@ -272,7 +333,7 @@ def test_maximal_repeats_have_all_occurrences():
     rng = random.Random(11)
     p = words(rng, 80).encode()[:300]
     contents = [b"A" + p[:260], b"B" + p[:230], b"C" + p[:260], b"D" * 250]
-    which, begin, end = repeats_among(contents, [len(c) - 199 for c in contents], [0] * 4)
+    which, begin, end = repeats_among(contents, [len(c) - 199 for c in contents])
     longest = {}
     for w, b, e in zip(which, begin, end, strict=True):
         longest[w] = max(longest.get(w, (0, 0)), (e - b, b))
