@@ -305,7 +305,8 @@ def split_large(edges: DataFrame, most: int) -> tuple[DataFrame, DataFrame | Non
     while not large.isEmpty():
         pieces = written(halves(large), "halves")
         counted = written(pieces.groupBy("group", "span").agg(F.count(F.lit(1)).alias("n")), "halves-counted")
-        groups = counted.groupBy("group").agg(F.sum("n").alias("all"), F.count(F.lit(1)).alias("kinds")).filter("all > 1")
+        # written, so that the joins with it are plain ones, which adaptive execution splits where a group is large
+        groups = written(counted.groupBy("group").agg(F.sum("n").alias("all"), F.count(F.lit(1)).alias("kinds")).filter("all > 1"), "halves-groups")
         placed = written(pieces.join(counted.join(groups, "group"), ["group", "span"]), "halves-placed")
         twice = placed.filter("n > 1 and not twice").select(*KEYS, F.col("at").alias("begin"), (F.col("at") + F.col("size") + LENGTH - 1).alias("end"))
         found = twice if found is None else found.unionByName(twice)
