@@ -1,7 +1,8 @@
 """Training-corpus pipeline over ``documents``: language ID, exact and near deduplication, mixing, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, written as Parquet and read again as the
-next one's docs; all but the last return the columns of documents.
+next one's docs; all but the last return the columns of documents. Every stage takes null ids, texts, languages
+and sources, repeated rows, very long texts and extra columns, and gives no rows for an empty table.
 """
 
 from __future__ import annotations
@@ -22,7 +23,10 @@ LEAST_SCORE = 0.5
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language: rejected are texts without a letter and ambiguous ones of low score."""
+    """Documents with a language: rejected are texts without a letter and ambiguous ones of low score.
+
+    Null and empty texts have no letter. Repeated rows are judged alike. Without any known language none stays.
+    """
     model = fit(docs.filter(fold("doc_id", 4) != 2))
     names = [f"c{i}" for i in range(len(docs.columns))]
     named = identify(docs.toDF(*names), model, names[docs.columns.index("text")], tuple(names))
@@ -31,23 +35,37 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts: the one with the largest id."""
+    """One document of each group of equal texts: the one with the largest id, null ids only if there is no other."""
     return drop_exact_copies(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class: the one with the smallest id."""
-    kept = near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("__kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["__kept_id"]), "left_semi")
+    """One document of each near-duplicate class: the one with the smallest id.
+
+    Documents without a word or with a null id stay. Of repeated rows of one id and text one stays; different
+    texts of the id that stays all stay.
+    """
+    text_hash = F.xxhash64(docs["text"].cast("string"))
+    found = near_duplicates(docs, with_text_hash=True).filter("kept").groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n"))
+    found = written(found.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "n"), "kept")
+    mine = docs["doc_id"].eqNullSafe(found["__id"]) & (text_hash == found["__hash"])
+    often = found.filter("n > 1 and __id is not null")
+    if often.isEmpty():
+        return docs.join(found, mine, "left_semi")
+    again = docs["doc_id"].eqNullSafe(often["__id"]) & (text_hash == often["__hash"])
+    return docs.join(found, mine, "left_semi").join(often, again, "left_anti").unionByName(docs.join(often, again, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Whole documents drawn to the sources' targets; a document drawn twice is there twice."""
+    """Whole documents drawn to the sources' targets; a document drawn twice is there twice.
+
+    Documents without a word are in no draw; a null source is a source of its own.
+    """
     return mixed(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences of at most 2048 tokens."""
+    """The pieces of all documents in sequences of at most 2048 tokens; a null text is empty, and repeated rows are packed each."""
     return pack_documents(docs, tokenizer_path())
 
 
