@@ -11,27 +11,44 @@ from pyspark.sql import functions as F
 TOKENIZER_FILE = "word_bpe_49k.json"
 
 
+_written: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as spark.checkpoint.dir names it.
 
-    Where the session has none (local tests), a temporary folder is set for the context.
+    Where a local session has none (tests), a temporary folder is set for the context; a cluster must name one.
     """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir", None) or sc._jsc.sc().getCheckpointDir().getOrElse(None)
     if not named:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="barloom-checkpoint-"))
         named = sc._jsc.sc().getCheckpointDir().get()
     return str(named).rstrip("/")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back: lineage ends here."""
+    """Write df as Parquet into the shared folder and read it back: lineage ends here.
+
+    The tables stay until ``forget``, as results are read from them later.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/barloom-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(spark: SparkSession) -> None:
+    """Delete every table written so far; results that were not saved elsewhere are gone with them."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while _written:
+        at = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        at.getFileSystem(conf).delete(at, True)
+
+
 def text_or_empty(name: str) -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 

@@ -363,3 +363,25 @@ def test_pipeline_stages_and_result(spark, tmp_path):
     run = corpus_pipeline.run(spark, str(tmp_path)).collect()
     key = lambda rs: sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rs)
     assert key(run) == key(packed)
+
+
+def test_stages_take_nulls_repeats_and_empty_tables(spark):
+    rng = random.Random(21)
+    text = [" ".join(f"w{rng.randrange(400)}" for _ in range(60)) for _ in range(6)]
+    rows = [(1, text[0], "en", "a"), (1, text[0], "en", "a"), (None, text[1], "en", None), (None, text[1], "en", None), (2, text[0].upper(), "en", "a"), (3, None, None, None), (4, "", "en", "b"), (5, text[2] + " x", "en", "b"), (6, text[2] + " y", "en", "b"), (7, text[3], None, "b"), (7, text[4], "en", "b"), (8, "word " * 50_000, "en", "c")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumns({"kept": F.lit(1), "__hash": F.lit(2), "h": F.lit("h")})
+    none = df.filter("false")
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, df, "")
+        assert stage(spark, none, "").count() == 0
+        if name != "best_fit_packing":
+            assert got.columns == df.columns
+        ids = sorted(str(r.doc_id) for r in got.collect())
+        if name == "exact_dedup":
+            assert ids == ["2", "4", "5", "6", "7", "7", "8", "None"]
+        if name == "near_dedup":
+            assert ids == ["1", "3", "4", "5", "7", "7", "8", "None", "None"]
+        if name == "mix_sources":
+            assert set(ids) <= {"1", "2", "5", "6", "7", "8", "None"} and max(Counter(ids).values()) <= 4
+        if name == "best_fit_packing":
+            assert set(ids) == {str(r[0]) for r in rows}
