@@ -224,15 +224,12 @@ def payload_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def as_of_higher_timeframe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each minute bar with the last complete 15-minute close before its end."""
-    from pyspark.sql import Window
-
+    from barloom.functions.asof import as_of
     from barloom.timeframe import roll_up
 
     bars = minute_bars(spark, sf_dir)
     high = roll_up(bars, "15m").select("symbol", (F.col("time") + 14 * 60).alias("time"), F.col("close").alias("close_15m"))
-    w = Window.partitionBy("symbol").orderBy("time", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    both = bars.select("symbol", "time", "close", F.lit(None).cast("double").alias("close_15m"), F.lit(1).alias("kind")).unionByName(high.select("symbol", "time", F.lit(None).cast("double").alias("close"), "close_15m", F.lit(0).alias("kind")))
-    return both.withColumn("close_15m", F.last("close_15m", True).over(w)).filter("kind = 1").select("symbol", "time", "close", "close_15m")
+    return as_of(bars.select("symbol", "time", "close"), high)
 
 
 RELATIONAL = (

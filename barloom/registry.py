@@ -8,6 +8,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 
 def _text(value) -> str:
@@ -63,6 +64,17 @@ def register_operator(name: str, function: Callable[..., DataFrame], family: str
     return OPERATORS[name]
 
 
+def register_pattern(name: str, detect: Callable[[Callable[[str, int], Column]], Column], lookback: int = 1, replace: bool = False) -> Operator:
+    """A user-defined candle pattern: detect(at) is +1, -1 or 0, where at(field, k) is a field k bars back."""
+    from barloom.functions.series import Series, series
+
+    def pattern(bars: DataFrame) -> DataFrame:
+        s = Series(bars).let(signal=F.coalesce(detect(lambda field, k=0: F.lag(field, k).over(series())).cast("int"), F.lit(0)))
+        return s.out(lookback, signal=F.col("signal"))
+
+    return register_operator(name, pattern, "pattern", replace)
+
+
 def get(name: str) -> Operator:
     try:
         return OPERATORS[name]

@@ -32,8 +32,15 @@ def timeframe_minutes(tf: str) -> int:
     return n * MINUTES[unit]
 
 
+_UNIT_MS = {"s": 1_000, "m": 60_000, "h": 3_600_000, "d": 86_400_000, "w": 604_800_000}
+
+
 def interval_ms(interval: str) -> int:
-    return timeframe_minutes(interval) * 60_000
+    """Milliseconds of any number of seconds, minutes, hours, days or weeks; other than timeframes, 30s and 5h are intervals."""
+    m = re.fullmatch(r"(\d+)([smhdw])", interval.strip(), re.I)
+    if not m:
+        raise ValueError(f"no interval: {interval!r}")
+    return int(m[1]) * _UNIT_MS[m[2].lower()]
 
 
 def local(time: Column, timezone: str) -> Column:
