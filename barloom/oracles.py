@@ -246,6 +246,22 @@ def _hybrid() -> dict[str, str]:
         ],
         {"tr": TR},
     ).replace(shown("is_uptrend", 6), "is_uptrend")
+    out["psar"] = f"""WITH RECURSIVE {BARS},
+r AS (SELECT *, lag(h) OVER {W} AS h1, lag(l) OVER {W} AS l1, lag(h, 2) OVER {W} AS h2, lag(l, 2) OVER {W} AS l2, lag(c, 2) OVER {W} AS c2 FROM b),
+x AS (
+  SELECT symbol, n, c > c2 AS up, CASE WHEN c > c2 THEN l2 ELSE h2 END AS sar, CASE WHEN c > c2 THEN h ELSE l END AS ep, 0.02e0 AS af,
+         CASE WHEN c > c2 THEN l1 ELSE 0e0 END AS la, CASE WHEN c > c2 THEN l2 ELSE 0e0 END AS lb, CASE WHEN c > c2 THEN 0e0 ELSE h1 END AS ha, CASE WHEN c > c2 THEN 0e0 ELSE h2 END AS hb
+  FROM r WHERE n = 3
+  UNION ALL
+  SELECT symbol, n, up <> turned, CASE WHEN turned THEN e ELSE s END, CASE WHEN NOT turned THEN e WHEN up THEN l ELSE h END, CASE WHEN turned THEN 0.02e0 ELSE a END,
+         CASE WHEN up THEN l ELSE la END, CASE WHEN up THEN la ELSE lb END, CASE WHEN up THEN ha ELSE h END, CASE WHEN up THEN hb ELSE ha END
+  FROM (SELECT *, CASE WHEN up THEN l < s ELSE h > s END AS turned
+        FROM (SELECT x.symbol, r.n, x.up, r.h, r.l, x.la, x.lb, x.ha, x.hb,
+                     CASE WHEN x.up THEN least(x.sar + x.af * (x.ep - x.sar), x.la, x.lb) ELSE greatest(x.sar + x.af * (x.ep - x.sar), x.ha, x.hb) END AS s,
+                     CASE WHEN x.up THEN greatest(x.ep, r.h) ELSE least(x.ep, r.l) END AS e,
+                     CASE WHEN (x.up AND r.h > x.ep) OR (NOT x.up AND r.l < x.ep) THEN least(x.af + 0.02e0, 0.2e0) ELSE x.af END AS a
+              FROM x JOIN r ON r.symbol = x.symbol AND r.n = x.n + 1)))
+SELECT symbol, tf, "time", {", ".join(shown(f"x.{o}", 6).replace("AS x.", "AS ") for o in ("sar", "af", "ep"))}, x.up AS is_uptrend FROM x JOIN r USING (symbol, n)"""
     return out
 
 

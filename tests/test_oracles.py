@@ -29,7 +29,7 @@ def cached(spark, sf):
 
 
 def test_every_query_is_checked_or_known_not_to_be_sql():
-    assert set(indicators.queries()) - set(SQL) == {"psar", "zigzag_base"}
+    assert set(indicators.queries()) - set(SQL) == {"zigzag_base"}
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
