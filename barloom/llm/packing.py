@@ -10,12 +10,14 @@ corpus): a plan is a list of patterns (lengths that share a sequence) with how o
 2. Best fit: what is left goes, longest first, into the open pattern with the smallest room that
    holds it, in bulk; new sequences are opened only when nothing fits.
 
-Pieces then take their places by rank within their length. Ranks are two-level: a length's pieces are
-dealt by hash to chunks of about ``CHUNK`` rows, the chunk counts are summed up per length, and only
-inside a chunk are rows numbered. So no length, however common, meets in one task.
+Pieces then take their places by rank within their length. A length's pieces are dealt by hash to
+chunks of about ``CHUNK`` rows; chunk counts are summed up within groups of ``CHUNKS`` chunks and then over the
+groups, and only inside a chunk are rows numbered. So no length, however common, meets in one task. The hash
+takes in where a row stood in its batch, so that null and repeated ids are dealt apart too.
 
 Defined results: null or empty text is one piece of one token (the end id); rows repeated with the
-same id are packed as often as they occur; an empty table gives no rows; other columns are ignored.
+same id, and null ids, are packed as often as they occur; which of the pieces of one length takes which place is
+left open; very long texts are cut at every 2048 tokens; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,17 +35,18 @@ from pyspark.sql import types as T
 from barloom.llm.common import slices, written
 
 LIMIT = 2048
-CHUNK = 256
+CHUNK, CHUNKS = 256, 4096
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+STOOD = "__stood"
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT, end_id: int = 0, with_ids: bool = False) -> DataFrame:
     """The pieces of every document: ids by the tokenizer, then end_id, cut at limit only if longer.
 
-    with_ids adds the piece's ids as an array.
+    A last column says where the document stood in its batch. with_ids adds the piece's ids as an array.
     """
     id_type = docs.schema[id_col].dataType
-    schema = T.StructType([T.StructField(id_col, id_type), *T._parse_datatype_string(PIECES).fields[1:]] + ([T.StructField("ids", T.ArrayType(T.LongType(), False))] if with_ids else []))
+    schema = T.StructType([T.StructField(id_col, id_type), *T._parse_datatype_string(PIECES).fields[1:]] + ([T.StructField("ids", T.ArrayType(T.LongType(), False))] if with_ids else []) + [T.StructField(STOOD, T.IntegerType())])
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -62,6 +65,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
             columns = [names.take(pa.array(out["row"], pa.int64())), pa.array(out["piece"], pa.int32()), *(pa.array(out[k], pa.int64()) for k in ("start", "length", "crc"))]
             if with_ids:
                 columns.append(pa.array(out["ids"], pa.list_(pa.int64())))
+            columns.append(pa.array(out["row"], pa.int32()))
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(cut, schema)
@@ -181,16 +185,18 @@ def pack(pieces: DataFrame, length_col: str = "length", order: tuple[str, ...] =
     places = Places(plan(histogram, limit))
     n_chunks = F.create_map(*[F.lit(x) for k, n in sorted(histogram.items()) if n > CHUNK for x in (k, -(-n // CHUNK))]) if any(n > CHUNK for n in histogram.values()) else None
     many = F.coalesce(F.element_at(n_chunks, F.col(length_col).cast("int")), F.lit(1)) if n_chunks is not None else F.lit(1)
-    dealt = pieces.withColumn("__chunk", F.pmod(F.xxhash64(*order), many).cast("int"))
-    per_chunk = dealt.groupBy(length_col, "__chunk").agg(F.count(F.lit(1)).alias("__n"))
-    before = per_chunk.select(
-        F.col(length_col).alias("__length"),
-        F.col("__chunk").alias("__c"),
-        F.coalesce(F.sum("__n").over(Window.partitionBy(length_col).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"),
-    )
-    inside = F.row_number().over(Window.partitionBy(length_col, "__chunk").orderBy(*order))
+    stood = [STOOD] if STOOD in pieces.columns else []
+    dealt = pieces.withColumn("__chunk", F.pmod(F.xxhash64(*order, *stood), many).cast("int"))
+    per_chunk = dealt.groupBy(F.col(length_col).alias("__length"), F.col("__chunk").alias("__c")).agg(F.count(F.lit(1)).alias("__n")).withColumn("__group", F.floor(F.col("__c") / CHUNKS))
+
+    def upto(n: str, by: list[str], at: str):
+        return F.coalesce(F.sum(n).over(Window.partitionBy(*by).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+    groups = per_chunk.groupBy("__length", "__group").agg(F.sum("__n").alias("__of_group")).select("__length", "__group", upto("__of_group", ["__length"], "__group").alias("__first"))
+    before = per_chunk.withColumn("__in_group", upto("__n", ["__length", "__group"], "__c")).join(groups, ["__length", "__group"]).select("__length", "__c", (F.col("__first") + F.col("__in_group")).alias("__before"))
+    inside = F.row_number().over(Window.partitionBy(length_col, "__chunk").orderBy(*order, *stood))
     ranked = dealt.join(before, (F.col(length_col) == F.col("__length")) & (F.col("__chunk") == F.col("__c"))).withColumn("__rank", F.col("__before") + inside - 1)
-    kept = [c for c in pieces.columns]
+    kept = [c for c in pieces.columns if c != STOOD]
 
     @F.pandas_udf("sequence_id long, offset long")
     def place(length: pd.Series, rank: pd.Series) -> pd.DataFrame:
