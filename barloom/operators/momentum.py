@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.functions.extract import extract
-from barloom.functions.series import Series, highest, lag, lowest, mean, ratio, series, total, weighted, window_of
+from barloom.functions.series import Series, highest, lag, last, lowest, mean, ratio, series, total, weighted
 from barloom.operators.volatility import with_true_range
 from barloom.plans.fold import fold
 from barloom.plans.recursive import Ema, Lagged, then
@@ -117,8 +117,11 @@ def adx(bars: DataFrame, period: int = 14, parity: bool = False) -> DataFrame:
 @momentum_family
 def aroon(bars: DataFrame, period: int = 25) -> DataFrame:
     """Place of the highest high and lowest low in the last n + 1 bars, in per cent; ties go to the oldest."""
-    s = Series(bars).let(h=extract("high"), l=extract("low")).let(hs=window_of("h", period + 1), ls=window_of("l", period + 1))
-    s.let(up=(F.array_position("hs", F.array_max("hs")) - 1) * 100.0 / period, down=(F.array_position("ls", F.array_min("ls")) - 1) * 100.0 / period)
+    s = Series(bars).let(h=extract("high"), l=extract("low"))
+    w = last(period + 1)
+    s.let(top=F.max(F.struct("h", (-F.col("n")).alias("at"))).over(w), low=F.min(F.struct("l", F.col("n").alias("at"))).over(w))
+    oldest = F.col("n") - period
+    s.let(up=(-F.col("top.at") - oldest) * 100.0 / period, down=(F.col("low.at") - oldest) * 100.0 / period)
     return s.out(period + 1, up=F.col("up"), down=F.col("down"), oscillator=F.col("up") - F.col("down"))
 
 
