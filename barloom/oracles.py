@@ -262,9 +262,58 @@ x AS (
                      CASE WHEN (x.up AND r.h > x.ep) OR (NOT x.up AND r.l < x.ep) THEN least(x.af + 0.02e0, 0.2e0) ELSE x.af END AS a
               FROM x JOIN r ON r.symbol = x.symbol AND r.n = x.n + 1)))
 SELECT symbol, tf, "time", {", ".join(shown(f"x.{o}", 6).replace("AS x.", "AS ") for o in ("sar", "af", "ep"))}, x.up AS is_uptrend FROM x JOIN r USING (symbol, n)"""
+    out["zigzag_base"] = ZIGZAG.format(BARS=BARS, W=W, SHIFT=SHIFT, bar="STRUCT(o DOUBLE, h DOUBLE, l DOUBLE, c DOUBLE, n BIGINT, t BIGINT)")
     return out
 
 
+#: The zigzag: one row of state a bar, with the bars of the present leg as a list.
+ZIGZAG = """WITH RECURSIVE {BARS},
+r AS (SELECT symbol, tf, "time", n, x, lag(x) OVER {W} AS p, list(x) OVER (PARTITION BY symbol ORDER BY n ROWS 199 PRECEDING) AS recent
+      FROM (SELECT *, {{'o': o, 'h': h, 'l': l, 'c': c, 'n': n, 't': "time"}} AS x FROM b)),
+z AS (
+  SELECT symbol, n, 0 AS way, NULL::{bar} AS lead, 0e0 AS floor, NULL::{bar} AS nested, false AS follows, false AS turned, []::{bar}[] AS leg,
+         false AS alarmed, 0 AS k, NULL::{bar} AS older, NULL::{bar} AS newer, NULL::VARCHAR AS label, NULL::DOUBLE AS price
+  FROM r WHERE n = 1
+  UNION ALL
+  SELECT symbol, n, nway, nlead, nfloor,
+         CASE WHEN act = 'turn' THEN CASE WHEN tl.nests THEN nlead END WHEN does = 'nest' THEN lead ELSE nested END,
+         CASE WHEN act = 'turn' THEN false WHEN does = 'nest' THEN NOT turned ELSE follows END,
+         CASE WHEN act = 'turn' THEN true WHEN act = 'open' OR does = 'lead' THEN false ELSE turned END,
+         CASE WHEN act IN ('turn', 'return', 'open') THEN [p, x] ELSE leg END,
+         CASE WHEN act = 'calm' THEN nway * x.c < greatest(nway * nlead.o, nway * nfloor) WHEN act = 'skip' THEN alarmed ELSE false END,
+         k + (act = 'turn')::INT, CASE WHEN act = 'turn' AND k = 0 THEN best WHEN act = 'turn' AND k > 1 THEN newer ELSE older END, CASE WHEN act = 'turn' AND k > 0 THEN best ELSE newer END,
+         CASE WHEN act <> 'turn' THEN NULL WHEN k = 0 THEN CASE WHEN nway > 0 THEN 'H' ELSE 'L' END
+              WHEN nway > 0 THEN CASE WHEN coalesce(older.o > best.c, false) THEN 'LL' ELSE 'LH' END ELSE CASE WHEN coalesce(older.o > best.c, false) THEN 'HH' ELSE 'HL' END END,
+         CASE WHEN act <> 'turn' THEN NULL WHEN k > 0 AND len(since) > 0 THEN (list_reduce(list_reverse(since), lambda a, y: CASE WHEN CASE WHEN nway > 0 THEN y.l < a.l ELSE y.h > a.h END THEN y ELSE a END)).h ELSE x.c END
+  FROM (
+    SELECT *, CASE WHEN act = 'open' OR does = 'lead' THEN x WHEN act = 'turn' THEN {{'o': tl.o, 'h': tl.h, 'l': tl.l, 'c': tl.c, 'n': tl.n, 't': tl.t}}::{bar} ELSE lead END AS nlead,
+           CASE WHEN act NOT IN ('open', 'turn') AND does IS DISTINCT FROM 'lead' THEN floor
+                WHEN f IS NOT NULL AND coalesce(nest.n <> x.n AND nest.o < f AND f < nest.c, false) THEN nest.o ELSE coalesce(f, x.o) END AS nfloor,
+           CASE WHEN act = 'turn' AND len(bodies) > 0 THEN list_reduce(list_reverse(bodies), lambda a, y: CASE WHEN side * y.c > side * a.c THEN y ELSE a END) END AS best
+    FROM (
+      SELECT *, CASE WHEN act = 'turn' THEN CASE WHEN tl.nests THEN {{'o': tl.o, 'h': tl.h, 'l': tl.l, 'c': tl.c, 'n': tl.n, 't': tl.t}}::{bar} END WHEN follows THEN lead ELSE nested END AS nest,
+             list_filter(since, lambda y: ((y.c >= y.o) = (side > 0)) OR y.c = y.o) AS bodies
+      FROM (
+        SELECT *, CASE WHEN act = 'turn' THEN list_reduce(list_transform(leg, lambda y: {{'o': y.o, 'h': y.h, 'l': y.l, 'c': y.c, 'n': y.n, 't': y.t, 'nests': false}}),
+                 lambda a, y: CASE WHEN nway * y.c > nway * a.c THEN {{'o': y.o, 'h': y.h, 'l': y.l, 'c': y.c, 'n': y.n, 't': y.t, 'nests': a.nests}}
+                   ELSE {{'o': a.o, 'h': a.h, 'l': a.l, 'c': a.c, 'n': a.n, 't': a.t, 'nests': a.nests OR (nway * a.o < nway * y.c AND nway * y.c < nway * a.c)}} END) END AS tl,
+               (list_filter(list_reverse(CASE WHEN act = 'open' THEN [p, x] ELSE leg END), lambda y: ((y.c >= y.o) = (nway > 0)) AND nway * y.o < nway * x.o)[1]).o AS f,
+               CASE WHEN act <> 'turn' THEN []::{bar}[] WHEN k = 0 THEN recent ELSE list_filter(leg, lambda y: coalesce(y.n > older.n, true)) END AS since,
+               CASE WHEN k = 0 THEN nway ELSE -nway END AS side
+        FROM (
+          SELECT *, CASE act WHEN 'open' THEN col WHEN 'turn' THEN -way ELSE way END AS nway,
+                 CASE WHEN act NOT IN ('calm', 'return') THEN NULL WHEN way * x.c > way * lead.c THEN CASE WHEN col = way THEN 'lead' END
+                      WHEN way * x.c >= way * lead.o AND NOT follows AND coalesce(nested.n <> lead.n, true) THEN 'nest' END AS does
+          FROM (
+            SELECT *, CASE WHEN abs(x.o - x.c) <= 0 THEN 'skip' WHEN way = 0 THEN CASE WHEN col = pcol AND col * (x.c - p.c) > 0 THEN 'open' ELSE 'skip' END
+                           WHEN NOT alarmed THEN 'calm' WHEN col <> way THEN CASE WHEN way * x.c < way * floor THEN 'turn' ELSE 'skip' END
+                           WHEN way * floor < way * x.c AND way * x.c < way * lead.o THEN 'skip' WHEN way * x.c > least(way * lead.o, way * lead.c) THEN 'return' ELSE 'skip' END AS act
+            FROM (SELECT r.symbol, r.n, r.x, r.p, r.recent, z.way, z.lead, z.floor, z.nested, z.follows, z.turned, CASE WHEN z.k >= 2 THEN list_append(z.leg, r.x) ELSE z.leg END AS leg,
+                         z.alarmed, z.k, z.older, z.newer, CASE WHEN r.x.c >= r.x.o THEN 1 ELSE -1 END AS col, CASE WHEN r.p.c >= r.p.o THEN 1 ELSE -1 END AS pcol
+                  FROM z JOIN r ON r.symbol = z.symbol AND r.n = z.n + 1)))))))
+SELECT r.symbol, r.tf, r."time", z.label, round(z.price + {SHIFT}, 6) AS price, coalesce(z.pv.t, -1) AS pivot_time, round(coalesce(z.pv.c, 0e0) + {SHIFT}, 6) AS pivot_close, round(r.x.c + {SHIFT}, 6) AS break_close
+FROM (SELECT *, CASE WHEN k = 1 THEN older ELSE newer END AS pv FROM z WHERE label IS NOT NULL) z JOIN r USING (symbol, n)"""
+
 _MID = "((r.h + r.l) / 2e0)"
 
 
