@@ -4,20 +4,22 @@
   distinct vectors by hash order): each book by k-means on what the books before leave, then all books
   together by least squares, in turns with encoding.
 * Encoding: beam search. Every vector keeps its ``beam`` best partial codes book by book, so that a
-  vector is a sum of M codewords, with its norm stored beside it.
-* Search: a query's products with all codewords form a lookup table; a vector's rough score is M look-ups.
-  Of each block of CODE_BLOCK vectors the ``shortlist`` best are scored exactly, in double precision, and the
-  best of all blocks stay; ties go to the smaller id. A full block scores 512 of 16,384 vectors exactly, 3.1 %,
-  which is the least share and the one of large tables; a partition's last block, and so a small table, scores more.
+  vector is a sum of M codewords. Beside it stands its norm, over that of the sum.
+* Search: a query's products with all codewords form a lookup table; a vector's rough score is M look-ups,
+  times the stored norm ratio. Queries meet the codes block by block (QUERY_BLOCK x CODE_BLOCK), the stated query
+  set against all rows, each meeting a task of its own: codes go over, 32 bytes a vector, and no vectors. Of
+  a block the ``shortlist`` / blocks best rough scores go on, LEAST_OF_BLOCK at least, and of those of all
+  blocks the ``shortlist`` best of each query.
+* Reranking: one join fetches the original vectors of the shortlists, which are scored exactly, in
+  double precision; ties go to the smaller id.
 
 Equal vectors share one code: each distinct vector is encoded once and carries its k + 1 smallest ids,
-which is exact, as ties go to smaller ids. Queries and vectors meet block by block (``QUERY_BLOCK`` x
-``CODE_BLOCK``), the stated query set against all rows, and a task that has seen several blocks keeps only
-the best for each query.
+which is exact, as ties go to smaller ids.
 
 Defined results: vectors that are null, zero, of another length than most or hold null or non-finite
-components take no part; a query with fewer candidates than k returns them all; rows repeated with the
-same id are one candidate; an empty table gives no rows; other columns are ignored.
+components, and null ids, take no part; a query with fewer candidates than k returns them all; rows repeated
+with the same id and vector are one candidate; of one id's different vectors each is a candidate of
+other ids, and the smallest is its query; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,13 +29,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.llm.common import first_by_hash, written
 
 BOOKS, WORDS, BEAM = 32, 64, 4
-QUERY_BLOCK, CODE_BLOCK, PARTS, AT_ONCE = 4096, 16_384, 4, 256
+QUERY_BLOCK, CODE_BLOCK, AT_ONCE = 4096, 16_384, 256
+SHORTLIST, LEAST_OF_BLOCK = 512, 32
 
 
 @dataclass
@@ -106,30 +109,39 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
-def _of_block(q: np.ndarray, firsts: np.ndarray, codes: np.ndarray | None, vectors: np.ndarray, quantiser: Quantiser | None, shortlist: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(firsts, scores) [query, up to k] of a block: look-ups, then exact products of the shortlist."""
+def norm_ratios(x: np.ndarray, decoded: np.ndarray) -> np.ndarray:
+    """The norms of x over those of its codes."""
+    norm = np.linalg.norm(decoded, axis=1)
+    return np.divide(np.linalg.norm(x, axis=1), norm, out=np.ones(len(x)), where=norm > 0).astype(np.float32)
+
+
+def rough_best(q: np.ndarray, codes: np.ndarray, ratios: np.ndarray, quantiser: Quantiser | None, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places, scores) [query, up to most] of the largest rough products of queries and coded vectors, by look-ups."""
     if quantiser is None:
-        exact, place = q @ vectors.T, np.broadcast_to(np.arange(len(firsts)), (len(q), len(firsts)))
+        rough = q @ codes.T
     else:
         table = np.einsum("qd,mwd->mqw", q, quantiser.books, optimize=True).astype(np.float32)
-        rough = np.zeros((len(q), len(firsts)), dtype=np.float32)
+        rough = np.zeros((len(q), len(codes)), dtype=np.float32)
         for m in range(codes.shape[1]):
             rough += table[m].take(codes[:, m], axis=1)
-        keep = min(shortlist, len(firsts))
-        place = np.argpartition(-rough, keep - 1, axis=1)[:, :keep]
-        exact = np.stack([vectors[p] @ x for p, x in zip(place, q, strict=True)])
-    order = np.lexsort((firsts[place], -exact), axis=1)[:, :k]
-    return np.take_along_axis(firsts[place], order, 1), np.take_along_axis(exact, order, 1)
+        rough *= ratios
+    keep = min(most, len(codes))
+    place = np.argpartition(-rough, keep - 1, axis=1)[:, :keep]
+    return place, np.take_along_axis(rough, place, 1)
+
 
+def of_block(shortlist: int, blocks: int) -> int:
+    """How many of a block go on."""
+    return max(LEAST_OF_BLOCK, -(-shortlist // blocks))
 
-def _merge(firsts: np.ndarray, scores: np.ndarray, more: np.ndarray, their: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The best of both, as many as before; ties to the smaller id."""
-    f, s = np.concatenate([firsts, more], axis=1), np.concatenate([scores, their], axis=1)
-    order = np.lexsort((f, -s), axis=1)[:, : firsts.shape[1]]
-    return np.take_along_axis(f, order, 1), np.take_along_axis(s, order, 1)
 
+def _best(rows: DataFrame, score: str, n: int) -> DataFrame:
+    """The n rows of largest score of each query, ties to the smaller first."""
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(score), "first"))
+    return rows.withColumn("r", rank).filter(F.col("r") <= n).drop("r")
 
-def nearest(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, shortlist: int = 512, sample: int = 10_000, books: int = BOOKS, words: int = WORDS, exact: bool = False) -> DataFrame:
+
+def nearest(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, shortlist: int = SHORTLIST, sample: int = 10_000, books: int = BOOKS, words: int = WORDS, exact: bool = False) -> DataFrame:
     """(query_id, rank, id, score) of the k nearest rows to each row that queries selects.
 
     exact: score every vector exactly instead (the brute force that recall is measured against).
@@ -140,69 +152,54 @@ def nearest(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector_
     rows = rows.filter(F.size("v") == dimension)
     # the smallest ids of each distinct vector: first within salted groups, then over those
     few = rows.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(64)).alias("salt")).groupBy("v", "salt").agg(F.collect_set("id").alias("ids")).select("v", F.slice(F.array_sort("ids"), 1, k + 1).alias("ids"))
-    distinct = few.groupBy("v").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, k + 1).alias("ids")).select(F.xxhash64("v").alias("h"), F.element_at("ids", 1).alias("first"), "ids", "v")
-    distinct = written(distinct, "vectors")
-    asked = written(rows.filter("q").select(F.col("id").alias("query_id"), F.col("v").alias("qv")).dropDuplicates(["query_id"]), "queries")
-    n_queries = asked.count()
+    distinct = few.groupBy("v").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, k + 1).alias("ids"))
+    # one id's different vectors have a number each
+    first = F.struct(F.element_at("ids", 1).alias("id"), F.row_number().over(Window.partitionBy(F.element_at("ids", 1)).orderBy("v")).alias("n"))
+    distinct = written(distinct.select(F.xxhash64("v").alias("h"), first.alias("first"), "ids", "v"), "vectors")
+    asked = written(rows.filter("q").groupBy(F.col("id").alias("query_id")).agg(F.min("v").alias("qv")), "queries")
+    n_queries, n_vectors = asked.count(), distinct.count()
     fitted = None
-    if not exact and n_queries:
-        taken = first_by_hash(distinct, F.col("h"), sample).select("h", "first", "v").toPandas().sort_values(["h", "first"])
+    if n_queries and not exact:
+        taken = first_by_hash(distinct, F.col("h"), sample).select("h", "first.id", "first.n", "v").toPandas().sort_values(["h", "id", "n"])
         x = np.stack(taken["v"].to_numpy())
         fitted = fit_arrays(x, books, min(words, len(x)))
-    blocks = max(1, -(-n_queries // QUERY_BLOCK))
-    grouped = asked.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("query_block")).agg(F.collect_list("query_id").alias("query_ids"), F.collect_list("qv").alias("query_vectors"))
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, x = np.zeros(0, np.int64), np.zeros((0, dimension))
+    near = _shortlists(asked, distinct, fitted, n_queries, n_vectors, k + 1 if exact else max(shortlist, k + 1))
+    near = near.join(distinct.select("first", "v"), "first").join(asked, "query_id")
+    scored = near.select("query_id", "first", F.aggregate(F.zip_with("qv", "v", lambda a, b: a * b), F.lit(0.0), lambda s, p: s + p).alias("score"))
+    found = _best(scored, "score", k + 1).join(distinct.select("first", "ids"), "first").select("query_id", "score", F.explode("ids").alias("id")).filter("id != query_id")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias(id_col), "score")
 
-        def row(n: int) -> pa.RecordBatch:
-            part = x[:n]
-            parts = (first[:n], part if fitted is None else fitted.encode(part), np.linalg.norm(part, axis=1), part)
-            return pa.RecordBatch.from_arrays([pa.array([y.tobytes()], pa.binary()) for y in parts], names=["firsts", "codes", "norms", "vectors"])
 
-        for batch in batches:
-            if batch.num_rows:
-                first, x = np.concatenate([first, batch.column(0).to_numpy()]), np.concatenate([x, _matrix(batch.column(1))])
-            while len(first) >= CODE_BLOCK:
-                yield row(CODE_BLOCK)
-                first, x = first[CODE_BLOCK:], x[CODE_BLOCK:]
-        if len(first):
-            yield row(len(first))
-
-    code_blocks = written(distinct.select("first", "v").mapInArrow(encode, "firsts binary, codes binary, norms binary, vectors binary"), "codes")
-    part = F.pmod(F.xxhash64("firsts"), F.lit(PARTS)).cast("int").alias("part")
-    meetings = code_blocks.select("*", part, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("query_block")).join(grouped, "query_block")
+def _shortlists(asked: DataFrame, distinct: DataFrame, fitted: Quantiser | None, n_queries: int, n_vectors: int, shortlist: int) -> DataFrame:
+    """(query_id, first): the vectors of each query's shortlist; without a quantiser, by the vectors themselves."""
+    query_blocks, code_blocks = (max(1, -(-n // size)) for n, size in ((n_queries, QUERY_BLOCK), (n_vectors, CODE_BLOCK)))
+    grouped = asked.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)).cast("int").alias("query_block")).agg(F.collect_list("query_id").alias("query_ids"), F.collect_list("qv").alias("query_vectors"))
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, ids, firsts, scores = None, None, None, None
+    def encode(block: pa.Table) -> pa.Table:
+        x = _matrix(block["v"].combine_chunks())
+        codes = x if fitted is None else fitted.encode(x)
+        ratios = np.ones(len(x), np.float32) if fitted is None else norm_ratios(x, fitted.decode(codes))
+        parts = {"ids": block["id"].to_numpy(), "numbers": block["n"].to_numpy(), "codes": codes, "ratios": ratios}
+        return pa.table({"code_block": block["code_block"][:1]} | {k: pa.array([p.tobytes()], pa.binary()) for k, p in parts.items()})
 
-        def best() -> pa.RecordBatch:
-            ok = np.isfinite(scores)
-            return pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, scores.shape[1])[ok.ravel()]), pa.array(firsts[ok]), pa.array(scores[ok])], names=["query_id", "first", "score"])
+    # blocks by hash, so that a block has about CODE_BLOCK vectors whatever the partitions
+    dealt = distinct.select(F.pmod(F.xxhash64("first"), F.lit(code_blocks)).cast("int").alias("code_block"), "first.id", "first.n", "v")
+    codes = written(dealt.groupBy("code_block").applyInArrow(encode, "code_block int, ids binary, numbers binary, codes binary, ratios binary"), "codes")
+    meetings = codes.withColumn("query_block", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)))).join(grouped, "query_block")
+    most = shortlist if fitted is None else of_block(shortlist, code_blocks)
 
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                key = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
-                if key != at:
-                    if at is not None:
-                        yield best()
-                    at, ids = key, np.array(batch.column(5)[i].as_py(), dtype=np.int64)
-                    q = np.array(batch.column(6)[i].as_py(), dtype=np.float64)
-                    firsts, scores = np.zeros((len(ids), k + 1), dtype=np.int64), np.full((len(ids), k + 1), -np.inf)
-                mine = np.frombuffer(batch.column(2)[i].as_py(), dtype=np.int64)
-                codes = None if fitted is None else np.frombuffer(batch.column(3)[i].as_py(), dtype=np.uint8).reshape(len(mine), -1)
-                vectors = np.frombuffer(batch.column(4)[i].as_py(), dtype=np.float64).reshape(len(mine), -1)
-                for b in range(0, len(ids), AT_ONCE):
-                    part = slice(b, b + AT_ONCE)
-                    firsts[part], scores[part] = _merge(firsts[part], scores[part], *_of_block(q[part], mine, codes, vectors, fitted, shortlist, k + 1))
-        if at is not None:
-            yield best()
-
-    near = meetings.select("query_block", "part", "firsts", "codes", "vectors", "query_ids", "query_vectors").repartition("query_block", "part").sortWithinPartitions("query_block", "part").mapInArrow(search, "query_id long, first long, score double")
-    from pyspark.sql import Window
-
-    first_k = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "first"))
-    few = near.withColumn("r", first_k).filter(F.col("r") <= k + 1)
-    found = few.join(distinct.select("first", "ids"), "first").select("query_id", "score", F.explode("ids").alias("id")).filter("id != query_id")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias(id_col), "score")
+                ids, numbers, codes, ratios = (np.frombuffer(batch.column(c)[i].as_py(), dtype=t) for c, t in enumerate((np.int64, np.int32, np.float64 if fitted is None else np.uint8, np.float32)))
+                codes = codes.reshape(len(ids), -1)
+                query_ids, q = np.array(batch.column(4)[i].as_py(), dtype=np.int64), np.array(batch.column(5)[i].as_py(), dtype=np.float64)
+                for b in range(0, len(query_ids), AT_ONCE):
+                    place, rough = rough_best(q[b : b + AT_ONCE], codes, ratios, fitted, most)
+                    first = pa.StructArray.from_arrays([pa.array(ids[place.ravel()]), pa.array(numbers[place.ravel()])], ["id", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(query_ids[b : b + AT_ONCE], place.shape[1])), first, pa.array(rough.ravel().astype(np.float64))], names=["query_id", "first", "rough"])
+
+    tasks = max(1, min(4 * query_blocks * code_blocks, 1 << 16))
+    dealt = meetings.select("ids", "numbers", "codes", "ratios", "query_ids", "query_vectors", "query_block", "code_block").repartition(tasks, "query_block", "code_block")
+    return _best(dealt.mapInArrow(search, "query_id long, first struct<id:long,n:int>, rough double"), "rough", shortlist).select("query_id", "first")

@@ -1,6 +1,5 @@
 """Language ID, toxicity, language-model scores and search: held-out accuracy, brute force, edge cases."""
 
-import inspect
 import math
 import random
 import re
@@ -245,13 +244,27 @@ def test_nearest_recall_ties_and_edge_cases(spark):
     assert [exact[1000, k] for k in range(1, 21)] == [7, *range(1001, 1020)]
 
 
-def test_recall_of_a_full_block():
-    x, ids = np.random.default_rng(6).normal(size=(ann.CODE_BLOCK, 24)), np.arange(ann.CODE_BLOCK)
+def test_recall_at_the_least_share_of_a_block():
+    """The LEAST_OF_BLOCK best of a full block, as in tables of many blocks, hold most of its 20 nearest."""
+    x = np.random.default_rng(6).normal(size=(ann.CODE_BLOCK, 24))
     q = fit_arrays(x[:2000])
-    shortlist = inspect.signature(nearest).parameters["shortlist"].default
-    got, _ = ann._of_block(x[:100], ids, q.encode(x), x, q, shortlist, 20)
-    want, _ = ann._of_block(x[:100], ids, None, x, None, shortlist, 20)
-    assert np.mean([len({*a} & {*b}) / 20 for a, b in zip(got.tolist(), want.tolist(), strict=True)]) >= 0.99
+    codes = q.encode(x)
+    for most, least in ((ann.LEAST_OF_BLOCK, 0.9), (ann.of_block(ann.SHORTLIST, 4), 0.97), (ann.SHORTLIST, 0.99)):
+        place, _ = ann.rough_best(x[:100], codes, ann.norm_ratios(x, q.decode(codes)), q, most)
+        want = np.argsort(-(x[:100] @ x.T), axis=1, kind="stable")[:, :20]
+        assert np.mean([len({*a} & {*b}) / 20 for a, b in zip(place.tolist(), want.tolist(), strict=True)]) >= least, most
+
+
+def test_several_blocks_and_vectors_of_one_id(spark, monkeypatch):
+    monkeypatch.setattr(ann, "CODE_BLOCK", 100)
+    monkeypatch.setattr(ann, "QUERY_BLOCK", 16)
+    x = np.random.default_rng(7).normal(size=(900, 8))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(3, (9 * x[0]).tolist()), (40, (8 * x[0]).tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in nearest(df, F.col("vec_id") % 20 == 0).collect()}
+    want = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in nearest(df, F.col("vec_id") % 20 == 0, exact=True).collect()}
+    assert got.keys() == want.keys() and sum(got[i] == want[i] for i in want) >= 0.95 * len(want)
+    assert [got[0, k][0] for k in (1, 2)] == [3, 40]
 
 
 def test_few_candidates_and_no_rows(spark):
