@@ -12,7 +12,8 @@ Everything is DataFrame code. Texts are equal when identical after lower-casing
 
 Defined results: null text counts as empty, empty texts form a class, null ids never win over
 others (a class with null ids only has keep_id null and keeps its rows), rows repeated with the same
-id and text count in group_size and are all marked kept, other columns are ignored.
+id and text count in group_size and are all marked kept, very long texts are hashed and compared whole, an
+empty table gives no rows, other columns are ignored.
 """
 
 from __future__ import annotations

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from barloom.llm import html_extract
 from barloom.llm.exact_dedup import UPPER, LOWER
 from barloom.llm.html_extract import extract, main_text, markup, nesting, read_page
 from barloom.llm.mixing import draws, mixed, splitting_tree, targets
@@ -298,6 +299,46 @@ def test_layouts_of_a_host_have_templates_of_their_own(spark):
             assert got[10 * k + i].startswith(f"Story {i} ") and got[10 * k + i].endswith(f"\n\nall a link {i}") and "Great" not in got[10 * k + i]
 
 
+def test_classes_and_templates_equal_a_plain_version(spark):
+    """Occurrence vectors, classes and their order over the pages of groups, by dictionaries."""
+    rng = random.Random(41)
+    pages = []
+    for i in range(30):
+        odd = "<div class='n'>Notice</div>" if rng.random() < 0.7 else ""
+        swap = ["<div class='a'>One</div>", "<div class='b'>Two</div>"]
+        if rng.random() < 0.5:
+            swap.reverse()  # a class without a fixed order
+        items = "".join(f"<section><h2>Part</h2><p>{rng.random()}</p></section>" for _ in range(rng.randint(1, 3)))
+        pages.append((i, f"http://{'xy'[i % 2]}.example/{i}", f"<body><div class='top'>Site</div>{odd}{''.join(swap)}{items}<footer><p>Rights</p></footer></body>"))
+    df = spark.createDataFrame(pages, "id long, url string, html string")
+    rows = df.select("id", "url", html_extract.host(F.col("url")).alias("host"), "html")
+    got = {(r.host, r.layout): (set(r.tokens), set(r.menus)) for r in html_extract.templates(html_extract.parsed(rows)).collect()}
+    groups = defaultdict(list)
+    for _, url, content in pages:
+        page = read_page(content)
+        groups[url.split("/")[2], html_extract.layout(page)].append(page)
+    want = {}
+    for group, of in groups.items():
+        vectors = defaultdict(lambda: [0] * len(of))  # noqa: B023
+        for k, page in enumerate(of):
+            for token in page.sequence:
+                vectors[token][k] += 1
+        by = defaultdict(set)
+        for token, vector in vectors.items():
+            on = sum(v > 0 for v in vector)
+            if on >= 4 and on >= len(of) / 2:
+                by[tuple(vector)].add(token)
+        place = {t: k for k, tokens in enumerate(by.values()) if len(tokens) >= 2 for t in tokens}
+        seen = defaultdict(Counter)
+        for page in of:
+            for c, way in nesting(page.sequence, place).items():
+                seen[c][way] += 1
+        good = {c for c, ways in seen.items() for (way, n) in ways.most_common(1) if way[0] and not way[1] and n >= 0.9 * sum(ways.values())}
+        if by:
+            want[group] = ({t for t, c in place.items() if c in good}, set())
+    assert got == want and any(tokens for tokens, _ in want.values())
+
+
 def test_template_decides_on_pages_with_an_article(spark):
     rng = random.Random(5)
     story = lambda i: f"Story {i} " + " ".join(str(rng.random()) for _ in range(9))

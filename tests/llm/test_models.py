@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from barloom.llm import ann, chargrams, lm_scores, toxicity
 from barloom.llm.ann import fit_arrays, nearest
-from barloom.llm.language_id import codewords, fit, identify, identify_by_folds
+from barloom.llm.language_id import BITS, ORDERS, codewords, fit, identify, identify_by_folds
 from barloom.llm.lm_scores import pack_sorted, score_documents, unpack_sorted
 
 SYLLABLES = {"aa": "the ing and er tion".split(), "bb": "der ung sch ein ich".split(), "cc": "que eau oui les ais".split()}
@@ -63,6 +63,49 @@ def test_language_with_none_or_one_language(spark):
     assert identify_by_folds(df.filter("false")).count() == 0
 
 
+def plain_windows(text):
+    """The 2- and 3-byte strings of a text between blanks, as the classifiers see them."""
+    raw = "".join(c if ord(c) >= 128 or c.isalpha() else " " for c in (text or "").lower()).encode()
+    padded = b" " * chargrams.GAP + raw + b" " * chargrams.GAP
+    return [[padded[k : k + n] for k in range(chargrams.GAP + len(raw))] for n in ORDERS]
+
+
+def plain_bucket(gram):
+    return int(chargrams.hashed(np.array([int.from_bytes(gram, "big")], dtype=np.uint64), BITS, len(gram))[0]) + (ORDERS.index(len(gram)) << BITS)
+
+
+def test_language_equals_a_plain_version(spark):
+    rng = random.Random(31)
+    rows = [(i, prose(rng, lang, rng.randint(3, 25)), lang) for i in range(90) for lang in [rng.choice(["aa", "bb", "cc"])]] + [(90, "été ähnlich", "cc"), (91, "12 ?", "aa"), (92, None, "aa"), (93, "", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = fit(df.filter(~F.col("doc_id").isin([i for i, *_ in rows if fold(i, 4) == 2])))
+    counts = {x: Counter() for x in model.languages}
+    for i, t, lang in rows:
+        if fold(i, 4) != 2 and t is not None and lang is not None:
+            for grams in plain_windows(t):
+                counts[lang].update(plain_bucket(g) for g in grams)
+    blank = {plain_bucket(b" " * n) for n in ORDERS}  # texts side by side share their blanks
+    total = [{x: sum(v for b, v in counts[x].items() if b >> BITS == k) for x in counts} for k in range(len(ORDERS))]
+    floor = 0.5 / sum(map(sum, (c.values() for c in counts.values()))) * len(ORDERS) + 1e-7
+    for b in range(model.code.shape[1]):
+        for bucket in set().union(*counts.values()) - blank:
+            share = [counts[x][bucket] / total[bucket >> BITS][x] for x in model.languages]
+            up, down = (np.mean([p for p, bit in zip(share, model.code[:, b]) if bit == side]) for side in (1, -1))
+            assert model.weights[bucket, b] == pytest.approx(math.log((up + floor) / (down + floor)), abs=0.02)
+    got = {r.doc_id: r for r in identify(df, model).collect()}
+    for i, t, _ in rows:
+        grams = plain_windows(t)
+        margins = sum(model.weights[plain_bucket(g)].astype(float) for row in grams for g in row) / (max(len(grams[0]) - chargrams.GAP, 1) * len(ORDERS))
+        z = np.clip(margins / model.spread, -8, 8)
+        losses = [sum(math.exp(-z[b] * model.code[k, b]) * model.trust[k, b] for b in range(len(z))) for k in range(3)]
+        if t is None or not any(c.isalpha() for c in t):
+            assert (got[i].lang_pred, got[i].score, got[i].ambiguous) == ("und", 0.0, False)
+            continue
+        first, second = sorted(losses)[:2]
+        assert got[i].lang_pred == model.languages[losses.index(first)]
+        assert got[i].score == pytest.approx(1 / sum(math.exp(-4 * (x - first)) for x in losses)) and got[i].ambiguous == (second - first < 0.1 * second)
+
+
 # ---- toxicity
 
 
