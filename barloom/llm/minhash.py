@@ -41,7 +41,7 @@ from barloom.llm.shingles import Idf, fit_idf, mix, shingles
 
 BANDS, ROWS = 12, 2
 SAMPLES = BANDS * ROWS
-SMALL, CHUNK = 16, 512
+SMALL, CHUNK = 16, 256
 #: Pairs of similarity 0.8 agree in fewer samples than this with probability under 0.0002.
 LEAST_AGREED = 11
 SIMILARITY = 0.8
