@@ -23,7 +23,7 @@ KEY = (*PARTITION, "time")
 SPAN_SECONDS = 32 * 86_400
 DOCUMENT = "map<string,map<string,double>>"
 ROWS = f"time long, open double, high double, low double, close double, volume double, indicators {DOCUMENT}, updated_at timestamp, exchange string, symbol string, tf string, span int"
-MOST_NAMES = 1000
+MOST_NAMES = 1000  # up to so many written series, their folders are named in the read of the old rows
 RESERVED = frozenset(("time", *BAR, *PARTITION, "span", "indicators", "updated_at", "side", "timeframe"))
 
 
@@ -195,15 +195,16 @@ class BarStore:
         new = new.withColumn("symbol", F.upper(F.trim("symbol")))
         wrong = ~(F.col("symbol").rlike("^[A-Z0-9]{1,63}$") & F.col("tf").rlike("^[A-Za-z0-9]{1,63}$") & F.col("time").isNotNull())
         span = F.floor(F.col("time") / SPAN_SECONDS).cast("int")
-        seen = new.agg(F.count_if(F.coalesce(wrong, F.lit(True))).alias("wrong"), F.min(span).alias("low"), F.max(span).alias("high"), F.approx_count_distinct("symbol").alias("symbols")).first()
+        seen = new.agg(F.count_if(F.coalesce(wrong, F.lit(True))).alias("wrong"), F.min(span).alias("low"), F.max(span).alias("high")).first()
         if seen["wrong"]:
             raise ValidationError(f"{seen['wrong']} rows without a proper symbol, timeframe or time")
         if seen["low"] is None:
             return
         touched = new.select(*PARTITION, span.alias("span")).distinct()
         old = self._all().filter(F.col("span").between(seen["low"], seen["high"]))
-        for name in PARTITION if seen["symbols"] <= MOST_NAMES else PARTITION[:1]:
-            old = old.filter(F.col(name).isin([r[0] for r in new.select(name).distinct().collect()]))
+        series = new.select(*PARTITION).distinct().limit(MOST_NAMES + 1).collect()
+        for k, name in enumerate(PARTITION if len(series) <= MOST_NAMES else ()):
+            old = old.filter(F.col(name).isin(sorted({r[k] for r in series})))
         old = old.join(touched, [*PARTITION, "span"], "left_semi").drop("span")
         self._replace(merge_rows(old, new, with_bars))
 
