@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from barloom.llm.common import TOKENIZER_FILE, table
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = TOKENIZER_FILE) -> str:
     import public_tokenizers
 
-    return public_tokenizers.path(TOKENIZER_FILE)
+    return public_tokenizers.path(name)
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,8 +78,26 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), F.aggregate("mix_draws", F.lit(0).cast("long"), lambda n, d: n + d["words"]).alias("taken"))
 
 
+def op11_bin_packing_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from barloom.llm.sharding import shard_documents
+
+    return shard_documents(table(spark, sf_dir, "documents"), shards=24)
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from barloom.llm.spelling import group_variants
+
+    return group_variants(table(spark, sf_dir, "documents"))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from barloom.llm.alignment import align_documents
+
+    return align_documents(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_suffix_array_dedup, op3_language_id, op4_additive_quantisation, op5_exact_dedup, op6_toxicity, op7_mix_sources, op8_lm_scores, op9_html_extraction, op10_minhash_near_dedup)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_suffix_array_dedup, op3_language_id, op4_additive_quantisation, op5_exact_dedup, op6_toxicity, op7_mix_sources, op8_lm_scores, op9_html_extraction, op10_minhash_near_dedup, op11_bin_packing_shards, op12_spelling_variants, op13_token_alignment)}
 
 
 def oracle_sql() -> dict[str, str]:
