@@ -1,28 +1,32 @@
 """The front door: configure once, register operators with listeners, push bars, replay history, stop.
 
-An engine keeps everything in one folder that driver and executors share: pushed bars in ``inbox``, rolled-up
-bars in ``tf``, the store, and the checkpoints of its streaming queries. ``advance`` runs every query over
-what is new and stops (``availableNow``), so state survives restarts: a fold goes on from its checkpoint and
-sees each bar once. Operators over windows have no streaming form; for them the last ``max_bars`` bars of the
-touched series are read from the store, and only the points of new bars are taken.
+An engine keeps everything in one folder that driver and executors share: pushed bars in ``inbox``, the store with
+the states of folds, and the checkpoints of its streaming queries. ``advance`` runs one query for the
+source and one for each other timeframe over what is new, whatever the number of uses, and stops (``availableNow``). A batch
+goes into the store first; then each use of a series that it touched is replayed from the earliest touched bar on
+(``plans.replay``), from the nearest state before it, so that late and repeated bars end in the same points
+as bars in order. A use that came later catches up from its own mark. A rolled-up bar follows late ticks as long
+as the stream keeps them (``plans.fold``).
 """
 
 from __future__ import annotations
 
-import uuid
+import functools
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.bars import BAR_SCHEMA
 from barloom.functions.extract import side, valid_bar
+from barloom.plans.replay import replay
+from barloom.plans.state import STATE_FIELDS, STATE_SCHEMA, flat, nested
 from barloom.registry import OPERATORS, Registrations, get
 from barloom.sources.readers import stream_bars
-from barloom.sources.store import BAR, BarStore, check_component, check_schema_name, recent
-from barloom.streaming.live import each_batch, into_store
+from barloom.sources.store import BAR, BarStore, check_component, check_schema_name
+from barloom.streaming.live import each_batch
 from barloom.streaming.payloads import snapshot
 from barloom.timeframe import as_timestamp, roll_up_exact, timeframe_minutes
 
@@ -121,61 +125,70 @@ class Engine:
         """Carry all that was pushed into the store, the timeframes, the operators and the listeners."""
         source = self.config.source_timeframe
         wanted = {tf for *_, tf in self.bar_listeners} | {u["tf"] for u in self.uses.info()}
-        self._run(stream_bars(self.spark, f"{self.config.path}/inbox", per_trigger=EVERY_FILE), "bars", [self._to_store, self._to_bar_listeners])
+        handlers = lambda tf: [self._to_store, self._to_bar_listeners, functools.partial(self._to_uses, tf)]
+        self._run(stream_bars(self.spark, f"{self.config.path}/inbox", per_trigger=EVERY_FILE), "bars", handlers(source))
         for tf in sorted(wanted - {source}):
             rolled = roll_up_exact(stream_bars(self.spark, f"{self.config.path}/inbox", per_trigger=EVERY_FILE), tf, self.config.timezone, self.config.week_start)
-            keep = lambda batch, epoch, tf=tf: batch.select(COLUMNS).write.mode("overwrite").parquet(f"{self.config.path}/tf/{tf}/batch-{epoch:012d}")
-            self._run(rolled, f"tf-{tf}", [keep, self._to_store, self._to_bar_listeners])
+            self._run(rolled.filter(F.col("time").isNotNull()), f"tf-{tf}", handlers(tf))
         for use in self.uses.info():
-            self._advance_use(use)
+            self._catch_up(use)
 
-    def _bars(self, symbol: str, tf: str) -> DataFrame:
-        source = f"{self.config.path}/inbox" if tf == self.config.source_timeframe else f"{self.config.path}/tf/{tf}/*"
-        return stream_bars(self.spark, source, per_trigger=EVERY_FILE).filter((F.col("symbol") == symbol) & (F.col("tf") == tf))
-
-    def _advance_use(self, use: dict) -> None:
-        key, symbol, tf, params = use["key"], use["symbol"], use["tf"], use["params"]
-        if tf != self.config.source_timeframe and not self._exists(f"tf/{tf}"):
+    def _to_uses(self, tf: str, batch: DataFrame, epoch: int) -> None:
+        """Replay the uses of the series that the batch touched."""
+        uses = [u for u in self.uses.info() if u["tf"] == tf]
+        if not uses:
             return
-        operator = get(use["name"])
-
-        def take(batch: DataFrame, epoch: int) -> None:
-            outputs = [c for c in batch.columns if c not in ("symbol", "tf", "time")]
-            into_store(self.store, self.config.exchange, key, outputs)(batch, epoch)
-            for listener in () if self.silent else self.listeners.get(key, ()):
-                listener(batch, epoch)
-
-        def over_window(batch: DataFrame, epoch: int) -> None:
-            new = batch.select("symbol", "tf", F.col("time").alias("time")).distinct()
-            first = new.agg(F.min("time")).first()[0]
-            if first is None:
-                return
-            rows = self.store.rows(self.config.exchange, symbol, tf).filter(F.col("open").isNotNull())
-            late = recent(rows.filter(F.col("time") < int(first.timestamp())), self.config.max_bars)
-            held = late.unionByName(rows.filter(F.col("time") >= int(first.timestamp()))).withColumn("time", F.timestamp_seconds("time"))
-            take(operator(held, **params).join(new, ["symbol", "tf", "time"], "left_semi"), epoch)
-
-        folder = f"use-{uuid.uuid5(uuid.NAMESPACE_URL, key).hex}"
-        if operator.name in self._over_windows:
-            self._run(self._bars(symbol, tf), folder + "-window", [over_window])
+        # one row a symbol
+        touched = {r["symbol"]: r["since"] for r in batch.filter(F.col("symbol").isin(sorted({u["symbol"] for u in uses}))).groupBy("symbol").agg(F.min(F.unix_timestamp("time")).alias("since")).collect()}
+        for use in uses:
+            if use["symbol"] in touched:
+                seen = self.store.seen_until(use["key"])
+                since = touched[use["symbol"]]
+                self._replay(use, None if seen is None else min(since, seen + 1), epoch)
+
+    def _catch_up(self, use: dict) -> None:
+        """A use that has not seen the bars of its series goes on from its mark."""
+        seen = self.store.seen_until(use["key"])
+        start = None if seen is None else seen + 1
+        if self.store.rows(self.config.exchange, use["symbol"], use["tf"], start).filter(F.col("open").isNotNull()).isEmpty():
             return
-        try:
-            self._run(operator(self._bars(symbol, tf), **params), folder, [take])
-        except AnalysisException:
-            # windows over rows have no streaming form
-            self._over_windows.add(operator.name)
-            self._run(self._bars(symbol, tf), folder + "-window", [over_window])
+        self._replay(use, start, -1)
+
+    def _replay(self, use: dict, since: int | None, epoch: int) -> None:
+        operator = functools.partial(get(use["name"]), **use["params"])
+        points = replay(self.store, self.config.exchange, use["symbol"], use["tf"], use["key"], operator, since)
+        if points is not None:
+            for listener in () if self.silent else self.listeners.get(use["key"], ()):
+                listener(points, epoch)
+
+    def get_state(self, key: str) -> dict | None:
+        """The state that the use's fold was left in: {"time", "version", "fields"}; None without one."""
+        row = self.store.fold_states(key).filter("version is not null").orderBy(F.desc("time")).first()
+        return None if row is None else {"time": row["time"]} | nested(row[1:])
+
+    def set_state(self, key: str, state: dict) -> None:
+        """Let the use go on from a state that ``get_state`` gave; it has seen the bars up to the state's time."""
+        row = self.spark.createDataFrame([(state["time"], *flat(state))], f"time bigint, {STATE_SCHEMA}").select("time", *STATE_FIELDS)
+        self.store.keep_fold_states(key, state["time"], state["time"], row)
 
     def __post_init__(self):
-        self._over_windows: set[str] = set()
-        self._generation = 0
+        self._queries: list = []
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        pattern = jvm.org.apache.hadoop.fs.Path(f"{self.config.path}/checkpoint-*")
+        found = [int(m[1]) for f in pattern.getFileSystem(conf).globStatus(pattern) or [] if (m := re.search(r"checkpoint-(\d+)$", str(f.getPath())))]
+        self._generation = max(found, default=0)
 
-    def _exists(self, name: str) -> bool:
+    def _folder(self, name: str):
         path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.config.path}/{name}")
-        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+        return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
     def _run(self, rows: DataFrame, name: str, handlers: list[Listener]) -> None:
-        each_batch(rows, handlers, f"{self.config.path}/checkpoint-{self._generation}/{name}").awaitTermination()
+        query = each_batch(rows, handlers, f"{self.config.path}/checkpoint-{self._generation}/{name}")
+        self._queries.append(query)
+        try:
+            query.awaitTermination()
+        finally:
+            self._queries.remove(query)
 
     def _to_store(self, batch: DataFrame, epoch: int) -> None:
         self.store.upsert(batch.withColumn("time", F.unix_timestamp("time")), self.config.exchange)
@@ -229,12 +242,17 @@ class Engine:
         return snapshot(self.store.rows(self.config.exchange, symbol, tf).filter(F.col("open").isNotNull()), self.config.snapshot_size)
 
     def reset(self) -> None:
-        """Forget all operator state: the next advance reads the inbox from the start."""
+        """Forget all operator state, also for engines to come: the next advance reads the inbox from the start."""
         self._generation += 1
+        path, files = self._folder(f"checkpoint-{self._generation}")
+        files.mkdirs(path)
+        self.store.forget_fold_states()
+        old, files = self._folder(f"checkpoint-{self._generation - 1}")
+        files.delete(old, True)
 
     def stop(self) -> None:
-        """Stop the engine's running queries and forget registrations and listeners."""
-        for query in self.spark.streams.active:
+        """Stop the engine's own running queries and forget registrations and listeners."""
+        for query in list(self._queries):
             query.stop()
         self.uses, self.listeners, self.bar_listeners = Registrations(), {}, {}
         global _engine

@@ -6,7 +6,9 @@ none where the bars are partitioned and sorted by series already.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -14,16 +16,77 @@ from pyspark.sql import functions as F
 KEYS = ("symbol", "tf")
 
 
-def series() -> WindowSpec:
+class Reach:
+    """How many earlier bars an output depends on: the widest window of each step, summed over the steps.
+
+    Infinite where a step looks at all bars before.
+    """
+
+    def __init__(self):
+        self.bars, self._step = 0, 0
+
+    def note(self, bars: float) -> None:
+        self._step = max(self._step, bars)
+
+    def next_step(self) -> None:
+        self.bars, self._step = self.bars + self._step, 0
+
+
+_probe: Reach | None = None
+
+
+@contextmanager
+def probing() -> Iterator[Reach]:
+    """Within it, windows over series tell how far back they look."""
+    global _probe
+    before, _probe = _probe, Reach()
+    try:
+        yield _probe
+        _probe.next_step()
+    finally:
+        _probe = before
+
+
+def looks_back(bars: float) -> None:
+    if _probe is not None:
+        _probe.note(bars)
+
+
+def reach(operator: Callable[[DataFrame], DataFrame], bars: DataFrame) -> float:
+    """The reach of an operator's window steps over bars of this schema; nothing runs."""
+    with probing() as found:
+        operator(bars.limit(0))
+    return found.bars
+
+
+def _series() -> WindowSpec:
     return Window.partitionBy(*KEYS).orderBy("time")
 
 
-def last(n: int) -> WindowSpec:
-    return series().rowsBetween(-(n - 1), 0)
+def series() -> WindowSpec:
+    looks_back(math.inf)
+    return _series()
+
+
+def last(n: int, skip: int = 0) -> WindowSpec:
+    """The last n bars, the newest ``skip`` left out."""
+    looks_back(n + skip - 1)
+    return _series().rowsBetween(-(n + skip - 1), -skip)
 
 
 def lag(x: str, n: int = 1) -> Column:
-    return F.lag(x, n).over(series())
+    looks_back(n)
+    return F.lag(x, n).over(_series())
+
+
+def one_per_time(bars: DataFrame) -> DataFrame:
+    """Of bars of one series and time the one that the store keeps: of the largest version, else the largest bar.
+
+    The window is sorted by series and time first, so that windows after it need no further shuffle or sort.
+    """
+    order = [F.desc_nulls_last(c) for c in ("version", "open", "high", "low", "close", "volume") if c in bars.columns]
+    w = Window.partitionBy(*KEYS).orderBy("time", *order)
+    return bars.withColumn("__before", F.lag("time").over(w)).filter(~F.col("time").eqNullSafe(F.col("__before")) | F.col("__before").isNull()).drop("__before")
 
 
 def mean(x: str, n: int) -> Column:
@@ -73,10 +136,12 @@ class Series:
     """Steps over a DataFrame of bars; each step may use the columns of those before."""
 
     def __init__(self, bars: DataFrame):
-        self.df = bars.withColumn("n", F.row_number().over(series()))
+        self.df = bars.withColumn("n", F.row_number().over(_series()))
 
     def let(self, **columns: Column) -> "Series":
         self.df = self.df.withColumns(columns)
+        if _probe is not None:
+            _probe.next_step()
         return self
 
     def out(self, first: int, **columns: Column) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.extract import extract
-from barloom.functions.series import Series, highest, lag, lowest, ratio
+from barloom.functions.series import Series, highest, lag, looks_back, lowest, ratio
 from barloom.operators.volatility import with_true_range
 from barloom.plans.fold import fold
 from barloom.plans.recursive import Ema, then
@@ -29,6 +29,7 @@ def vwap(bars: DataFrame, timezone: str = "UTC") -> DataFrame:
     s = Series(bars).let(tp=extract("hlc3"), v=extract("volume"))
     at = F.col("time") if dict(bars.dtypes)["time"].startswith("timestamp") else as_timestamp(F.col("time"))
     s.let(day=F.to_date(F.from_utc_timestamp(at, timezone)), tpv=F.col("tp") * F.col("v"))
+    looks_back(math.inf)
     w = Window.partitionBy("symbol", "tf", "day").orderBy("time").rowsBetween(Window.unboundedPreceding, 0)
     return s.out(1, vwap=ratio(F.sum("tpv").over(w), F.sum("v").over(w)))
 

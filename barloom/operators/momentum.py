@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.functions.extract import extract
-from barloom.functions.series import Series, highest, lag, last, lowest, mean, ratio, series, total, weighted
+from barloom.functions.series import Series, highest, lag, last, lowest, mean, ratio, total, weighted
 from barloom.operators.volatility import with_true_range
 from barloom.plans.fold import fold
 from barloom.plans.recursive import Ema, Lagged, then
@@ -171,7 +171,7 @@ def dpo(bars: DataFrame, period: int = 20, value="close") -> DataFrame:
     """Detrended price: the value s - 1 bars ago less the mean of the n values that end s bars ago, s = n // 2 + 1."""
     shift = period // 2 + 1
     s = Series(bars).let(v=extract(value))
-    past = F.avg("v").over(series().rowsBetween(-(shift + period - 1), -shift))
+    past = F.avg("v").over(last(period, skip=shift))
     return s.out(period + shift, dpo=(lag("v", shift - 1) if shift > 1 else F.col("v")) - past)
 
 

@@ -400,11 +400,22 @@ def _rounded(columns: dict[str, str], rest: str, digits: int = 6) -> str:
     return ", ".join([rest, *(f"round({v} + {SHIFT}, {digits}) AS {k}" for k, v in columns.items())])
 
 
+#: The bars with others of the same time above and below them; of each time the largest stays.
+DOUBLED = BARS.replace("b AS (", "b0 AS (") + """,
+d AS (SELECT * FROM b0 UNION ALL SELECT symbol, tf, n, "time", o + 1, h + 1, l, c + 2, v FROM b0 WHERE n % 5 = 0 UNION ALL SELECT symbol, tf, n, "time", o - 1, h, l - 1, c - 2, v FROM b0 WHERE n % 7 = 0),
+b AS (SELECT * EXCLUDE (r) FROM (SELECT *, row_number() OVER (PARTITION BY symbol, n ORDER BY o DESC, h DESC, l DESC, c DESC, v DESC) AS r FROM d) WHERE r = 1)"""
+
+
+def _by_name(queries: dict[str, str]) -> str:
+    return " UNION ALL ".join(f"""SELECT symbol, "time", '{name}' AS name, {name} AS value FROM ({sql})""" for name, sql in queries.items())
+
+
 def relational_sql() -> dict[str, str]:
+    averages = {name: sql for name, sql in _averages().items() if name in ("sma", "ema")}
     ohlcv = {x: x for x in ("open", "high", "low", "close", "volume")}
     raw = {"open": "o", "high": "h", "low": "l", "close": "c", "volume": "v"}
     side = "CASE WHEN open > close THEN 0 ELSE 1 END AS side"
-    out = {}
+    out = {"late_bars": _by_name(averages), "duplicates_series": _by_name({name: sql.replace(BARS, DOUBLED) for name, sql in averages.items()})}
     out["overview"] = recursive(
         34, {"sma": "sm", "ema": "e", "rsi": "CASE WHEN up = 0 AND down = 0 THEN NULL WHEN down = 0 THEN 100e0 ELSE 100e0 - 100e0 / (1e0 + up / down) END", "macd": "f - s", "signal": "g", "histogram": "f - s - g"},
         [ema("e", "r.c", 20), *rsi_states(14, 13), ema("f", "r.c", 12), ema("s", "r.c", 26), ema("g", "n_f - n_s", 9, 26)], {"pc": lag("c"), "sm": over("avg(c)", 20)},

@@ -31,6 +31,12 @@ class Linear:
     def __init__(self, a: float, y: float = 0.0):
         self.a, self.y = a, y
 
+    def state(self) -> dict:
+        return {"y": float(self.y)}
+
+    def restore(self, fields: dict) -> None:
+        self.y = fields["y"]
+
     @_finite
     def feed(self, x: np.ndarray) -> np.ndarray:
         if not len(x):
@@ -66,6 +72,13 @@ class Ema:
         self.divisor = divisor or self.need
         self.filter: Linear | None = None
 
+    def state(self) -> dict:
+        return {"seeds": [float(x) for x in self.seeds], "y": None if self.filter is None else float(self.filter.y)}
+
+    def restore(self, fields: dict) -> None:
+        self.seeds, y = list(fields["seeds"]), fields["y"]
+        self.filter = None if y is None else Linear(1 - self.k, y)
+
     @_finite
     def feed(self, x: np.ndarray) -> np.ndarray:
         """As long as x; NaN until the seed."""

@@ -232,9 +232,60 @@ def as_of_higher_timeframe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_of(bars.select("symbol", "time", "close"), high)
 
 
+def _by_name(frames: dict[str, DataFrame]) -> DataFrame:
+    """symbol, time, name, value of several results with one output each, one below the other."""
+    out = None
+    for name, df in frames.items():
+        one = df.select("symbol", F.col("time").cast("long").alias("time"), F.lit(name).alias("name"), F.col(name).alias("value"))
+        out = one if out is None else out.unionByName(one)
+    return shown(out)
+
+
+def duplicates_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars of the same time, above and below the first: windows and folds both take the largest."""
+    import barloom.operators  # noqa: F401
+    from barloom.registry import get
+
+    bars = minute_bars(spark, sf_dir)
+    n = (F.col("time") - 1704067200) / 60 + 1
+    above = bars.filter(n % 5 == 0).withColumns({"open": F.col("open") + 1, "high": F.col("high") + 1, "close": F.col("close") + 2})
+    below = bars.filter(n % 7 == 0).withColumns({"open": F.col("open") - 1, "low": F.col("low") - 1, "close": F.col("close") - 2})
+    doubled = bars.unionByName(above).unionByName(below)
+    return _by_name({name: get(name)(doubled) for name in ("sma", "ema")})
+
+
+#: One in so many hours of each series comes late.
+LATE_HOURS = 5
+
+
+def late_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fifth hour of each series arrives late, into a store: the points are those of bars in order."""
+    import barloom.operators  # noqa: F401
+    from barloom.plans.replay import replay
+    from barloom.registry import get
+    from barloom.session import shared_folder
+    from barloom.sources.store import BarStore
+
+    store = BarStore(spark, shared_folder(spark, "late"))
+    bars = minute_bars(spark, sf_dir).persist()
+    late = F.floor(F.col("time") / 3600) % LATE_HOURS == 1
+    symbols = [r["symbol"] for r in bars.select("symbol").distinct().collect()]  # the event types
+    for part in (bars.filter(~late), bars.filter(late)):
+        store.upsert(part, "x")
+        since = {r["symbol"]: r["since"] for r in part.groupBy("symbol").agg(F.min("time").alias("since")).collect()}
+        for symbol in symbols:
+            for name in ("sma", "ema"):
+                if symbol in since:
+                    replay(store, "x", symbol, "1m", f"{name}_{symbol}", get(name), since[symbol])
+    bars.unpersist()
+    rows = store.rows("x").withColumn("symbol", F.lower("symbol"))
+    value = lambda name: F.col("indicators")[F.concat(F.lit(f"{name}_"), "symbol")]["value"]
+    return _by_name({name: rows.select("symbol", "time", value(name).alias(name)).filter(F.col(name).isNotNull()) for name in ("sma", "ema")})
+
+
 RELATIONAL = (
     overview, bars_valid, bars_hourly, bars_daily, extractors, rollup_5m, rollup_4h, rollup_exact_7m, rollup_fan_out, multi_timeframe_sma, skip_and_recent, duplicates_last_write,
-    store_merge, store_stats, store_complete, store_keys, store_series, store_candles_with, store_latest, store_history_page, store_retention, store_bulk_points, payload_points, payload_bars, as_of_higher_timeframe,
+    store_merge, store_stats, store_complete, store_keys, store_series, store_candles_with, store_latest, store_history_page, store_retention, store_bulk_points, payload_points, payload_bars, as_of_higher_timeframe, duplicates_series, late_bars,
 )
 
 

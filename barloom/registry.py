@@ -10,6 +10,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from barloom.functions.series import one_per_time
+
 
 def _text(value) -> str:
     return str(value).removeprefix("Column<'").removesuffix("'>") if isinstance(value, Column) else str(value)
@@ -38,20 +40,24 @@ OPERATORS: dict[str, Operator] = {}
 
 
 def operator(family: str, name: str | None = None):
-    """Register a function (bars, **params) -> DataFrame of symbol, tf, time and outputs."""
+    """Register a function (bars, **params) -> DataFrame of symbol, tf, time and outputs.
+
+    It is given one bar for each time of a series, by ``one_per_time``, whether it works with windows or folds.
+    """
 
     def register(function: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
         of = name or function.__name__
         if of in OPERATORS:
             raise ValueError(f"operator {of} is registered already")
         defaults = {k: p.default for k, p in list(inspect.signature(function).parameters.items())[1:]}
-        OPERATORS[of] = Operator(of, family, function, defaults)
 
         @functools.wraps(function)
-        def checked(*args, **kwargs):
-            return function(*args, **kwargs)
+        def over_series(bars: DataFrame, *args, **kwargs) -> DataFrame:
+            # a stream's folds leave out duplicates by their state
+            return function(bars if bars.isStreaming else one_per_time(bars), *args, **kwargs)
 
-        return checked
+        OPERATORS[of] = Operator(of, family, over_series, defaults)
+        return over_series
 
     return register
 
@@ -66,10 +72,10 @@ def register_operator(name: str, function: Callable[..., DataFrame], family: str
 
 def register_pattern(name: str, detect: Callable[[Callable[[str, int], Column]], Column], lookback: int = 1, replace: bool = False) -> Operator:
     """A user-defined candle pattern: detect(at) is +1, -1 or 0, where at(field, k) is a field k bars back."""
-    from barloom.functions.series import Series, series
+    from barloom.functions.series import Series, lag
 
     def pattern(bars: DataFrame) -> DataFrame:
-        s = Series(bars).let(signal=F.coalesce(detect(lambda field, k=0: F.lag(field, k).over(series())).cast("int"), F.lit(0)))
+        s = Series(bars).let(signal=F.coalesce(detect(lambda field, k=0: lag(field, k)).cast("int"), F.lit(0)))
         return s.out(lookback, signal=F.col("signal"))
 
     return register_operator(name, pattern, "pattern", replace)

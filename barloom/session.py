@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -17,6 +19,20 @@ def let_workers_import(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the one that driver and executors share, as spark.checkpoint.dir names it.
+
+    A local session without one (tests) gets a temporary folder; a cluster must name one.
+    """
+    sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir", None) or sc._jsc.sc().getCheckpointDir().getOrElse(None)
+    if not named:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        named = tempfile.mkdtemp(prefix="barloom-")
+    return f"{str(named).rstrip('/')}/barloom-{name}-{uuid.uuid4().hex}"
+
+
 def local_session(cores: int | str = "*", partitions: int = 8, **conf: str) -> SparkSession:
     """A local session for tests and benchmarks."""
     builder = (

@@ -10,6 +10,7 @@ Names are checked on every write, symbols are upper-cased, and all partition col
 from __future__ import annotations
 
 import re
+import uuid
 from dataclasses import dataclass
 
 from py4j.protocol import Py4JJavaError
@@ -17,6 +18,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+from barloom.plans.state import STATE_SCHEMA
+
 BAR = ("open", "high", "low", "close", "volume")
 PARTITION = ("exchange", "symbol", "tf")
 KEY = (*PARTITION, "time")
@@ -91,9 +94,9 @@ def unwrap(document: Column, key: str) -> Column:
 
 
 def merged(old: Column, new: Column) -> Column:
-    """Both documents, the new one winning by key."""
+    """Both documents, the new one winning by key; a key without fields in the new one is removed."""
     old, new = (F.coalesce(x, F.create_map().cast(DOCUMENT)) for x in (old, new))
-    return F.map_concat(F.map_filter(old, lambda k, v: ~F.map_contains_key(new, k)), new)
+    return F.map_concat(F.map_filter(old, lambda k, v: ~F.map_contains_key(new, k)), F.map_filter(new, lambda k, v: F.size(v) > 0))
 
 
 @dataclass
@@ -187,6 +190,21 @@ class BarStore:
         check_schema_name(exchange)
         self._merge(points.select(F.lit(exchange).alias("exchange"), "symbol", "tf", F.col("time").cast("long").alias("time"), *[F.lit(None).cast("double").alias(c) for c in BAR], "indicators"), with_bars=False)
 
+    def rewrite(self, bars: DataFrame, points: DataFrame, exchange: str, key: str, outputs: list[str]) -> None:
+        """Put points (symbol, tf, time, outputs) under the key at the bars' times, and remove the key at their other times."""
+        fields = F.col(outputs[0]) if len(outputs) == 1 else {o: F.col(o) for o in outputs}
+        numbers = [c for c, kind in points.select(*outputs).dtypes if kind != "string"]
+        fields = fields if len(outputs) == 1 else {o: f for o, f in fields.items() if o in numbers}
+        doc = points.select("symbol", "tf", "time", as_document({key: fields}).alias("indicators"))
+        none = F.create_map(F.lit(key), F.create_map().cast("map<string,double>"))
+        self.merge_indicators(bars.join(doc, ["symbol", "tf", "time"], "left").select("symbol", "tf", "time", F.when(F.size("indicators") > 0, F.col("indicators")).otherwise(none).alias("indicators")), exchange)
+
+    def points(self, exchange: str, symbol: str, tf: str, key: str, outputs: list[str], kinds: dict[str, str], start: int) -> DataFrame:
+        """The stored points of a key from start on as an operator gives them: symbol, tf, time (timestamp), outputs; texts are not stored."""
+        rows = self.rows(exchange, symbol, tf, start).filter(F.map_contains_key("indicators", key))
+        of = lambda o: F.col("indicators")[key]["value" if len(outputs) == 1 else o].cast(kinds[o]).alias(o)
+        return rows.select("symbol", "tf", F.timestamp_seconds("time").alias("time"), *[of(o) for o in outputs if kinds[o] != "string"])
+
     def merge_points(self, points: DataFrame, exchange: str) -> None:
         """points in long form: symbol, tf, time, key, value."""
         self.merge_indicators(to_documents(points), exchange)
@@ -241,12 +259,49 @@ class BarStore:
 
     # ---- state of folds
 
-    def _states(self) -> list[str]:
+    def _states(self, folder: str = "state") -> list[str]:
         """The complete state folders, oldest first."""
         jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
-        pattern = jvm.org.apache.hadoop.fs.Path(f"{self.path}/state/v*/_SUCCESS")
+        pattern = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{folder}/v*/_SUCCESS")
         return sorted(str(f.getPath().getParent()) for f in pattern.getFileSystem(conf).globStatus(pattern) or [])
 
+    def _delete(self, paths: list[str]) -> None:
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        for path in paths:
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
+
+    @staticmethod
+    def _of_key(key: str) -> str:
+        return f"fold_states/{uuid.uuid5(uuid.NAMESPACE_URL, key).hex}"
+
+    def fold_states(self, key: str) -> DataFrame:
+        """time and the typed fields (``plans.state``) of the states that a use's fold left: the last of each span.
+
+        A row without a version only says how far the use has come.
+        """
+        there = self._states(self._of_key(key))
+        schema = f"time bigint, {STATE_SCHEMA}"
+        return self.spark.read.schema(schema).parquet(there[-1]) if there else self.spark.createDataFrame([], schema)
+
+    def keep_fold_states(self, key: str, since: int, last: int, left: DataFrame | None) -> None:
+        """Replace the states from since on by those in left; last: the time of the last bar that the use has seen."""
+        before = self._states(self._of_key(key))
+        schema = f"time bigint, {STATE_SCHEMA}"
+        new = self.spark.createDataFrame([(last, *[None] * 6)], schema) if left is None else left
+        states = self.fold_states(key).filter(F.col("time") < since).unionByName(new)
+        w = Window.partitionBy(F.floor(F.col("time") / SPAN_SECONDS)).orderBy(F.desc("time"))
+        number = int(re.search(r"v(\d+)$", before[-1])[1]) + 1 if before else 0
+        states.withColumn("__r", F.row_number().over(w)).filter("__r = 1").drop("__r").coalesce(1).write.parquet(f"{self.path}/{self._of_key(key)}/v{number:012d}")
+        self._delete(before[:-1])
+
+    def seen_until(self, key: str) -> int | None:
+        """The time of the last bar that a use has seen."""
+        return self.fold_states(key).agg(F.max("time")).first()[0]
+
+    def forget_fold_states(self) -> None:
+        self._delete([f"{self.path}/fold_states"])
+
     def save_state(self, states: DataFrame) -> None:
         """states: indicator_key, last_bar_time, state. The latest by key stays.
 
