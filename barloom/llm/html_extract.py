@@ -14,8 +14,10 @@
    pages is a menu there, whatever a single page has in it.
 
 From the slots, those in menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and
-reader comments go, by element and by words in class, id and role; inside an article only names made of such
-words alone count. An article or main element chooses among the slots: what is inside it stays, and the
+reader comments go, by element and by words in class, id and role. A name made of such words alone (and of words
+for containers) always counts, inside an article no other; a name that has such a word beside others, and a form, does
+not count for what an article or main element inside it holds, nor where it holds most of the page's text: it is
+a wrapper then. An article or main element chooses among the slots: what is inside it stays, and the
 others only where they hold more text, the element then being a teaser. Where most of an element's text is
 in the template, it is a repeated text and stays whole. In a group without a template there is nothing to
 deduce, and an article or main element alone decides, or the whole page outside such names.
@@ -47,6 +49,7 @@ LINK_SHARE = 0.6
 
 _NAME = re.compile(r"/?([a-z][\w:-]*)", re.I)
 _STOP = re.compile("[>\"']")
+_COMMENT_END = re.compile("--!?>")
 _ATTRIBUTE = re.compile(r"(class|id|role|aria-label|style|itemprop|hidden|aria-hidden)\b\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _ENDS = {}
@@ -55,15 +58,15 @@ _ENDS = {}
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
 IMPLIED = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
-RAW = frozenset("script style noscript template svg iframe textarea select object canvas math title".split())
+RAW = frozenset("script style noscript template svg iframe textarea select object canvas title".split())
 # Elements that never hold main text, and the words in class, id or role that say the same of others.
-OUTSIDE = frozenset("nav aside footer form button label menu dialog head fieldset".split())
+OUTSIDE = frozenset("nav aside footer button label menu dialog head fieldset".split())
 HINTS = frozenset(
     "nav navbar navigation menu sidebar aside footer header masthead ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice alert newsletter subscribe subscription comment comments commentlist disqus share sharing social related recommended recommendations breadcrumb breadcrumbs pagination pager popup modal overlay widget toolbar login signup signin search skip reply replies respond contentinfo complementary".split()
 )
 HINTED = frozenset("div section ul ol p span table dl a article header td li figure details small ins".split())
 # Inside an article only a name made of these words alone says so.
-INSIDE_HINTS = frozenset("ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments commentlist consent cookie disqus menu nav navigation navbar newsletter pager pagination promo recommendations recommended related replies reply respond share sharing sidebar social sponsor sponsored subscribe".split())
+INSIDE_HINTS = frozenset("ad ads advert adverts advertisement alert alerts banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus gdpr menu nav navigation navbar newsletter notice notices pager pagination promo recommendations recommended related replies reply respond share sharing sidebar social sponsor sponsored subscribe".split())
 CONTAINER_WORDS = frozenset("area bar block box button buttons container group holder icons inner links list module outer panel posts section thread wrap wrapper".split())
 
 
@@ -94,9 +97,9 @@ class Template:
     menus: set[int] = field(default_factory=set)
 
 
-def _hints(attributes: str, within: bool) -> tuple[bool, bool, str]:
-    """(outside, main, classes) by attributes."""
-    outside = main = False
+def _hints(attributes: str, within: bool) -> tuple[bool, bool, bool, str]:
+    """(outside, perhaps outside, main, classes) by attributes."""
+    outside = perhaps = main = False
     classes = ""
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), (m[2] or "").strip("\"'")
@@ -106,11 +109,13 @@ def _hints(attributes: str, within: bool) -> tuple[bool, bool, str]:
             if name == "class":
                 classes = value
             for said in ({w.lower() for w in _WORD.findall(x)} for x in value.split()):
-                outside |= bool(said & INSIDE_HINTS) and said <= INSIDE_HINTS | CONTAINER_WORDS if within else bool(said & HINTS)
+                hints = INSIDE_HINTS if within else HINTS
+                outside |= bool(said & hints) and said <= hints | CONTAINER_WORDS
+                perhaps |= not within and bool(said & hints)
             main |= value == "main" and name == "role"
         elif name == "itemprop" and value == "articleBody":
             main = True
-    return outside, main, classes
+    return outside, perhaps, main, classes
 
 
 def markup(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
@@ -122,8 +127,8 @@ def markup(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
     at, quotes = page.find("<"), True
     while at >= 0:
         if page.startswith("<!--", at):
-            end = page.find("-->", at + 4)
-            end = len(page) if end < 0 else end + 3
+            close = _COMMENT_END.search(page, at + 4)
+            end = close.end() if close else len(page)
             yield at, end, "", False, ""
         elif (name := _NAME.match(page, at + 1)) or page.startswith(("<!", "<?"), at):
             begin = name.end() if name else at + 2
@@ -159,7 +164,10 @@ def _code(*parts) -> int:
 
 def read_page(content: str | None) -> Page:
     content, page = content or "", Page()
-    stack: list[tuple[str, bool, bool, int]] = [("", False, False, 0)]
+    # name, outside, elements that are perhaps outside, inside an article, path
+    stack: list[tuple[str, bool, tuple[int, ...], bool, int]] = [("", False, (), False, 0)]
+    doubts: list[tuple[int, ...]] = []
+    doubted = 0
     where: dict[str, list[int]] = {}
     text: list[str] = []
     linked = at = 0
@@ -169,7 +177,8 @@ def read_page(content: str | None) -> Page:
         if text:
             whole = " ".join(html.unescape("".join(text)).split())
             if whole:
-                _, outside, inside, path = stack[-1]
+                _, outside, doubt, inside, path = stack[-1]
+                doubts.append(doubt)
                 page.blocks.append(Block(path, whole, min(linked, len(whole)), outside, inside, _code(path, whole)))
                 page.sequence.append(page.blocks[-1].code)
             text.clear()
@@ -205,22 +214,32 @@ def read_page(content: str | None) -> Page:
             close(IMPLIED[name], ("ul", "ol", "table", "dl", "select", "menu"))
         if name in ("article", "main"):
             close(("nav", "head"))
-        _, outside, inside, path = stack[-1]
-        hinted, main, classes = _hints(attributes, inside) if attributes else (False, False, "")
-        if name in OUTSIDE or (hinted and name in HINTED and not main) or (name == "header" and not inside):
+        _, outside, doubt, inside, path = stack[-1]
+        hinted, perhaps, main, classes = _hints(attributes, inside) if attributes else (False, False, False, "")
+        if name in OUTSIDE or (hinted and name in HINTED and not main) or (name == "header" and not inside) or (name == "form" and inside):
             outside = True
-        inside = inside or name in ("article", "main") or main
+        elif (perhaps and name in HINTED and not main) or name == "form":
+            doubted += 1
+            doubt = (*doubt, doubted)
+        if name in ("article", "main") or main:
+            inside, doubt = True, ()
         if name in BLOCKS:
             path = _code(path, name, classes)
             page.sequence.append(path)
             page.paths.add(path)
         if not (attributes.endswith("/") and name not in BLOCKS):
             where.setdefault(name, []).append(len(stack))
-            stack.append((name, outside, inside, path))
+            stack.append((name, outside, doubt, inside, path))
     if at < len(content):
         text.append(content[at:])
         linked += len(content) - at if where.get("a") else 0
     flush()
+    held: Counter[int] = Counter()
+    for b, doubt in zip(page.blocks, doubts, strict=True):
+        held.update(dict.fromkeys(doubt, 0 if b.outside else len(b.text)))
+    most = sum(len(b.text) for b in page.blocks if not b.outside) / 2
+    for b, doubt in zip(page.blocks, doubts, strict=True):
+        b.outside = b.outside or any(held[d] <= most for d in doubt)
     return page
 
 

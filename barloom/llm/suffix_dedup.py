@@ -343,8 +343,13 @@ def representatives(rows: DataFrame, placed: DataFrame) -> DataFrame:
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.binary(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=[*(x.split()[0] for x in PIECES.split(", ")), "kinds"])
 
-    # rows alike in id and text share a key and give a piece each, all of them of spans that occur again
-    return written(rows.select(*KEYS, "bytes").join(wanted, KEYS).select(*KEYS, "bytes", "spans").mapInArrow(cut, PIECES + ", kinds long"), "pieces")
+    # rows alike in id and text share a key: one of them gives the pieces
+    keys = wanted.select(*KEYS)
+    alike = written(rows.join(keys, KEYS, "left_semi").groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "alike")
+    mine = rows.select(*KEYS, "bytes")
+    if not alike.isEmpty():
+        mine = mine.join(alike, KEYS, "left_anti").select(*KEYS, "bytes").unionByName(mine.join(alike.select(*KEYS), KEYS, "left_semi").groupBy(*KEYS).agg(F.min("bytes").alias("bytes")))
+    return written(mine.join(wanted, KEYS).select(*KEYS, "bytes", "spans").mapInArrow(cut, PIECES + ", kinds long"), "pieces")
 
 
 def _by_group(pieces: DataFrame, schema: str, function) -> DataFrame:

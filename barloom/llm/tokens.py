@@ -58,7 +58,8 @@ class WordIds:
         for w in words:
             s = w.decode("utf-8")
             core = s.rstrip(_TAIL)
-            if core.isalpha() and (len(core) == len(s) or "<|" not in s):
+            # lower-casing may leave a mark that is no letter
+            if core.isalpha() and core.lower().isalpha() and (len(core) == len(s) or "<|" not in s):
                 parts.append((w, core, s[len(core) :]))
                 cores.add(core)
             elif not core and "<|" not in s:

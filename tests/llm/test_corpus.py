@@ -59,6 +59,22 @@ def check_packing(rows, limit=2048):
     return len(by)
 
 
+def test_words_whose_lower_case_is_no_letter():
+    """Lower-casing a dotted capital leaves a combining mark; ids equal the tokenizer's on odd words."""
+    import random
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from barloom.llm.tokens import WordIds
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    mine, whole, rng = WordIds(path), Tokenizer.from_file(path), random.Random(5)
+    texts = ["İ|", "TÜRKİYESİ.", "aİ, bİ!"] + ["".join(rng.choice("aİßé.,|!ŉ'Ǆ1 ̇") for _ in range(rng.randrange(1, 9))) for _ in range(3000)]
+    for text, got in zip(texts, mine.encode([t.encode() for t in texts]), strict=True):
+        assert list(memoryview(got).cast("I")) == whole.encode(text, add_special_tokens=False).ids, text
+
+
 def test_packing_is_gapless_whole_and_near_the_bound(spark):
     rng = random.Random(1)
     lengths = [rng.choice((rng.randint(1, 2048), rng.randint(1, 300), 90)) for _ in range(6000)]
@@ -248,6 +264,17 @@ def test_broken_markup_and_empty():
     assert read_page("<p>a</p><p>a</p>").sequence and read_page("<p>" * 3000 + "x").blocks[0].text == "x"
 
 
+@pytest.mark.parametrize("wrap", ['<div class="layout has-sidebar">', '<div class="right-sidebar">', '<div id="with-header">', '<section class="search-results-page">', "<form action='/x'>", "<div class='a has-menu'><div class='no-sidebar'>"])
+@pytest.mark.parametrize("element", ["<article>", "<main>", "<div class='content'>"])
+def test_a_wrapper_with_a_hint_in_its_name_does_not_empty_the_page(wrap, element):
+    end = element.replace("<", "</").split(" ")[0].rstrip(">") + ">"
+    page = f"<html><body>{wrap}<nav>Home</nav><div class='my-sidebar'>Links here</div>{element}<p>The story with its many words.</p><div class='notice'>Cookie notice</div><p>E = <math><mi>mc</mi></math> it says. <!-- c --!></p><form>Your mail</form></div>".replace("</div>", "</div>")
+    if element.startswith("<div"):
+        page = page.replace("<div class='notice'>", "<div class='notice-box'>")
+    got = main_text(page + f"{end}<div class='related-posts'>Others</div></body></html>")
+    assert got == "The story with its many words.\n\nE = mc it says."
+
+
 def test_names_inside_an_article_need_only_such_words():
     kept = '<header class="entry-header"><h1>Title</h1></header><p class="share-text">a</p><ul class="search-list"><li>b</ul>'
     gone = '<div class="comments-area"><p>c</p></div><div id="share-buttons">d</div><ul class="comment-list"><li>e</ul><div class="related posts">f</div>'

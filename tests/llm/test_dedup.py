@@ -346,3 +346,20 @@ def test_similarity_bound_of_the_sample_filter():
 
     miss = sum(comb(minhash.SAMPLES, k) * 0.8**k * 0.2 ** (minhash.SAMPLES - k) for k in range(minhash.LEAST_AGREED))
     assert miss < 2e-4
+
+
+def test_rows_alike_do_not_grow_a_group_of_repeats(spark):
+    """Thousands of rows of one id and text beside a variant: one of them goes into the array, all are cut."""
+    import random
+
+    from barloom.llm import suffix_dedup
+
+    rng = random.Random(9)
+    text = "".join(rng.choice("abcdefgh ") for _ in range(600))
+    rows = [(None, text)] * 1500 + [(1, text[:250] + "#" + text[250:])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    spans, placed = suffix_dedup.shared_spans(docs, "doc_id", "text")
+    pieces = suffix_dedup.representatives(spans, placed.filter("kinds > 1 and least = 1"))
+    assert (pieces.groupBy("group").count().agg({"count": "max"}).first()[0] or 0) <= 4
+    got = {r.doc_id: r.n_removed for r in suffix_dedup.remove_repeats(docs).collect()}
+    assert got[None] == 600 and got[1] == 600
