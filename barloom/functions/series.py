@@ -19,17 +19,29 @@ KEYS = ("symbol", "tf")
 class Reach:
     """How many earlier bars an output depends on: the widest window of each step, summed over the steps.
 
-    Infinite where a step looks at all bars before.
+    Infinite where a step looks at all bars before: by a sum over them (sums), or in another way (beyond).
     """
 
     def __init__(self):
-        self.bars, self._step = 0, 0
+        self._bars, self._step = 0, 0
+        self.sums = self.beyond = False
+
+    @property
+    def bars(self) -> float:
+        return self._bars
+
+    @property
+    def total(self) -> float:
+        return math.inf if self.sums or self.beyond else self._bars
 
     def note(self, bars: float) -> None:
-        self._step = max(self._step, bars)
+        if bars == math.inf:
+            self.beyond = True
+        else:
+            self._step = max(self._step, bars)
 
     def next_step(self) -> None:
-        self.bars, self._step = self.bars + self._step, 0
+        self._bars, self._step = self._bars + self._step, 0
 
 
 _probe: Reach | None = None
@@ -56,7 +68,7 @@ def reach(operator: Callable[[DataFrame], DataFrame], bars: DataFrame) -> float:
     """The reach of an operator's window steps over bars of this schema; nothing runs."""
     with probing() as found:
         operator(bars.limit(0))
-    return found.bars
+    return found.total
 
 
 def _series() -> WindowSpec:
@@ -110,7 +122,9 @@ def deviation(x: str, n: int) -> Column:
 
 
 def running(x: str | Column) -> Column:
-    return F.sum(x).over(series().rowsBetween(Window.unboundedPreceding, 0))
+    if _probe is not None:
+        _probe.sums = True
+    return F.sum(x).over(_series().rowsBetween(Window.unboundedPreceding, 0))
 
 
 def window_of(x: str, n: int) -> Column:

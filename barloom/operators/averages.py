@@ -111,6 +111,9 @@ class EmaFold:
         self.chain = [Ema(period, k, seed) for _ in weights]
         self.weights = weights
 
+    def layers(self):
+        return [self.chain]
+
     def feed(self, v):
         out, x = 0.0, v
         for ema, w in zip(self.chain, self.weights, strict=True):
@@ -147,6 +150,9 @@ class ZlemaFold:
     def __init__(self, period: int, lag: int):
         self.lagged, self.ema, self.first = Lagged(lag), Ema(period), None
 
+    def layers(self):
+        return [[self.ema]]
+
     def feed(self, v):
         self.first = v[0] if self.first is None else self.first
         before = self.lagged.feed(v)
@@ -169,6 +175,9 @@ class T3Fold:
         f = factor
         self.weights = (1 + 3 * f + 3 * f**2 + f**3, -3 * f - 6 * f**2 - 3 * f**3, 3 * f**2 + 3 * f**3, -(f**3))
 
+    def layers(self):
+        return [self.chain]
+
     def feed(self, v):
         stages, x = [], v
         for ema in self.chain:

@@ -34,6 +34,9 @@ class RsiFold:
     def __init__(self, period: int, digits: int | None):
         self.rsi, self.digits = Rsi(period, period - 1), digits
 
+    def layers(self):
+        return [[self.rsi.up, self.rsi.down]]
+
     def feed(self, v):
         up, down, out = self.rsi.feed(v)
         out = np.where((up == 0) & (down == 0), np.nan, out)
@@ -50,6 +53,9 @@ class MacdFold:
     def __init__(self, fast: int, slow: int, signal: int):
         self.fast, self.slow, self.signal = Ema(fast), Ema(slow), Ema(signal)
 
+    def layers(self):
+        return [[self.fast, self.slow, self.signal]]
+
     def feed(self, v):
         macd = self.fast.feed(v) - self.slow.feed(v)
         signal = then(self.signal, macd)
@@ -66,6 +72,12 @@ class TrixFold:
     def __init__(self, period: int):
         self.chain, self.before = [Ema(period) for _ in range(3)], Lagged(1)
 
+    def layers(self):
+        return [self.chain]
+
+    def started(self):
+        self.before.values = np.array([self.chain[-1].filter.y])
+
     def feed(self, v):
         x = v
         for ema in self.chain:
@@ -99,6 +111,9 @@ class AdxFold:
         self.tr, self.up, self.down = (Smoothed(period) for _ in range(3))
         self.adx = Ema(period, 1 / period)
 
+    def layers(self):
+        return [[x.ema for x in (self.tr, self.up, self.down)], [self.adx]]
+
     def feed(self, tr, up, down):
         tr, up, down = self.tr.feed(tr), self.up.feed(up), self.down.feed(down)
         plus, minus = 100 * up / (tr + EPSILON), 100 * down / (tr + EPSILON)
@@ -147,6 +162,9 @@ class TsiFold:
         self.before, self.seen, self.first = Lagged(1), 0, r + s
         self.chains = [[Ema(r, None, "first"), Ema(s, None, "first")] for _ in range(2)]
 
+    def layers(self):
+        return [[*self.chains[0], *self.chains[1]]]
+
     def feed(self, v):
         change = v - self.before.feed(v)
         out = []

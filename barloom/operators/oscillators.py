@@ -94,6 +94,9 @@ class PairFold:
         self.fast, self.slow = (Ema(n, None, "first") for n in (fast, slow))
         self.first, self.relative, self.seen = first, relative, 0
 
+    def layers(self):
+        return [[self.fast, self.slow]]
+
     def feed(self, v):
         fast, slow = self.fast.feed(v), self.slow.feed(v)
         out = fast - slow
@@ -167,6 +170,9 @@ class ForceFold:
     def __init__(self, period: int):
         self.ema, self.first, self.seen = Ema(period, None, "first"), period, 0
 
+    def layers(self):
+        return [[self.ema]]
+
     def feed(self, x):
         out = then(self.ema, x)
         count = self.seen + np.cumsum(~np.isnan(x))

@@ -41,6 +41,9 @@ class AtrFold:
     def __init__(self, period: int, sign: float = 1.0):
         self.ema, self.sign = Ema(period, 1 / period), sign
 
+    def layers(self):
+        return [[self.ema]]
+
     def feed(self, tr, base):
         return (base + self.sign * then(self.ema, tr),)
 
@@ -94,6 +97,9 @@ class KeltnerFold:
     def __init__(self, period: int, atr_period: int, mult: float):
         self.ema, self.atr, self.mult = Ema(period), Ema(atr_period, 1 / atr_period), mult
 
+    def layers(self):
+        return [[self.ema, self.atr]]
+
     def feed(self, v, tr):
         middle, width = self.ema.feed(v), self.mult * then(self.atr, tr)
         return middle + width, middle, middle - width

@@ -411,11 +411,13 @@ def _by_name(queries: dict[str, str]) -> str:
 
 
 def relational_sql() -> dict[str, str]:
-    averages = {name: sql for name, sql in _averages().items() if name in ("sma", "ema")}
+    every = indicator_sql()
+    averages = {name: every[name] for name in ("sma", "ema")}
     ohlcv = {x: x for x in ("open", "high", "low", "close", "volume")}
     raw = {"open": "o", "high": "h", "low": "l", "close": "c", "volume": "v"}
     side = "CASE WHEN open > close THEN 0 ELSE 1 END AS side"
-    out = {"late_bars": _by_name(averages), "duplicates_series": _by_name({name: sql.replace(BARS, DOUBLED) for name, sql in averages.items()})}
+    out = {"long_series_windows": _by_name({name: every[name] for name in ("sma", "hma", "zscore", "obv")}), "long_series_scan": _by_name({name: every[name] for name in ("ema", "tema", "t3", "tsi")})}
+    out |= {"late_bars": _by_name(averages), "duplicates_series": _by_name({name: sql.replace(BARS, DOUBLED) for name, sql in averages.items()})}
     out["overview"] = recursive(
         34, {"sma": "sm", "ema": "e", "rsi": "CASE WHEN up = 0 AND down = 0 THEN NULL WHEN down = 0 THEN 100e0 ELSE 100e0 - 100e0 / (1e0 + up / down) END", "macd": "f - s", "signal": "g", "histogram": "f - s - g"},
         [ema("e", "r.c", 20), *rsi_states(14, 13), ema("f", "r.c", 12), ema("s", "r.c", 26), ema("g", "n_f - n_s", 9, 26)], {"pc": lag("c"), "sm": over("avg(c)", 20)},

@@ -14,7 +14,7 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections.abc import Iterator
 from contextlib import contextmanager
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -45,9 +45,11 @@ class Resume:
     span: int
     left: DataFrame | None = None
     raw: DataFrame | None = None
+    makers: list[tuple] = field(default_factory=list)
 
 
 _resume: Resume | None = None
+_scan = None
 
 
 @contextmanager
@@ -63,6 +65,17 @@ def resuming(states: DataFrame | None, span: int) -> Iterator[Resume]:
 KINDS = {"double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(), "long": pa.int64()}
 
 
+@contextmanager
+def scanning(scan) -> Iterator[None]:
+    """Within it, a fold over spans runs as the scan (``plans.spans``); rows tell by ``__own`` which are no halo."""
+    global _scan
+    before, _scan = _scan, scan
+    try:
+        yield
+    finally:
+        _scan = before
+
+
 def _typed(values, kind: str, ok: np.ndarray) -> pa.Array:
     if kind == "double":
         return pa.array(np.asarray(values, dtype=float)[ok])
@@ -89,7 +102,10 @@ def fold(bars: DataFrame, inputs: dict[str, Column], outputs: tuple[str, ...], m
     schema = T.StructType([*rows.schema.fields[:3], *[T.StructField(o, T._parse_datatype_string(k)) for o, k in zip(outputs, kind, strict=True)]])
     if bars.isStreaming:
         return _streaming(rows, schema, kind, make, params)
+    if _scan is not None:
+        return _scan.run(bars.select(*rows.columns[:3], *[c.alias(f"in_{k}") for k, c in inputs.items()], "__own"), schema, kind, make, params)
     if _resume is not None:
+        _resume.makers.append((make, params, len(inputs)))
         return _resumed(rows, schema, kind, make, params, _resume)
     rows = bars.select(*rows.columns[:3], *[c.alias(f"__{k}") for k, c in inputs.items()], F.row_number().over(_series()).alias("__row"))
 

@@ -27,7 +27,7 @@ def needs(operator: Callable[[DataFrame], DataFrame], bars: DataFrame) -> tuple[
         operator(bars.limit(0))
     if resume.raw is not None:
         resume.raw.unpersist()
-    return found.bars, resume.raw is not None
+    return found.total, resume.raw is not None
 
 
 def replay(store: BarStore, exchange: str, symbol: str, tf: str, key: str, operator: Callable[[DataFrame], DataFrame], since: int | None) -> DataFrame | None:

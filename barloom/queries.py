@@ -283,9 +283,30 @@ def late_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _by_name({name: rows.select("symbol", "time", value(name).alias(name)).filter(F.col(name).isNotNull()) for name in ("sma", "ema")})
 
 
+def _over_spans(spark: SparkSession, sf_dir: str, names: tuple[str, ...]) -> DataFrame:
+    import barloom.operators  # noqa: F401
+    from barloom.plans.spans import over_spans
+    from barloom.registry import get
+
+    bars = minute_bars(spark, sf_dir).persist()
+    out = _by_name({name: over_spans(get(name), bars, span_bars=512, slot_seconds=7200) for name in names})
+    bars.unpersist()
+    return out
+
+
+def long_series_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows and running sums over spans of a series, with a halo or the totals before."""
+    return _over_spans(spark, sf_dir, ("sma", "hma", "zscore", "obv"))
+
+
+def long_series_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recursive averages over spans of a series by an associative scan."""
+    return _over_spans(spark, sf_dir, ("ema", "tema", "t3", "tsi"))
+
+
 RELATIONAL = (
     overview, bars_valid, bars_hourly, bars_daily, extractors, rollup_5m, rollup_4h, rollup_exact_7m, rollup_fan_out, multi_timeframe_sma, skip_and_recent, duplicates_last_write,
-    store_merge, store_stats, store_complete, store_keys, store_series, store_candles_with, store_latest, store_history_page, store_retention, store_bulk_points, payload_points, payload_bars, as_of_higher_timeframe, duplicates_series, late_bars,
+    store_merge, store_stats, store_complete, store_keys, store_series, store_candles_with, store_latest, store_history_page, store_retention, store_bulk_points, payload_points, payload_bars, as_of_higher_timeframe, duplicates_series, late_bars, long_series_windows, long_series_scan,
 )
 
 
