@@ -43,7 +43,7 @@ def _written(df: DataFrame, name: str) -> DataFrame:
 
 
 def numbered(bars: DataFrame, slot_seconds: int = SLOT_SECONDS) -> DataFrame:
-    """One bar for each time, with n, its number in its series from 1 on."""
+    """One bar for each time, with n, its number in its series from 1 on, and __total, the series' bars."""
     seconds = F.col("time") if dict(bars.dtypes)["time"] in ("bigint", "int") else F.unix_timestamp("time")
     slotted = bars.withColumn("__slot", F.floor(seconds / slot_seconds))
     # the slot stands in the key of the series, so that windows are over slots
@@ -52,7 +52,7 @@ def numbered(bars: DataFrame, slot_seconds: int = SLOT_SECONDS) -> DataFrame:
     placed = ones.withColumn("__r", F.row_number().over(Window.partitionBy("symbol", "tf").orderBy("time")))
     counts = ones.groupBy("symbol", "__tf", "tf", "__slot").agg(F.count(F.lit(1)).alias("__count"))
     before = Window.partitionBy("symbol", "__tf").orderBy("__slot").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("symbol", "tf", F.coalesce(F.sum("__count").over(before), F.lit(0)).alias("__start"))
+    starts = counts.select("symbol", "tf", F.coalesce(F.sum("__count").over(before), F.lit(0)).alias("__start"), F.sum("__count").over(Window.partitionBy("symbol", "__tf")).alias("__total"))
     return placed.join(starts, ["symbol", "tf"]).withColumn("n", (F.col("__start") + F.col("__r")).cast("long")).withColumn("tf", F.col("__tf")).drop("__slot", "__tf", "__r", "__start")
 
 
@@ -60,9 +60,10 @@ def spans(bars: DataFrame, halo: int, span_bars: int) -> DataFrame:
     """The bars with tf naming the span too, halo bars of the span before among them; __own tells which are not halo."""
     place = (F.col("n") - 1) % span_bars
     of = F.floor((F.col("n") - 1) / span_bars)
-    of = F.when(place >= span_bars - halo, F.array(of, of + 1)).otherwise(F.array(of)) if halo else F.array(of)
+    following = (place >= span_bars - halo) & ((of + 1) * span_bars < F.col("__total"))
+    of = F.when(following, F.array(of, of + 1)).otherwise(F.array(of)) if halo else F.array(of)
     dealt = bars.withColumn("__of", F.floor((F.col("n") - 1) / span_bars)).withColumn("__span", F.explode(of)).withColumn("__own", F.col("__of") == F.col("__span"))
-    return dealt.withColumn("tf", F.concat_ws(MARK, "tf", "__span")).drop("n", "__of", "__span")
+    return dealt.withColumn("tf", F.concat_ws(MARK, "tf", "__span")).drop("n", "__total", "__of", "__span")
 
 
 def warm_up(make, params, inputs: int) -> int:
@@ -122,8 +123,6 @@ class Scan:
 
         def stepped(level: int):
             def step(pdf: pd.DataFrame, starts_: pd.DataFrame) -> pd.DataFrame:
-                if not pdf["__own"].any():  # the halo of a span that does not begin
-                    return pd.DataFrame({"symbol": [], "tf": [], "matrix": [], "vector": []})
                 pdf = pdf.sort_values("time", ignore_index=True)
                 fold, inputs, own = self._begun(pdf, make, params, n)
                 size = len(fold.layers()[level])
@@ -160,8 +159,6 @@ class Scan:
             starts = _written(joined.groupBy("symbol", "series").applyInPandas(prefix, known), "starts").filter(F.size("starts") > 0)
 
         def last(pdf: pd.DataFrame, starts_: pd.DataFrame) -> pd.DataFrame:
-            if not pdf["__own"].any():
-                return pd.DataFrame({name: [] for name in schema.names})
             pdf = pdf.sort_values("time", ignore_index=True)
             fold, inputs, own = self._begun(pdf, make, params, n)
             if own:
