@@ -127,11 +127,6 @@ def running(x: str | Column) -> Column:
     return F.sum(x).over(_series().rowsBetween(Window.unboundedPreceding, 0))
 
 
-def window_of(x: str, n: int) -> Column:
-    """The last n values as an array, oldest first."""
-    return F.collect_list(x).over(last(n))
-
-
 def weighted(x: str, weights: Sequence[float]) -> Column:
     """Sum of weights times the last values, oldest first; null before there are enough."""
     n = len(weights)

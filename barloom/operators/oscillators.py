@@ -9,11 +9,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.functions.extract import extract
-from barloom.functions.series import Series, highest, lag, lowest, mean, ratio, running, total, window_of
+from barloom.functions.series import Series, highest, lag, lowest, mean, ratio, running, total
 from barloom.operators.momentum import Rsi
 from barloom.operators.volatility import with_true_range
 from barloom.plans.fold import fold
 from barloom.plans.recursive import Ema, Tail, then
+from barloom.plans.sliding import Deviation
 from barloom.registry import operator
 
 oscillator = operator("oscillator")
@@ -33,14 +34,20 @@ def stochastic(bars: DataFrame, k_period: int = 14, d_period: int = 3) -> DataFr
     return s.out(k_period + d_period - 1, k=F.col("k"), d=mean("k", d_period))
 
 
+class CciFold:
+    def __init__(self, period: int, parity: bool):
+        self.deviation, self.parity = Deviation(period), parity
+
+    def feed(self, tp):
+        value, mean, deviation = self.deviation.feed(tp)
+        scale = 1.0 / 0.015
+        return ((value - mean) / (deviation * scale + EPSILON) * scale if self.parity else (value - mean) / (deviation * 0.015 + EPSILON),)
+
+
 @oscillator
 def cci(bars: DataFrame, period: int = 20, parity: bool = False) -> DataFrame:
     """Typical price less its mean, over 0.015 mean deviations. parity: over the mean deviation itself."""
-    s = Series(bars).let(tp=extract("hlc3")).let(m=mean("tp", period), w=window_of("tp", period))
-    md = F.aggregate("w", F.lit(0.0), lambda a, x: a + F.abs(x - F.col("m"))) / float(period)
-    scale = 1.0 / 0.015
-    s.let(md=md)
-    return s.out(period, cci=(F.col("tp") - F.col("m")) / (F.col("md") * scale + EPSILON) * scale if parity else (F.col("tp") - F.col("m")) / (F.col("md") * 0.015 + EPSILON))
+    return fold(bars, {"tp": extract("hlc3")}, ("cci",), CciFold, period, parity)
 
 
 @oscillator

@@ -7,7 +7,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.functions.extract import extract
-from barloom.functions.series import Series, deviation, last, mean, weighted, window_of
+from barloom.functions.series import Series, deviation, last, mean, weighted
+from barloom.plans.fold import fold
+from barloom.plans.sliding import NotAbove
 from barloom.registry import operator
 
 statistics = operator("statistics")
@@ -44,5 +46,4 @@ def correl(bars: DataFrame, period: int = 20, value="close") -> DataFrame:
 @statistics
 def percentrank(bars: DataFrame, period: int = 20, value="close") -> DataFrame:
     """Per cent of the window, the value itself included, that is not above the value."""
-    s = Series(bars).let(v=extract(value)).let(w=window_of("v", period))
-    return s.out(period, percentrank=F.size(F.filter("w", lambda x: x <= F.col("v"))) * 100.0 / float(period))
+    return fold(bars, {"v": extract(value)}, ("percentrank",), NotAbove, period)

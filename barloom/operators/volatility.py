@@ -9,9 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.functions.extract import extract
-from barloom.functions.series import Series, deviation, highest, lag, lowest, mean, window_of
+from barloom.functions.series import Series, deviation, highest, lag, lowest, mean
 from barloom.plans.fold import fold
 from barloom.plans.recursive import Ema, then
+from barloom.plans.sliding import Drop
 from barloom.registry import operator
 
 volatility = operator("volatility")
@@ -136,6 +137,4 @@ def hv(bars: DataFrame, period: int = 20, annual_factor: float = 252.0, value="c
 @volatility
 def ui(bars: DataFrame, period: int = 14, value="close") -> DataFrame:
     """Ulcer index: root mean square drop, in per cent, from the highest value of the window."""
-    s = Series(bars).let(v=extract(value)).let(top=highest("v", period), w=window_of("v", period))
-    drop = F.aggregate("w", F.lit(0.0), lambda a, x: a + F.pow((x - F.col("top")) / F.col("top") * 100.0, F.lit(2.0)))
-    return s.out(period, ui=F.when(F.col("top") != 0, F.sqrt(drop / float(period))))
+    return fold(bars, {"v": extract(value)}, ("ui",), Drop, period)

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.functions.extract import side
+from barloom.functions.series import one_per_time
 from barloom.plans.fold import fold
 
 _TF = re.compile(r"(\d+)([mhdw])", re.I)
@@ -114,23 +115,45 @@ class RollUpFold:
         return tuple(out)
 
 
+class FanOutFold:
+    """Count-closed bars of several timeframes in one pass; a timeframe without a bar at a tick that closes another's has infinities."""
+
+    def __init__(self, minutes: tuple[int, ...]):
+        self.folds = [RollUpFold(m) for m in minutes]
+
+    def feed(self, *inputs):
+        k = len(self.folds)
+        out = np.array([f.feed(inputs[i], *inputs[k:]) for i, f in enumerate(self.folds)])
+        closes = ~np.isnan(out[:, 0]).all(axis=0)
+        out[:, :, closes] = np.where(np.isnan(out[:, :, closes]), np.inf, out[:, :, closes])
+        return tuple(out.reshape(6 * k, -1))
+
+
 def roll_up_exact(bars: DataFrame, tf: str, timezone: str = "UTC", week_start: int = 0) -> DataFrame:
     """Count-closed bars of tf, gaps and duplicates included. Works on streams."""
-    minutes = timeframe_minutes(tf)
-    if minutes == 1:
-        return bars
+    return bars if timeframe_minutes(tf) == 1 else _closed(bars, [tf], timezone, week_start)
+
+
+def _closed(bars: DataFrame, tfs: list[str], timezone: str, week_start: int) -> DataFrame:
+    minutes = [timeframe_minutes(tf) for tf in tfs]
+    bars = bars if bars.isStreaming else one_per_time(bars)
     at = local(as_timestamp(bars), timezone)
     seconds = F.unix_timestamp(as_timestamp(bars)).cast("double")
-    inputs = {"opens": is_open(at, minutes, week_start).cast("double")} | {x: F.coalesce(F.col(x).cast("double"), F.lit(0.0)) for x in ("open", "high", "low", "close", "volume")} | {"t": seconds}
-    got = fold(bars, inputs, ("open", "high", "low", "close", "volume", "start"), RollUpFold, minutes)
+    inputs = {f"opens{i}": is_open(at, m, week_start).cast("double") for i, m in enumerate(minutes)}
+    inputs |= {x: F.coalesce(F.col(x).cast("double"), F.lit(0.0)) for x in ("open", "high", "low", "close", "volume")} | {"t": seconds}
+    fields = ("open", "high", "low", "close", "volume", "start")
+    got = fold(bars, inputs, tuple(f"{x}{i}" for i in range(len(tfs)) for x in fields), FanOutFold, tuple(minutes))
+    of = F.array(*[F.struct(F.lit(tf).alias("tf"), F.lit(m).alias("timeframe"), *[F.col(f"{x}{i}").alias(x) for x in fields]) for i, (tf, m) in enumerate(zip(tfs, minutes, strict=True))])
+    one = got.select("symbol", F.explode(of).alias("b")).select("symbol", "b.*").filter(F.col("start").isNull() | (F.col("start") != float("inf")))
     time = F.col("start").cast("long") if dict(bars.dtypes)["time"] in ("bigint", "int") else F.timestamp_seconds(F.col("start").cast("long"))
-    return got.select("symbol", F.lit(tf).alias("tf"), time.alias("time"), "open", "high", "low", "close", "volume", side().alias("side"), F.lit(minutes).alias("timeframe"))
+    return one.select("symbol", "tf", time.alias("time"), "open", "high", "low", "close", "volume", side().alias("side"), "timeframe")
 
 
-def fan_out(bars: DataFrame, tfs: list[str], **how) -> DataFrame:
-    """One-minute bars and their roll-ups, one below the other."""
-    out = None
-    for tf in tfs:
-        one = bars.select("symbol", F.lit(tf).alias("tf"), "time", "open", "high", "low", "close", "volume", side().alias("side"), F.lit(1).alias("timeframe")) if timeframe_minutes(tf) == 1 else roll_up_exact(bars, tf, **how)
+def fan_out(bars: DataFrame, tfs: list[str], timezone: str = "UTC", week_start: int = 0) -> DataFrame:
+    """One-minute bars and their roll-ups, one below the other; one pass over the bars feeds all roll-ups. Works on streams."""
+    higher = [tf for tf in tfs if timeframe_minutes(tf) > 1]
+    out = _closed(bars, higher, timezone, week_start) if higher else None
+    for tf in (tf for tf in tfs if timeframe_minutes(tf) == 1):
+        one = bars.select("symbol", F.lit(tf).alias("tf"), "time", "open", "high", "low", "close", "volume", side().alias("side"), F.lit(1).alias("timeframe"))
         out = one if out is None else out.unionByName(one)
     return out

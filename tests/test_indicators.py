@@ -250,3 +250,44 @@ def test_zigzag_transitions():
         fold.step((o, max(o, c), min(o, c), c, float(t)))
         states.append((fold.way, fold.lead and fold.lead[4], fold.alarmed, fold.nest_follows))
     assert states == [(0, None, False, False), (1, 1.0, False, False), (1, 2.0, False, False), (1, 2.0, False, True), (1, 2.0, True, True), (1, 2.0, False, True), (1, 6.0, False, True)]
+
+
+@pytest.mark.parametrize("n", [1, 2, 20, 333])
+def test_sliding_statistics_equal_a_loop_over_batches(n):
+    from barloom.plans.sliding import Deviation, Drop, NotAbove, maxima
+
+    rng = np.random.default_rng(n)
+    x = np.round(1000 + rng.normal(0, 3, 1000).cumsum(), 1)  # ties
+    x[400] = np.nan  # missing: no output, and the windows close over it
+    parts = [x[:7], x[7:8], x[8:350], x[350:900], x[900:]]
+    kept = x[~np.isnan(x)]
+    windows = [kept[max(0, i - n + 1) : i + 1] for i in range(len(kept))]
+    full = [len(w) == n for w in windows]
+
+    def run(fold, k=0):
+        out = np.concatenate([np.asarray(fold.feed(p)[k]) for p in parts])
+        assert np.isnan(out[400])
+        return out[~np.isnan(x)]
+
+    want = [100 * (w <= w[-1]).mean() if f else np.nan for w, f in zip(windows, full)]
+    assert np.allclose(run(NotAbove(n)), want, equal_nan=True)
+    want = [np.abs(w - w.mean()).mean() if f else np.nan for w, f in zip(windows, full)]
+    assert np.allclose(run(Deviation(n), 2), want, equal_nan=True, atol=1e-9)
+    want = [np.sqrt((((w - w.max()) / w.max() * 100) ** 2).mean()) if f else np.nan for w, f in zip(windows, full)]
+    assert np.allclose(run(Drop(n)), want, equal_nan=True, atol=1e-6)
+    assert np.array_equal(maxima(kept, n), [w.max() for w, f in zip(windows, full) if f])
+
+
+def test_a_long_window_takes_about_the_time_of_a_short_one():
+    import time
+
+    from barloom.plans.sliding import Deviation, NotAbove
+
+    x = np.random.default_rng(1).random(40_000)
+    for make in (NotAbove, Deviation):
+        took = {}
+        for n in (20, 10_000):
+            began = time.process_time()
+            make(n).feed(x)
+            took[n] = time.process_time() - began
+        assert took[10_000] < 4 * took[20] + 0.5

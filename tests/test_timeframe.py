@@ -58,3 +58,18 @@ def test_time_zone_moves_the_day(spark):
 def test_fan_out(spark):
     df = from_matrix(spark, [[1, 2, 0.5, 1, 1]] * 30, "X")
     assert {r.tf: r["count"] for r in fan_out(df, ["1m", "5m", "15m"]).groupBy("tf").count().collect()} == {"1m": 30, "5m": 6, "15m": 2}
+
+
+def test_fan_out_is_one_exchange_and_equals_each_roll_up(spark):
+    rng, ticks = random.Random(6), []
+    for k in range(2000):
+        if k % 11 != 5:
+            p = 100 + rng.random()
+            ticks.append([p, p + 1, p - 1, p + rng.random() - 0.5, rng.random(), EPOCH + 60 * k])
+    df = from_matrix(spark, ticks, "X").cache()
+    tfs = ["5m", "7m", "15m", "1h", "4h"]
+    got = fan_out(df, tfs)
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    want = [r for tf in tfs for r in roll_up_exact(df, tf).collect()]
+    assert sorted(got.collect()) == sorted(want) and len({r.tf for r in want}) == 5
+    df.unpersist()
