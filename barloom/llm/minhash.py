@@ -7,8 +7,8 @@
    only one of each goes on.
 3. Improved consistent weighted sampling draws SAMPLES elements (shingle, level) per text, such that two
    texts share each with the probability of their weighted Jaccard similarity; BANDS bands of ROWS.
-4. A band's bucket of at most SMALL texts gives all its pairs that agree in ``least_agreed`` samples (0: all);
-   each is verified by the weighted Jaccard similarity of the whole texts, at least ``similarity``.
+4. A band's bucket of at most SMALL texts gives all its pairs (with ``least_agreed`` only those that agree in as
+   many samples, which may lose some); each is verified by the weighted Jaccard similarity of the whole texts, at least ``similarity``.
 5. A larger bucket is dealt into chunks of about CHUNK texts. A task takes one chunk with its texts, works
    out the weighted Jaccard similarity of every two of them as sums of matrix products, and gives out
    a spanning forest of the links, which connects what all of them connect: at most one row for each text.
@@ -42,8 +42,8 @@ from barloom.llm.shingles import Idf, fit_idf, mix, shingles
 BANDS, ROWS = 12, 2
 SAMPLES = BANDS * ROWS
 SMALL, CHUNK = 16, 256
-#: Pairs of similarity 0.8 agree in fewer samples than this with probability under 0.0002.
-LEAST_AGREED = 11
+#: Samples that a pair of a small bucket must agree in; over 0 pairs may be lost.
+LEAST_AGREED = 0
 SIMILARITY = 0.8
 _STEPS = 1 << 16
 _LEVEL = np.uint64(0x9E3779B97F4A7C15)
@@ -127,6 +127,8 @@ def candidates(members: DataFrame, signed: DataFrame, least_agreed: int = LEAST_
     """Candidate pairs (a, b), a < b, of buckets of at most SMALL: those that agree in least_agreed samples."""
     small = members.filter(F.col("n") <= SMALL).select("key", "id")
     every = small.alias("x").join(small.alias("y"), "key").filter(F.col("x.id") < F.col("y.id")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    if not least_agreed:
+        return every
     sig_a, sig_b = signed.select(F.col("id").alias("a"), F.col("sig").alias("sig_a")), signed.select(F.col("id").alias("b"), F.col("sig").alias("sig_b"))
     agreed = F.aggregate(F.zip_with("sig_a", "sig_b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
     return every.join(sig_a, "a").join(sig_b, "b").filter(agreed >= least_agreed).select("a", "b")

@@ -4,14 +4,16 @@
   weights in turn and share ``share`` times all words; a target stops at ``max_repeat`` times its
   source's words and the excess is shared again by weight until no target is above.
 * A hash of id and text puts a source's documents in a random order, cut into blocks of about
-  ``block_words`` words (equal ranges of the hash): the permuted blocks.
+  ``block_words`` words (equal ranges of the hash), and into ``shard_blocks`` for each shard at least: the
+  permuted blocks. A shard so gets some tens of blocks of every source, near the source's share of the mix; a
+  block of a small source may hold one document or none.
 * A binary tree splits the blocks of all sources among the output shards: at each node the left half's
   share of every source is one draw of the multivariate hypergeometric distribution, so every shard gets
   exact quotas of blocks, and takes that many of each source's permuted blocks; no two shares a block.
 * A shard draws from its own blocks only: as many whole rounds of them as the source's target holds, and of
   the rest of the target its part by words (integers that add up exactly). For that part it takes its
   blocks in order, of the last block the leading documents, of the last document its leading words (``cut``)
-  or all or nothing of it. Which documents a source gives, and how often, so follows from the tree.
+  or all or nothing of it. All copies of a document are in the shard that has its block. Which documents a source gives, and how often, so follows from the tree.
 * Inside a shard a hash of document and copy gives the order; ``mixed`` brings the rows into it.
 
 Only one row per source reaches the driver (at most ``max_sources``, else ValueError). Block sums are
@@ -88,6 +90,7 @@ def draws(
     seed: int = 11,
     shards: int = 64,
     block_words: int = 1 << 16,
+    shard_blocks: int = 32,
     cut: bool = True,
     max_sources: int = 100_000,
     keep: tuple[str, ...] | None = None,
@@ -120,7 +123,7 @@ def draws(
     sizes = [int(r["n"]) for r in sums]
     goal = targets([float(x) for x in sizes], weights, share, max_repeat)
     block_words = max(block_words, sum(sizes) >> 28)
-    n_blocks = [max(1, math.ceil(x / block_words)) for x in sizes]
+    n_blocks = [max(shards * shard_blocks, math.ceil(x / block_words)) for x in sizes]
     rounds = [min(max_repeat, int(g // x)) if x else 0 for g, x in zip(goal, sizes, strict=True)]
     rest = [max(0, round(g) - r * x) for g, r, x in zip(goal, rounds, sizes, strict=True)]
     quotas = splitting_tree(n_blocks, shards, seed) if sums else np.zeros((shards, 0), dtype=np.int64)

@@ -190,7 +190,7 @@ def plain_draws(spark, df, seed=11, shards=64, block_words=500):
     names = sorted(set(by) - {None}) + [None] * (None in by)
     sizes = [sum(x[2] for x in by[n]) for n in names]
     goal = plain_targets(sizes)
-    n_blocks = [max(1, -(-x // block_words)) for x in sizes]
+    n_blocks = [max(32 * shards, -(-x // block_words)) for x in sizes]
     quotas = splitting_tree(n_blocks, shards, seed)
     out = Counter()
     for i, name in enumerate(names):
@@ -221,6 +221,15 @@ def test_draws_equal_a_plain_version_and_depend_on_the_tree(spark):
     assert plain_draws(spark, df, shards=1) != plain_draws(spark, df, shards=64)
 
 
+def test_every_shard_holds_every_source_near_its_share(spark):
+    rng = random.Random(8)
+    rows = [(i, " ".join(["w"] * rng.randint(20, 60)), "abcde"[min(4, int(rng.expovariate(0.8)))]) for i in range(6000)]
+    got = draws(spark.createDataFrame(rows, "doc_id long, text string, source string"), shards=8).select("source", "mix_target", F.explode("mix_draws").alias("d")).select("source", "mix_target", "d.*").groupBy("source", "shard").agg(F.sum("words").alias("n"), F.first("mix_target").alias("target")).collect()
+    assert len(got) == 5 * 8
+    for r in got:
+        assert 0.5 < 8 * r.n / r.target < 1.6, r
+
+
 def test_shards_are_disjoint_and_shuffled(spark):
     df, _ = mix_docs(spark)
     got = mixed(df, block_words=500, shards=8, placed=True).filter("doc_id is not null").collect()

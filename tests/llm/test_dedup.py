@@ -340,12 +340,13 @@ def test_maximal_repeats_have_all_occurrences():
     assert longest[0] == longest[2] == (260, 1) and longest[1] == (230, 1) and 3 in longest
 
 
-def test_similarity_bound_of_the_sample_filter():
-    """Texts of similarity 0.8 agree in LEAST_AGREED of the samples but for a few in ten thousand."""
-    from math import comb
-
-    miss = sum(comb(minhash.SAMPLES, k) * 0.8**k * 0.2 ** (minhash.SAMPLES - k) for k in range(minhash.LEAST_AGREED))
-    assert miss < 2e-4
+def test_every_pair_of_a_small_bucket_is_verified(spark):
+    """A pair that shares one band and differs in all other samples is a candidate by default."""
+    sig = lambda first: list(range(first, first + minhash.SAMPLES))
+    signed = spark.createDataFrame([(1, [7, 7, *sig(0)[2:]]), (2, [7, 7, *sig(100)[2:]]), (3, sig(200))], "id long, sig array<long>")
+    members = minhash.buckets(signed)
+    assert [tuple(r) for r in minhash.candidates(members, signed).collect()] == [(1, 2)]
+    assert minhash.candidates(members, signed, 3).isEmpty()
 
 
 def test_rows_alike_do_not_grow_a_group_of_repeats(spark):
