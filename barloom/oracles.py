@@ -445,6 +445,7 @@ j AS (SELECT coalesce(m.symbol, nw.symbol) AS symbol, coalesce(m."time", nw."tim
   ((coalesce(nw.sma, m.sma) IS NOT NULL)::INT + (m.mom IS NOT NULL)::INT + (nw.symbol IS NOT NULL)::INT) AS n_keys FROM m FULL JOIN nw ON m.symbol = nw.symbol AND m."time" = nw."time")
 SELECT {_rounded({'close': 'close', 'sma': 'sma', 'mom_sign': 'mom_sign', 'added': 'added'}, 'symbol, "time", n_keys')} FROM j""")
     out["store_stats"] = _from(stored + f""" SELECT count(mom) AS n, {_rounded({'least': 'min(mom)', 'largest': 'max(mom)', 'mean': 'avg(mom)', 'last_value': 'arg_max(mom, "time") FILTER (mom IS NOT NULL)'}, 'max("time") FILTER (mom IS NOT NULL) AS last_time')} FROM m WHERE symbol = 'click'""")
+    out["store_summaries"] = _from(stored + f""" SELECT symbol, count(mom) AS n, {_rounded({'least': 'min(mom)', 'largest': 'max(mom)', 'mean': 'avg(mom)', 'last_value': 'arg_max(mom, "time") FILTER (mom IS NOT NULL)'}, 'max("time") FILTER (mom IS NOT NULL) AS last_time')} FROM m GROUP BY symbol""")
     out["store_complete"] = _from(stored + """, z AS (SELECT * FROM m WHERE symbol = 'view' ORDER BY "time" DESC LIMIT 50) SELECT 'SMA_20' AS key, bool_and(sma IS NOT NULL) AS complete, count(*) AS n_rows FROM z UNION ALL SELECT 'MOM_10', bool_and(mom IS NOT NULL), count(*) FROM z""")
     out["store_keys"] = "SELECT * FROM (VALUES ('MOM_10'), ('SMA_20')) t(key)"
     out["store_series"] = _from(stored + f""" SELECT {_rounded({'value': 'mom', 'sign': 'sign(mom)::DOUBLE'}, '"time"')} FROM m WHERE symbol = 'error' AND mom IS NOT NULL""")

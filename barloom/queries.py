@@ -149,6 +149,19 @@ def store_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(indicator_stats(_stored(spark, sf_dir).filter("symbol = 'click'"), "MOM_10"))
 
 
+def store_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics from the summaries of a store, written twice: half of the documents come with a second write."""
+    from barloom.session import shared_folder
+    from barloom.sources.store import BarStore
+    from barloom.sources.summaries import stats
+
+    store, rows = BarStore(spark, shared_folder(spark, "summaries")), _stored(spark, sf_dir).persist()
+    store.upsert(rows, "ex", F.when(F.col("time") % 240 == 0, F.col("indicators")))
+    store.merge_indicators(rows.filter("time % 240 != 0").select("symbol", "tf", "time", F.coalesce("indicators", F.create_map().cast("map<string,map<string,double>>")).alias("indicators")), "ex")
+    rows.unpersist()
+    return shown(stats(store.summaries("ex"), "MOM_10", ("symbol",)).withColumn("symbol", F.lower("symbol")))
+
+
 def store_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
     from barloom.sources.store import completeness
 
@@ -306,7 +319,7 @@ def long_series_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 RELATIONAL = (
     overview, bars_valid, bars_hourly, bars_daily, extractors, rollup_5m, rollup_4h, rollup_exact_7m, rollup_fan_out, multi_timeframe_sma, skip_and_recent, duplicates_last_write,
-    store_merge, store_stats, store_complete, store_keys, store_series, store_candles_with, store_latest, store_history_page, store_retention, store_bulk_points, payload_points, payload_bars, as_of_higher_timeframe, duplicates_series, late_bars, long_series_windows, long_series_scan,
+    store_merge, store_stats, store_summaries, store_complete, store_keys, store_series, store_candles_with, store_latest, store_history_page, store_retention, store_bulk_points, payload_points, payload_bars, as_of_higher_timeframe, duplicates_series, late_bars, long_series_windows, long_series_scan,
 )
 
 

@@ -4,7 +4,10 @@ A row has the bar and ``indicators``: map<string, map<string, double>>, one entr
 scalars under "value". A span is SPAN_SECONDS of time, so that a write rewrites the spans it touches and not
 the history of the series, and a time range prunes folders. Writes read the touched partitions, merge, and
 overwrite those only; Spark stages the new files and swaps folders when the job commits, after all reading.
-Names are checked on every write, symbols are upper-cased, and all partition columns but span are strings.
+Names are checked on every write, symbols are upper-cased, and all partition columns but span are strings. A write
+also leaves summaries of the spans that it writes, from which keys, statistics, completeness and the latest row
+are read. Folders are swapped one by one: a reader at that moment may see some spans before and some after a write, and
+two writers of one span at a time lose one's rows; one writer for each series is assumed.
 """
 
 from __future__ import annotations
@@ -14,11 +17,13 @@ import uuid
 from dataclasses import dataclass
 
 from py4j.protocol import Py4JJavaError
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from barloom.plans.state import STATE_SCHEMA
+from barloom.sources import summaries
 
 BAR = ("open", "high", "low", "close", "volume")
 PARTITION = ("exchange", "symbol", "tf")
@@ -137,21 +142,32 @@ class BarStore:
         return candles_with(self.rows(exchange, symbol, tf, start, end), keys, limit)
 
     def latest_bar(self, exchange: str, symbol: str, tf: str) -> DataFrame:
-        return self.rows(exchange, symbol, tf).select("time", *BAR).orderBy(F.desc("time")).limit(1)
+        """The last row, by the summaries of spans: no bars are read."""
+        return summaries.latest(self.summaries(exchange, symbol, tf))
 
     def stats(self, exchange: str, symbol: str, tf: str, key: str) -> DataFrame:
-        return indicator_stats(self.rows(exchange, symbol, tf), key)
+        """Count, least, largest, mean and last value of a scalar indicator, by the summaries of spans."""
+        return summaries.stats(self.summaries(exchange, symbol, tf), key)
 
     def complete(self, exchange: str, symbol: str, tf: str, key: str, last_n: int) -> tuple[bool, int]:
-        """Whether the last n rows all have the key, and how many rows there are of them."""
-        row = completeness(self.rows(exchange, symbol, tf), key, last_n).first()
-        return bool(row["complete"]), int(row["n_rows"])
+        """Whether the last n rows all have the key, and how many rows there are of them, by the summaries of spans."""
+        return summaries.complete(self.summaries(exchange, symbol, tf), key, last_n)
+
+    def summaries(self, exchange: str | None = None, symbol: str | None = None, tf: str | None = None) -> DataFrame:
+        """What every write leaves of the spans that it writes (``sources.summaries``)."""
+        try:
+            df = self.spark.read.schema(summaries.SCHEMA).parquet(f"{self.path}/summaries")
+        except AnalysisException:
+            df = self.spark.createDataFrame([], summaries.SCHEMA)
+        for name, value in zip(PARTITION, (exchange, None if symbol is None else check_component(symbol), tf), strict=True):
+            df = df if value is None else df.filter(F.col(name) == value)
+        return df
 
     def count(self, exchange: str, symbol: str, tf: str) -> int:
         return self.rows(exchange, symbol, tf).count()
 
     def indicator_keys(self, exchange: str, symbol: str, tf: str, most: int = 1000) -> DataFrame:
-        return indicator_keys(self.rows(exchange, symbol, tf)).limit(most)
+        return summaries.keys(self.summaries(exchange, symbol, tf)).limit(most)
 
     def _folders(self) -> list[tuple[str, str, str, int]]:
         """(exchange, symbol, tf, span) of every folder: names only, no file is read."""
@@ -210,7 +226,13 @@ class BarStore:
         self.merge_indicators(to_documents(points), exchange)
 
     def _merge(self, new: DataFrame, with_bars: bool) -> None:
-        new = new.withColumn("symbol", F.upper(F.trim("symbol")))
+        new = new.withColumn("symbol", F.upper(F.trim("symbol"))).persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            self._merge_checked(new, with_bars)
+        finally:
+            new.unpersist()
+
+    def _merge_checked(self, new: DataFrame, with_bars: bool) -> None:
         wrong = ~(F.col("symbol").rlike("^[A-Z0-9]{1,63}$") & F.col("tf").rlike("^[A-Za-z0-9]{1,63}$") & F.col("time").isNotNull())
         span = F.floor(F.col("time") / SPAN_SECONDS).cast("int")
         seen = new.agg(F.count_if(F.coalesce(wrong, F.lit(True))).alias("wrong"), F.min(span).alias("low"), F.max(span).alias("high")).first()
@@ -227,11 +249,14 @@ class BarStore:
         self._replace(merge_rows(old, new, with_bars))
 
     def _replace(self, rows: DataFrame) -> None:
-        rows = rows.withColumn("span", F.floor(F.col("time") / SPAN_SECONDS).cast("int"))
+        rows = rows.withColumn("span", F.floor(F.col("time") / SPAN_SECONDS).cast("int")).repartition(*PARTITION, "span").sortWithinPartitions(*KEY).persist(StorageLevel.DISK_ONLY)
         try:
-            rows.repartition(*PARTITION, "span").sortWithinPartitions(*KEY).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*PARTITION, "span").parquet(f"{self.path}/bars")
+            for df, folder in ((rows, "bars"), (summaries.summarise(rows), "summaries")):
+                df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*PARTITION, "span").parquet(f"{self.path}/{folder}")
         except Py4JJavaError as e:
             raise StorageError(f"writing to {self.path} failed") from e
+        finally:
+            rows.unpersist()
 
     def delete_older(self, now: int, days: int, exchange: str | None = None, symbol: str | None = None, tf: str | None = None) -> None:
         """Drop rows before now - days: the folders of whole spans go, and only spans at the edge are rewritten."""
@@ -248,8 +273,9 @@ class BarStore:
             self._replace(kept)
         jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
         for e, s, t, k in gone:
-            at = jvm.org.apache.hadoop.fs.Path(f"{self.path}/bars/exchange={e}/symbol={s}/tf={t}/span={k}")
-            at.getFileSystem(conf).delete(at, True)
+            for folder in ("bars", "summaries"):
+                at = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{folder}/exchange={e}/symbol={s}/tf={t}/span={k}")
+                at.getFileSystem(conf).delete(at, True)
 
     def take_over(self, bars: DataFrame, exchange: str, points: DataFrame | None = None) -> None:
         """Move what is held in memory into the store: the bars, and points in long form (symbol, tf, time, key, value)."""

@@ -147,3 +147,33 @@ def test_payloads(spark):
     assert json.loads(symbols_frame(df).first().payload)["symbols"] == [{"symbol": "BTC", "tfs": ["1m"]}]
     pivots = spark.createDataFrame([("A", "1m", 9, "HH", 5.0, 3, 4.5, 4.0)], "symbol string, tf string, time long, label string, price double, pivot_time long, pivot_close double, break_close double")
     assert (p := zigzag_points(pivots).first()).time == 3 and json.loads(p.color) == {"label": "HH", "break": 4.0}
+
+
+def test_summaries_answer_as_a_scan_does(spark, store):
+    """Several spans, rows without a bar, gaps in a key, merges and deletions; the answers read summaries only."""
+    from barloom.sources.store import SPAN_SECONDS, completeness, indicator_keys, indicator_stats
+
+    day = 86_400
+    df = from_matrix(spark, [[i + 1, i + 2, i, i + 1, 1, EPOCH + day * i] for i in range(100)], "BTC")
+    store.upsert(df, "x", as_document({"A": F.col("close"), "B": {"u": F.col("open")}}))
+    store.merge_indicators(df.filter(F.col("time") % (3 * day) == 0).select("symbol", "tf", "time", F.expr("map('C', map('value', close))").alias("indicators")), "x")
+    store.merge_indicators(df.filter(F.col("time") == EPOCH + 90 * day).select("symbol", "tf", "time", F.expr("map('A', cast(map() as map<string,double>))").alias("indicators")), "x")
+    store.merge_points(spark.createDataFrame([("BTC", "1m", EPOCH + day * 120, "A", 7.0)], "symbol string, tf string, time long, key string, value double"), "x")
+
+    def check():
+        rows = store.rows("x", "BTC", "1m")
+        for key in ("A", "B", "C", "none"):
+            got, want = store.stats("x", "BTC", "1m", key).first(), indicator_stats(rows, key).first()
+            assert tuple(got) == pytest.approx(tuple(want), nan_ok=True), key
+            for n in (1, 9, 10, 11, 40, 1000):
+                want = completeness(rows, key, n).first()
+                assert store.complete("x", "BTC", "1m", key, n) == (want.complete, want.n_rows), (key, n)
+        assert store.indicator_keys("x", "BTC", "1m").collect() == indicator_keys(rows).collect()
+        assert store.latest_bar("x", "BTC", "1m").collect() == rows.select("time", "open", "high", "low", "close", "volume").orderBy(F.desc("time")).limit(1).collect()
+
+    check()
+    store.delete_older(EPOCH + 41 * day, 1)
+    check()
+    assert {r.span for r in store.summaries().collect()} == {(EPOCH + d * day) // SPAN_SECONDS for d in (40, 60, 90, 120)}
+    for df in (store.stats("x", "BTC", "1m", "A"), store.indicator_keys("x", "BTC", "1m"), store.latest_bar("x", "BTC", "1m")):
+        assert df.inputFiles() and all("/summaries/" in f for f in df.inputFiles())
