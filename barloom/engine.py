@@ -64,6 +64,7 @@ class Engine:
     listeners: dict[str, list[Listener]] = field(default_factory=dict)
     bar_listeners: dict[tuple[str, str], list[Listener]] = field(default_factory=dict)
     silent: bool = False
+    source: Callable[[], DataFrame] | None = None
 
     @property
     def store(self) -> BarStore:
@@ -121,14 +122,21 @@ class Engine:
         """Push one bar and advance."""
         self.push(self.spark.createDataFrame([(symbol, time, open, high, low, close, volume)], "symbol string, time long, open double, high double, low double, close double, volume double"))
 
+    def follow(self, source: Callable[[], DataFrame]) -> None:
+        """Take bars from a stream (BAR_SCHEMA) in place of pushes, for example of ``sources.cursor``; ``advance`` reads what is new."""
+        self.source = source
+
+    def _bars(self) -> DataFrame:
+        return stream_bars(self.spark, f"{self.config.path}/inbox", per_trigger=EVERY_FILE) if self.source is None else self.source().filter(valid_bar() & F.col("time").isNotNull())
+
     def advance(self) -> None:
         """Carry all that was pushed into the store, the timeframes, the operators and the listeners."""
         source = self.config.source_timeframe
         wanted = {tf for *_, tf in self.bar_listeners} | {u["tf"] for u in self.uses.info()}
         handlers = lambda tf: [self._to_store, self._to_bar_listeners, functools.partial(self._to_uses, tf)]
-        self._run(stream_bars(self.spark, f"{self.config.path}/inbox", per_trigger=EVERY_FILE), "bars", handlers(source))
+        self._run(self._bars(), "bars", handlers(source))
         for tf in sorted(wanted - {source}):
-            rolled = roll_up_exact(stream_bars(self.spark, f"{self.config.path}/inbox", per_trigger=EVERY_FILE), tf, self.config.timezone, self.config.week_start)
+            rolled = roll_up_exact(self._bars(), tf, self.config.timezone, self.config.week_start)
             self._run(rolled.filter(F.col("time").isNotNull()), f"tf-{tf}", handlers(tf))
         for use in self.uses.info():
             self._catch_up(use)

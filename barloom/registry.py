@@ -88,6 +88,28 @@ def get(name: str) -> Operator:
         raise KeyError(f"no operator {name!r}; there are {', '.join(sorted(OPERATORS))}") from None
 
 
+#: What an operator is made of: the operators, with their parameters by the operator's own.
+PARTS: dict[str, Callable[[dict], list[tuple[str, dict]]]] = {
+    "macd": lambda p: [("ema", {"period": p[x], "value": p["value"]}) for x in ("fast", "slow")],
+    "bbands": lambda p: [(x, {"period": p["period"], "value": p["value"]}) for x in ("sma", "stddev")],
+    "keltner": lambda p: [("ema", {"period": p["period"], "value": p["value"]}), ("atr", {"period": p["atr_period"], "parity": p["parity"]})],
+    "dema": lambda p: [("ema", {"period": p["period"], "value": p["value"]})],
+    "tema": lambda p: [("ema", {"period": p["period"], "value": p["value"]})],
+    "trix": lambda p: [("ema", {"period": p["period"], "value": p["value"]})],
+    "hma": lambda p: [("wma", {"period": n, "value": p["value"]}) for n in (p["period"] // 2, p["period"])],
+    "zscore": lambda p: [(x, {"period": p["period"], "value": p["value"]}) for x in ("sma", "stddev")],
+    "atr": lambda p: [("tr", {"parity": p["parity"]})],
+    "natr": lambda p: [("atr", {"period": p["period"], "parity": p["parity"]})],
+    "chandelier": lambda p: [("atr", {"period": p["period"]})],
+    "supertrend": lambda p: [("atr", {"period": p["period"], "parity": p["parity"]})],
+    "stochrsi": lambda p: [("rsi", {"period": p["rsi"], "value": p["value"]})],
+    "ac": lambda p: [("ao", {})],
+    "adosc": lambda p: [("ad", {})],
+    "ppo": lambda p: [("ema", {"period": p[x], "value": p["value"]}) for x in ("fast", "slow")],
+    "apo": lambda p: [("ema", {"period": p[x], "value": p["value"]}) for x in ("fast", "slow")],
+}
+
+
 def listing() -> list[dict]:
     return [{"name": o.name, "family": o.family, "params": o.defaults} for o in OPERATORS.values()]
 
@@ -118,6 +140,40 @@ class Registrations:
     def info(self) -> list[dict]:
         return [{"key": k, "name": op.name, "symbol": s, "tf": tf, "params": op.defaults | p, "uses": self._counts[k]} for k, (op, s, tf, p) in self._uses.items()]
 
+    def graph(self) -> dict[str, list[str]]:
+        """Every use and what it is made of, key to keys; a part that several uses have is one node."""
+        out: dict[str, list[str]] = {}
+
+        def add(key: str, op: Operator, symbol: str, tf: str, params: dict) -> None:
+            if key in out:
+                return
+            parts = [(get(name), p) for name, p in PARTS.get(op.name, lambda p: [])(op.defaults | params)]
+            out[key] = [o.key(symbol, tf, **p) for o, p in parts]
+            for (o, p), k in zip(parts, list(out[key]), strict=True):
+                add(k, o, symbol, tf, p)
+
+        for key, (op, symbol, tf, params) in self._uses.items():
+            add(key, op, symbol, tf, params)
+        return out
+
+    def tree(self, source: str = "1m") -> str:
+        """The graph as indented text, what nothing is made of first; each node once, with source and own timeframe."""
+        graph, lines, seen = self.graph(), [], set()
+
+        def show(key: str, depth: int, tf: str) -> None:
+            if key not in seen:
+                seen.add(key)
+                of = f"[{tf}]" if tf == source else f"[{source} -> {tf}]"
+                lines.append("  " * depth + f"- {key} {of}")
+                for part in sorted(graph[key]):
+                    show(part, depth + 1, tf)
+
+        parts = {p for ps in graph.values() for p in ps}
+        for key in sorted(graph):
+            if key not in parts:
+                show(key, 0, self._uses[key][2])
+        return "\n".join(lines)
+
     def compute(self, bars: DataFrame) -> dict[str, DataFrame]:
         """The result of each use over its own series of bars."""
         return {k: op(bars.filter((bars["symbol"] == s) & (bars["tf"] == tf)), **p) for k, (op, s, tf, p) in self._uses.items()}

@@ -161,3 +161,81 @@ def test_frames(spark):
     drawing = json.loads(zigzag_drawing(pivots).first().payload)["drawing"]
     assert [p["time"] for p in drawing["points"]] == [1, 3] and [p["text"] for p in drawing["pointLabels"]] == ["L", "HH"]
     assert json.loads(drawing_delete(spark.createDataFrame([("b",), ("a",)], "id string")).first().payload)["drawingIds"] == ["a", "b"]
+
+
+def test_shared_parts_and_their_tree(spark, front):
+    macd, ema, bands = front.use("macd", "BTC", "1m"), front.use("ema", "BTC", "1m", period=12), front.use("bbands", "BTC", "5m")
+    graph = front.uses.graph()
+    assert graph[macd] == [ema, ema.replace("_12_", "_26_")] and graph[ema] == [] and len(graph[bands]) == 2
+    assert front.uses.tree().split("\n") == [
+        f"- {bands} [1m -> 5m]", "  - SMA_BTC_5m_20_close [1m -> 5m]", "  - STDDEV_BTC_5m_20_close [1m -> 5m]",
+        f"- {macd} [1m]", f"  - {ema} [1m]", "  - EMA_BTC_1m_26_close [1m]",
+    ]
+    front.push(bars(spark, 2), advance=False)
+    started = []
+    front._run = lambda rows, name, handlers: started.append(name)
+    front._catch_up = lambda use: None
+    front.advance()
+    assert started == ["bars", "tf-5m"]  # a query for each timeframe, whatever the number of uses
+
+
+def test_a_table_is_followed_without_reading_a_row_twice(spark, tmp_path):
+    import sqlite3
+
+    from barloom.sources.cursor import CandleTable
+    from barloom.streaming.live import each_batch
+
+    spark.dataSource.register(CandleTable)
+    path, start = str(tmp_path / "db"), 1_704_067_200_000
+
+    def insert(symbol, times):
+        with sqlite3.connect(path) as db:
+            db.execute(f"CREATE TABLE IF NOT EXISTS k_{symbol} (open_time integer, open real, high real, low real, close real, volume real)")
+            db.executemany(f"INSERT INTO k_{symbol} VALUES (?, ?, ?, ?, ?, ?)", [(start + 60_000 * t, t, t + 1, t - 1, t, None if t % 2 else 1) for t in times])
+
+    insert("BTC", range(25))
+    insert("ETH", [])
+    options = {"connect": json.dumps([path]), "table": "k_{symbol}", "symbol": "btc, ETH", "rows_per_task": "10"}
+    once = spark.read.format("candle_table").options(**options).load()
+    assert once.count() == 25 and once.rdd.getNumPartitions() == 3
+    seen = []
+
+    def run(**more):
+        stream = spark.readStream.format("candle_table").options(**options, **more).load()
+        each_batch(stream, [lambda b, e: seen.extend((r.symbol, int(r.time.timestamp() - start // 1000) // 60) for r in b.collect())], str(tmp_path / "c")).awaitTermination()
+
+    run()
+    assert sorted(seen) == [("BTC", t) for t in range(25)]
+    run()
+    insert("BTC", range(25, 30))
+    insert("ETH", range(3))
+    run()
+    assert sorted(seen) == [("BTC", t) for t in range(30)] + [("ETH", t) for t in range(3)]
+    with pytest.raises(Exception, match="no table name"):
+        spark.read.format("candle_table").options(**options | {"table": "x; drop {symbol}"}).load().count()
+
+    e = engine.Engine(spark, Config(str(tmp_path / "e"), timezone="UTC", exchange="x"))
+    e.follow(lambda: spark.readStream.format("candle_table").options(**options).load())
+    key = e.use("sma", "BTC", "1m", period=3)
+    e.advance()
+    insert("BTC", range(30, 32))
+    e.advance()
+    assert e.to_lists(key)["value"] == [float(t) for t in range(1, 31)] and not (tmp_path / "e" / "inbox").exists()
+
+
+def test_a_trigger_takes_a_page(tmp_path):
+    import sqlite3
+
+    from barloom.sources.cursor import _Stream
+
+    path = str(tmp_path / "db")
+    with sqlite3.connect(path) as db:
+        db.execute("CREATE TABLE BTC (open_time integer, open real, high real, low real, close real, volume real)")
+        db.executemany("INSERT INTO BTC VALUES (?, 1, 1, 1, 1, 1)", [(t,) for t in range(10, 110, 10)])
+    stream, at, pages = _Stream({"connect": json.dumps([path]), "symbol": "BTC", "rows_per_trigger": "4", "rows_per_task": "3"}), None, []
+    at = stream.initialOffset()
+    while (end := stream.latestOffset()) != at:
+        pages.append([p.value[1:] for p in stream.partitions(at, end)])
+        at = end
+        stream.commit(end)
+    assert [[b for _, b in p] for p in pages] == [[30, 40], [70, 80], [100]]
