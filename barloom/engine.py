@@ -245,6 +245,11 @@ class Engine:
         fields = dict.fromkeys(f for r in rows for f in r["fields"])
         return {"time": [r["time"] for r in rows], **{f: [r["fields"].get(f) for r in rows] for f in fields}}
 
+    def recent(self, symbol: str, tf: str, n: int | None = None) -> DataFrame:
+        """The last n bars of a series, max_bars at most, in time order."""
+        rows = self.store.rows(self.config.exchange, symbol, tf).filter(F.col("open").isNotNull())
+        return rows.orderBy(F.desc("time")).limit(min(n or self.config.max_bars, self.config.max_bars)).select("time", *BAR).orderBy("time")
+
     def snapshot(self, symbol: str, tf: str) -> DataFrame:
         """The frame that a new client gets: the last bars of a series."""
         return snapshot(self.store.rows(self.config.exchange, symbol, tf).filter(F.col("open").isNotNull()), self.config.snapshot_size)

@@ -6,6 +6,7 @@ none where the bars are partitioned and sorted by series already.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
@@ -94,8 +95,13 @@ def lag(x: str, n: int = 1) -> Column:
 def one_per_time(bars: DataFrame) -> DataFrame:
     """Of bars of one series and time the one that the store keeps: of the largest version, else the largest bar.
 
+    A bar whose price is missing (NaN, as padded columns have) is no bar: windows and folds both go on over it.
     The window is sorted by series and time first, so that windows after it need no further shuffle or sort.
     """
+    kinds = dict(bars.dtypes)
+    missing = [F.isnan(c) for c in ("open", "high", "low", "close") if kinds.get(c) in ("double", "float")]
+    if missing:
+        bars = bars.filter(~F.coalesce(functools.reduce(lambda x, y: x | y, missing), F.lit(False)))
     order = [F.desc_nulls_last(c) for c in ("version", "open", "high", "low", "close", "volume") if c in bars.columns]
     w = Window.partitionBy(*KEYS).orderBy("time", *order)
     return bars.withColumn("__before", F.lag("time").over(w)).filter(~F.col("time").eqNullSafe(F.col("__before")) | F.col("__before").isNull()).drop("__before")

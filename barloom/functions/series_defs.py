@@ -6,9 +6,22 @@ from pyspark.sql import DataFrame, SparkSession
 
 from barloom.registry import OPERATORS
 
-SCHEMA = "key string, family string, pane string, kind string, color string, levels array<double>"
-#: Reference lines drawn for bounded oscillators.
-LEVELS = {"rsi": [30.0, 70.0], "stochastic": [20.0, 80.0], "stochrsi": [20.0, 80.0], "williams_r": [-80.0, -20.0], "cci": [-100.0, 100.0], "mfi": [20.0, 80.0], "cmo": [-50.0, 50.0], "uo": [30.0, 70.0], "chop": [38.2, 61.8]}
+LEVEL = "struct<value:double,color:string,style:int,label:string>"
+SCHEMA = f"key string, family string, pane string, kind string, color string, levels array<{LEVEL}>"
+HIGH, MIDDLE, LOW = "#EF5350", "#454560", "#26A69A"
+#: Reference lines drawn for bounded oscillators (value, colour, line style, text).
+LEVELS = {
+    "rsi": [(70.0, HIGH, 2, "OB"), (50.0, MIDDLE, 2, ""), (30.0, LOW, 2, "OS")],
+    "stochastic": [(80.0, HIGH, 2, ""), (20.0, LOW, 2, "")],
+    "stochrsi": [(80.0, HIGH, 2, ""), (20.0, LOW, 2, "")],
+    "williams_r": [(-20.0, HIGH, 2, "OB"), (-80.0, LOW, 2, "OS")],
+    "cci": [(100.0, HIGH, 2, "OB"), (-100.0, LOW, 2, "OS")],
+    "mfi": [(80.0, HIGH, 2, "OB"), (20.0, LOW, 2, "OS")],
+    "cmo": [(50.0, HIGH, 2, "OB"), (-50.0, LOW, 2, "OS")],
+    "uo": [(70.0, HIGH, 2, "OB"), (30.0, LOW, 2, "OS")],
+    "adx": [(25.0, "#787B86", 2, "Trend")],
+    "chop": [(61.8, HIGH, 2, ""), (38.2, LOW, 2, "")],
+}
 #: Line colours of the operators that have one of their own.
 COLORS = {
     "sma": "#26A69A", "ema": "#FF9800", "wma": "#E91E63", "dema": "#AB47BC", "tema": "#7B1FA2", "hma": "#00BCD4", "zlema": "#4CAF50", "kama": "#FF5722",
@@ -55,4 +68,4 @@ def output_defs(spark: SparkSession, name: str, outputs: list[str], pane_height:
         key = name if len(outputs) == 1 else f"{name}.{output}"
         title = label if len(outputs) == 1 else f"{label} {output}"
         rows.append((key, title, family, pane, "histogram" if hist else kind, own, UP if hist else None, DOWN if hist else None, f"pane_{name}", None if pane == "main" else pane_height, levels))
-    return spark.createDataFrame(rows, "key string, label string, family string, pane string, kind string, color string, color_pos string, color_neg string, pane_id string, pane_height int, levels array<double>")
+    return spark.createDataFrame(rows, "key string, label string, family string, pane string, kind string, color string, color_pos string, color_neg string, pane_id string, pane_height int, levels array<" + LEVEL + ">")

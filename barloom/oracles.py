@@ -410,6 +410,18 @@ def _by_name(queries: dict[str, str]) -> str:
     return " UNION ALL ".join(f"""SELECT symbol, "time", '{name}' AS name, {name} AS value FROM ({sql})""" for name, sql in queries.items())
 
 
+def _parity() -> dict[str, str]:
+    tr = TR.replace("CASE WHEN n = 1 THEN h - l", "CASE WHEN n = 1 THEN NULL WHEN n = 2 THEN h - l")
+    out = {"tr": windows(1, {"tr": tr}), "atr": recursive(15, {"atr": "a"}, [ema("a", "r.tr", 14, 2, k=1 / 14)], {"tr": tr})}
+    out["roc"] = windows(13, {"roc": "(c - p) * 100e0 / nullif(p, 0e0)"}, {"p": f"CASE WHEN n = 13 THEN {lag('c', 12)} ELSE {lag('c', 13)} END"})
+    out["zlema"] = recursive(14, {"zlema": "e"}, [ema("e", "r.z", 14)], {"z": f"2 * c - coalesce({lag('c', 7)}, first_value(c) OVER {W})"})
+    scale = num(1 / 0.015)
+    out["cci"] = windows(20, {"cci": f"(tp - m) / (list_sum(list_transform(w, lambda x: abs(x - m))) / 20e0 * {scale} + 1e-10) * {scale}"}, {"tp": HLC3}, {"m": over("avg(tp)", 20), "w": over("list(tp)", 20)})
+    gain = f"pow(abs(c - {lag('c', 11)}) / coalesce(nullif({over('sum(abs(c - pc))', 10)}, 0e0), 1e-10) * {num(2 / 3 - 2 / 31)} + {num(2 / 31)}, 2)"
+    out["kama"] = recursive(12, {"kama": "y"}, [("y", "r.c", "CASE WHEN r.n < 12 THEN x.y ELSE x.y + r.g * (r.c - x.y) END")], {"pc": lag("c")}, {"g": gain})
+    return out
+
+
 def relational_sql() -> dict[str, str]:
     every = indicator_sql()
     averages = {name: every[name] for name in ("sma", "ema")}
@@ -417,7 +429,7 @@ def relational_sql() -> dict[str, str]:
     raw = {"open": "o", "high": "h", "low": "l", "close": "c", "volume": "v"}
     side = "CASE WHEN open > close THEN 0 ELSE 1 END AS side"
     out = {"long_series_windows": _by_name({name: every[name] for name in ("sma", "hma", "zscore", "obv")}), "long_series_scan": _by_name({name: every[name] for name in ("ema", "tema", "t3", "tsi")})}
-    out |= {"late_bars": _by_name(averages), "duplicates_series": _by_name({name: sql.replace(BARS, DOUBLED) for name, sql in averages.items()})}
+    out |= {"parity": _by_name(_parity()), "late_bars": _by_name(averages), "duplicates_series": _by_name({name: sql.replace(BARS, DOUBLED) for name, sql in averages.items()})}
     out["overview"] = recursive(
         34, {"sma": "sm", "ema": "e", "rsi": "CASE WHEN up = 0 AND down = 0 THEN NULL WHEN down = 0 THEN 100e0 ELSE 100e0 - 100e0 / (1e0 + up / down) END", "macd": "f - s", "signal": "g", "histogram": "f - s - g"},
         [ema("e", "r.c", 20), *rsi_states(14, 13), ema("f", "r.c", 12), ema("s", "r.c", 26), ema("g", "n_f - n_s", 9, 26)], {"pc": lag("c"), "sm": over("avg(c)", 20)},

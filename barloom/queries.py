@@ -296,6 +296,15 @@ def late_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _by_name({name: rows.select("symbol", "time", value(name).alias(name)).filter(F.col(name).isNotNull()) for name in ("sma", "ema")})
 
 
+def parity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operators whose documented formula and the served behaviour differ, in the served behaviour."""
+    import barloom.operators  # noqa: F401
+    from barloom.registry import get
+
+    bars = minute_bars(spark, sf_dir)
+    return _by_name({name: get(name)(bars, parity=True) for name in ("tr", "atr", "roc", "zlema", "cci", "kama")})
+
+
 def _over_spans(spark: SparkSession, sf_dir: str, names: tuple[str, ...]) -> DataFrame:
     import barloom.operators  # noqa: F401
     from barloom.plans.spans import over_spans
@@ -319,7 +328,7 @@ def long_series_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 RELATIONAL = (
     overview, bars_valid, bars_hourly, bars_daily, extractors, rollup_5m, rollup_4h, rollup_exact_7m, rollup_fan_out, multi_timeframe_sma, skip_and_recent, duplicates_last_write,
-    store_merge, store_stats, store_summaries, store_complete, store_keys, store_series, store_candles_with, store_latest, store_history_page, store_retention, store_bulk_points, payload_points, payload_bars, as_of_higher_timeframe, duplicates_series, late_bars, long_series_windows, long_series_scan,
+    store_merge, store_stats, store_summaries, store_complete, store_keys, store_series, store_candles_with, store_latest, store_history_page, store_retention, store_bulk_points, payload_points, payload_bars, as_of_higher_timeframe, duplicates_series, late_bars, parity, long_series_windows, long_series_scan,
 )
 
 

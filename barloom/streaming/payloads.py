@@ -128,6 +128,24 @@ def drawing_delete(ids: DataFrame, column: str = "id") -> DataFrame:
     return ids.agg(F.to_json(F.struct(F.lit("drawing_delete").alias("type"), F.array_sort(F.collect_set(column)).alias("drawingIds"))).alias("payload"))
 
 
+def drawings_frame(drawings: DataFrame) -> DataFrame:
+    """One frame for each series with all its drawings, in place of those that clients have; drawings as ``zigzag_drawing`` gives them."""
+    own = F.get_json_object("payload", "$.drawing")
+    listed = F.concat(F.lit("["), F.array_join(F.array_sort(F.collect_list(own)), ","), F.lit("]"))
+    return drawings.groupBy("symbol", "tf").agg(F.concat(F.lit('{"type":"drawings","drawings":'), listed, F.lit("}")).alias("payload"))
+
+
+def drawings_clear(series: DataFrame) -> DataFrame:
+    """One frame for each series that removes its drawings."""
+    return series.select("symbol", "tf").distinct().select("symbol", "tf", F.to_json(F.struct(F.lit("drawings_clear").alias("type"))).alias("payload"))
+
+
+def indicators_list(defs: DataFrame) -> DataFrame:
+    """One frame with the definitions that can be streamed, in order of their keys; defs as ``series_defs`` or ``output_defs`` give them."""
+    row = F.struct("key", *[c for c in defs.columns if c != "key"])
+    return defs.agg(F.to_json(F.struct(F.lit("indicators_list").alias("type"), F.array_sort(F.collect_list(row)).alias("indicators"))).alias("payload"))
+
+
 def symbols_frame(rows: DataFrame) -> DataFrame:
     """One frame with the symbols that have rows, each with its timeframes."""
     by = rows.groupBy("symbol").agg(F.array_sort(F.collect_set("tf")).alias("tfs"))

@@ -56,6 +56,7 @@ def test_push_computes_over_batches_and_restarts(spark, tmp_path, front):
     assert len(rolled) == len(set(rolled)) == 8
     higher = roll_up(everything, "5m")
     assert again.to_lists(sma)["value"] == pytest.approx([r.sma for r in get("sma")(higher, period=3).orderBy("time").collect()])
+    assert [r.time for r in again.recent("btc", "1m", 2).collect()] == [EPOCH + 60 * i for i in (38, 39)] and again.recent("BTC", "1m").count() == 40
     assert again.store.count("x", "ETH", "1m") == 5 and len(json.loads(again.snapshot("BTC", "1m").first().payload)["bars"]) == 40
 
 

@@ -177,3 +177,32 @@ def test_summaries_answer_as_a_scan_does(spark, store):
     assert {r.span for r in store.summaries().collect()} == {(EPOCH + d * day) // SPAN_SECONDS for d in (40, 60, 90, 120)}
     for df in (store.stats("x", "BTC", "1m", "A"), store.indicator_keys("x", "BTC", "1m"), store.latest_bar("x", "BTC", "1m")):
         assert df.inputFiles() and all("/summaries/" in f for f in df.inputFiles())
+
+
+def test_frames_of_drawings_and_definitions(spark):
+    from barloom.functions.series_defs import output_defs
+    from barloom.streaming.payloads import drawings_clear, drawings_frame, indicators_list, zigzag_drawing
+
+    pivots = spark.createDataFrame([(s, "1m", 9, "HH", 5.0, 3, 4.5, 4.0) for s in ("A", "B")], "symbol string, tf string, time long, label string, price double, pivot_time long, pivot_close double, break_close double")
+    both = zigzag_drawing(pivots).unionByName(zigzag_drawing(pivots, "second", "#FFFFFF"))
+    frames_ = {r.symbol: json.loads(r.payload) for r in drawings_frame(both).collect()}
+    assert set(frames_) == {"A", "B"} and frames_["A"]["type"] == "drawings"
+    assert [d["id"] for d in frames_["A"]["drawings"]] == ["second", "zigzag"] and frames_["A"]["drawings"][1]["points"] == [{"time": 3, "price": 5.0}]
+    assert [(r.symbol, json.loads(r.payload)) for r in drawings_clear(pivots.union(pivots)).orderBy("symbol").collect()] == [("A", {"type": "drawings_clear"}), ("B", {"type": "drawings_clear"})]
+    listed = json.loads(indicators_list(output_defs(spark, "rsi", ["rsi"])).first().payload)
+    assert listed["type"] == "indicators_list" and listed["indicators"][0]["label"].startswith("RSI (14")
+    assert [(v["value"], v["color"], v["label"]) for v in listed["indicators"][0]["levels"]] == [(70.0, "#EF5350", "OB"), (50.0, "#454560", ""), (30.0, "#26A69A", "OS")]
+    assert len(json.loads(indicators_list(series_defs(spark)).first().payload)["indicators"]) == 115
+
+
+def test_a_missing_price_is_no_bar_for_windows_and_folds(spark):
+    import barloom.operators  # noqa: F401
+    from barloom.bars import from_columns
+    from barloom.registry import get
+
+    whole = {"open": [1.0, 2.0, 3.0, 4.0, 5.0], "high": [2.0, 3.0, 4.0, 5.0, 6.0], "low": [0.5, 1.5, 2.5, 3.5, 4.5], "close": [1.5, 2.5, 3.5, 4.5, 5.5], "time": [EPOCH + 60 * i for i in (0, 1, 3, 4, 5)]}
+    gap = {k: [*v[:2], None if k != "time" else EPOCH + 120, *v[2:]] for k, v in whole.items()}
+    for name in ("sma", "ema", "rma", "obv", "tr", "bullish_engulfing"):
+        params = {"period": 2} if name in ("sma", "ema", "rma") else {}
+        got, want = (sorted(get(name)(from_columns(spark, x, "A"), **params).collect()) for x in (gap, whole))
+        assert got == want and want
