@@ -1,6 +1,7 @@
 """The front door: registration, listeners, pushing, replay, restart, reset; views, as-of join, patterns, frames."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -100,20 +101,32 @@ def test_views(spark):
 
 
 @pytest.mark.parametrize("strict", [False, True])
-def test_as_of_equals_a_loop(spark, strict):
-    left = [("a", t, float(t)) for t in (1, 5, 5, 9)] + [("b", 4, 0.0)]
-    right = [("a", 0, "x", 1), ("a", 5, "y", None), ("a", 5, "x", 9), ("a", 7, "z", 2), ("c", 1, "q", 1)]
-    got = as_of(spark.createDataFrame(left, "symbol string, time long, v double"), spark.createDataFrame(right, "symbol string, time long, k string, n int"), strict=strict).collect()
+@pytest.mark.parametrize("span", [1, 3, 32 * 86400])
+def test_as_of_equals_a_loop(spark, strict, span):
+    rng = random.Random(span)
+    left = [("a", t, float(t)) for t in (1, 5, 5, 9)] + [("b", 4, 0.0), ("a", None, 1.0)] + [("d", rng.randrange(-20, 20), float(i)) for i in range(30)]
+    right = [("a", 0, "x", 1), ("a", 5, "y", None), ("a", 5, "x", 9), ("a", 7, "z", 2), ("c", 1, "q", 1), ("a", None, "n", 1)] + [("d", rng.randrange(-20, 20), "k", i) for i in range(15)]
+    got = as_of(spark.createDataFrame(left, "symbol string, time long, v double"), spark.createDataFrame(right, "symbol string, time long, k string, n int"), strict=strict, span=span).collect()
     want = []
     for s, t, v in left:
-        at = [(rt, k, n) for rs, rt, k, n in right if rs == s and (rt < t if strict else rt <= t)]
-        best = max(at, key=lambda x: (x[0], x[1])) if at else (None, None, None)
-        want.append((s, t, v, best[1], best[2]))
+        at = [(rt, k, -1 if n is None else n) for rs, rt, k, n in right if rs == s and None not in (t, rt) and (rt < t if strict else rt <= t)]
+        best = max(at, default=(None, None, None))
+        want.append((s, t, v, best[1], None if best[2] == -1 else best[2]))
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
     with pytest.raises(ValueError):
         as_of(bars(spark, 1), bars(spark, 1))
 
 
+@pytest.mark.parametrize("kind", ["timestamp", "date"])
+def test_as_of_by_days(spark, kind):
+    at = lambda days: F.lit("2024-01-01").cast(kind) if days == 0 else F.date_add(F.lit("2024-01-01"), days).cast(kind)
+    left = spark.range(1).select(F.lit("a").alias("symbol"), at(100).alias("time"))
+    right = spark.range(1).select(F.lit("a").alias("symbol"), at(0).alias("time"), F.lit(7).alias("n"))
+    got = as_of(left, right)
+    assert got.first().n == 7
+    assert as_of(left, left.select("symbol").withColumns({"time": at(101), "n": F.lit(1)})).first().n is None
+
+
 def test_custom_pattern(spark):
     register_pattern("two_up", lambda at: F.when((at("close") > at("close", 1)) & (at("close", 1) > at("close", 2)), 1).otherwise(0), lookback=3, replace=True)
     try:
