@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,7 +66,18 @@ def slices(batches, rows: int = 500):
             yield batch.slice(at, rows)
 
 
+def give_back() -> None:
+    """Return memory that a task has freed to the system, as Python workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def first_by_hash(df: DataFrame, h: Column, n: int) -> DataFrame:
-    """About n rows of df: those of the n smallest hashes, 2 n at most. Only hashes are sorted."""
-    bound = df.select(h.alias("__h")).orderBy("__h").limit(n).agg(F.max("__h")).first()[0]
-    return df.limit(0) if bound is None else df.filter(h <= bound).limit(2 * n)
+    """The rows of the n smallest different hashes, one row for each hash. Only hashes are sorted.
+
+    The same rows at every run, where rows of one hash are alike.
+    """
+    bound = df.select(h.alias("__h")).distinct().orderBy("__h").limit(n).agg(F.max("__h")).first()[0]
+    return df.limit(0) if bound is None else df.filter(h <= bound).withColumn("__h", h).dropDuplicates(["__h"]).drop("__h")

@@ -8,14 +8,15 @@ rows by the cluster; only the table of counts (languages x BUCKETS) reaches the
 
 Decoding is loss-weighted: a bit's margin is scaled by its spread, and a language's loss is the sum of
 exp(-bit * margin), weighted by how often that classifier is right on that language. Those two
-statistics come from a bounded sample of training rows (``calibration_rows``). The least loss wins; a
+statistics come from a bounded sample of different training rows (``calibration_rows``, the smallest hashes of id,
+language and text, so that reruns agree). The least loss wins; a
 text whose two least losses are close (``ambiguity``) is flagged ambiguous. The score is the winner's
 share in the soft minimum of the losses.
 
 Defined results: null texts and texts without a letter are "und" with score 0 and not ambiguous;
 with no training row every text is "und"; with one language every text with a letter is that one,
 score 1; equal losses go to the language first in code-point order; repeated rows, and rows of one id, are
-predicted by their own text; very long texts are read whole; a null id is never held out; an empty table gives
+predicted by their own text; very long texts are read whole, piece by piece; a null id is never held out; an empty table gives
 no rows; other columns are ignored. The construction of the code follows the number of languages alone, as
 the exhaustive code doubles with each.
 """
@@ -33,12 +34,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from barloom.llm import chargrams
-from barloom.llm.common import first_by_hash, slices
+from barloom.llm.common import first_by_hash, give_back, slices
 
 BITS = 15
 BUCKETS = 2 << BITS
 ORDERS = (2, 3)
 MAX_EXHAUSTIVE = 6
+#: n-grams whose weights are looked up at once, whatever the length of a text.
+PIECE = 1 << 15
 _LETTER = regex.compile(r"\p{L}")
 
 
@@ -55,8 +58,9 @@ def codewords(n: int, seed: int = 3) -> np.ndarray:
 
 
 def bucket_codes(data: np.ndarray) -> Iterator[np.ndarray]:
+    """The n-grams of each order from every place in a text; none of the spaces after the last, whose place is chance."""
     for k, n in enumerate(ORDERS):
-        code = chargrams.codes(data, n)
+        code = chargrams.codes(data, n)[: len(data) - chargrams.GAP]
         yield chargrams.hashed(code, BITS, n) + (k << BITS)
 
 
@@ -75,7 +79,11 @@ class Model:
         for first, end, data, starts in chargrams.layout(texts):
             lengths = np.diff(np.append(starts, len(data) - chargrams.GAP))
             for buckets in bucket_codes(data):
-                out[first:end] += np.add.reduceat(self.weights.take(buckets, axis=0), starts, axis=0)
+                for at in range(0, len(buckets), PIECE):
+                    part = buckets[at : at + PIECE]
+                    # the texts that have n-grams in this piece
+                    low, high = np.searchsorted(starts, at, "right") - 1, np.searchsorted(starts, at + len(part))
+                    out[first + low : first + high] += np.add.reduceat(self.weights.take(part, axis=0), np.maximum(starts[low:high] - at, 0), axis=0)
             out[first:end] /= np.maximum(lengths - chargrams.GAP, 1)[:, None] * len(ORDERS)
         return out
 
@@ -135,7 +143,7 @@ def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col
         weights[:, b] = np.log((up + floor) / (down + floor))
     model = Model(languages, code, weights, np.ones(code.shape[1]), np.full(code.shape, 1 / max(code.shape[1], 1)), ambiguity)
     if code.shape[1]:
-        sample = first_by_hash(rows, F.xxhash64("id"), calibration_rows).select("lang", "text").toPandas()
+        sample = first_by_hash(rows, F.xxhash64("id", "lang", "text"), calibration_rows).select("lang", "text").toPandas()
         margins = model.margins(sample["text"].tolist())
         of = np.array([languages.index(x) for x in sample["lang"]])
         signs = code[of]
@@ -153,6 +161,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[
         for batch in slices(batches):
             lang, score, close = model.decide(batch.column(place).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(close, pa.bool_())], names=schema.names)
+        give_back()
 
     # a text column that is kept goes over once
     rows, place = (docs.select(*keep), keep.index(text_col)) if text_col in keep else (docs.select(*keep, F.col(text_col).alias("__text")), len(keep))

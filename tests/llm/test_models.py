@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -10,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from barloom.llm import ann, chargrams, lm_scores, toxicity
+from barloom.llm import ann, chargrams, language_id, lm_scores, toxicity
 from barloom.llm.ann import fit_arrays, nearest
 from barloom.llm.language_id import BITS, ORDERS, codewords, fit, identify, identify_by_folds
 from barloom.llm.lm_scores import pack_sorted, score_documents, unpack_sorted
@@ -55,6 +56,35 @@ def test_language_held_out_and_edge_cases(spark):
     assert mixed.score < 0.9
 
 
+def test_language_of_texts_longer_than_a_piece(spark, monkeypatch):
+    """Margins don't depend on how texts are cut into pieces, and a text of megabytes takes little beside its own size."""
+    rng = random.Random(5)
+    docs = spark.createDataFrame([(i, prose(rng, x, 40), x) for i in range(30) for x in SYLLABLES], "doc_id long, text string, lang string")
+    model = fit(docs)
+    texts = [prose(rng, x, n) for n in (1, 7, 60) for x in SYLLABLES] + [None, "", "a"]
+    whole = model.margins(texts)
+    for piece in (1, 2, 9, 1000):
+        monkeypatch.setattr(language_id, "PIECE", piece)
+        np.testing.assert_allclose(model.margins(texts), whole, rtol=1e-4, atol=1e-6)
+    monkeypatch.undo()
+    long = "the ing und ".join([""] * 400_000)
+    tracemalloc.start()
+    model.margins([long])
+    assert tracemalloc.get_traced_memory()[1] < 45 * len(long)
+    tracemalloc.stop()
+
+
+def test_language_sample_is_the_same_at_every_run(spark):
+    """Also where ids are null or repeated, and one row fills most of the table."""
+    rng = random.Random(6)
+    rows = [(None, prose(rng, x, 9), x) for _ in range(40) for x in SYLLABLES] + [(7, prose(rng, "aa", 9), "aa")] * 300
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    models = [fit(docs.repartition(n), calibration_rows=30) for n in (1, 3, 7)]
+    for m in models[1:]:
+        np.testing.assert_allclose(m.spread, models[0].spread)
+        np.testing.assert_array_equal(m.trust, models[0].trust)
+
+
 def test_language_with_none_or_one_language(spark):
     df = spark.createDataFrame([(i, "some words", None) for i in range(5)], "doc_id long, text string, lang string")
     assert {r.lang_pred for r in identify_by_folds(df).collect()} == {"und"}
