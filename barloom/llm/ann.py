@@ -150,9 +150,10 @@ def nearest(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector_
     lengths = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
     dimension = lengths[0]["d"] if lengths else 0
     rows = rows.filter(F.size("v") == dimension)
-    # the smallest ids of each distinct vector: first within salted groups, then over those
-    few = rows.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(64)).alias("salt")).groupBy("v", "salt").agg(F.collect_set("id").alias("ids")).select("v", F.slice(F.array_sort("ids"), 1, k + 1).alias("ids"))
-    distinct = few.groupBy("v").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, k + 1).alias("ids"))
+    # the smallest ids of each distinct vector: a task gives out k + 1 of one vector at most, before they are shuffled by it
+    place = F.row_number().over(Window.partitionBy("v").orderBy("id"))
+    few = rows.select("id", "v").distinct().withColumn("place", place).filter(F.col("place") <= k + 1)
+    distinct = few.groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids"))
     # one id's different vectors have a number each
     first = F.struct(F.element_at("ids", 1).alias("id"), F.row_number().over(Window.partitionBy(F.element_at("ids", 1)).orderBy("v")).alias("n"))
     distinct = written(distinct.select(F.xxhash64("v").alias("h"), first.alias("first"), "ids", "v"), "vectors")
