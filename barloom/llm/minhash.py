@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm.bloom import Bloom, packed_texts, unpacked
-from barloom.llm.common import slices, written
+from barloom.llm.common import give_back, slices, written
 from barloom.llm.shingles import Idf, fit_idf, mix, shingles
 
 BANDS, ROWS = 12, 2
@@ -110,6 +110,7 @@ def signatures(docs: DataFrame, idf: Idf, id_col: str, text_col: str) -> DataFra
                 ],
                 names=["id", "text_hash", "s1", "s2", "sig"],
             )
+        give_back()
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col), F.xxhash64(F.col(text_col).cast("string")), F.col(text_col).cast("string")).mapInArrow(sign, f"id {kind}, text_hash long, s1 long, s2 long, sig array<int>")
@@ -210,6 +211,7 @@ def chunk_links(members: DataFrame, texts: DataFrame, idf: Idf, similarity: floa
             links = spanning_forest(all_similarities(unpacked(rows["text"]), idf) >= similarity - 1e-6, label)
         a, b = (pa.array([x[k] for x in links], pa.int64()) for k in (0, 1))
         ids = rows["id"].combine_chunks()
+        give_back()
         return pa.table({"a": ids.take(a), "b": ids.take(b)})
 
     return dealt.join(texts, "id").select("key", "i", "j", "id", "label", "text").groupBy("key", "i", "j").applyInArrow(meet, f"a {kind}, b {kind}")
@@ -260,6 +262,7 @@ def verified(pairs: DataFrame, texts: DataFrame, idf: Idf, similarity: float) ->
         for batch in slices(batches):
             s = similarities(unpacked(batch.column(2)), unpacked(batch.column(3)), idf)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(s >= similarity - 1e-6))
+        give_back()
 
     return rows.select("a", "b", "text_a", "text_b").mapInArrow(check, f"a {kind}, b {kind}")
 
