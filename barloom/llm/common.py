@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -66,6 +68,23 @@ def slices(batches, rows: int = 500):
             yield batch.slice(at, rows)
 
 
+@contextlib.contextmanager
+def small_arrow_batches(spark: SparkSession, rows: int = 1000, size: str = "8m") -> Iterator[None]:
+    """Fewer rows and bytes in the batches between executors and Python workers, of what runs inside.
+
+    Both sides hold a batch of each running task, and the sender twice that while its buffers grow.
+    """
+    names = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": size}
+    before = {k: spark.conf.get(k) for k in names}
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def give_back() -> None:
     """Return memory that a task has freed to the system, as Python workers live on between tasks."""
     pa.default_memory_pool().release_unused()

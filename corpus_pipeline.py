@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm.common import written
+from barloom.llm.common import small_arrow_batches, written
 from barloom.llm.exact_dedup import drop_exact_copies
 from barloom.llm.language_id import fit, fold, identify
 from barloom.llm.minhash import near_duplicates
@@ -77,8 +77,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-        if name != STAGES[-1][0]:
-            docs = written(docs, name)
+    with small_arrow_batches(spark):
+        for name, stage in STAGES:
+            docs = stage(spark, docs, sf_dir)
+            if name != STAGES[-1][0]:
+                docs = written(docs, name)
     return docs
