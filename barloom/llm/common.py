@@ -94,6 +94,12 @@ def give_back() -> None:
 
 
 def first_by_hash(df: DataFrame, h: Column, n: int) -> DataFrame:
+    """About n rows of df: those of the n smallest hashes, 2 n at most. Only hashes are sorted."""
+    bound = df.select(h.alias("__h")).orderBy("__h").limit(n).agg(F.max("__h")).first()[0]
+    return df.limit(0) if bound is None else df.filter(h <= bound).limit(2 * n)
+
+
+def different_by_hash(df: DataFrame, h: Column, n: int) -> DataFrame:
     """The rows of the n smallest different hashes, one row for each hash. Only hashes are sorted.
 
     The same rows at every run, where rows of one hash are alike.

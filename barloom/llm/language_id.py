@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from barloom.llm import chargrams
-from barloom.llm.common import first_by_hash, give_back, slices
+from barloom.llm.common import different_by_hash, give_back, slices
 
 BITS = 15
 BUCKETS = 2 << BITS
@@ -143,7 +143,7 @@ def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col
         weights[:, b] = np.log((up + floor) / (down + floor))
     model = Model(languages, code, weights, np.ones(code.shape[1]), np.full(code.shape, 1 / max(code.shape[1], 1)), ambiguity)
     if code.shape[1]:
-        sample = first_by_hash(rows, F.xxhash64("id", "lang", "text"), calibration_rows).select("lang", "text").toPandas()
+        sample = different_by_hash(rows, F.xxhash64("id", "lang", "text"), calibration_rows).select("lang", "text").toPandas()
         margins = model.margins(sample["text"].tolist())
         of = np.array([languages.index(x) for x in sample["lang"]])
         signs = code[of]
