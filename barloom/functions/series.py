@@ -147,6 +147,11 @@ def ratio(a: Column, b: Column) -> Column:
     return F.when(b != 0, a / b)
 
 
+def quotient(a: Column, b: Column) -> Column:
+    """a / b as doubles divide: infinite or NaN where b is 0."""
+    return F.when(b != 0, a / b).otherwise(a * F.pow(b, F.lit(-1.0)))
+
+
 class Series:
     """Steps over a DataFrame of bars; each step may use the columns of those before."""
 
@@ -159,7 +164,7 @@ class Series:
             _probe.next_step()
         return self
 
-    def out(self, first: int, **columns: Column) -> DataFrame:
-        """symbol, tf, time and the outputs, from bar ``first`` on, where no output is null."""
-        kept = self.df.select(*KEYS, "time", "n", *[c.alias(k) for k, c in columns.items()]).filter(F.col("n") >= first)
-        return kept.drop("n").na.drop(subset=list(columns))
+    def out(self, first: int, keep_nan: bool = False, **columns: Column) -> DataFrame:
+        """symbol, tf, time and the outputs, from bar ``first`` on, where no output is null, nor NaN unless those are kept."""
+        kept = self.df.select(*KEYS, "time", "n", *[c.alias(k) for k, c in columns.items()]).filter(F.col("n") >= first).drop("n")
+        return kept.filter(" and ".join(f"{c} is not null" for c in columns)) if keep_nan else kept.na.drop(subset=list(columns))

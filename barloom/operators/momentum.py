@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.functions.extract import extract
-from barloom.functions.series import Series, highest, lag, last, lowest, mean, ratio, total, weighted
+from barloom.functions.series import Series, highest, lag, last, lowest, mean, quotient, ratio, total, weighted
 from barloom.operators.volatility import with_true_range
 from barloom.plans.fold import fold
 from barloom.plans.recursive import Ema, Lagged, then
@@ -207,11 +207,11 @@ def kst(bars: DataFrame, r1: int = 10, r2: int = 13, r3: int = 14, r4: int = 15,
 
 @momentum_family
 def coppock(bars: DataFrame, r1: int = 14, r2: int = 11, wma_period: int = 10, value="close") -> DataFrame:
-    """WMA of the sum of two rates of change."""
+    """WMA of the sum of two rates of change; infinite after a value of 0."""
     s = Series(bars).let(v=extract(value))
-    roc = [ratio((F.col("v") - lag("v", r)) * 100.0, lag("v", r)) for r in (r1, r2)]
+    roc = [quotient((F.col("v") - lag("v", r)) * 100.0, lag("v", r)) for r in (r1, r2)]
     w = np.arange(1, wma_period + 1, dtype=float)
-    return s.let(x=roc[0] + roc[1]).out(max(r1, r2) + wma_period, coppock=weighted("x", w / w.sum()))
+    return s.let(x=roc[0] + roc[1]).out(max(r1, r2) + wma_period, keep_nan=True, coppock=weighted("x", w / w.sum()))
 
 
 @momentum_family

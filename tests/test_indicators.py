@@ -291,3 +291,12 @@ def test_a_long_window_takes_about_the_time_of_a_short_one():
             make(n).feed(x)
             took[n] = time.process_time() - began
         assert took[10_000] < 4 * took[20] + 0.5
+
+
+def test_coppock_divides_by_a_price_of_zero(spark):
+    prices = [5.0 + i % 3 for i in range(60)]
+    prices[20], prices[30], prices[44] = 0.0, 3.0, 0.0
+    got = dict(zip(range(24, 61), run(floats(spark, prices), "coppock"), strict=True))
+    # the rates 11 and 14 bars after a zero are infinite, and ten bars hold each
+    assert all(math.isinf(got[n]) for n in [*range(32, 45), *range(56, 61)])
+    assert all(math.isfinite(got[n]) for n in [*range(24, 32), *range(45, 56)])
