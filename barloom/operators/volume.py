@@ -58,9 +58,12 @@ class IndexFold:
     def feed(self, c, v):
         pc, pv = np.concatenate([[c[0] if self.c is None else self.c], c[:-1]]), np.concatenate([[v[0] if self.v is None else self.v], v[:-1]])
         moved = (np.sign(v - pv) == self.way) & (pc != 0)
-        out = self.level * np.cumprod(np.divide(c, pc, out=np.ones(len(c)), where=moved))
-        self.level, self.c, self.v = out[-1], c[-1], v[-1]
-        return (out,)
+        # one step after the other, so that a long product rounds and underflows where the SQL's does
+        levels = [self.level]
+        for a, b in zip(c[moved].tolist(), pc[moved].tolist(), strict=True):
+            levels.append(levels[-1] * a / b)
+        self.level, self.c, self.v = levels[-1], c[-1], v[-1]
+        return (np.array(levels)[np.cumsum(moved)],)
 
 
 @volume

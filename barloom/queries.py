@@ -27,7 +27,7 @@ def _indicator(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     params = {"rsi": {"digits": None}, "chop": {"digits": None}, "mcginley": {"value": F.col("close") + 1000.0}}.get(name, {})
     out = get(name)(minute_bars(spark, sf_dir), **params)
     if name in ("nvi", "pvi"):  # a product over all bars: compared by its logarithm
-        out = out.withColumn(name, F.log(name))
+        out = out.withColumn(name, F.when(F.col(name) == 0, float("-inf")).otherwise(F.log(name)))
     return shown(out, DIGITS.get(name, 6))
 
 

@@ -307,3 +307,26 @@ def test_hv_of_a_window_with_a_price_of_zero(spark):
     prices[40] = 0.0
     got = dict(zip(range(21, 81), run(floats(spark, prices), "hv"), strict=True))
     assert [n for n, x in got.items() if math.isnan(x)] == list(range(41, 62))
+
+
+@pytest.mark.parametrize(("name", "way"), [("nvi", -1), ("pvi", 1)])
+def test_an_index_that_comes_to_zero(spark, tmp_path, name, way):
+    """Its logarithm is minus infinity from a price of zero on, and underflow is that of the SQL's product."""
+    from barloom import queries
+    from barloom.operators.volume import IndexFold
+
+    prices = [5.0, 4.0, 0.0, 3.0, 2.0]
+    events = [(i, EPOCH + 60 * i, 500 + way * i, "view", x, '{"k": 1}') for i, x in enumerate(prices)]
+    df = spark.createDataFrame(events, "event_id long, ts long, user_id long, event_type string, value double, props string")
+    df.withColumn("ts", F.timestamp_seconds("ts")).write.parquet(str(tmp_path / "events.parquet"))
+    got = [r[name] for r in queries.queries()[name](spark, str(tmp_path)).orderBy("time").collect()]
+    assert got == pytest.approx([math.log(1000), math.log(800), -math.inf, -math.inf, -math.inf], abs=1e-6)
+    rng = np.random.default_rng(0)
+    c, v, level, want = 10 ** rng.uniform(-2, 3, 9000), way * np.arange(9000.0), 1000.0, [1000.0]
+    c[1::2] = c[:-1:2] * 0.5
+    v[2::2] = v[1:-1:2]
+    for k in range(1, 9000):
+        level = level * c[k] / c[k - 1] if way * (v[k] - v[k - 1]) > 0 else level
+        want.append(level)
+    fold_ = IndexFold(way)
+    assert np.concatenate([fold_.feed(c[i : i + 1000], v[i : i + 1000])[0] for i in range(0, 9000, 1000)]).tolist() == want and level == 0
