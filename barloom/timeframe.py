@@ -7,6 +7,7 @@ opens at the first aligned minute, swallows ticks until it has its count, and wa
 
 from __future__ import annotations
 
+import math
 import re
 
 import numpy as np
@@ -97,7 +98,7 @@ class RollUpFold:
     def feed(self, opens, o, h, l, c, v, t):
         out = np.full((6, len(o)), np.nan)
         for i, (begins, *tick) in enumerate(zip(*(x.tolist() for x in (opens, o, h, l, c, v, t)), strict=True)):
-            open_, high, low, close, volume, time = tick
+            open_, high, low, close, volume, time = tick  # a missing high or low is NaN, 0 is a price
             if self.bar is None:
                 if begins:
                     self.bar, self.count = [open_, high, low, close, volume, time], 1
@@ -105,12 +106,12 @@ class RollUpFold:
                     continue
             else:
                 b = self.bar
-                b[1] = max(b[1], high) if high else b[1]
-                b[2] = min(b[2], low) if low else b[2]
+                b[1] = high if math.isnan(b[1]) else max(b[1], high)
+                b[2] = low if math.isnan(b[2]) else min(b[2], low)
                 b[4] += volume
                 self.count += 1
             if self.count == self.minutes and self.count > 1:
-                self.bar[3] = close
+                self.bar[1:4] = [0.0 if math.isnan(x) else x for x in self.bar[1:3]] + [close]
                 out[:, i], self.bar = self.bar, None
         return tuple(out)
 
@@ -140,7 +141,8 @@ def _closed(bars: DataFrame, tfs: list[str], timezone: str, week_start: int) ->
     at = local(as_timestamp(bars), timezone)
     seconds = F.unix_timestamp(as_timestamp(bars)).cast("double")
     inputs = {f"opens{i}": is_open(at, m, week_start).cast("double") for i, m in enumerate(minutes)}
-    inputs |= {x: F.coalesce(F.col(x).cast("double"), F.lit(0.0)) for x in ("open", "high", "low", "close", "volume")} | {"t": seconds}
+    value = {x: F.col(x).cast("double") for x in ("open", "high", "low", "close", "volume")}
+    inputs |= {x: F.coalesce(v, F.lit(math.nan if x in ("high", "low") else 0.0)) for x, v in value.items()} | {"t": seconds}
     fields = ("open", "high", "low", "close", "volume", "start")
     got = fold(bars, inputs, tuple(f"{x}{i}" for i in range(len(tfs)) for x in fields), FanOutFold, tuple(minutes))
     of = F.array(*[F.struct(F.lit(tf).alias("tf"), F.lit(m).alias("timeframe"), *[F.col(f"{x}{i}").alias(x) for x in fields]) for i, (tf, m) in enumerate(zip(tfs, minutes, strict=True))])

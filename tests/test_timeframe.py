@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from barloom.bars import EPOCH, from_matrix
 from barloom.timeframe import fan_out, interval_ms, roll_up, roll_up_exact, timeframe_minutes
@@ -73,3 +74,13 @@ def test_fan_out_is_one_exchange_and_equals_each_roll_up(spark):
     want = [r for tf in tfs for r in roll_up_exact(df, tf).collect()]
     assert sorted(got.collect()) == sorted(want) and len({r.tf for r in want}) == 5
     df.unpersist()
+
+
+def test_a_price_of_zero_is_the_low(spark):
+    """Zero is a price in a count-closed bar; a missing high or low is none."""
+    rows = [[5, 6, 4, 5, 1], [5, 6, 0, 0, 1], [5, 9, 3, 5, 1], [-2, -2, -3, -2, 1], [-2, 0, -3, -1, 1], [-2, -1, -3, -1, 1]]
+    bars = from_matrix(spark, rows, "X")
+    for got in (roll_up_exact(bars, "3m"), fan_out(bars, ["3m"])):
+        assert [(r.high, r.low) for r in got.orderBy("time").collect()] == [(9.0, 0.0), (0.0, -3.0)]
+    missing = bars.withColumns({c: F.when(F.unix_timestamp(F.timestamp_seconds("time")) % 180 != 0, F.col(c)) for c in ("high", "low")})
+    assert [(r.high, r.low) for r in roll_up_exact(missing, "3m").orderBy("time").collect()] == [(9.0, 0.0), (0.0, -3.0)]
