@@ -135,6 +135,14 @@ def fold(bars: DataFrame, inputs: dict[str, Column], outputs: tuple[str, ...], m
     return rows.mapInArrow(run, schema)
 
 
+NO_SPAN = np.iinfo(np.int64).min
+
+
+def _changes(column: pa.Array) -> np.ndarray:
+    """Whether each value but the first differs from the one before it."""
+    return pc.not_equal(column.slice(1), column.slice(0, len(column) - 1)).to_numpy(zero_copy_only=False)
+
+
 def _seconds(rows: DataFrame) -> Column:
     return F.col("time") if dict(rows.dtypes)["time"] in ("bigint", "int") else F.unix_timestamp("time")
 
@@ -157,15 +165,17 @@ def _resumed(rows: DataFrame, schema: T.StructType, kind: list[str], make, param
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fold_, of, last = None, None, None
         for batch in batches:
-            keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
-            spans, following = batch.column(n).to_pylist(), batch.column(n + 4).to_pylist()
-            first = batch.column(n + 2).to_pylist()
+            if not batch.num_rows:
+                continue
+            spans, following = (pc.fill_null(batch.column(k), NO_SPAN).to_numpy() for k in (n, n + 4))
+            first, at = batch.column(n + 2).to_numpy(), batch.column(2).cast(pa.int64()).to_numpy()
             # a run ends with its series, with a span, or where a state stands
-            cuts = [i for i in range(1, len(keys)) if keys[i] != keys[i - 1] or spans[i] != spans[i - 1] or first[i] == 0]
-            edges = [0, *cuts, len(keys)] if keys else []
+            cuts = _changes(batch.column(0)) | _changes(batch.column(1)) | (spans[1:] != spans[:-1]) | (first[1:] == 0)
+            edges = [0, *(np.flatnonzero(cuts) + 1).tolist(), batch.num_rows]
             for b, e in zip(edges, edges[1:], strict=False):
-                if keys[b] != of or fold_ is None:
-                    fold_, of, last = make(*params), keys[b], None
+                key = batch.column(0)[b].as_py(), batch.column(1)[b].as_py()
+                if key != of or fold_ is None:
+                    fold_, of, last = make(*params), key, None
                 if first[b] == 0:
                     started = batch.column(n + 1)[b].as_py()
                     set_state(fold_, nested(tuple(dict(started[f]) if isinstance(started[f], list) else started[f] for f in STATE_FIELDS)))
@@ -173,10 +183,9 @@ def _resumed(rows: DataFrame, schema: T.StructType, kind: list[str], make, param
                     if b == e:
                         continue
                 part = batch.slice(b, e - b)
-                times = part.column(2).to_pylist()
-                keep = [t != p for t, p in zip(times, [last, *times[:-1]], strict=True)]
-                last = times[-1]
-                part = part.filter(pa.array(keep))
+                keep = np.append(at[b] != last, at[b + 1 : e] != at[b : e - 1])
+                last = at[e - 1]
+                part = part if keep.all() else part.filter(pa.array(keep))
                 if part.num_rows:
                     got = fold_.feed(*[c.to_numpy(zero_copy_only=False) for c in part.columns[3:n]])
                     ok = _ready(got, kind)

@@ -10,7 +10,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.series import probing
@@ -68,3 +68,48 @@ def replay(store: BarStore, exchange: str, symbol: str, tf: str, key: str, opera
         mine.unpersist()
         if "resume" in locals() and resume.raw is not None:
             resume.raw.unpersist()
+
+
+def replay_all(store: BarStore, exchange: str, tf: str, uses: dict[str, Callable[[DataFrame], DataFrame]], since: DataFrame) -> None:
+    """``replay`` of several operators, by key, over many series: since has symbol and since (unix seconds).
+
+    Jobs are as many for a thousand series as for one, and one write takes the points of all uses. States of folds
+    are kept by series (``BarStore.series_states``).
+    """
+    since = since.select(F.upper(F.trim("symbol")).alias("symbol"), F.col("since").cast("long").alias("since")).persist()
+    rows = store.rows(exchange, tf=tf).filter(F.col("open").isNotNull()).select("symbol", "tf", "time", *BAR).join(F.broadcast(since), "symbol")
+    bars = lambda part: part.select("symbol", "tf", F.timestamp_seconds("time").alias("time"), *BAR)
+    written, left, kept = {}, {}, []
+    try:
+        for key, operator in uses.items():
+            back, folds = needs(operator, bars(rows))
+            states, mine, bounded = None, rows, back < math.inf
+            if bounded and folds:
+                states = store.series_states(key)
+                if states is not None:
+                    before = states.join(F.broadcast(since), "symbol").filter((F.col("tf") == tf) & (F.col("time") < F.col("since")) & F.col("version").isNotNull())
+                    states = before.groupBy("symbol", "tf").agg(F.max_by(F.struct("time", *STATE_FIELDS), "time").alias("s")).select("symbol", "tf", "s.*").persist()
+                    kept.append(states)
+                    mine = rows.join(F.broadcast(states.select("symbol", F.col("time").alias("begin"))), "symbol", "left")
+            elif bounded:
+                mine = rows.withColumn("begin", F.col("since") - 1)
+            if "begin" in mine.columns:
+                after = mine.filter(F.col("begin").isNull() | (F.col("time") > F.col("begin")))
+                newest = F.row_number().over(Window.partitionBy("symbol", "tf").orderBy(F.desc("time")))
+                mine = after.unionByName(mine.filter("time <= begin").withColumn("__r", newest).filter(F.col("__r") <= int(back)).drop("__r")) if back else after
+            with resuming(None if states is None else states.withColumn("time", F.timestamp_seconds("time")), SPAN_SECONDS) as resume:
+                points = operator(bars(mine))
+            if resume.raw is not None:
+                kept.append(resume.raw)
+            if resume.left is not None and bounded:
+                left[key] = resume.left.select("symbol", "tf", F.unix_timestamp("time").alias("time"), *STATE_FIELDS)
+            outputs = [c for c in points.columns if c not in KEYS]
+            points = points.withColumn("time", F.unix_timestamp("time")).join(F.broadcast(since), "symbol").filter("time >= since")
+            written[key] = points, outputs
+        # states go first: the write to the store drops what is cached of its bars
+        for key, new in left.items():
+            store.keep_series_states(key, tf, since, new)
+        store.rewrite_all(rows.filter("time >= since"), written, exchange)
+    finally:
+        for df in (since, *kept):
+            df.unpersist()

@@ -274,7 +274,7 @@ LATE_HOURS = 5
 def late_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every fifth hour of each series arrives late, into a store: the points are those of bars in order."""
     import barloom.operators  # noqa: F401
-    from barloom.plans.replay import replay
+    from barloom.plans.replay import replay_all
     from barloom.registry import get
     from barloom.session import shared_folder
     from barloom.sources.store import BarStore
@@ -282,17 +282,13 @@ def late_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = BarStore(spark, shared_folder(spark, "late"))
     bars = minute_bars(spark, sf_dir).persist()
     late = F.floor(F.col("time") / 3600) % LATE_HOURS == 1
-    symbols = [r["symbol"] for r in bars.select("symbol").distinct().collect()]  # the event types
     for part in (bars.filter(~late), bars.filter(late)):
         store.upsert(part, "x")
-        since = {r["symbol"]: r["since"] for r in part.groupBy("symbol").agg(F.min("time").alias("since")).collect()}
-        for symbol in symbols:
-            for name in ("sma", "ema"):
-                if symbol in since:
-                    replay(store, "x", symbol, "1m", f"{name}_{symbol}", get(name), since[symbol])
+        since = part.groupBy("symbol").agg(F.min("time").alias("since"))
+        replay_all(store, "x", "1m", {name: get(name) for name in ("sma", "ema")}, since)
     bars.unpersist()
     rows = store.rows("x").withColumn("symbol", F.lower("symbol"))
-    value = lambda name: F.col("indicators")[F.concat(F.lit(f"{name}_"), "symbol")]["value"]
+    value = lambda name: F.col("indicators")[name]["value"]
     return _by_name({name: rows.select("symbol", "time", value(name).alias(name)).filter(F.col(name).isNotNull()) for name in ("sma", "ema")})
 
 

@@ -208,12 +208,19 @@ class BarStore:
 
     def rewrite(self, bars: DataFrame, points: DataFrame, exchange: str, key: str, outputs: list[str]) -> None:
         """Put points (symbol, tf, time, outputs) under the key at the bars' times, and remove the key at their other times."""
-        fields = F.col(outputs[0]) if len(outputs) == 1 else {o: F.col(o) for o in outputs}
-        numbers = [c for c, kind in points.select(*outputs).dtypes if kind != "string"]
-        fields = fields if len(outputs) == 1 else {o: f for o, f in fields.items() if o in numbers}
-        doc = points.select("symbol", "tf", "time", as_document({key: fields}).alias("indicators"))
-        none = F.create_map(F.lit(key), F.create_map().cast("map<string,double>"))
-        self.merge_indicators(bars.join(doc, ["symbol", "tf", "time"], "left").select("symbol", "tf", "time", F.when(F.size("indicators") > 0, F.col("indicators")).otherwise(none).alias("indicators")), exchange)
+        self.rewrite_all(bars, {key: (points, outputs)}, exchange)
+
+    def rewrite_all(self, bars: DataFrame, uses: dict[str, tuple[DataFrame, list[str]]], exchange: str) -> None:
+        """``rewrite`` of several keys, each with its points and outputs, by one write."""
+        rows, docs = bars.select("symbol", "tf", "time"), []
+        for i, (key, (points, outputs)) in enumerate(uses.items()):
+            fields = F.col(outputs[0]) if len(outputs) == 1 else {o: F.col(o) for o in outputs}
+            numbers = [c for c, kind in points.select(*outputs).dtypes if kind != "string"]
+            fields = fields if len(outputs) == 1 else {o: f for o, f in fields.items() if o in numbers}
+            rows = rows.join(points.select("symbol", "tf", "time", as_document({key: fields}).alias(f"__{i}")), ["symbol", "tf", "time"], "left")
+            none = F.create_map(F.lit(key), F.create_map().cast("map<string,double>"))
+            docs.append(F.when(F.size(f"__{i}") > 0, F.col(f"__{i}")).otherwise(none))
+        self.merge_indicators(rows.select("symbol", "tf", "time", F.map_concat(*docs).alias("indicators")), exchange)
 
     def points(self, exchange: str, symbol: str, tf: str, key: str, outputs: list[str], kinds: dict[str, str], start: int) -> DataFrame:
         """The stored points of a key from start on as an operator gives them: symbol, tf, time (timestamp), outputs; texts are not stored."""
@@ -251,7 +258,8 @@ class BarStore:
     def _replace(self, rows: DataFrame) -> None:
         rows = rows.withColumn("span", F.floor(F.col("time") / SPAN_SECONDS).cast("int")).repartition(*PARTITION, "span").sortWithinPartitions(*KEY).persist(StorageLevel.DISK_ONLY)
         try:
-            for df, folder in ((rows, "bars"), (summaries.summarise(rows), "summaries")):
+            # the bars go last: a write to their folder drops what is cached of it, and rows with it
+            for df, folder in ((summaries.summarise(rows), "summaries"), (rows, "bars")):
                 df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*PARTITION, "span").parquet(f"{self.path}/{folder}")
         except Py4JJavaError as e:
             raise StorageError(f"writing to {self.path} failed") from e
@@ -325,8 +333,25 @@ class BarStore:
         """The time of the last bar that a use has seen."""
         return self.fold_states(key).agg(F.max("time")).first()[0]
 
+    def series_states(self, key: str) -> DataFrame | None:
+        """As ``fold_states`` for a use of many series, with symbol and tf; None before the first are kept."""
+        there = self._states(f"series_{self._of_key(key)}")
+        return self.spark.read.schema(f"symbol string, tf string, time bigint, {STATE_SCHEMA}").parquet(there[-1]) if there else None
+
+    def keep_series_states(self, key: str, tf: str, since: DataFrame, left: DataFrame) -> None:
+        """Replace the states of the series in since (symbol, since) from that time on by those in left; the last of each span stays."""
+        folder = f"series_{self._of_key(key)}"
+        before, states = self._states(folder), left
+        if before:
+            old = self.series_states(key).join(since, "symbol", "left").filter(F.col("since").isNull() | (F.col("tf") != tf) | (F.col("time") < F.col("since"))).drop("since")
+            states = old.unionByName(left)
+        w = Window.partitionBy("symbol", "tf", F.floor(F.col("time") / SPAN_SECONDS)).orderBy(F.desc("time"))
+        number = int(re.search(r"v(\d+)$", before[-1])[1]) + 1 if before else 0
+        states.withColumn("__r", F.row_number().over(w)).filter("__r = 1").drop("__r").write.parquet(f"{self.path}/{folder}/v{number:012d}")
+        self._delete(before[:-1])
+
     def forget_fold_states(self) -> None:
-        self._delete([f"{self.path}/fold_states"])
+        self._delete([f"{self.path}/fold_states", f"{self.path}/series_fold_states"])
 
     def save_state(self, states: DataFrame) -> None:
         """states: indicator_key, last_bar_time, state. The latest by key stays.

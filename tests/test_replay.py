@@ -194,3 +194,41 @@ def test_every_state_can_be_kept(spark):
                 assert nested(tuple(row[f] for f in STATE_FIELDS))["version"] == 1, name
                 resume.raw.unpersist()
     bars.unpersist()
+
+
+@pytest.mark.parametrize("name", ["sma", "ema", "obv"])
+def test_late_bars_of_many_series_give_the_batch(spark, tmp_path, name):
+    """One replay of all series, with starts of their own, gives what each series gives by itself."""
+    from barloom.plans.replay import replay_all
+
+    store, op = BarStore(spark, str(tmp_path)), get(name)
+    bars = walk(spark, 100, DAY, "AA").unionByName(walk(spark, 120, DAY, "BB", 4)).unionByName(walk(spark, 70, DAY, "CC", 5))
+    late = ((F.col("symbol") == "AA") & F.col("time").isin([EPOCH + DAY * k for k in (40, 41)])) | ((F.col("symbol") == "BB") & (F.col("time") == EPOCH + DAY * 99))
+    for part in (bars.filter(~late), bars.filter(late)):
+        store.upsert(part, "x")
+        replay_all(store, "x", "1m", {"K": op, "E": get("ema")}, part.groupBy("symbol").agg(F.min("time").alias("since")))
+    for key, operator in (("K", op), ("E", get("ema"))):
+        for symbol in ("AA", "BB", "CC"):
+            want = points(operator(bars.filter(F.col("symbol") == symbol)), key)
+            got = {r.time: r.fields["value"] for r in store.indicator("x", symbol, "1m", key).collect()}
+            assert set(got) == set(want) and [got[t] for t in sorted(got)] == pytest.approx([want[t][0] for t in sorted(got)])
+    kept = store.series_states("E").collect()
+    assert len({(r.symbol, r.time // SPAN_SECONDS) for r in kept}) == len(kept) == 4 + 5 + 3
+
+
+def test_jobs_of_a_replay_do_not_grow_with_the_series(spark, tmp_path):
+    from barloom.plans.replay import replay_all
+
+    def jobs(k):
+        store, bars = BarStore(spark, str(tmp_path / str(k))), walk(spark, 40, DAY, "S0")
+        bars = bars.withColumn("symbol", F.explode(F.array(*[F.lit(f"S{i}") for i in range(k)])))
+        store.upsert(bars, "x")
+        spark.sparkContext.setJobGroup(f"series{k}", "")
+        try:
+            replay_all(store, "x", "1m", {"E": get("ema")}, bars.groupBy("symbol").agg(F.min("time").alias("since")))
+        finally:
+            spark.sparkContext._jsc.clearJobGroup()
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"series{k}"))
+
+    one, many = jobs(1), jobs(12)
+    assert one and many <= one + 2
