@@ -90,8 +90,8 @@ def _put(layer, values) -> None:
 class Scan:
     """What ``fold`` does within ``over_spans``: the affine scan of its rows by spans."""
 
-    def __init__(self, warm: int):
-        self.warm = warm
+    def __init__(self, warm: int, bundle: int = 1):
+        self.warm, self.bundle = warm, bundle  # bundle: short spans that one Python call takes, one after the other
 
     def _begun(self, pdf: pd.DataFrame, make, params, n: int):
         """(fold, its inputs) at the first own bar of a span; warmed up on the halo, or fresh in a first span."""
@@ -107,23 +107,32 @@ class Scan:
         example = make(*params)
         if not hasattr(example, "layers"):
             raise ValueError(f"{type(example).__name__} has no affine state")
-        rows = _written(rows, "spans")
         split = F.split("tf", MARK)
         series, span = F.element_at(split, 1), F.element_at(split, 2).cast("long")
+        bundled = ("symbol", "__series", "__bundle")
+        in_bundles = lambda df: df.withColumns({"__series": series, "__bundle": F.floor(span / self.bundle)}).groupBy(*bundled)
+        rows = _written(rows, "spans")
         starts: DataFrame | None = None
         known = "symbol string, tf string, starts array<double>"
 
-        def at_start(fold, starts_: pd.DataFrame, layers: int) -> None:
+        def by_span(of_span):
+            def run(pdf: pd.DataFrame, starts_: pd.DataFrame) -> pd.DataFrame:
+                states = dict(zip(starts_["tf"], starts_["starts"], strict=True))
+                ordered = pdf.sort_values(["tf", "time"], ignore_index=True)
+                return pd.concat([of_span(part, states.get(tf)) for tf, part in ordered.groupby("tf", sort=False)], ignore_index=True)
+
+            return run
+
+        def at_start(fold, values, layers: int) -> None:
             """Put the known states of the first layers."""
-            if len(starts_):
-                values, at = starts_["starts"].iloc[0], 0
+            if values is not None:
+                at = 0
                 for layer in fold.layers()[:layers]:
                     _put(layer, values[at : at + len(layer)])
                     at += len(layer)
 
         def stepped(level: int):
-            def step(pdf: pd.DataFrame, starts_: pd.DataFrame) -> pd.DataFrame:
-                pdf = pdf.sort_values("time", ignore_index=True)
+            def step(pdf: pd.DataFrame, known_start) -> pd.DataFrame:
                 fold, inputs, own = self._begun(pdf, make, params, n)
                 size = len(fold.layers()[level])
                 if not own:  # the first span has its states from its own bars
@@ -133,14 +142,14 @@ class Scan:
                 ends = []
                 for unit in [np.zeros(size), *np.eye(size)]:
                     fold, inputs, _ = self._begun(pdf, make, params, n)
-                    at_start(fold, starts_, level)
+                    at_start(fold, known_start, level)
                     _put(fold.layers()[level], unit)
                     fold.feed(*inputs)
                     ends.append(_values(fold.layers()[level]))
                 matrix = (np.array(ends[1:]) - ends[0]).T
                 return pd.DataFrame({"symbol": pdf["symbol"][:1], "tf": pdf["tf"][:1], "matrix": [matrix.ravel().tolist()], "vector": [ends[0].tolist()]})
 
-            return step
+            return by_span(step)
 
         def prefix(pdf: pd.DataFrame) -> pd.DataFrame:
             """The steps of a series one after the other: the state before each span, with those of the layers before."""
@@ -154,15 +163,14 @@ class Scan:
         empty = rows.sparkSession.createDataFrame([], known)
         for level in range(len(example.layers())):
             have = empty if starts is None else starts
-            steps = rows.groupBy("symbol", "tf").cogroup(have.groupBy("symbol", "tf")).applyInPandas(stepped(level), "symbol string, tf string, matrix array<double>, vector array<double>")
+            steps = in_bundles(rows).cogroup(in_bundles(have)).applyInPandas(stepped(level), "symbol string, tf string, matrix array<double>, vector array<double>")
             joined = steps.join(have, ["symbol", "tf"], "left").withColumns({"series": series, "span": span})
             starts = _written(joined.groupBy("symbol", "series").applyInPandas(prefix, known), "starts").filter(F.size("starts") > 0)
 
-        def last(pdf: pd.DataFrame, starts_: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values("time", ignore_index=True)
+        def last(pdf: pd.DataFrame, known_start) -> pd.DataFrame:
             fold, inputs, own = self._begun(pdf, make, params, n)
             if own:
-                at_start(fold, starts_, len(fold.layers()))
+                at_start(fold, known_start, len(fold.layers()))
                 if hasattr(fold, "started"):
                     fold.started()
             got = fold.feed(*inputs)
@@ -172,13 +180,13 @@ class Scan:
                 out[name] = np.asarray(values)[ok]
             return out
 
-        return rows.groupBy("symbol", "tf").cogroup(starts.groupBy("symbol", "tf")).applyInPandas(last, schema)
+        return in_bundles(rows).cogroup(in_bundles(starts)).applyInPandas(by_span(last), schema)
 
 
 def over_spans(operator: Callable[[DataFrame], DataFrame], bars: DataFrame, span_bars: int = SPAN_BARS, slot_seconds: int = SLOT_SECONDS) -> DataFrame:
     """operator(bars), with the work of a series spread over its spans.
 
-    For operators of windows, folds with ``layers``, and running sums; ValueError for those that need all bars otherwise.
+    bars may be ``numbered`` already, once for several operators. For operators of windows, folds with ``layers``, and running sums; ValueError for those that need all bars otherwise.
     """
     with probing() as found, folds.resuming(None, 1) as resume:
         operator(bars.limit(0))
@@ -191,10 +199,10 @@ def over_spans(operator: Callable[[DataFrame], DataFrame], bars: DataFrame, span
         raise ValueError("more than one fold")
     warm = warm_up(*resume.makers[0]) if resume.makers else 0
     halo = int(found.bars) + warm + int(sums) + 1
-    cut = spans(numbered(bars, slot_seconds), halo, max(span_bars, halo))
+    cut = spans(bars if "__total" in bars.columns else numbered(bars, slot_seconds), halo, max(span_bars, halo))
     cut = _written(cut, "bars")
     if resume.makers:
-        with folds.scanning(Scan(warm)):
+        with folds.scanning(Scan(warm, max(1, SPAN_BARS // max(span_bars, halo)))):
             out = operator(cut)
     else:
         out = operator(cut.drop("__own"))

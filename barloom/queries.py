@@ -303,10 +303,10 @@ def parity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _over_spans(spark: SparkSession, sf_dir: str, names: tuple[str, ...]) -> DataFrame:
     import barloom.operators  # noqa: F401
-    from barloom.plans.spans import over_spans
+    from barloom.plans.spans import numbered, over_spans
     from barloom.registry import get
 
-    bars = minute_bars(spark, sf_dir).persist()
+    bars = numbered(minute_bars(spark, sf_dir), 7200).persist()
     out = _by_name({name: over_spans(get(name), bars, span_bars=512, slot_seconds=7200) for name in names})
     bars.unpersist()
     return out

@@ -66,3 +66,11 @@ def test_others_say_so(spark, bars):
         with pytest.raises(ValueError):
             over_spans(get(name), bars)
     assert sum(hasattr(o, "family") for o in OPERATORS.values()) == len(OPERATORS)
+
+
+@pytest.mark.parametrize("name", ["t3", "obv"])
+def test_bars_numbered_once_serve_several_operators(spark, bars, name):
+    """Short spans go through the scan in bundles."""
+    from barloom.plans.spans import numbered
+
+    equal(over_spans(get(name), numbered(bars, 7200), span_bars=64), get(name)(bars))
