@@ -75,6 +75,28 @@ def test_words_whose_lower_case_is_no_letter():
         assert list(memoryview(got).cast("I")) == whole.encode(text, add_special_tokens=False).ids, text
 
 
+def test_latin_words_need_the_merges_alone(monkeypatch):
+    """Ids equal the tokenizer's on every letter below U+0180 and over changes of the cache's generation; words of such letters do not go through it."""
+    from tokenizers import Tokenizer
+
+    from barloom.llm import tokens
+
+    whole, rng = Tokenizer.from_file(tokenizer_path()), random.Random(7)
+    letters = [c for c in map(chr, range(0x180)) if c.isalpha() and c != "\u0130"]
+    words = [c * n for c in letters for n in (1, 3)] + ["".join(rng.choice(letters) for _ in range(rng.randrange(1, 12))) for _ in range(3000)]
+    texts = [" ".join(rng.choice(words) for _ in range(60)) for _ in range(200)]
+    want = [whole.encode(t, add_special_tokens=False).ids for t in texts]
+    monkeypatch.setattr(tokens, "CACHE_WORDS", 700)
+    monkeypatch.setattr(tokens, "SPLIT_BYTES", 3000)
+    mine = tokens.WordIds(tokenizer_path())
+    mixed = [t.replace(" ", ", ", 5) + " \u0130x \u03a3\u0391\u03a3. a\u0301" for t in texts]
+    for text, got in zip(mixed, mine.encode([t.encode() for t in mixed]), strict=True):
+        assert list(memoryview(got).cast("I")) == whole.encode(text, add_special_tokens=False).ids
+    mine = tokens.WordIds(tokenizer_path())
+    mine.tokenizer = None
+    assert [list(memoryview(got).cast("I")) for got in mine.encode([t.encode() for t in texts])] == want
+
+
 def test_packing_is_gapless_whole_and_near_the_bound(spark):
     rng = random.Random(1)
     lengths = [rng.choice((rng.randint(1, 2048), rng.randint(1, 300), 90)) for _ in range(6000)]
