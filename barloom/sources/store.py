@@ -98,6 +98,10 @@ def unwrap(document: Column, key: str) -> Column:
     return F.when(F.size(document[key]) == 1, document[key]["value"])
 
 
+def span_of_time() -> Column:
+    return F.floor(F.col("time") / SPAN_SECONDS).cast("int")
+
+
 def merged(old: Column, new: Column) -> Column:
     """Both documents, the new one winning by key; a key without fields in the new one is removed."""
     old, new = (F.coalesce(x, F.create_map().cast(DOCUMENT)) for x in (old, new))
@@ -199,7 +203,7 @@ class BarStore:
         check_schema_name(exchange)
         doc = F.lit(None).cast(DOCUMENT) if indicators is None else indicators
         order = F.lit(None).cast("long") if version is None else F.col(version)
-        self._merge(bars.select(F.lit(exchange).alias("exchange"), "symbol", "tf", F.col("time").cast("long").alias("time"), *[F.col(c).cast("double").alias(c) for c in BAR], doc.alias("indicators"), order.alias("version")), with_bars=True)
+        self._merge(bars.select(F.lit(exchange).alias("exchange"), "symbol", "tf", F.col("time").cast("long").alias("time"), *[F.col(c).cast("double").alias(c) for c in BAR], doc.alias("indicators"), order.alias("version")), with_bars=True, held=bars.is_cached)
 
     def merge_indicators(self, points: DataFrame, exchange: str) -> None:
         """points: symbol, tf, time, indicators. A row that is not there is made, without a bar."""
@@ -232,31 +236,37 @@ class BarStore:
         """points in long form: symbol, tf, time, key, value."""
         self.merge_indicators(to_documents(points), exchange)
 
-    def _merge(self, new: DataFrame, with_bars: bool) -> None:
-        new = new.withColumn("symbol", F.upper(F.trim("symbol"))).persist(StorageLevel.MEMORY_AND_DISK)
+    def _merge(self, new: DataFrame, with_bars: bool, held: bool = False) -> None:
+        """held: new comes from rows that are persisted already."""
+        new = new.withColumn("symbol", F.upper(F.trim("symbol"))).withColumn("span", span_of_time())
+        new = new if held else new.persist(StorageLevel.MEMORY_AND_DISK)
+        touched = new.groupBy(*PARTITION, "span").agg(F.count(F.lit(1)).alias("n"))
+        # a row without a time has no span
+        right = F.col("symbol").rlike("^[A-Z0-9]{1,63}$") & F.col("tf").rlike("^[A-Za-z0-9]{1,63}$") & F.col("span").isNotNull()
+        touched = touched.withColumn("wrong", F.when(right, 0).otherwise(F.col("n"))).persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            self._merge_checked(new, with_bars)
+            self._merge_checked(new, touched, with_bars)
         finally:
-            new.unpersist()
+            touched.unpersist()
+            if not held:
+                new.unpersist()
 
-    def _merge_checked(self, new: DataFrame, with_bars: bool) -> None:
-        wrong = ~(F.col("symbol").rlike("^[A-Z0-9]{1,63}$") & F.col("tf").rlike("^[A-Za-z0-9]{1,63}$") & F.col("time").isNotNull())
-        span = F.floor(F.col("time") / SPAN_SECONDS).cast("int")
-        seen = new.agg(F.count_if(F.coalesce(wrong, F.lit(True))).alias("wrong"), F.min(span).alias("low"), F.max(span).alias("high")).first()
+    def _merge_checked(self, new: DataFrame, touched: DataFrame, with_bars: bool) -> None:
+        seen = touched.agg(F.sum("wrong").alias("wrong"), F.min("span").alias("low"), F.max("span").alias("high")).first()
         if seen["wrong"]:
             raise ValidationError(f"{seen['wrong']} rows without a proper symbol, timeframe or time")
         if seen["low"] is None:
             return
-        touched = new.select(*PARTITION, span.alias("span")).distinct()
         old = self._all().filter(F.col("span").between(seen["low"], seen["high"]))
-        series = new.select(*PARTITION).distinct().limit(MOST_NAMES + 1).collect()
+        series = touched.select(*PARTITION).distinct().limit(MOST_NAMES + 1).collect()
         for k, name in enumerate(PARTITION if len(series) <= MOST_NAMES else ()):
             old = old.filter(F.col(name).isin(sorted({r[k] for r in series})))
-        old = old.join(touched, [*PARTITION, "span"], "left_semi").drop("span")
+        old = old.join(touched.select(*PARTITION, "span"), [*PARTITION, "span"], "left_semi")
         self._replace(merge_rows(old, new, with_bars))
 
     def _replace(self, rows: DataFrame) -> None:
-        rows = rows.withColumn("span", F.floor(F.col("time") / SPAN_SECONDS).cast("int")).repartition(*PARTITION, "span").sortWithinPartitions(*KEY).persist(StorageLevel.DISK_ONLY)
+        rows = rows if "span" in rows.columns else rows.withColumn("span", span_of_time()).repartition(*PARTITION, "span")
+        rows = rows.sortWithinPartitions(*PARTITION, "span", "time").persist(StorageLevel.DISK_ONLY)
         try:
             # the bars go last: a write to their folder drops what is cached of it, and rows with it
             for df, folder in ((summaries.summarise(rows), "summaries"), (rows, "bars")):
@@ -382,16 +392,26 @@ def merge_rows(old: DataFrame, new: DataFrame, with_bars: bool = True) -> DataFr
     """old and new rows by key: the new row wins the bar, documents are merged, the new one winning.
 
     Of new rows with the same key the one with the largest version wins, if new has that column, then the
-    one with the largest bar and document; the others leave nothing.
+    one with the largest bar and document; the others leave nothing. Old rows have one row for each key. Where both
+    have their span, rows are dealt by it once, and stay so.
     """
-    order = [F.desc_nulls_last(c) for c in ("version", *BAR) if c in new.columns]
-    w = Window.partitionBy(*KEY).orderBy(*order, F.desc_nulls_last(F.to_json("indicators")))
-    o, n = old.alias("o"), new.withColumn("__r", F.row_number().over(w)).filter("__r = 1").alias("n")
-    on = [F.col(f"o.{k}") == F.col(f"n.{k}") for k in KEY]
-    both = o.join(n, on, "full_outer")
-    pick = (lambda c: F.when(F.col("n.time").isNotNull(), F.col(f"n.{c}")).otherwise(F.col(f"o.{c}"))) if with_bars else (lambda c: F.col(f"o.{c}"))
-    stamp = F.when(F.col("n.time").isNotNull(), F.current_timestamp()).otherwise(F.col("o.updated_at")).alias("updated_at")
-    return both.select(F.coalesce("o.time", "n.time").alias("time"), *[pick(c).alias(c) for c in BAR], merged(F.col("o.indicators"), F.col("n.indicators")).alias("indicators"), stamp, *[F.coalesce(f"o.{k}", f"n.{k}").alias(k) for k in PARTITION])
+    spans = ["span"] if "span" in old.columns and "span" in new.columns else []
+    version = F.col("version") if "version" in new.columns else F.lit(None).cast("long")
+    n = new.select(*PARTITION, *spans, "time", *BAR, "indicators", F.lit(None).cast("timestamp").alias("updated_at"), version.alias("__version"), F.lit(True).alias("__new"))
+    o = old.select(*PARTITION, *spans, "time", *BAR, "indicators", "updated_at", F.lit(None).cast(n.schema["__version"].dataType).alias("__version"), F.lit(False).alias("__new"))
+    both = o.unionByName(n)
+    both = both.repartition(*PARTITION, "span") if spans else both
+    document = F.when(F.col("__new"), F.to_json("indicators"))
+    w = Window.partitionBy(*PARTITION, *spans, "time").orderBy(F.desc("__new"), *[F.desc_nulls_last(c) for c in ("__version", *BAR)], F.desc_nulls_last(document))
+    last = F.struct("__new", *BAR, "indicators").alias("__last")
+    placed = both.withColumn("__last", F.last(last).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).withColumn("__r", F.row_number().over(w)).filter("__r = 1")
+    is_new, was = F.col("__new"), F.when(~F.col("__last.__new"), F.col("__last"))
+    pick = (lambda c: F.col(c)) if with_bars else (lambda c: was[c].alias(c))
+    stamp = F.when(is_new, F.current_timestamp()).otherwise(F.col("updated_at")).alias("updated_at")
+    mine = F.col("indicators")
+    alone = F.when(is_new, F.map_filter(F.coalesce(mine, F.create_map().cast(DOCUMENT)), lambda k, v: F.size(v) > 0)).otherwise(F.coalesce(mine, F.create_map().cast(DOCUMENT)))
+    documents = F.when(is_new & was.isNotNull(), merged(was["indicators"], mine)).otherwise(alone).alias("indicators")
+    return placed.select("time", *[pick(c) for c in BAR], documents, stamp, *PARTITION, *spans)
 
 
 def to_documents(points: DataFrame) -> DataFrame:

@@ -86,6 +86,32 @@ def test_the_largest_version_wins(spark, store):
     assert [r.fields["value"] for r in store.indicator("x", "BTC", "1m", "A").collect()] == [3.0]
 
 
+@pytest.mark.parametrize("with_bars", [True, False])
+def test_merged_rows_are_dealt_once(spark, with_bars):
+    """One shuffle, by span, for old and new rows; the merge equals a plain one."""
+    from barloom.sources.store import BAR, DOCUMENT, merge_rows
+
+    schema = f"exchange string, symbol string, tf string, time long, span int, {', '.join(f'{c} double' for c in BAR)}, indicators {DOCUMENT}, updated_at timestamp"
+    row = lambda t, x, doc: ("e", "S", "1m", t, t // 100, x, x, x, x, x, doc, None)
+    old = [row(t, float(t), {"A": {"value": 1.0}, "B": {"value": 2.0}} if t % 3 else None) for t in range(0, 300, 2)]
+    new = [row(t, -1.0, {"A": {}, "C": {"value": 3.0}} if t % 2 else None) for t in range(0, 300, 3)]
+    new += [row(t, 5.0, {"A": {"value": 4.0}}) for t in range(0, 300, 6)]
+    got = merge_rows(spark.createDataFrame(old, schema), spark.createDataFrame(new, schema).drop("updated_at"), with_bars)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Repartition") == 1
+    assert got._jdf.queryExecution().sparkPlan().toString().count("Join") == 0
+    rows = got.collect()
+    assert got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("Exchange hashpartitioning") == 1
+    want = {r[3]: (r[5], r[10] or {}, False) for r in old}
+    best = {}
+    for r in new:
+        best[r[3]] = max(best.get(r[3], r), r, key=lambda r: r[5])
+    for t, r in best.items():
+        x, doc, _ = want.get(t, (None, {}, False))
+        put = r[10] or {}
+        want[t] = (r[5] if with_bars else x, {k: v for k, v in doc.items() if k not in put} | {k: v for k, v in put.items() if v}, True)
+    assert {r.time: (r.close, r.indicators, r.updated_at is not None) for r in rows} == want and len(rows) == len(want)
+
+
 def test_incremental_fills_late_points(spark, store):
     from barloom.streaming.live import incremental
 
