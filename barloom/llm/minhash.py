@@ -12,12 +12,14 @@
 5. A larger bucket is dealt into chunks of about CHUNK texts. A task takes one chunk with its texts, works
    out the weighted Jaccard similarity of every two of them as sums of matrix products, and gives out
    a spanning forest of the links, which connects what all of them connect: at most one row for each text.
-6. Links give classes by min-label propagation with pointer jumping on written tables. Where a bucket of
-   several chunks still holds several classes, every two of its chunks meet in a task of their own.
+6. Links give classes by contraction on written tables that shrink from round to round. Where a bucket of
+   several chunks still holds several classes, texts leave it that so much of their weight is in no other text
+   that they can be similar to none; then chunks of its largest class meet chunks of the rest, and those
+   one another, each two in a task of their own.
 
 So every two texts that share a bucket are compared or already in one class, however large the bucket.
-A group of similar texts costs its size times CHUNK comparisons; only texts that share a bucket
-and stay apart cost the square of their number, without any row for a pair.
+A group of similar texts costs its size times CHUNK comparisons; only texts that share a bucket, have nearly all they
+hold in common with others, and still stay apart cost the square of their number, without any row for a pair.
 
 Defined results: texts without a word, null texts and null ids are a class of their own (null ids
 have a null class); the class id is its smallest id, which is the document that stays; rows repeated
@@ -32,12 +34,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm.bloom import Bloom, packed_texts, unpacked
 from barloom.llm.common import give_back, slices, written
-from barloom.llm.shingles import Idf, fit_idf, mix, shingles
+from barloom.llm.shingles import Idf, Shingles, fit_idf, mix, shingles
 
 BANDS, ROWS = 12, 2
 SAMPLES = BANDS * ROWS
@@ -45,6 +48,8 @@ SMALL, CHUNK = 16, 256
 #: Samples that a pair of a small bucket must agree in; over 0 pairs may be lost.
 LEAST_AGREED = 0
 SIMILARITY = 0.8
+#: Compressed bytes of the texts whose elements one task counts.
+PART_BYTES = 1 << 20
 _STEPS = 1 << 16
 _LEVEL = np.uint64(0x9E3779B97F4A7C15)
 
@@ -135,22 +140,28 @@ def candidates(members: DataFrame, signed: DataFrame, least_agreed: int = LEAST_
     return every.join(sig_a, "a").join(sig_b, "b").filter(agreed >= least_agreed).select("a", "b")
 
 
+def elements(x: Shingles) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text, weight and key of the elements of a block: a shingle that occurs c times is c elements of its IDF each.
+
+    So the smaller of two weights of a shingle is the weight of the common elements.
+    """
+    unit = x.weight.astype(float) / np.maximum(x.times, 1)
+    level = np.arange(int(x.times.sum())) - np.repeat(np.cumsum(x.times) - x.times, x.times)
+    return np.repeat(x.text, x.times), np.repeat(unit, x.times), mix(np.repeat(x.hash, x.times) + level.astype(np.uint64) * _LEVEL)
+
+
 def all_similarities(texts: list[str | None], idf: Idf) -> np.ndarray:
     """[text, text] weighted Jaccard similarities.
 
-    A shingle that occurs c times is c elements of its IDF each, so that the smaller of two weights is
-    the weight of the common elements. Elements of few texts are counted pair by pair, all others by
+    Elements of few texts are counted pair by pair, all others by
     matrix products over blocks of elements.
     """
     n = len(texts)
-    parts = list(shingles(texts, idf))
-    text, value, times = (np.concatenate([getattr(x, k) for x in parts]) for k in ("text", "hash", "times")) if parts else (np.zeros(0, np.int64),) * 3
-    unit = np.concatenate([x.weight for x in parts]).astype(float) / np.maximum(times, 1) if parts else np.zeros(0)
-    total, common = np.bincount(text, unit * times, n), np.zeros((n, n))
-    level = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
-    key = mix(np.repeat(value, times) + level.astype(np.uint64) * _LEVEL)
+    parts = [elements(x) for x in shingles(texts, idf)]
+    text, unit, key = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.uint64))
+    total, common = np.bincount(text, unit, n), np.zeros((n, n))
     order = np.argsort(key, kind="stable")
-    text, unit, key = np.repeat(text, times)[order], np.repeat(unit, times)[order], key[order]
+    text, unit, key = text[order], unit[order], key[order]
     first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
     size = np.diff(np.append(first, len(key)))
     element, many = np.repeat(np.arange(len(first)), size), np.repeat(size, size)
@@ -190,29 +201,106 @@ def spanning_forest(linked: np.ndarray, label: np.ndarray) -> list[tuple[int, in
     return found
 
 
-def chunk_links(members: DataFrame, texts: DataFrame, idf: Idf, similarity: float, pairs: bool, chunk: int) -> DataFrame:
-    """Links (a, b) that connect the similar texts of each chunk, or of each two chunks of a bucket.
+def shared_weights(texts: DataFrame, idf: Idf) -> DataFrame:
+    """(id, total, shared): weight of each text, and of those of its elements that another of the texts has too.
 
-    members: (key, n, id), for pairs with their label; texts: (id, text), compressed.
+    texts: (id, text), compressed. A block of texts sends each of its elements once, packed into an array for each of the
+    parts that elements are dealt into by hash; a part counts in how many blocks an element is.
     """
-    kind = members.schema["id"].dataType.simpleString()
-    chunks = F.ceil(F.col("n") / chunk).cast("int")
-    dealt = members.withColumn("own", F.pmod(F.xxhash64("key", "id"), chunks).cast("int"))
-    if pairs:
-        dealt = dealt.withColumn("other", F.explode(F.filter(F.sequence(F.lit(0), chunks - 1), lambda c: c != F.col("own"))))
-        dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "label")
-    else:
-        dealt = dealt.select("key", F.col("own").alias("i"), F.col("own").alias("j"), "id", F.col("id").alias("label"))
+    kind = texts.schema["id"].dataType.simpleString()
+    parts = 1 + (texts.agg(F.sum(F.length("text"))).first()[0] or 0) // PART_BYTES
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            for x in shingles(unpacked(batch.column(1)), idf):
+                text, unit, key = elements(x)
+                text = text - x.first
+                found, first, place, times = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+                total, shared = (np.bincount(text, w, x.end - x.first) for w in (unit, unit * (times > 1)[place]))
+                owner, weight = np.where(times > 1, -1, text[first]), unit[first]
+                part = (found % np.uint64(parts)).astype(np.int64)
+                order = np.argsort(part, kind="stable")
+                cuts = np.searchsorted(part[order], np.arange(parts + 1))
+                for p in np.flatnonzero(np.diff(cuts)).tolist():
+                    at = order[cuts[p] : cuts[p + 1]]
+                    columns = (batch.column(0)[x.first : x.end], pa.array(total), pa.array(shared), pa.array(found[at].view(np.int64)), pa.array(owner[at], pa.int32()), pa.array(weight[at]))
+                    yield pa.RecordBatch.from_arrays([pa.array([p], pa.int64()), *(pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in columns)], names=["part", "id", "total", "shared", "key", "owner", "weight"])
+                    total, shared = np.zeros_like(total), np.zeros_like(shared)  # of a block, one part counts them
+        give_back()
+
+    def count(rows: pa.Table) -> pa.Table:
+        flat = {c: rows[c].combine_chunks().flatten() for c in ("id", "total", "shared", "key", "owner", "weight")}
+        n, m = (pc.list_value_length(rows[c]).to_numpy() for c in ("id", "key"))
+        owner = flat["owner"].to_numpy()
+        _, place, times = np.unique(flat["key"].to_numpy(), return_inverse=True, return_counts=True)
+        hit = (owner >= 0) & (times[place] > 1)
+        owner = owner + np.repeat(np.cumsum(n) - n, m)
+        shared = flat["shared"].to_numpy() + np.bincount(owner[hit], flat["weight"].to_numpy()[hit], len(flat["id"]))
+        total = flat["total"].to_numpy()
+        give_back()
+        return pa.table({"id": flat["id"], "total": total, "shared": shared}).filter(pa.array((total > 0) | (shared > 0)))
+
+    dealt = texts.select("id", "text").mapInArrow(deal, f"part long, id array<{kind}>, total array<double>, shared array<double>, key array<long>, owner array<int>, weight array<double>")
+    return dealt.groupBy("part").applyInArrow(count, f"id {kind}, total double, shared double").groupBy("id").agg(F.sum("total").alias("total"), F.sum("shared").alias("shared"))
+
+
+def may_link(named: DataFrame, weights: DataFrame, similarity: float) -> DataFrame:
+    """The rows of named (key, id, label) that may be as similar to another member of their bucket.
+
+    What x and y have in common weighs shared(x) at most, and of similar ones similarity / (1 + similarity) of both totals
+    at least; so total(y) is at most the reach of x below. The rest is similar to none.
+    """
+    reach = F.col("shared") * ((1 + similarity) / similarity) - F.col("total")
+    rows = written(named.join(weights, "id").select(*named.columns, "total", reach.alias("reach")), "reach")
+    least = rows.groupBy("key").agg(F.min("total").alias("least"))
+    return rows.join(least, "key").filter(F.col("reach") * 1.001 >= F.col("least")).select(*named.columns)
+
+
+def within_chunks(large: DataFrame, chunk: int) -> DataFrame:
+    """(key, i, j, id, label): the members of each bucket, dealt into chunks, each a class of its own."""
+    own = F.pmod(F.xxhash64("key", "id"), F.ceil(F.col("n") / chunk).cast("int")).cast("int")
+    return large.select("key", own.alias("i"), own.alias("j"), "id", F.col("id").alias("label"))
+
+
+def across_classes(named: DataFrame, chunk: int) -> DataFrame:
+    """(key, i, j, id, label): the meetings of two chunks in which every two classes of a bucket meet whole.
+
+    named: (key, id, label). The members of a bucket's largest class, which are connected, meet the rest and not
+    one another; chunks of the rest meet each other too. Buckets of one class have no rows.
+    """
+    classes = named.groupBy("key", "label").agg(F.count(F.lit(1)).alias("m")).groupBy("key")
+    apart = classes.agg(F.max(F.struct("m", "label")).alias("top"), F.sum("m").alias("n"), F.count(F.lit(1)).alias("classes")).filter("classes > 1")
+    rows = named.join(apart.select("key", "n", F.col("top.m").alias("m"), F.col("top.label").alias("top")), "key")
+    mains, rests = F.ceil(F.col("m") / chunk).cast("int"), F.ceil((F.col("n") - F.col("m")) / chunk).cast("int")
+    rows = rows.select("key", "id", "label", (F.col("label") == F.col("top")).alias("main"), mains.alias("mains"), rests.alias("rests"))
+    own, last = F.col("own"), F.sequence(F.lit(0), F.col("rests") - 1)
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("key", "id"), F.when(F.col("main"), F.col("mains")).otherwise(F.col("rests"))).cast("int"))
+    pair = lambda i, j: F.struct(i.alias("i"), j.alias("j"))
+    of_main = F.transform(last, lambda c: pair(own, c))
+    of_rest = F.concat(
+        F.transform(F.sequence(F.lit(0), F.col("mains") - 1), lambda c: pair(c, own)),
+        F.transform(F.filter(last, lambda c: c != own), lambda c: pair(F.col("mains") + F.least(own, c), F.greatest(own, c))),
+    )
+    rows = rows.withColumn("at", F.explode(F.when(F.col("main"), of_main).otherwise(of_rest)))
+    return rows.select("key", "at.i", "at.j", "id", "label")
+
+
+def chunk_links(dealt: DataFrame, texts: DataFrame, idf: Idf, similarity: float) -> DataFrame:
+    """Links (a, b) of labels that connect the similar texts of each (key, i, j).
+
+    dealt: (key, i, j, id, label); texts: (id, text), compressed.
+    """
+    kind = dealt.schema["id"].dataType.simpleString()
 
     def meet(rows: pa.Table) -> pa.Table:
-        label = rows["label"].combine_chunks().dictionary_encode().indices.to_numpy()
+        labels = rows["label"].combine_chunks()
+        label = labels.dictionary_encode().indices.to_numpy()
         links: list[tuple[int, int]] = []
         if label.max() > 0:
             links = spanning_forest(all_similarities(unpacked(rows["text"]), idf) >= similarity - 1e-6, label)
         a, b = (pa.array([x[k] for x in links], pa.int64()) for k in (0, 1))
-        ids = rows["id"].combine_chunks()
         give_back()
-        return pa.table({"a": ids.take(a), "b": ids.take(b)})
+        return pa.table({"a": labels.take(a), "b": labels.take(b)})
 
     return dealt.join(texts, "id").select("key", "i", "j", "id", "label", "text").groupBy("key", "i", "j").applyInArrow(meet, f"a {kind}, b {kind}")
 
@@ -268,17 +356,30 @@ def verified(pairs: DataFrame, texts: DataFrame, idf: Idf, similarity: float) ->
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(id, label) of every id in links (a, b): the smallest id that it is connected to."""
-    edges = written(links.select(F.col("a").alias("id"), F.col("b").alias("other")).union(links.select("b", "a")).distinct(), "edges")
-    labels = written(edges.groupBy("id").agg(F.least(F.min("other"), F.first("id")).alias("label")), "labels")
-    while True:
-        near = edges.join(labels.select(F.col("id").alias("other"), "label"), "other").groupBy("id").agg(F.min("label").alias("near"))
-        closer = labels.join(near, "id").select("id", F.col("label").alias("was"), F.least("label", "near").alias("label"))
-        jump = closer.select(F.col("id").alias("label"), F.col("label").alias("next"))
-        moved = written(closer.join(jump, "label").select("id", "was", F.least("label", "next").alias("label")), "labels")
-        if moved.filter("label != was").isEmpty():
-            return moved.select("id", "label")
-        labels = moved.select("id", "label")
+    """(id, label) of every id in links (a, b): the smallest id that it is connected to.
+
+    Each round an id moves to the first of itself and its neighbours in an order by hash, of that round's own, and links
+    that became one or a loop go. So the tables of all rounds together are in proportion to the links.
+    """
+
+    def different(a: Column, b: Column, rows: DataFrame) -> DataFrame:
+        return written(rows.filter(a != b).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct(), "edges")
+
+    edges, hops = different(F.col("a"), F.col("b"), links), []
+    while not edges.isEmpty():
+        rank = lambda x: F.struct(F.xxhash64(F.lit(len(hops)), x).alias("rank"), F.col(x).alias("to"))  # noqa: B023, E731
+        both = edges.select(F.col("a").alias("id"), F.col("b").alias("other")).union(edges.select("b", "a"))
+        first = both.groupBy("id").agg(F.min(rank("other")).alias("near")).select("id", F.least("near", rank("id"))["to"].alias("to"))
+        hops.append(written(first, "hops"))
+        moved = edges.join(hops[-1].select(F.col("id").alias("a"), F.col("to").alias("to_a")), "a").join(hops[-1].select(F.col("id").alias("b"), F.col("to").alias("to_b")), "b")
+        edges = different(F.col("to_a"), F.col("to_b"), moved)
+    if not hops:
+        return edges.select(F.col("a").alias("id"), F.col("b").alias("label"))
+    ends = hops.pop()
+    while hops:
+        after = ends.select(F.col("id").alias("to"), F.col("to").alias("end"))
+        ends = written(hops.pop().join(after, "to", "left").select("id", F.coalesce("end", "to").alias("to")), "hops")
+    return written(ends.join(ends.groupBy("to").agg(F.min("id").alias("label")), "to").select("id", "label"), "labels")
 
 
 def links_of(signed: DataFrame, docs: DataFrame, idf: Idf, id_col: str, text_col: str, similarity: float, least_agreed: int, chunk: int) -> DataFrame:
@@ -287,16 +388,20 @@ def links_of(signed: DataFrame, docs: DataFrame, idf: Idf, id_col: str, text_col
     pairs = written(candidates(members, signed, least_agreed), "pairs")
     large = members.filter(F.col("n") > SMALL)
     texts = candidate_texts(pairs.select(F.explode(F.array("a", "b")).alias("id")).union(large.select("id")), signed, docs, id_col, text_col)
-    links = verified(pairs, texts, idf, similarity).union(chunk_links(large, texts, idf, similarity, False, chunk))
-    links = written(links, "links")
-    labels = components(links)
-    named = large.filter(F.col("n") > chunk).join(labels, "id", "left").select("key", "n", "id", F.coalesce("label", "id").alias("label"))
+    labels = components(verified(pairs, texts, idf, similarity).union(chunk_links(within_chunks(large, chunk), texts, idf, similarity)))
+    named = large.filter(F.col("n") > chunk).join(labels, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
     apart = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high").select("key")
-    left = written(named.join(apart, "key", "left_semi"), "apart")
-    if left.isEmpty():
+    named = written(named.join(apart, "key", "left_semi"), "apart")
+    if named.isEmpty():
+        return labels
+    weights = shared_weights(texts.join(named.select("id").distinct(), "id", "left_semi"), idf)
+    named = written(may_link(named, weights, similarity), "apart")
+    # links of classes, so that only their labels are to be joined
+    ends = components(chunk_links(across_classes(named, chunk), texts, idf, similarity))
+    if ends.isEmpty():
         return labels
-    more = written(chunk_links(left, texts, idf, similarity, True, chunk), "links")
-    return labels if more.isEmpty() else components(links.union(more))
+    known = labels.join(ends.select(F.col("id").alias("label"), F.col("label").alias("end")), "label", "left").select("id", F.coalesce("end", "label").alias("label"))
+    return written(known.union(ends.join(labels, "id", "left_anti").select("id", "label")), "labels")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, least_agreed: int = LEAST_AGREED, chunk: int = CHUNK, with_text_hash: bool = False) -> DataFrame:

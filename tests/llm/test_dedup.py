@@ -179,6 +179,68 @@ def test_no_similar_pair_of_a_large_bucket_is_lost(spark, chunk):
     assert label == {i: root(i) for i in texts} and len(want) >= 50
 
 
+def rows_made(spark, run):
+    """Rows that the joins and generators of run made."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = {e.executionId() for e in listed(store.executionsList())}
+    run()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    total = 0
+    for e in listed(store.executionsList()):
+        if e.executionId() in before:
+            continue
+        values = store.executionMetrics(e.executionId())
+        for node in listed(store.planGraph(e.executionId()).allNodes()):
+            if re.search("Join|Generate", node.name()):
+                for m in listed(node.metrics()):
+                    if m.name() == "number of output rows" and values.contains(m.accumulatorId()):
+                        total += int(values.apply(m.accumulatorId()).replace(",", ""))
+    return total
+
+
+def listed(seq):
+    return [seq.apply(i) for i in range(seq.size())]
+
+
+def test_rows_of_a_group_grow_with_its_size(spark):
+    """Near copies of one text, half of them too far from all others: twice as many make about twice the rows."""
+    rng = random.Random(21)
+    base = words(rng, 200)
+    texts = {i: edited(rng, base, i % 9) for i in range(640)}
+    made = [rows_made(spark, lambda n=n: near_duplicates(docs(spark, dict(list(texts.items())[:n])), chunk=20).collect()) for n in (320, 640)]
+    assert made[1] < 2.6 * made[0]
+
+
+def test_shared_weights_and_what_may_link(spark, monkeypatch):
+    rng = random.Random(22)
+    base, apart = words(rng, 150), words(rng, 40)
+    texts = {i: edited(rng, base, rng.randrange(12)) for i in range(90)} | {100: apart, 101: apart + " " + apart, 102: "one two", 103: words(rng, 20)}
+    df = docs(spark, texts)
+    idf = fit_idf(df)
+    has = {i: {k: u for x in shingles([t], idf) for _, u, k in zip(*minhash.elements(x), strict=True)} for i, t in texts.items()}
+    often = Counter(k for h in has.values() for k in h)
+    monkeypatch.setattr(minhash, "PART_BYTES", 3000)
+    monkeypatch.setattr(minhash, "slices", lambda batches: (b.slice(at, 7) for b in batches for at in range(0, b.num_rows, 7)))
+    packed = minhash.packed_texts(df.select(F.col("doc_id").alias("id"), F.lit(0).cast("long").alias("text_hash"), "text"), minhash.Bloom.of(df.select(F.col("doc_id").alias("id"))))
+    weights = minhash.shared_weights(packed.select("id", "text"), idf).cache()
+    got = {r.id: (r.total, r.shared) for r in weights.collect()}
+    assert got.keys() == texts.keys()
+    for i, h in has.items():
+        assert got[i] == pytest.approx((sum(h.values()), sum(u for k, u in h.items() if often[k] > 1)))
+    stay = {r.id for r in minhash.may_link(df.select(F.lit(1).alias("key"), F.col("doc_id").alias("id"), F.col("doc_id").alias("label")), weights, 0.8).collect()}
+    assert stay >= {i for pair in weighted_brute(texts, idf) for i in pair} and not stay & {102, 103} and len(stay) < len(texts)
+
+
+def test_every_two_classes_of_a_bucket_meet(spark):
+    rows = [(k, 100 * k + i, 100 * k + (0 if i < m else i - i % 2)) for k, n, m in ((1, 70, 40), (2, 9, 8), (3, 30, 30), (4, 50, 1)) for i in range(n)]
+    met = defaultdict(list)
+    for r in minhash.across_classes(spark.createDataFrame(rows, "key long, id long, label long"), 8).collect():
+        met[r.key, r.i, r.j].append(r)
+    pairs = {frozenset((x.id, y.id)) for rs in met.values() for x, y in itertools.combinations(rs, 2)}
+    assert pairs >= {frozenset((x[1], y[1])) for x, y in itertools.combinations(rows, 2) if x[0] == y[0] and x[2] != y[2]}
+    assert {k for k, _, _ in met} == {1, 2, 4} and max(map(len, met.values())) < 40
+
+
 def test_near_links_of_one_id_with_different_texts(spark):
     rng = random.Random(16)
     a, b = words(rng, 80), words(rng, 80)
