@@ -85,6 +85,21 @@ def small_arrow_batches(spark: SparkSession, rows: int = 1000, size: str = "8m")
             spark.conf.set(k, v)
 
 
+@contextlib.contextmanager
+def shuffles_deleted(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of a query that runs inside go when it ends, and not when the driver's garbage is next collected.
+
+    For queries whose result is written or collected there, as nothing reads their shuffles again.
+    """
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, "true")
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def give_back() -> None:
     """Return memory that a task has freed to the system, as Python workers live on between tasks."""
     pa.default_memory_pool().release_unused()

@@ -1,13 +1,15 @@
 """Stupid-backoff language-model scores, by joining n-gram count tables that are partitioned by hash.
 
-* Documents are packed into blocks of about BLOCK_BYTES of text, one table row each.
-* A block is exploded into its n-grams of every order: sorted distinct hashes with counts, cut into hash
+* Documents are packed into blocks of about BLOCK_BYTES of text, one table row each: the hashes of the block's
+  words, frequent ones first, and the words by their places there. Texts are read once and go no further.
+* Order by order, a block is exploded into its n-grams: sorted distinct hashes with counts, cut into hash
   partitions by their leading bits. Rows (partition, block) hold the packed hashes, so the n-grams of the
   whole corpus are shuffled once, at about five bytes each. A block has rows only for partitions that it has
   n-grams of, so rows never outnumber n-grams.
 * Every partition's rows together make the count table of that partition; it is joined to the same
   rows and the totals go back by block. A frequent n-gram counts once per block, so no partition is hot.
-* A block's totals are joined to its texts, and the logarithms are summed per document.
+  An order's shuffle is deleted as soon as its totals are written, so disk holds one order's n-grams at a time.
+* A block's totals are joined to its words, and the logarithms are summed per document.
 
 An n-gram is known by a hash of LEAST_BITS bits, or BITS_OVER more than the token count needs if that is
 more (64 at most): at a billion tokens one lookup in ten million meets another n-gram's count. Rows of one
@@ -26,6 +28,7 @@ are ignored.
 
 from __future__ import annotations
 
+import functools
 import uuid
 from collections.abc import Iterator
 
@@ -35,41 +38,43 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barloom.llm.common import slices, written
-from barloom.llm.shingles import distinct, mix, words
+from barloom.llm.common import shuffles_deleted, slices, written
+from barloom.llm.shingles import mix, words
 
 ORDER, ALPHA = 3, 0.4
 BLOCK_BYTES = 1 << 23
-PARTITION_GRAMS = 1 << 20
+PARTITION_GRAMS = 1 << 21  # of one order
 LEAST_BITS, BITS_OVER = 56, 20
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-def grams(texts: list[str | None], order: int, bits: int) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
-    """(text of each word, hash of the n-gram that ends at each word by order, whether there is one by order)."""
-    got = list(words(texts, block_bytes=1 << 62))
-    text, h = (got[0].text, got[0].hash) if got else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
-    hashes, there, value = [], [], h
-    for n in range(1, order + 1):
-        if n > 1:
-            value = np.concatenate([np.zeros(min(1, len(h)), np.uint64), value[:-1]]) * _STEP + h if len(h) else h
-        hashes.append(mix(value + np.uint64(n)) >> np.uint64(64 - bits))
-        ok = np.zeros(len(h), dtype=bool)
-        ok[n - 1 :] = text[n - 1 :] == text[: len(text) - n + 1] if len(text) >= n else False
-        there.append(ok)
-    return text, hashes, there
+def grams(text: np.ndarray, words: np.ndarray, order: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of the n-gram of this order that ends at each word, whether there is one), from each word's text and hash."""
+    value = words
+    for _ in range(order - 1):
+        value = np.concatenate([np.zeros(min(1, len(words)), np.uint64), value[:-1]]) * _STEP + words
+    there = np.zeros(len(words), dtype=bool)
+    if len(words) >= order:
+        there[order - 1 :] = text[order - 1 :] == text[: len(text) - order + 1]
+    return mix(value + np.uint64(order)) >> np.uint64(64 - bits), there
 
 
 def press(x: np.ndarray) -> bytes:
+    """Whole numbers from 0 on, first the lowest byte of each, then the next, as many as the largest needs, compressed."""
     import zstandard
 
-    return zstandard.ZstdCompressor(level=1).compress(x.tobytes())
+    width = max(1, (int(x.max(initial=0)).bit_length() + 7) // 8)
+    planes = np.ascontiguousarray(x.astype(np.uint64).view(np.uint8).reshape(-1, 8)[:, :width].T)
+    return bytes([width]) + zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
 
 
-def unpress(b: bytes, dtype) -> np.ndarray:
+def unpress(b: bytes) -> np.ndarray:
     import zstandard
 
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(b), dtype=dtype)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(b[1:]), dtype=np.uint8).reshape(b[0], -1)
+    out = np.zeros((planes.shape[1], 8), dtype=np.uint8)
+    out[:, : b[0]] = planes.T
+    return out.view(np.uint64).ravel()
 
 
 def pack_sorted(x: np.ndarray) -> bytes:
@@ -92,18 +97,22 @@ def unpack_sorted(b: bytes) -> np.ndarray:
 
 
 def text_blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(block, ids, lengths, texts, n_tokens): texts as one compressed UTF-8 string."""
+    """(block, ids, lengths, known, places, n_tokens): words of each text, hashes of the block's distinct words, place of every word among them."""
     kind = docs.schema[id_col].dataType
-    schema = T.StructType([T.StructField("block", T.LongType()), T.StructField("ids", T.ArrayType(kind)), T.StructField("texts", T.BinaryType()), T.StructField("lengths", T.BinaryType()), T.StructField("n_tokens", T.LongType())])
+    schema = T.StructType([T.StructField("block", T.LongType()), T.StructField("ids", T.ArrayType(kind)), *T._parse_datatype_string("lengths binary, known binary, places binary, n_tokens long").fields])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, texts, size = [], [], 0
 
         def row() -> pa.RecordBatch:
-            n = sum(len(w.hash) for w in words([t.decode("utf-8", "replace") for t in texts]))
-            joined = np.frombuffer(b"".join(texts), dtype=np.uint8)
-            values = [[uuid.uuid4().int >> 65], [ids], [press(joined)], [press(np.array([len(t) for t in texts], dtype=np.int64))], [n]]
-            return pa.RecordBatch.from_arrays([pa.array(values[0], pa.int64()), pa.array([pa.array(ids, id_type).to_pylist()], pa.list_(id_type)), *(pa.array(v, k) for v, k in zip(values[2:], (pa.binary(), pa.binary(), pa.int64()), strict=True))], names=schema.names)
+            got = list(words([t.decode("utf-8", "replace") for t in texts]))
+            lengths = np.bincount(np.concatenate([w.text for w in got]), minlength=len(texts))
+            known, place, times = np.unique(np.concatenate([w.hash for w in got]), return_inverse=True, return_counts=True)
+            order = np.argsort(-times, kind="stable")
+            rank = np.empty_like(order)
+            rank[order] = np.arange(len(order))
+            values = [press(lengths), known[order].tobytes(), press(rank[place])]
+            return pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().int >> 65], pa.int64()), pa.array([pa.array(ids, id_type).to_pylist()], pa.list_(id_type)), *(pa.array([v], pa.binary()) for v in values), pa.array([len(place)], pa.int64())], names=schema.names)
 
         id_type = None
         for batch in slices(batches):
@@ -120,9 +129,10 @@ def text_blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(pack, schema)
 
 
-def _texts(texts: bytes, lengths: bytes) -> list[str]:
-    raw, ends = unpress(texts, np.uint8).tobytes(), np.cumsum(unpress(lengths, np.int64)).tolist()
-    return [raw[b:e].decode("utf-8", "replace") for b, e in zip([0, *ends[:-1]], ends, strict=True)]
+def _words(lengths: bytes, known: bytes, places: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Text number and hash of every word of a block."""
+    lengths = unpress(lengths).astype(np.int64)
+    return np.repeat(np.arange(len(lengths)), lengths), np.frombuffer(known, dtype=np.uint64)[unpress(places).astype(np.int64)]
 
 
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, alpha: float = ALPHA, corpus: DataFrame | None = None) -> DataFrame:
@@ -130,86 +140,81 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     corpus: what to count instead of docs themselves, with the same columns; nothing is left out then.
     """
+    spark = docs.sparkSession
     blocks = text_blocks(docs, id_col, text_col).withColumn("scored", F.lit(True))
     if corpus is not None:
         blocks = blocks.unionByName(text_blocks(corpus, id_col, text_col).withColumn("scored", F.lit(False)))
-    blocks = written(blocks, "blocks")
-    counted = blocks if corpus is None else blocks.filter("not scored")
-    total, n_blocks = counted.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.count(F.lit(1))).first()
+    with shuffles_deleted(spark):
+        blocks = written(blocks, "blocks")
+        counted = blocks if corpus is None else blocks.filter("not scored")
+        total, n_blocks = counted.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.count(F.lit(1))).first()
     bits = min(64, max(LEAST_BITS, total.bit_length() + BITS_OVER))
-    split = (order * total // PARTITION_GRAMS).bit_length()
+    split = (total // PARTITION_GRAMS).bit_length()
+    apart = corpus is not None
 
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def explode(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block, texts, lengths, scored in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                _, hashes, there = grams(_texts(texts, lengths), order, bits)
-                sets = [np.unique(h[ok], return_counts=True) for h, ok in zip(hashes, there, strict=True)]
-                leads = [known >> np.uint64(bits - split) if split else np.zeros(len(known), np.uint64) for known, _ in sets]
-                parts = np.unique(np.concatenate(leads))
-                ends = [np.searchsorted(lead, parts, side="right") for lead in leads]
-                rows = [
-                    [x for (known, counts), end in zip(sets, ends, strict=True) for cut in (slice(end[i - 1] if i else 0, end[i]),) for x in (pack_sorted(known[cut]), press(counts[cut].astype(np.uint32)))]
-                    for i in range(len(parts))
-                ]
-                yield pa.RecordBatch.from_arrays([pa.array(parts.astype(np.int64)), pa.array([block] * len(parts), pa.int64()), pa.array([scored] * len(parts)), pa.array(rows, pa.list_(pa.binary()))], names=["part", "block", "scored", "grams"])
-
-    asked = blocks.select("block", "texts", "lengths", "scored").mapInArrow(explode, "part long, block long, scored boolean, grams array<binary>")
-    apart = corpus is not None
+            for i in range(batch.num_rows):
+                block, scored, *packed = (c[i].as_py() for c in batch.columns)
+                value, there = grams(*_words(*packed), n, bits)
+                known, times = np.unique(value[there], return_counts=True)
+                parts, begin = np.unique(known >> np.uint64(bits - split) if split else np.zeros(len(known), np.uint64), return_index=True)
+                cuts = [slice(b, e) for b, e in zip(begin.tolist(), [*begin[1:].tolist(), len(known)], strict=True)] if len(parts) else []
+                yield pa.RecordBatch.from_arrays([pa.array(parts.astype(np.int64)), pa.array([block] * len(parts), pa.int64()), pa.array([scored] * len(parts), pa.bool_()), pa.array([pack_sorted(known[c]) for c in cuts], pa.binary()), pa.array([press(times[c]) for c in cuts], pa.binary())], names=["part", "block", "scored", "grams", "times"])
 
     def join_counts(rows: pa.Table) -> pa.Table:
         scored = np.flatnonzero(rows["scored"].to_numpy())
-        totals: list[list[bytes]] = [[] for _ in scored]
-        packed = rows["grams"].to_pylist()
-        for n in range(order):
-            sets = [unpack_sorted(g[2 * n]) for g in packed]
-            table, place = np.unique(np.concatenate(sets), return_inverse=True)
-            counts = np.concatenate([unpress(g[2 * n + 1], np.uint32) for g in packed]).astype(np.int64)
-            ends = np.cumsum([len(x) for x in sets]).tolist()
-            if apart:
-                for k in scored.tolist():
-                    counts[ends[k] - len(sets[k]) : ends[k]] = 0
-            sums = np.bincount(place, counts, len(table)).astype(np.uint64)
-            for out, k in zip(totals, scored.tolist(), strict=True):
-                out.append(press(sums[place[ends[k] - len(sets[k]) : ends[k]]]))
+        sets = [unpack_sorted(g) for g in rows["grams"].to_pylist()]
+        ends = np.cumsum([len(x) for x in sets]).tolist()
+        table, place = np.unique(np.concatenate(sets), return_inverse=True)
+        times = np.concatenate([unpress(x) for x in rows["times"].to_pylist()])
+        cuts = [slice(ends[k] - len(sets[k]), ends[k]) for k in scored.tolist()]
+        if apart:
+            for c in cuts:
+                times[c] = 0
+        sums = np.bincount(place, times, len(table)).astype(np.uint64)
         at = pa.array(scored)
-        return pa.table({"block": rows["block"].take(at), "part": rows["part"].take(at), "totals": pa.array(totals, pa.list_(pa.binary()))})
+        return pa.table({"block": rows["block"].take(at), "part": rows["part"].take(at), "totals": pa.array([press(sums[place[c]]) for c in cuts], pa.binary())})
+
+    def totals(n: int) -> DataFrame:
+        asked = blocks.select("block", "scored", "lengths", "known", "places").mapInArrow(functools.partial(explode, n=n), "part long, block long, scored boolean, grams binary, times binary")
+        told = asked.repartition(min(1 << split, 1 << 16), "part").groupBy("part").applyInArrow(join_counts, "block long, part long, totals binary")
+        with shuffles_deleted(spark):
+            return written(told, "totals").withColumn("n", F.lit(n))
 
-    replies = written(asked.groupBy("part").applyInArrow(join_counts, "block long, part long, totals array<binary>"), "totals")
+    replies = functools.reduce(DataFrame.unionByName, [totals(n) for n in range(1, order + 1)])
     tasks = max(1, min(n_blocks, 1 << 16))  # a block is scored by itself, so more blocks to a task take more time and not more memory
-    together = replies.repartition(tasks, "block").groupBy("block").agg(F.collect_list(F.struct("part", "totals")).alias("replies"))  # a row for each partition the block has n-grams of
+    together = replies.repartition(tasks, "block").groupBy("block").agg(F.collect_list(F.struct("n", "part", "totals")).alias("replies"))  # a row for each order and partition that the block has n-grams of
     schema = T.StructType([docs.schema[id_col], *T._parse_datatype_string("n_tokens long, log_score double, mean_log double, perplexity double, others_log_score double").fields])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                texts = _texts(batch.column(1)[i].as_py(), batch.column(2)[i].as_py())
-                answers = [x["totals"] for x in sorted(batch.column(3)[i].as_py() or (), key=lambda x: x["part"])]
-                text, hashes, there = grams(texts, order, bits)
-                lengths = np.bincount(text, minlength=len(texts))
+                text, hashes = _words(*(batch.column(k)[i].as_py() for k in (1, 2, 3)))
+                lengths = unpress(batch.column(1)[i].as_py()).astype(np.int64)
+                answers = sorted(batch.column(4)[i].as_py() or (), key=lambda x: x["part"])
                 every, others = [], []
-                for n in range(order):
-                    ok, c, own = there[n], np.zeros(len(text)), np.zeros(len(text))
-                    place = np.unique(hashes[n][ok], return_inverse=True)[1]
+                for n in range(1, order + 1):
+                    value, there = grams(text, hashes, n, bits)
+                    c, own = np.zeros(len(text)), np.zeros(len(text))
+                    place = np.unique(value[there], return_inverse=True)[1]
                     if len(place):
-                        c[ok] = np.concatenate([unpress(a[n], np.uint64) for a in answers])[place].astype(float)
+                        c[there] = np.concatenate([unpress(a["totals"]) for a in answers if a["n"] == n])[place].astype(float)
                         if not apart:
-                            own[ok] = _spread(text[ok], hashes[n][ok], *distinct(text[ok], hashes[n][ok]))
+                            own[there] = _times(place * len(lengths) + text[there])
                     every.append(c), others.append(c - own)
-                    hashes[n] = None
-                sums = np.bincount(text, backoff(every, np.full(len(text), total), alpha), len(texts))
-                rest = np.bincount(text, backoff(others, total - (0 if apart else lengths[text]), alpha), len(texts))
+                sums = np.bincount(text, backoff(every, np.full(len(text), total), alpha), len(lengths))
+                rest = np.bincount(text, backoff(others, total - (0 if apart else lengths[text]), alpha), len(lengths))
                 mean = [s / k if k else None for s, k in zip(sums.tolist(), lengths.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0)[i].values, pa.array(lengths, pa.int64()), pa.array(sums, pa.float64()), pa.array(mean, pa.float64()), pa.array([None if m is None else float(np.exp(-m)) for m in mean], pa.float64()), pa.array(rest, pa.float64())], names=schema.names)
 
-    return blocks.filter("scored").select("block", "ids", "texts", "lengths").repartition(tasks, "block").join(together, "block", "left").select("ids", "texts", "lengths", "replies").mapInArrow(score, schema)
+    return blocks.filter("scored").select("block", "ids", "lengths", "known", "places").repartition(tasks, "block").join(together, "block", "left").select("ids", "lengths", "known", "places", "replies").mapInArrow(score, schema)
 
 
-def _spread(text: np.ndarray, value: np.ndarray, at: np.ndarray, times: np.ndarray) -> np.ndarray:
-    """For each (text, value), how often it occurs, from one place of each with its count."""
-    key = mix(value + text.astype(np.uint64) * _STEP)
-    known = key[at]
-    order = np.argsort(known)
-    return times[order][np.searchsorted(known[order], key)]
+def _times(x: np.ndarray) -> np.ndarray:
+    """How often each number occurs, at every place of it."""
+    _, place, times = np.unique(x, return_inverse=True, return_counts=True)
+    return times[place]
 
 
 def backoff(counts: list[np.ndarray], tokens: np.ndarray, alpha: float) -> np.ndarray:

@@ -282,6 +282,36 @@ def test_lm_nulls_repeats_and_empty(spark):
     assert score_documents(df.filter("false")).count() == 0
 
 
+def shuffle_files(spark):
+    """Bytes of each shuffle file that the session's block manager holds, by name."""
+    found = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {f.getName(): f.length() for f in map(found.apply, range(found.size())) if f.getName().startswith("shuffle_") and f.getName().endswith(".data")}
+
+
+def test_lm_scores_leave_no_shuffle_of_ngrams(spark, monkeypatch):
+    """Disk holds the n-grams of one order at a time, and none once all are counted."""
+    rng = random.Random(7)
+    texts = [prose(rng, rng.choice(["aa", "bb"]), 400) for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    before, at_once, put = set(shuffle_files(spark)), [], lm_scores.written
+
+    def watched(df, name):
+        at_once.append(sum(n for f, n in shuffle_files(spark).items() if f not in before))
+        return put(df, name)
+
+    monkeypatch.setattr(lm_scores, "written", watched)
+    scored = score_documents(df)
+    at_once.append(sum(n for f, n in shuffle_files(spark).items() if f not in before))
+    assert max(at_once) < 10_000
+    for r, (n, s, rest) in zip(scored.orderBy("doc_id").collect(), lm_brute(texts), strict=True):
+        assert r.n_tokens == n and r.log_score == pytest.approx(s) and r.others_log_score == pytest.approx(rest)
+
+
+def test_pressed_numbers_round_trip():
+    for x in ([], [0], [0, 0, 255], [1, 256, 3], [(1 << 64) - 1, 0]):
+        assert lm_scores.unpress(lm_scores.press(np.array(x, dtype=np.uint64))).tolist() == x
+
+
 def test_packed_hashes_round_trip():
     for x in ([], [0], [5, 6, 7], [1, 1 << 40, (1 << 62) + 3], [0, (1 << 64) - 1]):
         a = np.array(x, dtype=np.uint64)
