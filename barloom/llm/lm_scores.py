@@ -45,6 +45,8 @@ ORDER, ALPHA = 3, 0.4
 BLOCK_BYTES = 1 << 23
 PARTITION_GRAMS = 1 << 21  # of one order
 LEAST_BITS, BITS_OVER = 56, 20
+_LIMITS = np.array([1 << 8 * k for k in range(1, 8)], dtype=np.uint64)
+_ALL = np.zeros(1, dtype=np.int64)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -59,41 +61,62 @@ def grams(text: np.ndarray, words: np.ndarray, order: int, bits: int) -> tuple[n
     return mix(value + np.uint64(order)) >> np.uint64(64 - bits), there
 
 
-def press(x: np.ndarray) -> bytes:
-    """Whole numbers from 0 on, first the lowest byte of each, then the next, as many as the largest needs, compressed."""
+def _widths(x: np.ndarray, begin: np.ndarray) -> list[int]:
+    """Bytes that the largest number of each cut of x needs."""
+    return (np.searchsorted(_LIMITS, np.maximum.reduceat(x, begin), side="right") + 1).tolist()
+
+
+def press(x: np.ndarray, begin: np.ndarray = _ALL) -> list[bytes]:
+    """For each cut of x, from its beginning to the next: first the lowest byte of each number, then the next, as many as the largest needs, compressed."""
     import zstandard
 
-    width = max(1, (int(x.max(initial=0)).bit_length() + 7) // 8)
-    planes = np.ascontiguousarray(x.astype(np.uint64).view(np.uint8).reshape(-1, 8)[:, :width].T)
-    return bytes([width]) + zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+    if not len(x):
+        return []
+    squeeze, x = zstandard.ZstdCompressor(level=1).compress, x.astype(np.uint64)
+    raw = x.view(np.uint8).reshape(-1, 8)
+    return [bytes([w]) + squeeze(raw[b:e, :w].T.tobytes()) for b, e, w in zip(begin.tolist(), [*begin[1:].tolist(), len(x)], _widths(x, begin), strict=True)]
 
 
-def unpress(b: bytes) -> np.ndarray:
+def unpress(pressed: list[bytes]) -> np.ndarray:
+    """The numbers of all cuts, one after the other."""
     import zstandard
 
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(b[1:]), dtype=np.uint8).reshape(b[0], -1)
-    out = np.zeros((planes.shape[1], 8), dtype=np.uint8)
-    out[:, : b[0]] = planes.T
+    expand = zstandard.ZstdDecompressor().decompress
+    planes = [np.frombuffer(expand(b[1:]), dtype=np.uint8).reshape(b[0], -1) for b in pressed]
+    out, at = np.zeros((sum(p.shape[1] for p in planes), 8), dtype=np.uint8), 0
+    for p in planes:
+        out[at : at + p.shape[1], : len(p)] = p.T
+        at += p.shape[1]
     return out.view(np.uint64).ravel()
 
 
-def pack_sorted(x: np.ndarray) -> bytes:
-    """Ascending numbers as gaps, each of as many bytes as the largest gap needs."""
+def pack_sorted(x: np.ndarray, begin: np.ndarray = _ALL) -> list[bytes]:
+    """For each cut of ascending numbers: the first, and gaps, each of as many bytes as the largest gap needs."""
     if not len(x):
-        return b""
-    gaps = np.diff(x)
-    width = max(1, (int(gaps.max(initial=0)).bit_length() + 7) // 8)
-    return bytes([width]) + x[:1].tobytes() + gaps.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+        return []
+    gaps = np.zeros_like(x)
+    gaps[1:] = x[1:] - x[:-1]
+    gaps[begin] = 0
+    raw = gaps.view(np.uint8).reshape(-1, 8)
+    return [bytes([w]) + x[b : b + 1].tobytes() + raw[b + 1 : e, :w].tobytes() for b, e, w in zip(begin.tolist(), [*begin[1:].tolist(), len(x)], _widths(gaps, begin), strict=True)]
+
+
+def packed_lengths(packed: list[bytes]) -> np.ndarray:
+    return np.array([(len(b) - 9) // b[0] + 1 for b in packed], dtype=np.int64)
 
 
-def unpack_sorted(b: bytes) -> np.ndarray:
-    if not b:
-        return np.zeros(0, dtype=np.uint64)
-    packed = np.frombuffer(b, dtype=np.uint8, offset=9).reshape(-1, b[0])
-    out = np.zeros((len(packed) + 1, 8), dtype=np.uint8)
-    out[1:, : b[0]] = packed
-    out[0] = np.frombuffer(b, dtype=np.uint8, count=8, offset=1)
-    return np.cumsum(out.view(np.uint64).ravel(), dtype=np.uint64)
+def unpack_sorted(packed: list[bytes]) -> np.ndarray:
+    """The numbers of all cuts, one after the other."""
+    lengths = packed_lengths(packed)
+    begin = np.cumsum(lengths) - lengths
+    out = np.zeros((int(lengths.sum()), 8), dtype=np.uint8)
+    for b, at, k in zip(packed, begin.tolist(), lengths.tolist(), strict=True):
+        out[at] = np.frombuffer(b, dtype=np.uint8, count=8, offset=1)
+        out[at + 1 : at + k, : b[0]] = np.frombuffer(b, dtype=np.uint8, offset=9).reshape(-1, b[0])
+    gaps = out.view(np.uint64).ravel()
+    sums = np.cumsum(gaps, dtype=np.uint64)
+    sums -= np.repeat(sums[begin] - gaps[begin], lengths)
+    return sums
 
 
 def text_blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -111,7 +134,7 @@ def text_blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             order = np.argsort(-times, kind="stable")
             rank = np.empty_like(order)
             rank[order] = np.arange(len(order))
-            values = [press(lengths), known[order].tobytes(), press(rank[place])]
+            values = [b"".join(press(lengths)), known[order].tobytes(), b"".join(press(rank[place]))]
             return pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().int >> 65], pa.int64()), pa.array([pa.array(ids, id_type).to_pylist()], pa.list_(id_type)), *(pa.array([v], pa.binary()) for v in values), pa.array([len(place)], pa.int64())], names=schema.names)
 
         id_type = None
@@ -131,8 +154,8 @@ def text_blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def _words(lengths: bytes, known: bytes, places: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Text number and hash of every word of a block."""
-    lengths = unpress(lengths).astype(np.int64)
-    return np.repeat(np.arange(len(lengths)), lengths), np.frombuffer(known, dtype=np.uint64)[unpress(places).astype(np.int64)]
+    lengths = unpress([lengths]).astype(np.int64)
+    return np.repeat(np.arange(len(lengths)), lengths), np.frombuffer(known, dtype=np.uint64)[unpress([places] if places else []).astype(np.int64)]
 
 
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, alpha: float = ALPHA, corpus: DataFrame | None = None) -> DataFrame:
@@ -159,22 +182,19 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 value, there = grams(*_words(*packed), n, bits)
                 known, times = np.unique(value[there], return_counts=True)
                 parts, begin = np.unique(known >> np.uint64(bits - split) if split else np.zeros(len(known), np.uint64), return_index=True)
-                cuts = [slice(b, e) for b, e in zip(begin.tolist(), [*begin[1:].tolist(), len(known)], strict=True)] if len(parts) else []
-                yield pa.RecordBatch.from_arrays([pa.array(parts.astype(np.int64)), pa.array([block] * len(parts), pa.int64()), pa.array([scored] * len(parts), pa.bool_()), pa.array([pack_sorted(known[c]) for c in cuts], pa.binary()), pa.array([press(times[c]) for c in cuts], pa.binary())], names=["part", "block", "scored", "grams", "times"])
+                yield pa.RecordBatch.from_arrays([pa.array(parts.astype(np.int64)), pa.array([block] * len(parts), pa.int64()), pa.array([scored] * len(parts), pa.bool_()), pa.array(pack_sorted(known, begin), pa.binary()), pa.array(press(times, begin), pa.binary())], names=["part", "block", "scored", "grams", "times"])
 
     def join_counts(rows: pa.Table) -> pa.Table:
-        scored = np.flatnonzero(rows["scored"].to_numpy())
-        sets = [unpack_sorted(g) for g in rows["grams"].to_pylist()]
-        ends = np.cumsum([len(x) for x in sets]).tolist()
-        table, place = np.unique(np.concatenate(sets), return_inverse=True)
-        times = np.concatenate([unpress(x) for x in rows["times"].to_pylist()])
-        cuts = [slice(ends[k] - len(sets[k]), ends[k]) for k in scored.tolist()]
+        packed = rows["grams"].to_pylist()
+        known, lengths = unpack_sorted(packed), packed_lengths(packed)
+        times, scored = unpress(rows["times"].to_pylist()), rows["scored"].to_numpy()
+        asked = np.repeat(scored, lengths)
         if apart:
-            for c in cuts:
-                times[c] = 0
-        sums = np.bincount(place, times, len(table)).astype(np.uint64)
-        at = pa.array(scored)
-        return pa.table({"block": rows["block"].take(at), "part": rows["part"].take(at), "totals": pa.array([press(sums[place[c]]) for c in cuts], pa.binary())})
+            times[asked] = 0
+        table, place = np.unique(known, return_inverse=True)
+        sums = np.bincount(place, times, len(table)).astype(np.uint64)[place[asked] if apart else place]
+        at = pa.array(np.flatnonzero(scored))
+        return pa.table({"block": rows["block"].take(at), "part": rows["part"].take(at), "totals": pa.array(press(sums, np.cumsum(lengths[scored]) - lengths[scored]), pa.binary())})
 
     def totals(n: int) -> DataFrame:
         asked = blocks.select("block", "scored", "lengths", "known", "places").mapInArrow(functools.partial(explode, n=n), "part long, block long, scored boolean, grams binary, times binary")
@@ -191,15 +211,17 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         for batch in batches:
             for i in range(batch.num_rows):
                 text, hashes = _words(*(batch.column(k)[i].as_py() for k in (1, 2, 3)))
-                lengths = unpress(batch.column(1)[i].as_py()).astype(np.int64)
-                answers = sorted(batch.column(4)[i].as_py() or (), key=lambda x: x["part"])
+                lengths = unpress([batch.column(1)[i].as_py()]).astype(np.int64)
+                answers = batch.column(4)[i].values
+                told, part, totals = ([], [], None) if answers is None else (answers.field("n").to_numpy(), answers.field("part").to_numpy(), answers.field("totals"))
                 every, others = [], []
                 for n in range(1, order + 1):
                     value, there = grams(text, hashes, n, bits)
                     c, own = np.zeros(len(text)), np.zeros(len(text))
                     place = np.unique(value[there], return_inverse=True)[1]
                     if len(place):
-                        c[there] = np.concatenate([unpress(a["totals"]) for a in answers if a["n"] == n])[place].astype(float)
+                        at = np.flatnonzero(told == n)
+                        c[there] = unpress(totals.take(pa.array(at[np.argsort(part[at])])).to_pylist())[place].astype(float)
                         if not apart:
                             own[there] = _times(place * len(lengths) + text[there])
                     every.append(c), others.append(c - own)

@@ -309,7 +309,17 @@ def test_lm_scores_leave_no_shuffle_of_ngrams(spark, monkeypatch):
 
 def test_pressed_numbers_round_trip():
     for x in ([], [0], [0, 0, 255], [1, 256, 3], [(1 << 64) - 1, 0]):
-        assert lm_scores.unpress(lm_scores.press(np.array(x, dtype=np.uint64))).tolist() == x
+        a = np.array(x, dtype=np.uint64)
+        for begin in ([0], range(len(x))):
+            assert lm_scores.unpress(lm_scores.press(a, np.array(begin, dtype=np.int64))).tolist() == x
+
+
+def test_cuts_are_packed_apart():
+    a = np.sort(np.random.default_rng(1).integers(0, 1 << 63, 500, dtype=np.uint64))
+    begin = np.array([0, 1, 2, 90, 499])
+    packed = pack_sorted(a, begin)
+    assert lm_scores.packed_lengths(packed).tolist() == [1, 1, 88, 409, 1] and unpack_sorted(packed).tolist() == a.tolist()
+    assert [x for b in packed for x in unpack_sorted([b]).tolist()] == a.tolist()
 
 
 def test_packed_hashes_round_trip():
